@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import exact_dedup, packing
+from quantloom.llm import exact_dedup, language_id, packing, secret_scan, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.op1_language_id,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_transport_streams": transport_stream.op5_transport_streams,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_secret_scan": secret_scan.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
