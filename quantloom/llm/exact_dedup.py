@@ -44,8 +44,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_hot = F.xxhash64("norm").isin(hashes) if hashes else F.lit(False)
 
     salted = base.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(salts))).otherwise(F.lit(-1)))
-    run = Window.partitionBy("norm", "salt")
-    out = salted.repartitionByRange("norm", "salt").select("id", "salt", F.sha2("norm", 256).alias("text_sha256"), best("id").over(run).alias("keep_id"), F.count("*").over(run).alias("group_size"))
+    # Splitters are samples of (first bytes, hash, salt), so that the driver gets short keys whatever the texts' length;
+    # within a range the sort goes on over the whole text.
+    salted = salted.withColumns({"head": F.substring("norm", 1, 32), "h": F.xxhash64("norm")})
+    run = Window.partitionBy("head", "h", "salt", "norm")
+    out = salted.repartitionByRange("head", "h", "salt").select("id", "salt", F.sha2("norm", 256).alias("text_sha256"), best("id").over(run).alias("keep_id"), F.count("*").over(run).alias("group_size"))
     if hashes:
         totals = base.where(is_hot).groupBy("norm").agg(best("id").alias("all_keep"), F.count("*").alias("all_n"))
         totals = totals.select(F.sha2("norm", 256).alias("sha"), "all_keep", "all_n")

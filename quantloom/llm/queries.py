@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import exact_dedup, language_id, minhash, packing, repeated_spans, secret_scan, transport_stream
+from quantloom.llm import exact_dedup, language_id, minhash, packing, quality, repeated_spans, secret_scan, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_transport_streams": transport_stream.op5_transport_streams,
+    "op7_quality": quality.op7_quality,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_repeated_spans": repeated_spans.op9_repeated_spans,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
