@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import exact_dedup, language_id, minhash, packing, quality, repeated_spans, secret_scan, transport_stream
+from quantloom.llm import exact_dedup, language_id, license_scan, minhash, packing, quality, repeated_spans, secret_scan, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_transport_streams": transport_stream.op5_transport_streams,
     "op7_quality": quality.op7_quality,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": license_scan.OP3_SQL,
     "op4_secret_scan": secret_scan.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
