@@ -1,27 +1,51 @@
-"""A corpus pipeline over `documents`: each stage keeps or places what its predecessor kept."""
+"""A corpus pipeline over `documents`: each stage filters or places what its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantloom.llm.common import documents, stored
 from quantloom.llm.exact_dedup import exact_dedup
+from quantloom.llm.language_id import UNKNOWN, language_id
+from quantloom.llm.minhash import near_duplicates
 from quantloom.llm.packing import pack_documents
+from quantloom.llm.secret_scan import secret_scan
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id stays."""
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter have no language and go. The others keep their columns; lang stays what the
+    source said, and takes the prediction where it said nothing."""
+    found = language_id(docs).where(F.col("lang_pred") != UNKNOWN).select("doc_id", "lang_pred")
+    return docs.join(found, "doc_id").select(*(F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else c for c in docs.columns))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (but for the case of A-Z), the document with the smallest doc_id stays."""
     return docs.join(exact_dedup(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, 0.8), the smallest doc_id stays."""
+    return docs.join(near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a secret go."""
+    return docs.join(secret_scan(docs).where(F.size("spans") == 0).select("doc_id"), "doc_id", "left_semi")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents with their places in training sequences."""
     return pack_documents(docs, keep_ids=False)
 
 
 STAGES = [
-    ("exact dedup", drop_exact_copies),
-    ("best-fit packing", pack),
+    ("language ID", identified),
+    ("exact dedup", without_copies),
+    ("MinHash near-dedup", without_near_copies),
+    ("secret scans", without_secrets),
+    ("best-fit packing", packed),
 ]
 
 #: SQL has neither the language model nor the tokenizer; tests/llm holds run() against a brute-force version.
@@ -29,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, each written and read again before the next."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))

@@ -125,11 +125,19 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), seed)
 
 
+class ByteSpans:
+    """Hashes of data[start:end] for many spans, from running sums over data that are made once."""
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        table = mixed(np.arange(1, 257, dtype=np.uint64), 0x51ED2700 + seed)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * powers(len(data), _MULTIPLIER)[:-1], dtype=np.uint64, out=self.total[1:])
+        self.down, self.seed = powers(len(data), _INVERSE), seed
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), self.seed)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """As spans_hash, with a table in place of mixing each byte."""
-    table = mixed(np.arange(1, 257, dtype=np.uint64), 0x51ED2700 + seed)
-    up = powers(len(data), _MULTIPLIER)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[:-1], dtype=np.uint64, out=total[1:])
-    down = powers(len(data), _INVERSE)
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), seed)
+    return ByteSpans(data, seed).hashes(starts, ends)

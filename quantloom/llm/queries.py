@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import exact_dedup, language_id, license_scan, minhash, packing, quality, repeated_spans, secret_scan, transport_stream
+from quantloom.llm import exact_dedup, language_id, license_scan, minhash, packing, quality, repeated_spans, secret_scan, segmentation, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_transport_streams": transport_stream.op5_transport_streams,
+    "op6_segmentations": segmentation.op6_segmentations,
     "op7_quality": quality.op7_quality,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_repeated_spans": repeated_spans.op9_repeated_spans,
