@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import LOWER, documents, mixed, slices, stored, word_hashes, words
@@ -34,8 +34,13 @@ def _shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> Iterator[tu
             yield first + row, own.view(np.int64)
 
 
+def text_key(text_col: str) -> Column:
+    """Tells the rows apart that repeat an id with another text."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")
+
+
 def bottom_sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(id, n, sig, sketch): size of the shingle set, a digest of the whole set, its k smallest hashes."""
+    """(id, text_key, n, sig, sketch): size of the shingle set, a digest of the whole set, its k smallest hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +51,9 @@ def bottom_sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k:
                 digests.append(hashlib.blake2b(own, digest_size=16).digest())
                 sketches.append(own[:k])
             values = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32), np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), values], names=["id", "n", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), values], names=["id", "text_key", "n", "sig", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(sketch, f"id {kind}, n bigint, sig binary, sketch array<bigint>")
+    return docs.select(id_col, text_col, text_key(text_col)).mapInArrow(sketch, f"id {kind}, text_key bigint, n bigint, sig binary, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -110,7 +115,7 @@ def _with_components(lists: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64, rounds: int = 3, work: int = 20) -> DataFrame:
-    """(id, n_shingles, component_id, kept): groups of documents that share most of their word shingles.
+    """(id, n_shingles, component_id, kept, text_key): groups of documents that share most of their shingles.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set has its distinct runs of
     `width` words, or its whole sequence if it has fewer. Two documents are linked if 100 * intersection >=
@@ -129,7 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     4. A sketch of the union estimates each pair, and whole sets decide.
 
     Components come from rounds of joins (connected_components). Edge cases: null, empty and blank texts have
-    the empty set and no links; a row is judged by its own text if an id repeats; rows with a null id count in
+    the empty set and no links; a row is judged by its own text if an id repeats (text_key tells these rows
+    apart; rows equal in both are one document and stay or go together); rows with a null id count in
     no component but their own; an empty table gives no rows; other columns are left alone. Shingles are
     compared as 63-bit hashes.
     """
@@ -187,11 +193,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = connected_components(found)
 
     named = classes.select("sig", F.col("id").alias("node")).join(components, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    out = seen.select("id", "n", "sig").join(named, "sig", "left")
+    out = seen.select("id", "text_key", "n", "sig").join(named, "sig", "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_key")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85).drop("text_key")
 
