@@ -15,6 +15,36 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, hot_share: float, salts: int, whole_rows: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows in content order, with the window columns of their run; totals of the hot classes, if any."""
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep is 'smallest' or 'largest'")
+    best = F.min if keep == "smallest" else F.max
+    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    base = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), *([F.struct("*").alias("row")] if whole_rows else []))
+
+    least = max(1, int(docs.count() * hot_share))
+    sizes = base.groupBy(F.xxhash64("norm").alias("h")).agg(F.count("*").alias("n"))
+    hashes = [r.h for r in sizes.where(F.col("n") > least).select("h").collect()]  # at most 1 / hot_share values
+    is_hot = F.xxhash64("norm").isin(hashes) if hashes else F.lit(False)
+
+    salted = base.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(salts))).otherwise(F.lit(-1)))
+    # Splitters are samples of (first bytes, hash, salt), so that the driver gets short keys whatever the texts' length;
+    # within a range the sort goes on over the whole text.
+    salted = salted.withColumns({"head": F.substring("norm", 1, 32), "h": F.xxhash64("norm")})
+    run = Window.partitionBy("head", "h", "salt", "norm")
+    out = salted.repartitionByRange("head", "h", "salt")
+    if whole_rows:
+        order = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
+        out = out.select("id", "salt", F.sha2("norm", 256).alias("text_sha256"), F.row_number().over(run.orderBy(order, f"row.{text_col}")).alias("nth"), "row")
+    else:
+        out = out.select("id", "salt", F.sha2("norm", 256).alias("text_sha256"), best("id").over(run).alias("keep_id"), F.count("*").over(run).alias("group_size"))
+    if not hashes:
+        return out, None
+    totals = base.where(is_hot).groupBy("norm").agg(best("id").alias("all_keep"), F.count("*").alias("all_n"))
+    return out, totals.select(F.sha2("norm", 256).alias("sha"), "all_keep", "all_n")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hot_share: float = 0.001, salts: int = 64) -> DataFrame:
     """Classes of equal texts: (id, keep_id, group_size, kept, text_sha256), one row per input row.
 
@@ -31,32 +61,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each gets its own result row, and group_size counts rows; other columns of docs, whatever their names,
     are left alone. A null id never stays if the class has another.
     """
-    if keep not in ("smallest", "largest"):
-        raise ValueError("keep is 'smallest' or 'largest'")
-    best = F.min if keep == "smallest" else F.max
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    base = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
-
-    least = max(1, int(docs.count() * hot_share))
-    sizes = base.groupBy(F.xxhash64("norm").alias("h")).agg(F.count("*").alias("n"))
-    hashes = [r.h for r in sizes.where(F.col("n") > least).select("h").collect()]  # at most 1 / hot_share values
-    is_hot = F.xxhash64("norm").isin(hashes) if hashes else F.lit(False)
-
-    salted = base.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(salts))).otherwise(F.lit(-1)))
-    # Splitters are samples of (first bytes, hash, salt), so that the driver gets short keys whatever the texts' length;
-    # within a range the sort goes on over the whole text.
-    salted = salted.withColumns({"head": F.substring("norm", 1, 32), "h": F.xxhash64("norm")})
-    run = Window.partitionBy("head", "h", "salt", "norm")
-    out = salted.repartitionByRange("head", "h", "salt").select("id", "salt", F.sha2("norm", 256).alias("text_sha256"), best("id").over(run).alias("keep_id"), F.count("*").over(run).alias("group_size"))
-    if hashes:
-        totals = base.where(is_hot).groupBy("norm").agg(best("id").alias("all_keep"), F.count("*").alias("all_n"))
-        totals = totals.select(F.sha2("norm", 256).alias("sha"), "all_keep", "all_n")
+    out, totals = _sorted_runs(docs, id_col, text_col, keep, hot_share, salts, False)
+    if totals is not None:
         out = out.join(F.broadcast(totals), (F.col("salt") >= 0) & (F.col("text_sha256") == F.col("sha")), "left")
         out = out.withColumns({"keep_id": F.coalesce("all_keep", "keep_id"), "group_size": F.coalesce("all_n", "group_size")})
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hot_share: float = 0.001, salts: int = 64) -> DataFrame:
+    """One whole row of docs for each class of equal texts, by the same sort as exact_dedup.
+
+    Of rows that repeat the id that stays, the one with the smallest text (as it is spelt) is returned.
+    """
+    out, totals = _sorted_runs(docs, id_col, text_col, keep, hot_share, salts, True)
+    out = out.where("nth = 1")
+    if totals is not None:
+        out = out.join(F.broadcast(totals), (F.col("salt") >= 0) & (F.col("text_sha256") == F.col("sha")), "left")
+        out = out.where((F.col("salt") < 0) | F.col("id").eqNullSafe(F.col("all_keep")))
+    return out.select("row.*")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
