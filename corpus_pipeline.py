@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import documents, stored
-from quantloom.llm.exact_dedup import exact_dedup
+from quantloom.llm.exact_dedup import distinct_texts
 from quantloom.llm.language_id import UNKNOWN, language_id
 from quantloom.llm.minhash import near_duplicates
 from quantloom.llm.packing import pack_documents
@@ -16,23 +16,25 @@ from quantloom.llm.secret_scan import secret_scan
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter have no language and go. The others keep their columns; lang stays what the
     source said, and takes the prediction where it said nothing."""
-    found = language_id(docs).where(F.col("lang_pred") != UNKNOWN).select("doc_id", "lang_pred")
-    return docs.join(found, "doc_id").select(*(F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else c for c in docs.columns))
+    found = language_id(docs, whole_rows=True).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*(F.coalesce(F.col("row.lang"), "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (but for the case of A-Z), the document with the smallest doc_id stays."""
-    return docs.join(exact_dedup(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    return distinct_texts(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, 0.8), the smallest doc_id stays."""
-    return docs.join(near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["kept_key"])
+    return docs.join(kept, same, "left_semi")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a secret go."""
-    return docs.join(secret_scan(docs).where(F.size("spans") == 0).select("doc_id"), "doc_id", "left_semi")
+    return secret_scan(docs, whole_rows=True).where(F.size("spans") == 0).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quantloom.llm.common import LOWER, documents, slices
 
@@ -142,8 +143,8 @@ def learn_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return {lang: text for lang, text in texts.items() if text.strip(b"\x00")}
 
 
-def identify_languages(docs: DataFrame, learned: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row of docs, from its text alone.
+def identify_languages(docs: DataFrame, learned: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """(id, lang_pred, score[, row]) for every row of docs, from its text alone; row is the whole row.
 
     The text is parsed with each language's reference text; phrases times log2(size of the reference), a
     symbol of the text, estimate the cross entropy, and the language with the least wins (of equals, the
@@ -153,7 +154,8 @@ def identify_languages(docs: DataFrame, learned: dict[str, bytes], id_col: str =
     gives no rows; rows that repeat an id are treated each; other columns are left alone. Texts of any length
     are parsed whole, in segments. Nothing is shuffled.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kinds = [StructField(id_col, docs.schema[id_col].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    schema = StructType(kinds + [StructField("row", docs.schema)] * whole_rows)
     names, texts = list(learned), tuple(learned.values())
     weight = np.log2(np.maximum(2, [len(t) for t in texts]))
 
@@ -172,19 +174,21 @@ def identify_languages(docs: DataFrame, learned: dict[str, bytes], id_col: str =
                     total = low[0] + low[1] if len(names) > 1 else low[0]
                     score = np.where(lettered, low[min(1, len(names) - 1)] / np.maximum(total, 1e-9), 0.0)
                 langs = [names[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
+                columns = [part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), *part.columns[3:]]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     lettered = F.col(text_col).rlike(r"\p{L}").alias("lettered")
-    return docs.select(id_col, text_col, lettered).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double")
+    row = [F.struct("*").alias("row")] if whole_rows else []
+    return docs.select(id_col, text_col, lettered, *row).mapInArrow(predict, schema)
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole_rows: bool = False) -> DataFrame:
     """Learn from the rows of docs whose crc32(id as text) mod 4 is not 2, then predict all: (id, held_out,
-    lang_pred, score). See learn_languages and identify_languages."""
+    lang_pred, score[, row]). See learn_languages and identify_languages."""
     held_out = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
     learned = learn_languages(docs.where(~held_out), id_col, text_col, lang_col)
-    found = identify_languages(docs, learned, id_col, text_col)
-    return found.select(id_col, held_out.alias("held_out"), "lang_pred", "score")
+    found = identify_languages(docs, learned, id_col, text_col, whole_rows)
+    return found.select(id_col, held_out.alias("held_out"), "lang_pred", "score", *["row"] * whole_rows)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,8 +144,10 @@ def _must_hold(rule: Rule) -> str:
     return rule.pattern[:-1] + "{%d}" % rule.least if rule.kind == "hex" else rule.pattern
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, spans array<struct<start, kind_no, end, kind>>) for every row, by start, then by order of rules.
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, whole_rows: bool = False) -> DataFrame:
+    """(id, spans array<struct<start, kind_no, end, kind>>[, row]) for every row; row is the whole row of docs.
+
+    Spans are in order of start, then of rules.
 
     From each rule's regex a Boolean query over trigrams is derived. One pass builds the posting lists of the
     trigrams in these queries; intersecting them gives the candidates of each rule, and only those texts are
@@ -158,7 +160,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {kind: q for kind, q in queries.items() if frozenset() not in q}
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = docs.select(F.col(id_col).alias("id"), text)
+    rows = docs.select(F.col(id_col).alias("id"), text, *([F.struct("*").alias("row")] if whole_rows else []))
     if indexed:
         trigrams = sorted({t for q in indexed.values() for clause in q for t in clause})
         postings = stored(posting_lists(docs, trigrams, id_col, text_col))
@@ -173,7 +175,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.when(wanted & F.col("text").rlike(_must_hold(rule)), _spans(F.col("text"), order, rule)).otherwise(none)
 
     spans = F.array_sort(F.concat(*(of(i, r) for i, r in enumerate(rules))))
-    return rows.select(F.col("id").alias(id_col), spans.alias("spans"))
+    return rows.select(F.col("id").alias(id_col), spans.alias("spans"), *["row"] * whole_rows)
 
 
 def joined(spans: Column) -> Column:
