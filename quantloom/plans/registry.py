@@ -6,5 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quantloom.sources.fixtures import with_fixtures
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; its SQL may use the derived tables of sources.fixtures by name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = with_fixtures(sql)
+        return f
+
+    return add
+
+
+from quantloom.plans import (  # noqa: E402, F401  each registers its queries
+    documents,
+    estimate,
+    matching,
+    pricing,
+)
