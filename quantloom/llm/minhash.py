@@ -78,24 +78,28 @@ class _Links:
         self.sets, self.percent, self.k, self.least_share = sets, percent, k, least_share
 
     def lists(self) -> DataFrame:
-        """Inverted lists (v, id, n, s, typical) of the shingles that a partner must share.
+        """Inverted lists (v, id, n, s, at, typical) of the shingles that a partner must share.
 
         In a set of n, sorted from the rarest shingle to the commonest, a set that is similar enough has one
         of the first n - ceil(percent * n / 100) + 1. Shingles of one set only take part in the count alone.
-        s is the number of shared shingles, typical the mean size of their lists.
+        s is the number of shared shingles, at the place of v in that order, typical the mean size of the lists.
         """
         v = Window.partitionBy("v")
         posted = self.sets.select("id", "n", F.explode("shingles").alias("v")).withColumn("df", F.count("*").over(v)).where("df > 1")
         rows = posted.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"), F.sum("df").alias("sum_df"))
         s = F.size("shared")
         first = F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100) + 1 - (F.col("n") - s)
-        rows = rows.where(first > 0).select("id", "n", s.alias("s"), (F.col("sum_df") / F.col("n")).alias("typical"), F.slice("shared", F.lit(1), first.cast("int")).alias("head"))
-        return rows.select("id", "n", "s", "typical", F.explode("head.v").alias("v"))
+        rows = rows.where(first > 0).select("id", "n", s.cast("bigint").alias("s"), (F.col("sum_df") / F.col("n")).alias("typical"), F.slice("shared", F.lit(1), first.cast("int")).alias("head"))
+        rows = rows.select("id", "n", "s", "typical", F.posexplode("head.v").alias("nth", "v"))
+        return rows.select("v", "id", "n", "s", (F.col("n") - F.col("s") + F.col("nth")).alias("at"), "typical")
 
     def possible(self, a: str, b: str):
-        """Whether sizes and numbers of shared shingles allow a link."""
+        """Whether a list may propose a pair: if its shingle is the first that both have, in the common order
+        from the rarest on, they share no more than what comes from there on, nor more than either shares with
+        anyone. A pair whose first common shingle is another one is proposed there, or nowhere."""
         p = self.percent
-        return (100 + p) * F.least(f"{a}.s", f"{b}.s") >= p * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+        rest = [F.col(f"{x}.n") - F.col(f"{x}.at") for x in (a, b)]
+        return (100 + p) * F.least(f"{a}.s", f"{b}.s", *rest) >= p * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links: a sketch of the union estimates first, whole sets decide."""
@@ -114,7 +118,7 @@ def _with_components(lists: DataFrame, components: DataFrame) -> DataFrame:
     return lists.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64, rounds: int = 3, work: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64, rounds: int = 3, work: int = 1000) -> DataFrame:
     """(id, n_shingles, component_id, kept, text_key): groups of documents that share most of their shingles.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set has its distinct runs of
@@ -168,8 +172,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             left = apart.groupBy("v", "size").count().agg(F.sum(F.col("count") * F.col("size"))).first()[0] or 0
             if left <= work * entries:
                 break
-        pivot = apart.groupBy("v").agg(F.max(F.struct("typical", (-F.col("id")).alias("minus"), "n", "s")).alias("p"))
-        pivot = pivot.select("v", (-F.col("p.minus")).alias("id"), F.col("p.n").alias("n"), F.col("p.s").alias("s"))
+        pivot = apart.groupBy("v").agg(F.max(F.struct("typical", (-F.col("id")).alias("minus"), "n", "s", "at")).alias("p"))
+        pivot = pivot.select("v", (-F.col("p.minus")).alias("id"), *(F.col(f"p.{c}").alias(c) for c in ("n", "s", "at")))
         if components is not None:
             pivot = _with_components(pivot, components)
         else:
