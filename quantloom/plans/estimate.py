@@ -1 +1,237 @@
-"""Queries."""
+"""Queries on ordered rows, hierarchies and rankings (E, F and K of the survey)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quantloom.operators import hierarchy, ordered
+from quantloom.plans.registry import query
+from quantloom.sources.fixtures import table
+
+_HEADS = "regexp_extract(descr, '^【(.*)】$', 1) AS a, regexp_extract(descr, '^《(.*)》$', 1) AS b, regexp_extract(descr, '^[{](.*)[}]$', 1) AS c"
+_FILLED = f"""
+h AS (SELECT *, {_HEADS} FROM outline),
+g AS (SELECT *, count(nullif(a, '')) OVER (ORDER BY row_no) AS s1, count(nullif(a, '')) OVER (ORDER BY row_no) + count(nullif(b, '')) OVER (ORDER BY row_no) AS s2 FROM h),
+o AS (SELECT *, max(nullif(a, '')) OVER (PARTITION BY s1) AS l1, max(nullif(b, '')) OVER (PARTITION BY s2) AS l2,
+             last_value(nullif(c, '') IGNORE NULLS) OVER (PARTITION BY s2 ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS l3 FROM g)
+"""
+_BLOCK = 800000000
+
+
+@query("e1_forward_fill_context", f"WITH {_FILLED} SELECT row_no, descr, unit, qty, l1, l2, l3 FROM o")
+def e1(spark, sf_dir):
+    df = table(spark, sf_dir, "outline")
+    return ordered.forward_fill_context(df, [], "row_no", *ordered.heading_columns("descr"), block=_BLOCK)
+
+
+@query("e2_classify_outline", f"""
+WITH {_FILLED} SELECT row_no, CASE WHEN a <> '' THEN 'group' WHEN b <> '' THEN 'section' WHEN unit IS NOT NULL AND qty IS NOT NULL THEN 'item' ELSE 'note' END AS kind, l1 AS grp,
+  last_value(nullif(b, '') IGNORE NULLS) OVER (ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS section FROM o
+""")
+def e2(spark, sf_dir):
+    return ordered.classify_outline(table(spark, sf_dir, "outline"), [], "row_no", _BLOCK).select("row_no", "kind", "grp", "section")
+
+
+@query("e3_fill_description_down", "SELECT row_no, last_value(descr IGNORE NULLS) OVER (ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS filled, qty FROM outline")
+def e3(spark, sf_dir):
+    return ordered.carried(table(spark, sf_dir, "outline"), [], "row_no", {"filled": F.col("descr")}, _BLOCK).select("row_no", "filled", "qty")
+
+
+@query("e4_inherit_previous", """
+WITH l AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS n, l_suppkey, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag END AS u, CASE WHEN l_partkey % 5 = 0 THEN 'rule' END AS r FROM lineitem),
+k AS (SELECT *, coalesce(u, r) AS k, last_value(coalesce(u, r) IGNORE NULLS) OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM l)
+SELECT l_orderkey, n, l_suppkey, coalesce(k, p) AS filled, CASE WHEN u IS NOT NULL THEN 'own' WHEN k IS NOT NULL THEN 'rule' WHEN p IS NOT NULL THEN 'previous' ELSE 'none' END AS method FROM k
+""")
+def e4(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("n"), "l_suppkey", F.when(F.col("l_linenumber") % 3 == 0, F.col("l_returnflag")).alias("u"), F.col("l_partkey"))
+    return ordered.inherit_previous(line, ["l_orderkey", "l_suppkey"], "n", "u", F.when(F.col("l_partkey") % 5 == 0, "rule")).select("l_orderkey", "n", "l_suppkey", "filled", "method")
+
+
+@query("e5_context_window", """
+SELECT conv_id, turn, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before,
+       list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS after FROM conversations WHERE length(trim(text)) > 0
+""".replace("SELECT conv_id, turn, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before,\n       list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS after", "SELECT conv_id, turn, coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), '') AS after"))
+def e5(spark, sf_dir):
+    out = ordered.context_window(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+    return out.select("conv_id", "turn", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
+
+
+@query("e6_balanced_batches", """
+SELECT l_suppkey, batch, count(*) AS n, min(k) AS first_key, max(k) AS last_key FROM (
+  SELECT l_suppkey, k, CAST(floor((row_number() OVER (PARTITION BY l_suppkey ORDER BY k) - 1) / ceil(count(*) OVER (PARTITION BY l_suppkey) / 7.0)) AS BIGINT) AS batch
+  FROM (SELECT l_suppkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS k FROM lineitem)) GROUP BY l_suppkey, batch
+""")
+def e6(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("k"))
+    return ordered.balanced_batches(rows, ["l_suppkey"], "k", 7).groupBy("l_suppkey", "batch").agg(F.count("*").alias("n"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+
+
+@query("e7_pack_sections")
+def e7(spark, sf_dir):
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "line", F.length("t").alias("size"))
+    return ordered.pack_sections(sizes, "doc_id", "line", "size", 400, 1200).groupBy("doc_id", "chunk").agg(F.sum("size").alias("chars"), F.count("*").alias("lines"))
+
+
+@query("e8_infer_levels")
+def e8(spark, sf_dir):
+    df = table(spark, sf_dir, "outline").withColumn("part", F.floor(F.col("row_no") / _BLOCK))
+    return ordered.infer_levels(df, "part", "row_no").select("part", "row_no", "level")
+
+
+@query("e9_rule_levels", """
+SELECT row_no, CASE WHEN row_no % 1000 = 4 THEN 'L9' WHEN descr LIKE '【%' THEN 'L1' WHEN descr LIKE '《%' THEN 'L2' WHEN qty IS NOT NULL THEN 'L4' ELSE 'Note' END AS level,
+       CASE WHEN row_no % 1000 = 4 THEN 'assigned' WHEN descr LIKE '【%' OR descr LIKE '《%' THEN 'rule' ELSE 'default' END AS how FROM outline
+""")
+def e9(spark, sf_dir):
+    df = table(spark, sf_dir, "outline")
+    given = df.where("row_no % 1000 = 4").select("row_no", F.lit("L9").alias("level"))
+    return ordered.rule_levels(df, [(F.col("descr").startswith("【"), "L1"), (F.col("descr").startswith("《"), "L2")], given, "row_no").select("row_no", "level", "how")
+
+
+@query("e10_cluster_by_gap", """
+SELECT page, line, count(*) AS n, min(y) AS top, max(y) AS bottom FROM (
+  SELECT page, y, CAST(sum(CASE WHEN gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, token_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM
+  (SELECT *, y - lag(y) OVER (PARTITION BY page ORDER BY y, token_id) AS gap FROM points)) GROUP BY page, line
+""")
+def e10(spark, sf_dir):
+    return ordered.cluster_by_gap(table(spark, sf_dir, "points"), ["page"], "y", "token_id", 30).groupBy("page", "line").agg(F.count("*").alias("n"), F.min("y").alias("top"), F.max("y").alias("bottom"))
+
+
+@query("e11_assign_to_columns", """
+WITH h AS (SELECT page, text AS col, avg(x) AS hx FROM points GROUP BY page, text),
+s AS (SELECT *, (lag(hx) OVER w + hx) / 2 AS lo, (lead(hx) OVER w + hx) / 2 AS hi FROM h WINDOW w AS (PARTITION BY page ORDER BY hx, col))
+SELECT points.page, s.col AS column, count(*) AS n FROM points LEFT JOIN s ON points.page = s.page AND (lo IS NULL OR x >= lo) AND (hi IS NULL OR x < hi) GROUP BY points.page, s.col
+""")
+def e11(spark, sf_dir):
+    points = table(spark, sf_dir, "points")
+    heads = points.groupBy("page", F.col("text").alias("column")).agg(F.avg("x").alias("hx"))
+    return ordered.assign_to_columns(points, heads, ["page"]).groupBy("page", "column").agg(F.count("*").alias("n"))
+
+
+@query("e12_chain_continued", """
+SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), event_id) AS chain FROM events
+""")
+def e12(spark, sf_dir):
+    return ordered.chain_continued(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "signup").select("event_id", "user_id", "chain")
+
+
+@query("e13_span_overlap", """
+WITH i AS (SELECT l_orderkey, l_linenumber * 3 + l_partkey % 4 AS a, l_linenumber * 3 + l_partkey % 4 + l_suppkey % 3 AS b FROM lineitem),
+r AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+k AS (SELECT *, CAST(sum(CASE WHEN a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM r)
+SELECT l_orderkey, block, min(a) AS a, max(b) AS b, count(*) AS rows FROM k GROUP BY l_orderkey, block
+""")
+def e13(spark, sf_dir):
+    a = F.col("l_linenumber") * 3 + F.col("l_partkey") % 4
+    spans = table(spark, sf_dir, "lineitem").select("l_orderkey", a.alias("a"), (a + F.col("l_suppkey") % 3).alias("b"))
+    return ordered.merged_intervals(spans, ["l_orderkey"], "a", "b")
+
+
+@query("e13_span_blocks")
+def e13b(spark, sf_dir):
+    a = F.col("l_linenumber") * 3 + F.col("l_partkey") % 4
+    spans = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("row"), F.when(F.col("l_partkey") % 10 != 0, a).alias("a"), (a + F.col("l_suppkey") % 3).alias("b"))
+    return ordered.span_blocks(spans, "l_orderkey", "row", "a", "b")
+
+
+@query("e14_region_ranges", """
+SELECT name, start, next FROM (SELECT nullif(regexp_extract(descr, '^[{](.*)[}]$', 1), '') AS name, row_no AS start, lead(row_no) OVER (ORDER BY row_no) AS next FROM outline
+WHERE regexp_matches(descr, '^[{].*[}]$') OR regexp_matches(descr, '^《.*》$')) WHERE name IS NOT NULL
+""")
+def e14(spark, sf_dir):
+    _, stop, start = ordered.heading_columns("descr")
+    return ordered.region_ranges(table(spark, sf_dir, "outline"), [], "row_no", start, stop)
+
+
+@query("e15_section_subtotals", f"""
+WITH {_FILLED} SELECT max(CASE WHEN b <> '' THEN row_no END) AS start, max(nullif(b, '')) AS heading, count(qty) AS n, round(sum(qty), 4) AS total FROM
+(SELECT *, count(nullif(b, '')) OVER (ORDER BY row_no) AS sec FROM o) WHERE sec > 0 GROUP BY sec
+""")
+def e15(spark, sf_dir):
+    _, heading, _ = ordered.heading_columns("descr")
+    return ordered.section_subtotals(table(spark, sf_dir, "outline"), [], "row_no", heading, "qty", _BLOCK).withColumn("total", F.round("total", 4))
+
+
+@query("e17_merge_continuations", """
+WITH r AS (SELECT l_suppkey, CAST((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS DOUBLE) AS place, l_linenumber IN (1, 4) AS d, l_returnflag AS t, CASE WHEN l_linenumber % 2 = 1 THEN l_quantity END AS v FROM lineitem),
+u AS (SELECT *, last_value(CASE WHEN d THEN place END IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY place ROWS UNBOUNDED PRECEDING) AS up,
+             first_value(CASE WHEN d THEN place END IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS down FROM r),
+o AS (SELECT *, CASE WHEN down IS NULL OR place - up <= down - place THEN up ELSE down END AS owner FROM u)
+SELECT l_suppkey, owner AS place, string_agg(t, ' ' ORDER BY place) AS t, arg_min(v, (place <> owner, place)) FILTER (v IS NOT NULL) AS v, count(*) AS merged FROM o GROUP BY l_suppkey, owner
+""")
+def e17(spark, sf_dir):
+    place = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).cast("double")
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", place.alias("place"), F.col("l_linenumber").isin(1, 4).alias("d"), F.col("l_returnflag").alias("t"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity")).alias("v"))
+    return ordered.merge_continuations(rows, ["l_suppkey"], "place", F.col("d"), ["t"], ["v"])
+
+
+@query("f1_top_k_per_group", "SELECT unit, n, rate_id, price FROM (SELECT *, CAST(row_number() OVER (PARTITION BY unit ORDER BY price DESC, rate_id) AS INTEGER) AS n FROM rates) WHERE n <= 5")
+def f1(spark, sf_dir):
+    return hierarchy.top_k(table(spark, sf_dir, "rates"), ["unit"], [F.desc("price"), F.asc("rate_id")], 5).select("unit", "n", "rate_id", "price")
+
+
+@query("f2_top_differences", """
+SELECT code, a_qty, b_qty, diff FROM (SELECT a.code, a.qty AS a_qty, b.qty AS b_qty, round((greatest(a.qty, b.qty) - least(a.qty, b.qty)) / greatest(a.qty, b.qty) * 100, 6) AS diff
+FROM boq_a a JOIN boq_b b ON a.code = b.code WHERE a.qty > 0 AND b.qty > 0) WHERE diff <> 0 ORDER BY diff DESC, code LIMIT 20
+""")
+def f2(spark, sf_dir):
+    a = table(spark, sf_dir, "boq_a").select("code", F.col("qty").alias("a_qty"))
+    b = table(spark, sf_dir, "boq_b").select("code", F.col("qty").alias("b_qty"))
+    return hierarchy.top_differences(a.join(b, "code"), "code", "a_qty", "b_qty", 20)
+
+
+@query("f4_configured_order", """
+SELECT p_brand, coalesce(pos, 99) AS pos, n FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) LEFT JOIN (VALUES ('Brand#33', 0), ('Brand#11', 1), ('Brand#55', 2)) AS o(b, pos) ON b = p_brand ORDER BY 2, 1
+""")
+def f4(spark, sf_dir):
+    counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return hierarchy.configured_order(counts, "p_brand", ["Brand#33", "Brand#11", "Brand#55"]).select("p_brand", "pos", "n")
+
+
+@query("k1_subtree_by_keyword", """
+WITH m AS (SELECT code FROM boq_a WHERE descr LIKE '%red%'), p AS (SELECT DISTINCT code, split_part(code, '.', 1) AS p1, concat(split_part(code, '.', 1), '.', split_part(code, '.', 2)) AS p2 FROM m),
+t AS (SELECT DISTINCT c FROM (SELECT code AS c FROM p UNION ALL SELECT p1 FROM p UNION ALL SELECT p2 FROM p))
+SELECT c AS code, c IN (SELECT code FROM m) AS marker FROM t
+""")
+def k1(spark, sf_dir):
+    boq = table(spark, sf_dir, "boq_a")
+    codes = boq.select("code", "descr").unionByName(hierarchy.ancestor_rows(boq, "code").withColumn("descr", F.lit("")))
+    return hierarchy.subtree_by_keyword(codes, "code", "descr", "red").select("code", "marker")
+
+
+@query("k2_tree_root", """
+WITH RECURSIVE up AS (SELECT id, id AS node, parent_id AS p, 0 AS hops FROM tree UNION ALL SELECT up.id, tree.id, tree.parent_id, hops + 1 FROM up JOIN tree ON tree.id = up.p WHERE hops < 10)
+SELECT id, node AS root, CAST(hops AS INTEGER) AS hops FROM up WHERE p IS NULL
+""")
+def k2(spark, sf_dir):
+    return hierarchy.tree_root(table(spark, sf_dir, "tree"), 10)
+
+
+@query("k3_reachable", """
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey * 3 % 97 + l_partkey % 2 AS b FROM lineitem),
+r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.b FROM r JOIN e ON e.a = r.node)
+SELECT node FROM r
+""")
+def k3(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") * 3 % 97 + F.col("l_partkey") % 2).alias("b")).distinct()
+    return hierarchy.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
+
+
+@query("k4_path_codes", """
+SELECT row_no, code, concat(split_part(code, '.', 1), '/', split_part(code, '.', 1), '.', split_part(code, '.', 2)) AS ancestors, CAST(3 AS BIGINT) AS depth FROM boq_a
+""")
+def k4(spark, sf_dir):
+    return hierarchy.path_codes(table(spark, sf_dir, "boq_a"), "code").select("row_no", "code", F.array_join("ancestors", "/").alias("ancestors"), "depth")
+
+
+@query("k5_chapter_for_page", """
+WITH c AS (SELECT n_regionkey AS chapter, 1 AS level, min(n_nationkey) * 10 AS lo, max(n_nationkey) * 10 + 9 AS hi FROM nation GROUP BY n_regionkey
+  UNION ALL SELECT 100 + n_nationkey, 2, n_nationkey * 10, n_nationkey * 10 + 4 FROM nation)
+SELECT p_partkey, (SELECT arg_max(chapter, (level, chapter)) FROM c WHERE p_size * 5 BETWEEN lo AND hi) AS chapter FROM part
+""")
+def k5(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    top = nation.groupBy(F.col("n_regionkey").alias("chapter")).agg(F.lit(1).alias("level"), (F.min("n_nationkey") * 10).alias("lo"), (F.max("n_nationkey") * 10 + 9).alias("hi"))
+    low = nation.select((F.col("n_nationkey") + 100).alias("chapter"), F.lit(2).alias("level"), (F.col("n_nationkey") * 10).alias("lo"), (F.col("n_nationkey") * 10 + 4).alias("hi"))
+    pages = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 5).alias("page"))
+    return hierarchy.chapter_for_page(top.unionByName(low), pages, "p_partkey", "page")

@@ -31,4 +31,5 @@ from quantloom.plans import (  # noqa: E402, F401  each registers its queries
     estimate,
     matching,
     pricing,
+    reports,
 )
