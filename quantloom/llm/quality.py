@@ -211,7 +211,7 @@ def score_quality(docs: DataFrame, field: LineField | None, id_col: str = "doc_i
                 good = field.lines(x, counts) if field else np.full(len(x), 0.5)
                 result = field.documents(x, size, counts) if field else np.full(last - first, 0.5)
                 expected = np.bincount(np.repeat(np.arange(last - first), counts), good, last - first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(result), pa.array(counts), pa.array(expected)], names=[id_col, "score", "lines", "good_lines"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(result), pa.array(counts), pa.array(expected.astype(float))], names=[id_col, "score", "lines", "good_lines"])
 
     return docs.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {kind}, score double, lines bigint, good_lines double")
 
