@@ -10,7 +10,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents, slices, spans_hash, stored, word_hashes, words
+from quantloom.llm.common import documents, slices, spans_hash, word_hashes, words
 
 
 def _paths(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -50,56 +50,78 @@ def window_paths(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return rows.select("h", "text").mapInArrow(walk, "h bigint, start bigint, n bigint, anchor bigint")
 
 
-def path_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(h, start, n, anchor, path, windows) of rows (h, text, paths): hashes of each path's windows, read from
-    the words at its coordinates, and of the path as a whole."""
+def _listed_paths(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
+    """For runs of rows (h, text, paths, ...): hash of each row, its place in the run, the fields of its listed
+    paths, all their window hashes one after another, and where each path's windows begin.
+
+    The hashes are made from the words at the paths' coordinates.
+    """
+    for batch in batches:
+        h = np.asarray(batch.column(0))
+        for first, last, data, offsets in slices(batch, "text"):
+            starts, ends, before = words(data, offsets)
+            hashes = word_hashes(data, starts, ends, 2)
+            paths = batch.column(2).slice(first, last - first)
+            flat = paths.flatten()
+            fields = [np.asarray(flat.field(i)) for i in range(flat.type.num_fields)]
+            owner = np.repeat(np.arange(last - first), np.asarray(paths.value_lengths()))
+            start, size = fields[0], fields[1]
+            edge = np.concatenate([[0], np.cumsum(size)])
+            base = np.repeat(before[owner] + start - edge[:-1], size) + np.arange(edge[-1])
+            yield h[first + owner], fields, spans_hash(hashes, base, base + window, 3), edge
+
+
+def hashed_paths(rows: DataFrame, window: int) -> DataFrame:
+    """(h, start, n, anchor, path) of rows (h, text, paths, id): a hash of each path's windows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.asarray(batch.column(0))
-            for first, last, data, offsets in slices(batch, "text"):
-                starts, ends, before = words(data, offsets)
-                hashes = word_hashes(data, starts, ends, 2)
-                paths = batch.column(2).slice(first, last - first)
-                flat = paths.flatten()
-                start, size, anchor = (np.asarray(flat.field(i)) for i in range(3))
-                owner = np.repeat(np.arange(last - first), np.asarray(paths.value_lengths()))
-                total = int(size.sum())
-                base = np.repeat(before[owner] + start - np.cumsum(size) + size, size) + np.arange(total)
-                own = spans_hash(hashes, base, base + window, 3)
-                edge = np.concatenate([[0], np.cumsum(size)])
-                whole = spans_hash(own, edge[:-1], edge[1:], 4)
-                lists = pa.ListArray.from_arrays(edge.astype(np.int32), own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first + owner]), pa.array(start), pa.array(size), pa.array(anchor), pa.array(whole.view(np.int64)), lists], names=["h", "start", "n", "anchor", "path", "windows"])
-
-    return rows.select("h", "text", "paths").mapInArrow(read, "h bigint, start bigint, n bigint, anchor bigint, path bigint, windows array<bigint>")
-
-
-def repeated_windows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+        for h, (start, size, anchor), own, edge in _listed_paths(batches, window):
+            whole = spans_hash(own, edge[:-1], edge[1:], 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, start, size, anchor, whole)], names=["h", "start", "n", "anchor", "path"])
+
+    return rows.select("h", "text", "paths", "id").mapInArrow(read, "h bigint, start bigint, n bigint, anchor bigint, path bigint")
+
+
+def single_windows(rows: DataFrame, window: int) -> DataFrame:
+    """(anchor, path, copies, nth, window) of rows (h, text, paths, id): each window of the listed paths."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, size, anchor, path, copies), own, edge in _listed_paths(batches, window):
+            nth = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+            columns = [np.repeat(anchor, size), np.repeat(path, size), np.repeat(copies, size), nth.astype(np.int32), own.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "path", "copies", "nth", "window"])
+
+    return rows.select("h", "text", "paths", "id").mapInArrow(read, "anchor bigint, path bigint, copies bigint, nth int, window bigint")
+
+
+def repeated_windows(rows: DataFrame, dealt: DataFrame, window: int, anchor: int) -> DataFrame:
     """(h, marks array<struct<start, n>>): runs of n windows from word `start` on that also occur elsewhere.
 
-    rows has (h, text); h names a row. Runs of windows (edges of the graph) that share an anchor form paths.
-    Paths whose anchor is unique are left out. Of the others, equal paths count together by their hash; only
-    one of each is taken apart, to find single windows that other paths have too.
+    rows has (id, text, h); h names a row, and dealt has the same rows dealt by it. Runs of windows (edges of the graph)
+    that share an anchor form paths. Paths whose anchor is unique are left out. Of the others, equal paths count
+    together by their hash. Only where an anchor has several paths and one of them is single, one copy of each
+    is taken apart, to find single windows that another path has too.
     """
     found = window_paths(rows, window, anchor).withColumn("seen", F.count("*").over(Window.partitionBy("anchor"))).where("seen > 1")
     listed = found.groupBy("h").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("paths"))
-    paths = stored(path_windows(rows.join(listed, "h"), window))
+    paths = hashed_paths(dealt.join(listed, "h"), window)
 
-    counts = paths.groupBy("path", "anchor").agg(F.count("*").alias("copies"), F.min(F.struct("h", "start")).alias("one"))
-    one = counts.select("path", "anchor", "copies", F.col("one.h").alias("h"), F.col("one.start").alias("start"))
-    # Equal rows of the input have equal h and start; the first() drops the second of them.
-    apart = paths.join(one, ["path", "anchor", "h", "start"]).groupBy("path", "anchor").agg(F.first("copies").alias("copies"), F.first("windows").alias("windows"))
-    apart = apart.select("path", "anchor", "copies", F.posexplode("windows").alias("nth", "window"))
-    total = F.sum("copies").over(Window.partitionBy("window", "anchor"))
-    some = apart.withColumn("total", total).where("copies = 1 and total > 1").groupBy("path", "anchor").agg(F.collect_list("nth").alias("nths"))
+    counts = paths.groupBy("anchor", "path").agg(F.count("*").alias("copies"), F.min(F.struct("h", "start", "n")).alias("one"))
+    beside = Window.partitionBy("anchor")
+    counts = counts.withColumns({"others": F.count("*").over(beside) - 1, "singles": F.count_if(F.col("copies") == 1).over(beside)})
+    apart = counts.where("others > 0 and singles > 0").select(F.col("one.h").alias("h"), F.struct("one.start", "one.n", "anchor", "path", "copies").alias("p"))
+    apart = single_windows(dealt.join(apart.groupBy("h").agg(F.collect_list("p").alias("paths")), "h"), window)
+    # Rows that are equal in id and text have one h, and their paths, which are not single, come here twice.
+    total = F.sum("copies").over(Window.partitionBy("anchor", "window"))
+    some = apart.withColumn("total", total).where("copies = 1 and total > 1").groupBy("anchor", "path").agg(F.collect_list("nth").alias("nths"))
 
-    whole = paths.join(counts.where("copies > 1").select("path", "anchor"), ["path", "anchor"]).select("h", F.array(F.struct("start", "n")).alias("m"))
-    part = paths.join(some, ["path", "anchor"]).select("h", F.transform("nths", lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).cast("bigint").alias("n"))).alias("m"))
-    return whole.unionByName(part).groupBy("h").agg(F.flatten(F.collect_list("m")).alias("marks"))
+    known = counts.where("copies > 1").select("anchor", "path", F.lit(None).cast("array<int>").alias("nths")).unionByName(some)
+    marks = paths.join(known, ["anchor", "path"])
+    single = F.transform("nths", lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).cast("bigint").alias("n")))
+    return marks.select("h", F.coalesce(single, F.array(F.struct("start", "n"))).alias("m")).groupBy("h").agg(F.flatten(F.collect_list("m")).alias("marks"))
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 12) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 8) -> DataFrame:
     """(id, n_words, n_removed, kept): each text without its words in windows that occur more than once.
 
     Words are runs without ASCII white space. A window is `window` consecutive words of one text; a word goes
@@ -108,7 +130,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The windows are the edges of a De Bruijn graph of words. Consecutive windows that share their anchor (the
     sampled run of words with the smallest hash in them) are compacted into one path, so that about a
-    thirteenth as many rows are shuffled as there are windows. Anchors that occur once rule out their paths;
+    fifteenth as many rows are shuffled as there are windows. Anchors that occur once rule out their paths;
     joins on the others count equal paths, and the windows of the rest. A second reading takes the window
     hashes from the words at the paths' coordinates, with other seeds; windows count as equal if both these
     64 bits and the anchor's are.
@@ -121,8 +143,10 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("anchor is from 1 to window")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Dealt by h once: the joins with the paths and with the marks all read this exchange.
     rows = rows.withColumn("h", F.xxhash64("id", "text"))
-    marks = repeated_windows(rows.select("h", "text"), window, anchor)
+    dealt = rows.repartition("h")
+    marks = repeated_windows(rows, dealt, window, anchor)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +179,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 kept = pa.StringArray.from_buffers(last - first, pa.py_buffer(sizes.tobytes()), pa.py_buffer(out[keep].tobytes()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(before)), pa.array(removed.astype(np.int64)), kept], names=[id_col, "n_words", "n_removed", "kept"])
 
-    return rows.join(marks, "h", "left").select("id", "text", "marks").mapInArrow(cut, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept string")
+    return dealt.join(marks, "h", "left").select("id", "text", "marks").mapInArrow(cut, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
