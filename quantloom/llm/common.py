@@ -134,8 +134,15 @@ class ByteSpans:
         np.cumsum(table[data] * powers(len(data), _MULTIPLIER)[:-1], dtype=np.uint64, out=self.total[1:])
         self.down, self.seed = powers(len(data), _INVERSE), seed
 
+    def sums(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The polynomials of the spans, before they are mixed with their lengths."""
+        return (self.total[ends] - self.total[starts]) * self.down[starts]
+
+    def finished(self, sums: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        return mixed(sums + np.asarray(lengths).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), self.seed)
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), self.seed)
+        return self.finished(self.sums(starts, ends), ends - starts)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
