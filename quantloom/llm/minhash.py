@@ -71,6 +71,18 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     return docs.select(id_col, text_col).mapInArrow(whole, f"id {kind}, n bigint, shingles array<bigint>")
 
 
+def least_retained(n: Column, percent: int, k: int, least_share: float) -> Column:
+    """The fewest of a set's retained values that any similar enough partner retains too.
+
+    A set of n <= k retains all. A partner of m <= k does too, and has ceil(percent * n / 100) of them at least.
+    A larger one lacks m - k of its values; what is left is the least where m is largest, floor(100 * n /
+    percent), and all n must be common. For n > k, the bound is six standard deviations below percent.
+    """
+    small = F.ceil(F.lit(percent) * n / 100)
+    large = n - F.floor(F.lit(100) * n / percent) + k
+    return F.when(n <= k, F.least(small, large)).otherwise(F.floor(F.lit(least_share) * k))
+
+
 class _Links:
     """Pairs of sets with 100 * intersection >= percent * union, found through rare shared shingles."""
 
@@ -128,8 +140,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Each set becomes a bottom-k sketch (the k smallest values of one hash function), its size and a digest;
        documents with one digest (equal sets) count once from here on.
     2. Inverted lists of the retained values count how many of a sketch's values other sketches retain too. If
-       these are fewer than a similar partner would leave (six standard deviations below percent; exact for
-       sets of up to k), the document has no link, and its full set is never built.
+       these are fewer than a similar partner would leave (see least_retained), the document has no link, and
+       its full set is never built.
     3. Over the full sets of the others, inverted lists of rare shingles propose pairs. To avoid all pairs of
        a list, its most typical member is paired with the others first; members that thereby fall into one
        component need no comparison. Rounds go on while the pairs left are more than `work` times the lists'
@@ -145,17 +157,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     seen = stored(bottom_sketches(docs, id_col, text_col, width, k))
     first = Window.partitionBy("sig").orderBy(F.col("id").asc_nulls_last())
-    classes = stored(seen.where("n > 0").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("id", "n", "sig", "sketch"))
+    classes = seen.where("n > 0").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    # The graph's nodes are numbers of the classes: an id that repeats with another text is two nodes.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "id", "text_key", "n", "sig", "sketch"))
 
     share = percent / 100
     least_share = share - 6 * (share * (1 - share) / k) ** 0.5
-    held = classes.where("id is not null").select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    held = held.withColumn("df", F.count("*").over(Window.partitionBy("v"))).where("df > 1").groupBy("id", "n", "m").count()
-    needed = F.when(F.col("n") <= k, F.ceil(F.lit(share) * F.col("n") - 1e-9)).otherwise(F.floor(F.lit(least_share) * k))
-    involved = held.where(F.col("count") >= needed).select(F.col("id").alias("rep"))
+    held = classes.where("id is not null").select("node", "n", F.explode("sketch").alias("v"))
+    held = held.withColumn("df", F.count("*").over(Window.partitionBy("v"))).where("df > 1").groupBy("node", "n").count()
+    involved = held.where(F.col("count") >= least_retained(F.col("n"), percent, k, least_share)).select("node")
+    involved = classes.select("node", F.col("id").alias("rep"), "text_key").join(involved, "node", "left_semi")
 
-    texts = docs.select(F.col(id_col).alias("rep"), text_col)
-    sets = stored(full_sets(texts.join(involved, "rep", "left_semi"), "rep", text_col, width))
+    texts = docs.select(F.col(id_col).alias("rep"), text_key(text_col), F.col(text_col).alias("text"))
+    sets = stored(full_sets(texts.join(involved, ["rep", "text_key"]).select("node", "text"), "node", "text", width))
     links = _Links(sets, percent, k, least_share)
     lists = stored(links.lists())
     entries = lists.count()
@@ -196,7 +210,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = found.unionByName(links.linked(pairs))
     components = connected_components(found)
 
-    named = classes.select("sig", F.col("id").alias("node")).join(components, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
+    members = classes.select("node", "id", "sig").join(components, "node")
+    named = members.join(members.groupBy("component").agg(F.min("id").alias("least")), "component").select("sig", "least")
+    named = classes.select("sig", "id").join(named, "sig", "left").select("sig", F.coalesce("least", "id").alias("component"))
     out = seen.select("id", "text_key", "n", "sig").join(named, "sig", "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_key")

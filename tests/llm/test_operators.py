@@ -120,6 +120,27 @@ def test_near_duplicates_equal_brute_force(spark, width, percent, k, work):
     assert rows_of(found.drop("text_key")) == sorted(components_by_force(rows, width, percent), key=repr)
 
 
+def test_near_duplicates_across_the_sketch_size(spark):
+    rng, rows = np.random.default_rng(7), []
+    for n in range(55, 65):  # a set of n in one of m: the pair is just similar enough, or just not
+        for m in (65, 70, 72, n * 100 // 85 - 1, n * 100 // 85, n * 100 // 85 + 1, 80):
+            for common in (n, n - 1):
+                own = [f"w{v}" for v in rng.integers(0, 1 << 40, m + 4)]
+                i = len(rows)
+                rows += [(i, " ".join([*own[: common + 2], *(f"y{v}" for v in rng.integers(0, 1 << 40, n - common))])), (i + 1, " ".join(own[: m + 2]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = minhash.near_duplicates(docs, width=3, percent=85)
+    assert rows_of(found.drop("text_key")) == sorted(components_by_force(rows, 3, 85), key=repr)
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(5, a), (5, b), (5, b), (6, a + " more"), (4, b + " more"), (None, a + " other")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = minhash.near_duplicates(docs, width=3, percent=85)
+    assert rows_of(found.select("doc_id", "component_id", "kept")) == sorted([(5, 5, True), (5, 4, False), (5, 4, False), (6, 5, False), (4, 4, True), (None, None, True)], key=repr)
+
+
 def test_near_duplicates_edge_cases(odd, clashing, empty):
     found = minhash.near_duplicates(odd)
     assert found.count() == odd.count() == minhash.near_duplicates(clashing).count()
