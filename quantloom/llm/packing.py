@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,14 +18,14 @@ from quantloom.llm.common import documents, slices, stored
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str):
-    """The public byte-level BPE vocabulary. Its rank file gives the same ids as the JSON file of the
-    tokenizers library (the tests compare them), in a third of the time."""
+def _encoding(path: str, pattern: str, added: tuple[tuple[str, int], ...]):
+    """The public byte-level BPE vocabulary. Its rank file and the added tokens of the JSON file give the same
+    ids as that file with the tokenizers library (the tests compare them), in a third of the time."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
@@ -34,6 +35,14 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def added_tokens(name: str = "byte_bpe_50k.json") -> dict[str, int]:
+    """The tokens that a vocabulary finds in a text before any merge, with their ids."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 def bin_slack_plan(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
     """Bins as (lengths, how many bins are filled so), from the number of pieces of each length.
 
@@ -79,26 +88,30 @@ def bin_slack_plan(counts: dict[int, int], size: int) -> list[tuple[list[int], i
     return plan
 
 
-def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, path: str | None = None, pattern: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """The pieces of every document: (id, piece, start, length, ids_crc32[, ids], part, rank).
 
     A document's ids are those of its text and `end_id`. A longer one is cut into pieces of `size`, of which
     the first may be shorter. part is the task that read the row, rank counts the task's pieces of that length.
     """
-    here = vocabulary()
+    if added is None:
+        added = {} if path else added_tokens()
+    here, special = vocabulary(), tuple(added.items())
     path, pattern = path or here[0], pattern or here[1]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint" + ", ids binary" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path, pattern).encode_ordinary
+        encoding = _encoding(path, pattern, special)
         part, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first, last, _, _ in slices(batch, batch.schema.names[1], 1 << 21):
                 rows: list[tuple] = []
                 for at in range(first, last):
-                    tokens = encode(texts[at].as_py() or "")
+                    text = texts[at].as_py() or ""
+                    split = any(token in text for token, _ in special)
+                    tokens = encoding.encode(text, allowed_special="all") if split else encoding.encode_ordinary(text)
                     tokens.append(end_id)
                     data = memoryview(np.asarray(tokens, "<u4").tobytes())
                     n, start, piece = len(tokens), 0, 0
@@ -115,11 +128,12 @@ def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, schema)
 
 
-def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, path: str | None = None, pattern: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """Pack the tokens of all documents into as few sequences of at most `size` as minimum bin slack finds.
 
     One row per piece: (id, piece, start, length, ids_crc32[, ids], sequence_id, offset); the pieces of a
-    sequence lie without gaps from offset 0. `path` and `pattern` name the vocabulary (a rank file).
+    sequence lie without gaps from offset 0. `path` and `pattern` name the vocabulary (a rank file),
+    `added` its tokens beside the ranks with their ids (those of the public one; none if `path` is given).
 
     Only the number of pieces of each length (at most `size` numbers) reaches the driver; it returns a plan
     of bins in which each combination of lengths stands once with the number of its bins. Pieces of equal
@@ -128,10 +142,9 @@ def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: s
     meets in one task. The pieces are stored first: they are counted and placed from the same table.
 
     Edge cases: a null or empty text has the one id `end_id`; rows that repeat a document are packed each;
-    an empty table gives no rows; other columns are left alone. Text that looks like a special token is
-    ordinary text.
+    an empty table gives no rows; other columns are left alone. An added token in a text is that token.
     """
-    pieces = stored(token_pieces(docs, size, end_id, id_col, text_col, keep_ids, path, pattern))
+    pieces = stored(token_pieces(docs, size, end_id, id_col, text_col, keep_ids, path, pattern, added))
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))

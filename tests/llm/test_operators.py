@@ -343,6 +343,21 @@ def test_packing(spark, odd, clashing, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>  \n<|endoftext|><|endoftext|>y", "<|endoftext|", "é<|endoftext|>'s", "<|ENDOFTEXT|>", "<<|endoftext|>>", "word <|endoftext|> " * 500]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = collections.defaultdict(list)
+    for p in sorted(packing.pack_documents(docs).collect(), key=lambda p: (p.doc_id, p.start)):
+        ids[p.doc_id] += np.frombuffer(bytes(p.ids), "<u4").tolist()
+    assert ids[0] == [64, 220, 50256, 275, 2]
+    assert dict(ids) == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_bin_slack_plan_uses_everything():
     rng = np.random.default_rng(2)
     counts = collections.Counter(rng.integers(1, 1025, 5000).tolist())
