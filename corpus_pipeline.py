@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import documents, stored
 from quantloom.llm.exact_dedup import distinct_texts
-from quantloom.llm.language_id import UNKNOWN, language_id
+from quantloom.llm.language_id import UNKNOWN, has_letter, language_id
 from quantloom.llm.minhash import near_duplicates
 from quantloom.llm.packing import pack_documents
 from quantloom.llm.secret_scan import secret_scan
@@ -15,9 +15,11 @@ from quantloom.llm.secret_scan import secret_scan
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter have no language and go. The others keep their columns; lang stays what the
-    source said, and takes the prediction where it said nothing."""
-    found = language_id(docs, whole_rows=True).where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*(F.coalesce(F.col("row.lang"), "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
+    source said, and takes the prediction where it said nothing. Where no row has a language to learn from,
+    nothing is predicted and lang stays null."""
+    found = language_id(docs, whole_rows=True).where(has_letter("row.text"))
+    lang = F.coalesce(F.col("row.lang"), F.nullif(F.col("lang_pred"), F.lit(UNKNOWN)))
+    return found.select(*(lang.alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

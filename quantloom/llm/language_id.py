@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -18,6 +18,10 @@ UNKNOWN = "und"
 _SEGMENT = 512
 
 
+def has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def _letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of letters in lower case, all else as one 0 for a run of it; and the texts' new offsets.
 
@@ -177,7 +181,7 @@ def identify_languages(docs: DataFrame, learned: dict[str, bytes], id_col: str =
                 columns = [part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), *part.columns[3:]]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    lettered = F.col(text_col).rlike(r"\p{L}").alias("lettered")
+    lettered = has_letter(text_col).alias("lettered")
     row = [F.struct("*").alias("row")] if whole_rows else []
     return docs.select(id_col, text_col, lettered, *row).mapInArrow(predict, schema)
 

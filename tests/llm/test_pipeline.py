@@ -34,3 +34,9 @@ def test_stages(spark, folder):
 def test_stages_take_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_keeps_documents_where_nothing_was_learned(spark):
+    rows = [(1, BASE, None, "a", 1), (2, "漢字 12", None, "a", 1), (3, "123 456", None, "a", 1), (4, None, None, "a", 0), (5, "", None, None, 0)]
+    kept = corpus_pipeline.identified(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(map(tuple, kept.collect())) == [tuple(r) for r in rows[:2]]
