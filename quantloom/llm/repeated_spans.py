@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents, slices, spans_hash, word_hashes, words
+from quantloom.llm.common import SPACE, documents, slices, spans_hash, stored, word_hashes, words
+
+#: Two hashes of a text name it; equal texts share them.
+KEY = ["t1", "t2"]
+#: A key with more than this share of a table's rows is dealt over SALTS tasks: at most 1 / HOT_SHARE keys are.
+HOT_SHARE, SALTS = 0.001, 64
+
+
+def _salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, how: str) -> DataFrame:
+    """big joined with the stored table small on keys, of which none has many rows of big in one task.
+
+    small's column seen says how many rows of big have the key. Keys with a larger share than HOT_SHARE, fewer
+    than 1 / HOT_SHARE of them, are broadcast; their rows in big get a salt from `by`, and those in small
+    stand once for each salt.
+    """
+    limit = (small.agg(F.sum("seen")).first()[0] or 0) * HOT_SHARE
+    hot = F.broadcast(small.where(F.col("seen") > limit).select(*keys, F.lit(True).alias("hot")))
+    spread = F.when(F.col("seen") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    left = big.join(hot, keys, "left").withColumn("salt", salt).drop("hot")
+    return left.join(small.withColumn("salt", F.explode(spread)).drop("seen"), [*keys, "salt"], how).drop("salt")
 
 
 def _paths(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -38,90 +59,173 @@ def _paths(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> t
 
 
 def window_paths(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(h, start, n, anchor): the windows of every text, in runs that share an anchor."""
+    """(t1, t2, start, n, anchor): the windows of every text, in runs that share an anchor."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.asarray(batch.column(0))
             for first, _, data, offsets in slices(batch, "text"):
                 text, start, size, value = _paths(data, offsets, window, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first + text]), pa.array(start), pa.array(size), pa.array(value)], names=["h", "start", "n", "anchor"])
+                of = pa.array(first + text)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(value)], names=[*KEY, "start", "n", "anchor"])
 
-    return rows.select("h", "text").mapInArrow(walk, "h bigint, start bigint, n bigint, anchor bigint")
+    return rows.select(*KEY, "text").mapInArrow(walk, "t1 bigint, t2 bigint, start int, n int, anchor bigint")
 
 
-def _listed_paths(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
-    """For runs of rows (h, text, paths, ...): hash of each row, its place in the run, the fields of its listed
-    paths, all their window hashes one after another, and where each path's windows begin.
-
-    The hashes are made from the words at the paths' coordinates.
-    """
-    for batch in batches:
-        h = np.asarray(batch.column(0))
-        for first, last, data, offsets in slices(batch, "text"):
-            starts, ends, before = words(data, offsets)
-            hashes = word_hashes(data, starts, ends, 2)
-            paths = batch.column(2).slice(first, last - first)
-            flat = paths.flatten()
-            fields = [np.asarray(flat.field(i)) for i in range(flat.type.num_fields)]
-            owner = np.repeat(np.arange(last - first), np.asarray(paths.value_lengths()))
-            start, size = fields[0], fields[1]
-            edge = np.concatenate([[0], np.cumsum(size)])
-            base = np.repeat(before[owner] + start - edge[:-1], size) + np.arange(edge[-1])
-            yield h[first + owner], fields, spans_hash(hashes, base, base + window, 3), edge
+def _single_blanks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int], list[int]]:
+    """The words with one blank after each, and their places there."""
+    sizes = ends - starts
+    at = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int((sizes + 1).sum()), 0x20, np.uint8)
+    solid = np.flatnonzero(~SPACE[data])
+    out[solid + np.repeat(at - starts, sizes)] = data[solid]
+    return out.tobytes(), at.tolist(), (at + sizes).tolist()
 
 
-def hashed_paths(rows: DataFrame, window: int) -> DataFrame:
-    """(h, start, n, anchor, path) of rows (h, text, paths, id): a hash of each path's windows."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, (start, size, anchor), own, edge in _listed_paths(batches, window):
-            whole = spans_hash(own, edge[:-1], edge[1:], 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, start, size, anchor, whole)], names=["h", "start", "n", "anchor", "path"])
+def _number(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True) or 1
 
-    return rows.select("h", "text", "paths", "id").mapInArrow(read, "h bigint, start bigint, n bigint, anchor bigint, path bigint")
 
+def read_paths(rows: DataFrame, window: int) -> DataFrame:
+    """(t1, t2, weight, start, anchor, c, ws, before, after) of rows (t1, t2, weight, text, paths).
 
-def single_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(anchor, path, copies, nth, window) of rows (h, text, paths, id): each window of the listed paths."""
+    Each path's text is read at its coordinates: ws has a digest of the words of each of its windows, c one of
+    all its words; before and after are those of the windows next to it, 0 where the text begins or ends.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (_, size, anchor, path, copies), own, edge in _listed_paths(batches, window):
-            nth = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
-            columns = [np.repeat(anchor, size), np.repeat(path, size), np.repeat(copies, size), nth.astype(np.int32), own.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "path", "copies", "nth", "window"])
-
-    return rows.select("h", "text", "paths", "id").mapInArrow(read, "anchor bigint, path bigint, copies bigint, nth int, window bigint")
-
-
-def repeated_windows(rows: DataFrame, dealt: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(h, marks array<struct<start, n>>): runs of n windows from word `start` on that also occur elsewhere.
-
-    rows has (id, text, h); h names a row, and dealt has the same rows dealt by it. Runs of windows (edges of the graph)
-    that share an anchor form paths. Paths whose anchor is unique are left out. Of the others, equal paths count
-    together by their hash. Only where an anchor has several paths and one of them is single, one copy of each
-    is taken apart, to find single windows that another path has too.
+        for batch in batches:
+            for first, last, data, offsets in slices(batch, "text"):
+                part = batch.slice(first, last - first)
+                starts, ends, before = words(data, offsets)
+                line, at, to = _single_blanks(data, starts, ends)
+                paths = part.column(4)
+                flat = paths.flatten()
+                start, size, anchor = (np.asarray(flat.field(i)) for i in range(3))
+                owner = np.repeat(np.arange(last - first), np.asarray(paths.value_lengths()))
+                low, high = before[owner].tolist(), before[owner + 1].tolist()
+                found, ws, ahead, behind = [], [], [], []
+                for a, b, s, n in zip(low, high, start.tolist(), size.tolist(), strict=True):
+                    i = a + s
+                    found.append(_number(line[at[i] : to[i + n + window - 2]]))
+                    ws.append([_number(line[at[j] : to[j + window - 1]]) for j in range(i, i + n)])
+                    ahead.append(_number(line[at[i - 1] : to[i + window - 2]]) if s else 0)
+                    behind.append(_number(line[at[i + n] : to[i + n + window - 1]]) if i + n + window <= b else 0)
+                of = pa.array(owner)
+                columns = [part.column(0).take(of), part.column(1).take(of), part.column(2).take(of), pa.array(start), pa.array(anchor), pa.array(found, pa.int64()), pa.array(ws, pa.list_(pa.int64())), pa.array(ahead, pa.int64()), pa.array(behind, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "weight", "start", "anchor", "c", "ws", "before", "after"])
+
+    return rows.select(*KEY, "weight", "text", "paths").mapInArrow(read, "t1 bigint, t2 bigint, weight int, start int, anchor bigint, c bigint, ws array<bigint>, before bigint, after bigint")
+
+
+def unbranched_runs(found: DataFrame) -> DataFrame:
+    """(anchor, c, nth, n, head, prior, tail, later): the paths' stretches of repeated windows without branch.
+
+    Equal paths count together first. Windows are the edges of the graph; one that occurs once is left out. An
+    edge goes on from the edge before it if it has no other predecessor in any text, and that one no other
+    successor; the start and the end of a text count as neighbours of their own. head and tail are the first and
+    the last edge of a stretch; prior and later are their only neighbours, null where there are several.
     """
-    found = window_paths(rows, window, anchor).withColumn("seen", F.count("*").over(Window.partitionBy("anchor"))).where("seen > 1")
-    listed = found.groupBy("h").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("paths"))
-    paths = hashed_paths(dealt.join(listed, "h"), window)
-
-    counts = paths.groupBy("anchor", "path").agg(F.count("*").alias("copies"), F.min(F.struct("h", "start", "n")).alias("one"))
-    beside = Window.partitionBy("anchor")
-    counts = counts.withColumns({"others": F.count("*").over(beside) - 1, "singles": F.count_if(F.col("copies") == 1).over(beside)})
-    apart = counts.where("others > 0 and singles > 0").select(F.col("one.h").alias("h"), F.struct("one.start", "one.n", "anchor", "path", "copies").alias("p"))
-    apart = single_windows(dealt.join(apart.groupBy("h").agg(F.collect_list("p").alias("paths")), "h"), window)
-    # Rows that are equal in id and text have one h, and their paths, which are not single, come here twice.
-    total = F.sum("copies").over(Window.partitionBy("anchor", "window"))
-    some = apart.withColumn("total", total).where("copies = 1 and total > 1").groupBy("anchor", "path").agg(F.collect_list("nth").alias("nths"))
-
-    known = counts.where("copies > 1").select("anchor", "path", F.lit(None).cast("array<int>").alias("nths")).unionByName(some)
-    marks = paths.join(known, ["anchor", "path"])
-    single = F.transform("nths", lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).cast("bigint").alias("n")))
-    return marks.select("h", F.coalesce(single, F.array(F.struct("start", "n"))).alias("m")).groupBy("h").agg(F.flatten(F.collect_list("m")).alias("marks"))
-
-
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 8) -> DataFrame:
+    paths = found.groupBy("anchor", "c", "ws").agg(F.sum("weight").alias("copies"), *(f(x).alias(f"{x}_{n}") for x in ("before", "after") for n, f in (("lo", F.min), ("hi", F.max))))
+    w = paths.select("anchor", "c", "ws", "copies", *(f"{x}_{n}" for x in ("before", "after") for n in ("lo", "hi")), F.posexplode("ws").alias("nth", "w"))
+    beside = lambda step, x: F.coalesce(F.get("ws", F.col("nth") + step), F.col(x))
+    w = w.select("anchor", "c", "nth", "w", "copies", *(beside(s, f"{x}_{n}").alias(f"{x}_{n}") for s, x in ((-1, "before"), (1, "after")) for n in ("lo", "hi")))
+    edge = Window.partitionBy("anchor", "w")
+    only = lambda x: F.when(F.min(f"{x}_lo").over(edge) == F.max(f"{x}_hi").over(edge), F.nullif(F.col(f"{x}_lo"), F.lit(0)))
+    w = w.select("anchor", "c", "nth", "w", only("before").alias("prior"), only("after").alias("later"), F.sum("copies").over(edge).alias("total")).where("total > 1")
+    # A path has at most window - anchor + 1 windows.
+    order = Window.partitionBy("anchor", "c").orderBy("nth")
+    goes_on = (F.lag("nth").over(order) == F.col("nth") - 1) & (F.lag("w").over(order) == F.col("prior")) & (F.lag("later").over(order) == F.col("w"))
+    w = w.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    run = w.groupBy("anchor", "c", "run").agg(F.min("nth").alias("nth"), F.count("*").alias("n"), *(f(F.struct("nth", "w", x)).alias(x) for x, f in (("prior", F.min), ("later", F.max))))
+    return run.select("anchor", "c", "nth", "n", F.col("prior.w").alias("head"), F.col("prior.prior").alias("prior"), F.col("later.w").alias("tail"), F.col("later.later").alias("later"))
+
+
+def compacted_paths(runs: DataFrame) -> DataFrame:
+    """(head, tail, length) of each first stretch: windows in the whole nonbranching path that begins there.
+
+    Stretches of different paths are linked where one's last edge and the other's first are each other's only
+    neighbours. Pointers to the stretch before are doubled until they reach the beginning: about log2 of the
+    longest path in rounds, each with a join in which every key occurs once on either side.
+    """
+    once = stored(runs.groupBy("head", "tail").agg(F.max("n").alias("n"), F.max("prior").alias("prior"), F.max("later").alias("later")))
+    ups = once.where("later is not null").select(F.col("later").alias("head"), F.col("tail").alias("prior"), F.col("head").alias("up_head"), F.col("tail").alias("up_tail"), F.col("n").alias("far"))
+    now = once.where("prior is not null").join(ups, ["head", "prior"]).select("head", "tail", "n", "up_head", "up_tail", "far")
+    linked = now.select(F.col("head").alias("up_head"), F.col("tail").alias("up_tail"), F.lit(True).alias("more"))
+    now = stored(now.join(linked, ["up_head", "up_tail"], "left").select("head", "tail", "n", "up_head", "up_tail", "far", F.col("more").isNull().alias("done")))
+    done = now.where("done")
+    while True:
+        rest = now.where("not done")
+        if rest.isEmpty():
+            break
+        above = now.select(F.col("head").alias("up_head"), F.col("tail").alias("up_tail"), F.col("up_head").alias("to_head"), F.col("up_tail").alias("to_tail"), F.col("far").alias("more"), F.col("done").alias("ends"))
+        step = rest.join(above, ["up_head", "up_tail"]).select("head", "tail", "n", F.col("to_head").alias("up_head"), F.col("to_tail").alias("up_tail"), (F.col("far") + F.col("more")).alias("far"), F.col("ends").alias("done"))
+        # Those that are done now stay in the table, as others' pointers may still meet them.
+        now = stored(step.unionByName(now.where("done")))
+        done = now.where("done")
+    tails = done.groupBy(F.col("up_head").alias("head"), F.col("up_tail").alias("tail")).agg(F.max(F.col("far") + F.col("n")).alias("length"))
+    firsts = once.join(done.select("head", "tail"), ["head", "tail"], "left_anti").select("head", "tail", "n")
+    return firsts.join(tails, ["head", "tail"], "left").select("head", "tail", F.coalesce("length", "n").alias("length"))
+
+
+def repeated_spans(rows: DataFrame, first: DataFrame, salted: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(t1, t2, weight, start, length): where nonbranching paths of repeated windows begin in the texts, and
+    over how many windows they go. rows has (t1, t2, text); first (t1, t2, salt, weight, text) each text once,
+    dealt by key and salt; salted (t1, t2, least) the few texts whose salt is not 0."""
+    paths = window_paths(rows, window, anchor)
+    seen = stored(paths.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1"))
+    shared = _salted_join(paths, seen, ["anchor"], F.struct(*KEY, "start"), "left_semi")
+    listed = shared.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "anchor")).alias("paths"))
+    listed = listed.join(salted, KEY, "left").select(*KEY, F.coalesce("least", F.lit(0)).alias("salt"), "paths")
+    found = stored(read_paths(first.join(listed, [*KEY, "salt"]), window))
+
+    runs = stored(unbranched_runs(found))
+    begins = runs.join(compacted_paths(runs), ["head", "tail"])
+    begins = begins.groupBy("anchor", "c").agg(F.collect_list(F.struct("nth", "length")).alias("begins"))
+    counts = found.groupBy("anchor", "c").agg(F.count("*").alias("seen"))
+    begins = stored(begins.join(counts, ["anchor", "c"]))
+    met = _salted_join(found.select(*KEY, "weight", "start", "anchor", "c"), begins, ["anchor", "c"], F.struct(*KEY, "start"), "inner")
+    met = met.select(*KEY, "weight", "start", F.explode("begins").alias("b"))
+    return met.select(*KEY, "weight", (F.col("start") + F.col("b.nth")).alias("start"), F.col("b.length").alias("length"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, again, marks) to (id, words, words removed, kept text)."""
+    for batch in batches:
+        for first, last, data, offsets in slices(batch, "text"):
+            part = batch.slice(first, last - first)
+            starts, ends, before = words(data, offsets)
+            counts = np.diff(before)
+            marked = part.column(3)
+            flat = marked.flatten()
+            owner = np.repeat(np.arange(last - first), np.asarray(marked.value_lengths().fill_null(0)))
+            at = before[owner] + np.asarray(flat.field(0))
+            change = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + np.asarray(flat.field(1)) + window - 1, -1)
+            whole = np.flatnonzero(np.asarray(part.column(2)) & (counts >= window))
+            np.add.at(change, before[whole], 1)
+            np.add.at(change, before[whole + 1], -1)
+            gone = np.cumsum(change[:-1]) > 0
+            text = np.repeat(np.arange(last - first), counts)
+            removed = np.bincount(text[gone], minlength=last - first)
+            stay = np.flatnonzero(~gone)
+            # A kept word takes one byte after it along, as the blank, unless it is the text's last one.
+            followed = np.zeros(len(stay), bool)
+            followed[:-1] = text[stay[1:]] == text[stay[:-1]]
+            change = np.zeros(len(data) + 1, np.int64)
+            change[starts[stay]] += 1
+            change[ends[stay]] -= 1
+            keep = np.cumsum(change[:-1]) > 0
+            blanks = ends[stay][followed]
+            out = data.copy()
+            out[blanks] = 0x20
+            keep[blanks] = True
+            sizes = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)
+            kept = pa.StringArray.from_buffers(last - first, pa.py_buffer(sizes.tobytes()), pa.py_buffer(out[keep].tobytes()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(removed.astype(np.int64)), kept], names=names)
+
+
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 16) -> DataFrame:
     """(id, n_words, n_removed, kept): each text without its words in windows that occur more than once.
 
     Words are runs without ASCII white space. A window is `window` consecutive words of one text; a word goes
@@ -129,57 +233,39 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the remaining words, joined by one blank. Windows are judged on the input.
 
     The windows are the edges of a De Bruijn graph of words. Consecutive windows that share their anchor (the
-    sampled run of words with the smallest hash in them) are compacted into one path, so that about a
-    fifteenth as many rows are shuffled as there are windows. Anchors that occur once rule out their paths;
-    joins on the others count equal paths, and the windows of the rest. A second reading takes the window
-    hashes from the words at the paths' coordinates, with other seeds; windows count as equal if both these
-    64 bits and the anchor's are.
+    run of `anchor` words with the smallest hash in them) are dealt with as one path, and paths whose anchor
+    occurs once are left out. The others are read at their coordinates, and their windows compared by digests
+    of their words. Of the windows that repeat, stretches without branch are compacted, within paths and then
+    by joins from path to path (see unbranched_runs, compacted_paths); each occurrence of a stretch goes
+    through all of it, so that its begin and its length mark the words to remove. Windows count as equal if
+    64-bit digests of their words and 64-bit hashes of their anchors are. Equal texts go through once, and
+    count twice; their copies go whole, if they have a window at all. Keys with many rows are salted.
 
     Edge cases: null, empty and blank texts have no words and keep nothing; texts shorter than a window stay
-    whole; rows that are equal in id and text repeat each other's windows; a null id is like any other; an
-    empty table gives no rows; other columns are left alone.
+    whole; rows that are equal in text, or in id and text, repeat each other's windows; a null id is like any
+    other; an empty table gives no rows; other columns are left alone.
     """
     if not 1 <= anchor <= window:
         raise ValueError("anchor is from 1 to window")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # Dealt by h once: the joins with the paths and with the marks all read this exchange.
-    rows = rows.withColumn("h", F.xxhash64("id", "text"))
-    dealt = rows.repartition("h")
-    marks = repeated_windows(rows, dealt, window, anchor)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in slices(batch, "text"):
-                part = batch.slice(first, last - first)
-                starts, ends, before = words(data, offsets)
-                marked = part.column(2)
-                flat = marked.flatten()
-                owner = np.repeat(np.arange(last - first), np.asarray(marked.value_lengths().fill_null(0)))
-                at = before[owner] + np.asarray(flat.field(0))
-                change = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + np.asarray(flat.field(1)) + window - 1, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                text = np.repeat(np.arange(last - first), np.diff(before))
-                removed = np.bincount(text[gone], minlength=last - first)
-                stay = np.flatnonzero(~gone)
-                # A kept word takes one byte after it along, as the blank, unless it is the text's last one.
-                followed = np.zeros(len(stay), bool)
-                followed[:-1] = text[stay[1:]] == text[stay[:-1]]
-                change = np.zeros(len(data) + 1, np.int64)
-                change[starts[stay]] += 1
-                change[ends[stay]] -= 1
-                keep = np.cumsum(change[:-1]) > 0
-                blanks = ends[stay][followed]
-                out = data.copy()
-                out[blanks] = 0x20
-                keep[blanks] = True
-                sizes = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)
-                kept = pa.StringArray.from_buffers(last - first, pa.py_buffer(sizes.tobytes()), pa.py_buffer(out[keep].tobytes()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(before)), pa.array(removed.astype(np.int64)), kept], names=[id_col, "n_words", "n_removed", "kept"])
-
-    return dealt.join(marks, "h", "left").select("id", "text", "marks").mapInArrow(cut, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept string")
+    rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text"), "salt": F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int")})
+    copies = stored(rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.min("salt").alias("least")).where("copies > 1"))
+    limit = (copies.agg(F.sum("copies")).first()[0] or 0) * HOT_SHARE
+    hot = F.broadcast(copies.where(F.col("copies") > limit).select(*KEY, "least"))  # fewer than 1 / HOT_SHARE texts
+    dealt = rows.join(hot, KEY, "left").withColumn("salt", F.when(F.col("least").isNotNull(), F.col("salt")).otherwise(0))
+    dealt = dealt.repartition(*KEY, "salt")
+    same = Window.partitionBy(*KEY, "salt").orderBy("t1")
+    dealt = dealt.withColumns({"nth": F.row_number().over(same), "beside": F.lead("t1").over(same)})
+    dealt = dealt.withColumn("again", F.col("least").isNotNull() | (F.col("nth") > 1) | F.col("beside").isNotNull())
+    first = dealt.where((F.col("nth") == 1) & (F.col("salt") == F.coalesce("least", F.lit(0))))
+    first = first.select(*KEY, "salt", F.when(F.col("again"), 2).otherwise(1).alias("weight"), "text")
+
+    spans = repeated_spans(rows, first, hot, window, anchor).where("weight = 1")
+    marks = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "length")).alias("marks")).withColumn("salt", F.lit(0))
+    names = [id_col, "n_words", "n_removed", "kept"]
+    met = dealt.join(marks, [*KEY, "salt"], "left").select("id", "text", "again", "marks")
+    return met.mapInArrow(lambda batches: _cut(batches, names, window), f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,41 @@ def test_repeated_spans_equal_brute_force(spark, odd, clashing, empty):
     assert repeated_spans.drop_repeated_spans(empty).count() == 0
 
 
+def spans_by_force(rows, window=35):
+    words = [WORDS.findall(t or "") for _, t in rows]
+    seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = [False] * len(w)
+        for at in range(len(w) - window + 1):
+            if seen[tuple(w[at : at + window])] > 1:
+                gone[at : at + window] = [True] * window
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out, key=repr)
+
+
+def test_repeated_spans_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text)] * 5000 + [(2, text)] * 3 + [(i, f"own{i} " + " ".join(f"w{j}" for j in range(i, i + 50)) + f" end{i}") for i in range(10, 60)] + [(70, "few words")] * 9
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    assert rows_of(repeated_spans.drop_repeated_spans(docs)) == spans_by_force(rows)
+
+
+def test_repeated_spans_of_branching_texts(spark):
+    rng = np.random.default_rng(11)
+    pool = [" ".join(f"p{k}x{v}" for v in rng.integers(0, 1 << 30, rng.integers(20, 300))) for k in range(6)]
+    rows = []
+    for i in range(150):  # pieces of long passages in any order, so that paths branch, end in texts and go in circles
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            source = pool[rng.integers(0, 6)].split()
+            a = rng.integers(0, len(source) - 10)
+            parts += source[a : a + rng.integers(5, 200)] if rng.random() < 0.8 else [f"own{i}"] * rng.integers(1, 60)
+        rows.append((i, " ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(repeated_spans.drop_repeated_spans(docs)) == spans_by_force(rows)
+
+
 def test_language_id(spark, odd, clashing, empty):
     de, en = "der hund und die katze sind nicht im haus aber schon dort ", "the dog and the cat are not in the house but out there "
     rows = [(i, (en if i % 2 else de) * (1 + i % 3), "en" if i % 2 else "de") for i in range(200)] + [(900, None, "en"), (901, "123 !!", "en"), (902, "", None)]
