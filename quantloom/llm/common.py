@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that parts words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -17,6 +20,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: A key with more than this share of a table's rows is dealt over SALTS tasks: at most 1 / HOT_SHARE keys are.
+HOT_SHARE, SALTS = 0.001, 64
+
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -27,10 +33,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set, as in tests."""
+    """The shared folder that the cluster names. Where none is set, a session on one machine gets a new local
+    folder; on a cluster that is an error, as executors share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/quantloom-scratch"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="quantloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -47,6 +56,29 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def freed(table: DataFrame) -> DataFrame:
+    """The stored table, after Spark was asked to delete the shuffle files of the steps that led to it: it does
+    so when the driver's JVM finds that nothing refers to them, which else may take until the end of the job."""
+    gc.collect()
+    table.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, how: str) -> DataFrame:
+    """big joined with the stored table small on keys, of which none has many rows of big in one task.
+
+    small's column seen says how many rows of big have the key. Keys with a larger share than HOT_SHARE, fewer
+    than 1 / HOT_SHARE of them, are broadcast; their rows in big get a salt from `by`, and those in small
+    stand once for each salt.
+    """
+    limit = (small.agg(F.sum("seen")).first()[0] or 0) * HOT_SHARE
+    hot = F.broadcast(small.where(F.col("seen") > limit).select(*keys, F.lit(True).alias("hot")))
+    spread = F.when(F.col("seen") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    left = big.join(hot, keys, "left").withColumn("salt", salt).drop("hot")
+    return left.join(small.withColumn("salt", F.explode(spread)).drop("seen"), [*keys, "salt"], how).drop("salt")
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows with about `most` bytes each.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import LOWER, documents, mixed, slices, stored, word_hashes, words
+from quantloom.llm.common import LOWER, documents, freed, mixed, salted_join, slices, stored, word_hashes, words
 from quantloom.llm.components import connected_components
 
 
@@ -39,8 +39,22 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")
 
 
-def bottom_sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(id, text_key, n, sig, sketch): size of the shingle set, a digest of the whole set, its k smallest hashes."""
+def in_common(n: int, percent: int, least: int, spare: int) -> int:
+    """How many values the sketches of two linked sets share at least, if the smaller set has n."""
+    return min(-(-percent * n // 100), max(least, -(-spare * n // 100)))
+
+
+def retained(n: int, percent: int, least: int, spare: int) -> int:
+    """Size of the sketch of a set of n: its smallest values, so many that no link can be overlooked.
+
+    A linked partner lacks at most n - ceil(percent * n / 100) of the set's values. So the c smallest values
+    that both have are among the n - ceil(percent * n / 100) + c smallest of each.
+    """
+    return n - -(-percent * n // 100) + in_common(n, percent, least, spare)
+
+
+def bottom_sketches(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, least: int, spare: int) -> DataFrame:
+    """(id, text_key, n, sig, sketch): size of the shingle set, a digest of the whole set, its smallest hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +63,7 @@ def bottom_sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k:
             for _, own in _shingle_sets(batch, batch.schema.names[1], width):
                 sizes.append(len(own))
                 digests.append(hashlib.blake2b(own, digest_size=16).digest())
-                sketches.append(own[:k])
+                sketches.append(own[: retained(len(own), percent, least, spare)])
             values = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32), np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), values], names=["id", "text_key", "n", "sig", "sketch"])
 
@@ -71,66 +85,79 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     return docs.select(id_col, text_col).mapInArrow(whole, f"id {kind}, n bigint, shingles array<bigint>")
 
 
-def least_retained(n: Column, percent: int, k: int, least_share: float) -> Column:
-    """The fewest of a set's retained values that any similar enough partner retains too.
+class _Links:
+    """Pairs of sets with 100 * intersection >= percent * union, found through rare values of their sketches."""
+
+    def __init__(self, percent: int, least: int, spare: int):
+        self.percent, self.least, self.spare = percent, least, spare
 
-    A set of n <= k retains all. A partner of m <= k does too, and has ceil(percent * n / 100) of them at least.
-    A larger one lacks m - k of its values; what is left is the least where m is largest, floor(100 * n /
-    percent), and all n must be common. For n > k, the bound is six standard deviations below percent.
-    """
-    small = F.ceil(F.lit(percent) * n / 100)
-    large = n - F.floor(F.lit(100) * n / percent) + k
-    return F.when(n <= k, F.least(small, large)).otherwise(F.floor(F.lit(least_share) * k))
+    def partner(self, n: Column) -> Column:
+        """The smallest size of a set linked with one of n, and the fewest values that they share."""
+        return F.ceil(F.lit(self.percent) * n / 100)
 
+    def common(self, n: Column) -> Column:
+        """As in_common."""
+        return F.least(self.partner(n), F.greatest(F.lit(self.least), F.ceil(F.lit(self.spare) * n / 100)))
 
-class _Links:
-    """Pairs of sets with 100 * intersection >= percent * union, found through rare shared shingles."""
+    def retained(self, n: Column) -> Column:
+        """As retained."""
+        return (n - self.partner(n) + self.common(n)).cast("int")
 
-    def __init__(self, sets: DataFrame, percent: int, k: int, least_share: float):
-        self.sets, self.percent, self.k, self.least_share = sets, percent, k, least_share
+    def postings(self, classes: DataFrame) -> DataFrame:
+        """(id, n, shared, sum_df) of the sets that share enough retained values with others to have a link;
+        shared has these values with the number of sketches that retain them, from the rarest on."""
+        held = classes.select(F.col("node").alias("id"), "n", F.explode("sketch").alias("v"))
+        seen = stored(held.groupBy("v").agg(F.count("*").alias("seen")).where("seen > 1"))
+        posted = salted_join(held, seen.withColumn("df", F.col("seen")), ["v"], F.col("id"), "inner")
+        rows = posted.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"), F.sum("df").alias("sum_df"))
+        return rows.where(F.size("shared") >= self.common(self.partner(F.col("n"))))
 
-    def lists(self) -> DataFrame:
-        """Inverted lists (v, id, n, s, at, typical) of the shingles that a partner must share.
+    def lists(self, postings: DataFrame) -> DataFrame:
+        """Inverted lists (v, id, n, rest, typical) of the values through which a pair must be met.
 
-        In a set of n, sorted from the rarest shingle to the commonest, a set that is similar enough has one
-        of the first n - ceil(percent * n / 100) + 1. Shingles of one set only take part in the count alone.
-        s is the number of shared shingles, at the place of v in that order, typical the mean size of the lists.
+        Two linked sets share at least common(n) of their retained values. In the order from the rarest value
+        to the commonest, the first that both have is thus among the first r - common(n) + 1 of either. Values
+        of one sketch alone take part in the count only. rest counts the shared values from v
+        on in that order, typical is the mean size of the lists.
         """
-        v = Window.partitionBy("v")
-        posted = self.sets.select("id", "n", F.explode("shingles").alias("v")).withColumn("df", F.count("*").over(v)).where("df > 1")
-        rows = posted.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"), F.sum("df").alias("sum_df"))
-        s = F.size("shared")
-        first = F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100) + 1 - (F.col("n") - s)
-        rows = rows.where(first > 0).select("id", "n", s.cast("bigint").alias("s"), (F.col("sum_df") / F.col("n")).alias("typical"), F.slice("shared", F.lit(1), first.cast("int")).alias("head"))
+        s = F.size("shared").cast("bigint")
+        first = s - self.common(self.partner(F.col("n"))) + 1
+        rows = postings.select("id", "n", s.alias("s"), (F.col("sum_df") / F.col("n")).alias("typical"), F.slice("shared", F.lit(1), first.cast("int")).alias("head"))
         rows = rows.select("id", "n", "s", "typical", F.posexplode("head.v").alias("nth", "v"))
-        return rows.select("v", "id", "n", "s", (F.col("n") - F.col("s") + F.col("nth")).alias("at"), "typical")
+        return rows.select("v", "id", "n", (F.col("s") - F.col("nth")).alias("rest"), "typical")
 
     def possible(self, a: str, b: str):
-        """Whether a list may propose a pair: if its shingle is the first that both have, in the common order
-        from the rarest on, they share no more than what comes from there on, nor more than either shares with
-        anyone. A pair whose first common shingle is another one is proposed there, or nowhere."""
-        p = self.percent
-        rest = [F.col(f"{x}.n") - F.col(f"{x}.at") for x in (a, b)]
-        return (100 + p) * F.least(f"{a}.s", f"{b}.s", *rest) >= p * (F.col(f"{a}.n") + F.col(f"{b}.n"))
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are links: a sketch of the union estimates first, whole sets decide."""
-        one = self.sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-        two = self.sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+        """Whether a list may propose a pair: if its value is the first that both have, in the common order from
+        the rarest on, they share no more retained values than either has from there on. A pair whose first
+        common value is another one is proposed there, or nowhere. Sizes too far apart are no link."""
+        p, n, m = self.percent, F.col(f"{a}.n"), F.col(f"{b}.n")
+        return (100 * F.least(n, m) >= p * F.greatest(n, m)) & (F.least(f"{a}.rest", f"{b}.rest") >= self.common(F.least(n, m)))
+
+    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are links.
+
+        Below the smaller of the two sketches' largest values both sets are known: this sketch of the union
+        shows how many of its values only one set has. If these are more than a link may have in all, the pair
+        is none. Whole sets decide on the others.
+        """
+        one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+        two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
         met = pairs.join(two, "b").join(one, "a")
-        ka, kb = F.slice("sa", 1, self.k), F.slice("sb", 1, self.k)
-        union = F.slice(F.array_sort(F.array_union(ka, kb)), 1, self.k)
-        estimate = F.size(F.array_intersect(F.array_intersect(union, ka), kb)) / F.size(union)
-        met = met.where(estimate >= self.least_share)
-        both = F.size(F.array_intersect("sa", "sb"))
-        return met.where((100 + self.percent) * both >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        both = F.col("na") + F.col("nb")
+        most = both - 2 * F.ceil(F.lit(self.percent) * both / (100 + self.percent))
+        ra, rb = self.retained(F.col("na")), self.retained(F.col("nb"))
+        ka, kb = F.slice("sa", F.lit(1), ra), F.slice("sb", F.lit(1), rb)
+        upto = F.least(F.element_at("sa", ra), F.element_at("sb", rb))
+        apart = F.size(F.filter(F.concat(F.array_except(ka, kb), F.array_except(kb, ka)), lambda v: v <= upto))
+        met = met.where(apart <= most)
+        return met.where((100 + self.percent) * F.size(F.array_intersect("sa", "sb")) >= self.percent * both).select("a", "b")
 
 
 def _with_components(lists: DataFrame, components: DataFrame) -> DataFrame:
     return lists.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64, rounds: int = 3, work: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, least: int = 24, spare: int = 6, rounds: int = 3, work: int = 1000) -> DataFrame:
     """(id, n_shingles, component_id, kept, text_key): groups of documents that share most of their shingles.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set has its distinct runs of
@@ -138,16 +165,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     percent * union; a component is what links reach, named by its smallest id, which is kept.
 
     1. Each set becomes a bottom-k sketch (the k smallest values of one hash function), its size and a digest;
-       documents with one digest (equal sets) count once from here on.
-    2. Inverted lists of the retained values count how many of a sketch's values other sketches retain too. If
-       these are fewer than a similar partner would leave (see least_retained), the document has no link, and
-       its full set is never built.
-    3. Over the full sets of the others, inverted lists of rare shingles propose pairs. To avoid all pairs of
+       documents with one digest (equal sets) count once from here on. k grows with the set, so that linked
+       sets have at least `least` values in both sketches, or `spare` per cent of the smaller set if that is
+       more, or all that a link needs (see retained): no link can be overlooked, whatever the values.
+    2. Inverted lists of the retained values count how many sketches have each. Sets that share too few of
+       theirs have no link and go no further.
+    3. The lists of the rarer values propose pairs (see _Links.lists). To avoid all pairs of
        a list, its most typical member is paired with the others first; members that thereby fall into one
        component need no comparison. Rounds go on while the pairs left are more than `work` times the lists'
        entries. Then all pairs of different components in a list that sizes allow are tried, so that no link
        between components is lost.
-    4. A sketch of the union estimates each pair, and whole sets decide.
+    4. The sketch of the union drops pairs that differ too much there, and whole sets decide.
 
     Components come from rounds of joins (connected_components). Edge cases: null, empty and blank texts have
     the empty set and no links; a row is judged by its own text if an id repeats (text_key tells these rows
@@ -155,23 +183,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no component but their own; an empty table gives no rows; other columns are left alone. Shingles are
     compared as 63-bit hashes.
     """
-    seen = stored(bottom_sketches(docs, id_col, text_col, width, k))
+    seen = stored(bottom_sketches(docs, id_col, text_col, width, percent, least, spare))
     first = Window.partitionBy("sig").orderBy(F.col("id").asc_nulls_last())
     classes = seen.where("n > 0").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     # The graph's nodes are numbers of the classes: an id that repeats with another text is two nodes.
     classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "id", "text_key", "n", "sig", "sketch"))
 
-    share = percent / 100
-    least_share = share - 6 * (share * (1 - share) / k) ** 0.5
-    held = classes.where("id is not null").select("node", "n", F.explode("sketch").alias("v"))
-    held = held.withColumn("df", F.count("*").over(Window.partitionBy("v"))).where("df > 1").groupBy("node", "n").count()
-    involved = held.where(F.col("count") >= least_retained(F.col("n"), percent, k, least_share)).select("node")
-    involved = classes.select("node", F.col("id").alias("rep"), "text_key").join(involved, "node", "left_semi")
-
+    links = _Links(percent, least, spare)
+    postings = freed(stored(links.postings(classes.where("id is not null"))))
+    involved = postings.select(F.col("id").alias("node")).join(classes.select("node", F.col("id").alias("rep"), "text_key"), "node")
     texts = docs.select(F.col(id_col).alias("rep"), text_key(text_col), F.col(text_col).alias("text"))
-    sets = stored(full_sets(texts.join(involved, ["rep", "text_key"]).select("node", "text"), "node", "text", width))
-    links = _Links(sets, percent, k, least_share)
-    lists = stored(links.lists())
+    same = Window.partitionBy("rep", "text_key").orderBy("rep")  # rows equal in id and text are one
+    texts = texts.join(involved, ["rep", "text_key"]).withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    sets = stored(full_sets(texts, "node", "text", width))
+    lists = freed(stored(links.lists(postings)))
     entries = lists.count()
     found, components = None, None
     for step in range(rounds):
@@ -186,8 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             left = apart.groupBy("v", "size").count().agg(F.sum(F.col("count") * F.col("size"))).first()[0] or 0
             if left <= work * entries:
                 break
-        pivot = apart.groupBy("v").agg(F.max(F.struct("typical", (-F.col("id")).alias("minus"), "n", "s", "at")).alias("p"))
-        pivot = pivot.select("v", (-F.col("p.minus")).alias("id"), *(F.col(f"p.{c}").alias(c) for c in ("n", "s", "at")))
+        pivot = apart.groupBy("v").agg(F.max(F.struct("typical", (-F.col("id")).alias("minus"), "n", "rest")).alias("p"))
+        pivot = pivot.select("v", (-F.col("p.minus")).alias("id"), *(F.col(f"p.{c}").alias(c) for c in ("n", "rest")))
         if components is not None:
             pivot = _with_components(pivot, components)
         else:
@@ -195,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x, y = mine.alias("x"), pivot.alias("y")
         pairs = x.join(y, "v").where((F.col("x.component") != F.col("y.component")) & links.possible("x", "y"))
         pairs = pairs.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
-        more = stored(links.linked(pairs))
+        more = stored(links.linked(pairs, sets))
         found = more if found is None else found.unionByName(more)
         components = connected_components(found)
 
@@ -207,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ordered = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
     pairs = x.join(y, F.col("x.v") == F.col("y.v")).where((F.col("x.component") != F.col("y.component")) & ordered & links.possible("x", "y"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    found = found.unionByName(links.linked(pairs))
+    found = found.unionByName(links.linked(pairs, sets))
     components = connected_components(found)
 
     members = classes.select("node", "id", "sig").join(components, "node")

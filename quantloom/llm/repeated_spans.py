@@ -8,31 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACE, documents, slices, spans_hash, stored, word_hashes, words
+from quantloom.llm.common import HOT_SHARE, SALTS, SPACE, documents, freed, salted_join, slices, spans_hash, stored, word_hashes, words
 
 #: Two hashes of a text name it; equal texts share them.
 KEY = ["t1", "t2"]
-#: A key with more than this share of a table's rows is dealt over SALTS tasks: at most 1 / HOT_SHARE keys are.
-HOT_SHARE, SALTS = 0.001, 64
-
-
-def _salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, how: str) -> DataFrame:
-    """big joined with the stored table small on keys, of which none has many rows of big in one task.
-
-    small's column seen says how many rows of big have the key. Keys with a larger share than HOT_SHARE, fewer
-    than 1 / HOT_SHARE of them, are broadcast; their rows in big get a salt from `by`, and those in small
-    stand once for each salt.
-    """
-    limit = (small.agg(F.sum("seen")).first()[0] or 0) * HOT_SHARE
-    hot = F.broadcast(small.where(F.col("seen") > limit).select(*keys, F.lit(True).alias("hot")))
-    spread = F.when(F.col("seen") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    left = big.join(hot, keys, "left").withColumn("salt", salt).drop("hot")
-    return left.join(small.withColumn("salt", F.explode(spread)).drop("seen"), [*keys, "salt"], how).drop("salt")
-
 
 def _paths(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that share an anchor: (text, start word in the text, number of windows, anchor hash).
@@ -173,17 +155,17 @@ def repeated_spans(rows: DataFrame, first: DataFrame, salted: DataFrame, window:
     dealt by key and salt; salted (t1, t2, least) the few texts whose salt is not 0."""
     paths = window_paths(rows, window, anchor)
     seen = stored(paths.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1"))
-    shared = _salted_join(paths, seen, ["anchor"], F.struct(*KEY, "start"), "left_semi")
+    shared = salted_join(paths, seen, ["anchor"], F.struct(*KEY, "start"), "left_semi")
     listed = shared.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "anchor")).alias("paths"))
     listed = listed.join(salted, KEY, "left").select(*KEY, F.coalesce("least", F.lit(0)).alias("salt"), "paths")
-    found = stored(read_paths(first.join(listed, [*KEY, "salt"]), window))
+    found = freed(stored(read_paths(first.join(listed, [*KEY, "salt"]), window)))
 
-    runs = stored(unbranched_runs(found))
+    runs = freed(stored(unbranched_runs(found)))
     begins = runs.join(compacted_paths(runs), ["head", "tail"])
     begins = begins.groupBy("anchor", "c").agg(F.collect_list(F.struct("nth", "length")).alias("begins"))
     counts = found.groupBy("anchor", "c").agg(F.count("*").alias("seen"))
     begins = stored(begins.join(counts, ["anchor", "c"]))
-    met = _salted_join(found.select(*KEY, "weight", "start", "anchor", "c"), begins, ["anchor", "c"], F.struct(*KEY, "start"), "inner")
+    met = salted_join(found.select(*KEY, "weight", "start", "anchor", "c"), begins, ["anchor", "c"], F.struct(*KEY, "start"), "inner")
     met = met.select(*KEY, "weight", "start", F.explode("begins").alias("b"))
     return met.select(*KEY, "weight", (F.col("start") + F.col("b.nth")).alias("start"), F.col("b.length").alias("length"))
 

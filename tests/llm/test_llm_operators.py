@@ -102,8 +102,8 @@ def components_by_force(rows, width, percent):
     return sorted((i, len(s), least[find(at)], i == least[find(at)]) for at, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize(("width", "percent", "k", "work"), [(3, 85, 64, 1000), (5, 80, 16, 0)])
-def test_near_duplicates_equal_brute_force(spark, width, percent, k, work):
+@pytest.mark.parametrize(("width", "percent", "least", "work"), [(3, 85, 24, 1000), (5, 80, 4, 0)])
+def test_near_duplicates_equal_brute_force(spark, width, percent, least, work):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in rng.integers(0, 900, 160)]
     rows = []
@@ -116,7 +116,7 @@ def test_near_duplicates_equal_brute_force(spark, width, percent, k, work):
     rows += [(200 + i, passage + " " + " ".join(f"q{v}" for v in rng.integers(0, 5000, rng.integers(0, 60)))) for i in range(80)]
     rows += [(400, ""), (401, None), (402, "one"), (403, "ONE"), (404, "one two"), (405, "one two")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = minhash.near_duplicates(docs, width=width, percent=percent, k=k, work=work)
+    found = minhash.near_duplicates(docs, width=width, percent=percent, least=least, work=work)
     assert rows_of(found.drop("text_key")) == sorted(components_by_force(rows, width, percent), key=repr)
 
 
@@ -133,6 +133,30 @@ def test_near_duplicates_across_the_sketch_size(spark):
     assert rows_of(found.drop("text_key")) == sorted(components_by_force(rows, 3, 85), key=repr)
 
 
+@pytest.mark.parametrize(("percent", "least", "spare"), [(85, 24, 6), (80, 1, 1), (85, 1, 0)])
+def test_sketches_of_linked_sets_share_enough(percent, least, spare):
+    rng = np.random.default_rng(13)
+    for _ in range(3000):
+        n = int(rng.integers(1, 400))
+        m = int(rng.integers(n, 100 * n // percent + 1))
+        common = -(-percent * (n + m) // (100 + percent))
+        if common > n:
+            continue
+        values = rng.permutation(1 << 20)[: n + m - common]
+        if rng.random() < 0.5:  # the worst order: what only one set has comes first
+            values = np.sort(values)[::-1]
+        a, b = values[:n], np.concatenate([values[n - common : n], values[n:]])
+        kept = [set(np.sort(x)[: minhash.retained(len(x), percent, least, spare)].tolist()) for x in (a, b)]
+        assert len(kept[0] & kept[1]) >= minhash.in_common(n, percent, least, spare)
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = [(1, texts[0])] * 3000 + [(2, texts[0] + " more")] * 3000 + [(3, texts[1])]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=3, percent=85)
+    assert {(r.doc_id, r.component_id, r["count"]) for r in found.groupBy("doc_id", "component_id").count().collect()} == {(1, 1, 3000), (2, 1, 3000), (3, 3, 1)}
+
+
 def test_near_duplicates_of_an_id_with_two_texts(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
     rows = [(5, a), (5, b), (5, b), (6, a + " more"), (4, b + " more"), (None, a + " other")]
