@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +18,17 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import documents, slices, stored
 
 
+#: A run of white space of this length or more, which the rank encoder's pattern matching cannot hold.
+_LONG_BLANK = re.compile(r"\s{2000}")
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def _encoding(path: str, pattern: str, added: tuple[tuple[str, int], ...]):
     """The public byte-level BPE vocabulary. Its rank file and the added tokens of the JSON file give the same
@@ -35,11 +47,16 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def added_tokens(name: str = "byte_bpe_50k.json") -> dict[str, int]:
-    """The tokens that a vocabulary finds in a text before any merge, with their ids."""
+def json_vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of the same vocabulary as the tokenizers library reads it."""
     import public_tokenizers
 
-    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+    return public_tokenizers.path(name)
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a vocabulary finds in a text before any merge, with their ids."""
+    with open(path, encoding="utf-8") as file:
         return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
 
 
@@ -88,16 +105,15 @@ def bin_slack_plan(counts: dict[int, int], size: int) -> list[tuple[list[int], i
     return plan
 
 
-def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, path: str | None = None, pattern: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, path: str | None = None, pattern: str | None = None, json_path: str | None = None) -> DataFrame:
     """The pieces of every document: (id, piece, start, length, ids_crc32[, ids], part, rank).
 
-    A document's ids are those of its text and `end_id`. A longer one is cut into pieces of `size`, of which
+    A document's ids are those of its text by the JSON vocabulary, and `end_id`. The rank file gives the same in
+    less time; texts with very long runs of white space go to the tokenizers library itself. A longer one is cut into pieces of `size`, of which
     the first may be shorter. part is the task that read the row, rank counts the task's pieces of that length.
     """
-    if added is None:
-        added = {} if path else added_tokens()
-    here, special = vocabulary(), tuple(added.items())
-    path, pattern = path or here[0], pattern or here[1]
+    here, json_path = vocabulary(), json_path or json_vocabulary()
+    path, pattern, special = path or here[0], pattern or here[1], tuple(added_tokens(json_path).items())
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint" + ", ids binary" * keep_ids
 
@@ -110,8 +126,12 @@ def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str
                 rows: list[tuple] = []
                 for at in range(first, last):
                     text = texts[at].as_py() or ""
-                    split = any(token in text for token, _ in special)
-                    tokens = encoding.encode(text, allowed_special="all") if split else encoding.encode_ordinary(text)
+                    if _LONG_BLANK.search(text):
+                        tokens = _tokenizer(json_path).encode(text, add_special_tokens=False).ids
+                    elif any(token in text for token, _ in special):
+                        tokens = encoding.encode(text, allowed_special="all")
+                    else:
+                        tokens = encoding.encode_ordinary(text)
                     tokens.append(end_id)
                     data = memoryview(np.asarray(tokens, "<u4").tobytes())
                     n, start, piece = len(tokens), 0, 0
@@ -128,12 +148,12 @@ def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, schema)
 
 
-def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, path: str | None = None, pattern: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, path: str | None = None, pattern: str | None = None, json_path: str | None = None) -> DataFrame:
     """Pack the tokens of all documents into as few sequences of at most `size` as minimum bin slack finds.
 
     One row per piece: (id, piece, start, length, ids_crc32[, ids], sequence_id, offset); the pieces of a
-    sequence lie without gaps from offset 0. `path` and `pattern` name the vocabulary (a rank file),
-    `added` its tokens beside the ranks with their ids (those of the public one; none if `path` is given).
+    sequence lie without gaps from offset 0. `path` and `pattern` name the vocabulary as a rank file,
+    `json_path` as the JSON file that also holds its added tokens.
 
     Only the number of pieces of each length (at most `size` numbers) reaches the driver; it returns a plan
     of bins in which each combination of lengths stands once with the number of its bins. Pieces of equal
@@ -144,7 +164,7 @@ def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: s
     Edge cases: a null or empty text has the one id `end_id`; rows that repeat a document are packed each;
     an empty table gives no rows; other columns are left alone. An added token in a text is that token.
     """
-    pieces = stored(token_pieces(docs, size, end_id, id_col, text_col, keep_ids, path, pattern, added))
+    pieces = stored(token_pieces(docs, size, end_id, id_col, text_col, keep_ids, path, pattern, json_path))
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))

@@ -417,6 +417,20 @@ def test_packing_finds_added_tokens(spark):
     assert dict(ids) == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
 
 
+def test_packing_takes_very_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    texts = [" " * 1_000_000, "a" + "\n" * 300_000 + "b", "x" * 200_000, "<|endoftext|>" + "\t " * 5000 + "<|endoftext|> end", "word " * 100_000, "\u00a0" * 5000]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = collections.defaultdict(list)
+    for p in sorted(packing.pack_documents(docs).collect(), key=lambda p: (p.doc_id, p.start)):
+        ids[p.doc_id] += np.frombuffer(bytes(p.ids), "<u4").tolist()
+    assert dict(ids) == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_bin_slack_plan_uses_everything():
     rng = np.random.default_rng(2)
     counts = collections.Counter(rng.integers(1, 1025, 5000).tolist())
