@@ -333,7 +333,7 @@ def test_segmentation_follows_its_distribution():
     pieces = segmentation.load_pieces(segmentation.vocabulary())
     n, text = 4000, b"an in"
     offsets = np.arange(n + 1) * len(text)
-    which, rank, logp, inclusion, at, flat = segmentation.sample_texts(np.frombuffer(text * n, np.uint8), offsets, np.arange(n).astype(np.uint64), pieces, 2, 0.3)
+    which, rank, logp, inclusion, at, flat = segmentation.sample_texts(np.frombuffer(text * n, np.uint8), offsets, np.arange(n).astype(np.uint64), segmentation.Lattices(pieces, 0.3), 2)
     first, chance = collections.Counter(), {}
     estimate = collections.Counter()
     for i in range(len(which)):
@@ -346,6 +346,26 @@ def test_segmentation_follows_its_distribution():
     assert abs(sum(estimate.values()) / n - 1) < 0.05
 
 
+def test_segmentation_finds_all_and_repeats_itself(spark):
+    """A short text has few segmentations: all come, the likeliest ones as well as those of hardly any chance."""
+    pieces = segmentation.load_pieces(segmentation.vocabulary())
+    usable = {raw: i for i, raw in enumerate(pieces.data) if raw and i in set(pieces.ids.tolist())}
+
+    def ways(raw):
+        return [[]] if not raw else [[usable[raw[:n]], *rest] for n in range(1, len(raw) + 1) if raw[:n] in usable for rest in ways(raw[n:])]
+
+    text = "other"
+    want = {tuple(w) for w in ways(b" " + text.encode())}
+    docs = spark.createDataFrame([(i, text if i % 2 else f"{text} and {'word' * (i % 9)} {i}") for i in range(40)], "doc_id bigint, text string").repartition(4)
+    encoded = segmentation.sample_segmentations(docs, samples=len(want) + 3, alpha=8.0).where("doc_id % 2 = 1")
+    by_row = collections.defaultdict(list)
+    for r in encoded.collect():
+        by_row[r.doc_id].append(tuple(r.pieces))
+    assert len(by_row) == 20 and all(len(found) == len(want) and set(found) == want for found in by_row.values())
+    near = lambda df: sorted(((r.doc_id, r["sample"], r.pieces, round(r.log_prob, 9), round(r.inclusion, 9)) for r in df.collect()), key=repr)
+    assert near(segmentation.sample_segmentations(docs, samples=3, alpha=0.5)) == near(segmentation.sample_segmentations(docs.orderBy("doc_id").coalesce(1), samples=3, alpha=0.5))
+
+
 def test_quality_learns_lines(spark, odd, clashing, empty):
     good, bad = "The cat sat on the mat, and then it slept.\n", "BUY!! NOW!! $$$ ### BUY!! NOW!!\n"
     docs = spark.createDataFrame([(i, (good if i % 2 else bad) * (1 + i % 5)) for i in range(200)] + [(300, None), (301, "")], "doc_id bigint, text string")
