@@ -15,7 +15,8 @@ from quantloom.llm.common import LOWER, documents, slices
 
 #: The string for texts without a letter.
 UNKNOWN = "und"
-_SEGMENT = 512
+#: Symbols that are parsed side by side, and those of a long text that are dealt with at a time.
+_SEGMENT, _BLOCK = 512, 1 << 20
 
 
 def has_letter(text_col: str) -> Column:
@@ -100,8 +101,26 @@ def _parser(texts: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _phrases(texts: tuple[bytes, ...], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Phrases that each language needs for each text, as [language, text].
 
-    From left to right, each phrase is the longest match with a language's text. Segments of at most 512
-    symbols are parsed side by side; a cut may end one phrase more.
+    From left to right, each phrase is the longest match with a language's text. Very long texts go block by
+    block, each from the states that the one before ends with.
+    """
+    if len(offsets) != 2 or offsets[1] <= _BLOCK:
+        return _ended(texts, data, offsets, None)[0] + (np.diff(offsets) > 0)
+    total, state = 1, None
+    for first in range(0, len(data), _BLOCK):
+        part = data[first : first + _BLOCK]
+        ended, state = _ended(texts, part, np.array([0, len(part)]), state)
+        total = total + ended
+    return total
+
+
+def _ended(texts: tuple[bytes, ...], data: np.ndarray, offsets: np.ndarray, entry: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end within each text, as [language, text], and the states at the end of the last text; the
+    first one begins in the states `entry`, if given.
+
+    Texts are parsed in segments side by side, each from the start of a phrase; then those are parsed again that
+    the segment before leaves within a phrase, up to where both ways meet (from there on they agree), until
+    nothing changes.
     """
     symbol, moves, start, first = _parser(texts)
     data = symbol[data]
@@ -112,39 +131,96 @@ def _phrases(texts: tuple[bytes, ...], data: np.ndarray, offsets: np.ndarray) ->
     at = offsets[owner] + nth * _SEGMENT
     length = np.minimum(_SEGMENT, sizes[owner] - nth * _SEGMENT)
     order = np.argsort(-length, kind="stable")
-    owner, at, length = owner[order], at[order], length[order]
-    symbols = first.shape[1]
-    state = np.repeat(start[:, None], len(at), 1)
-    count = np.ones(state.shape, np.int32)
-    active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
-    for step, n in enumerate(active):
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at, length, ahead = at[order], length[order], nth[order] > 0
+    symbols, lanes = first.shape[1], len(at)
+    if not lanes:
+        return np.zeros((len(texts), len(sizes)), np.int64), start
+    steps = int(length.max())
+    active = np.searchsorted(-length, -np.arange(steps), "left")
+    # States and phrases that ended so far after each symbol, of the segments of texts that have several.
+    traced = np.flatnonzero(pieces[owner[order]] > 1)
+    slot = np.full(lanes, -1)
+    slot[traced] = np.arange(len(traced))
+    traced_active = np.searchsorted(-length[traced], -np.arange(steps), "left")
+    state, count = np.zeros((steps, len(texts), len(traced)), np.int32), np.zeros((steps, len(texts), len(traced)), np.int16)
+    now, ended = np.repeat(start[:, None], lanes, 1), np.zeros((len(texts), lanes), np.int64)
+    if entry is not None:
+        now[:, place[0]] = entry
+    for step, (n, m) in enumerate(zip(active, traced_active, strict=True)):
         c = data[at[:n] + step]
-        to = moves[state[:, :n] * symbols + c]
-        ended = to < 0
-        count[:, :n] += ended
-        state[:, :n] = np.where(ended, first[:, c], to)
-    return np.stack([np.bincount(owner, x, len(sizes)) for x in count])
+        to = moves[now[:, :n] * symbols + c]
+        end = to < 0
+        now[:, :n] = np.where(end, first[:, c], to)
+        ended[:, :n] += end
+        state[step, :, :m], count[step, :, :m] = now[:, traced[:m]], ended[:, traced[:m]]
+    leave, finished = now, ended
+    # (language, lane) whose way in differs from the start of a phrase.
+    before = place[np.maximum(np.arange(lanes) - 1, 0)][order]
+    follow = np.flatnonzero(ahead)
+    lang, lane = np.repeat(np.arange(len(texts)), len(follow)), np.tile(follow, len(texts))
+    came = np.repeat(start[:, None], lanes, 1)
+    while len(lane):
+        into = state[_SEGMENT - 1, lang, slot[before[lane]]]
+        changed = into != came[lang, lane]
+        lang, lane, into = lang[changed], lane[changed], into[changed]
+        came[lang, lane] = into
+        todo_lang, todo_lane, now, ended, step = lang, lane, into, np.zeros(len(lane), np.int16), 0
+        last_changed = []
+        while len(todo_lane):
+            c = data[at[todo_lane] + step]
+            to = moves[now * symbols + c]
+            end = to < 0
+            now, ended = np.where(end, first[todo_lang, c], to), ended + end
+            own = slot[todo_lane]
+            met = state[step, todo_lang, own] == now
+            # Where both ways meet, later counts change by as much as the count here.
+            if met.any():
+                late, shift = np.flatnonzero(met), (ended - count[step, todo_lang, own])[met]
+                for x, d in zip(late[shift != 0].tolist(), shift[shift != 0].tolist(), strict=True):
+                    count[step : length[todo_lane[x]], todo_lang[x], own[x]] += d
+            off = ~met
+            state[step, todo_lang[off], own[off]], count[step, todo_lang[off], own[off]] = now[off], ended[off]
+            step += 1
+            over = off & (length[todo_lane] <= step)
+            leave[todo_lang[over], todo_lane[over]] = now[over]
+            last_changed.append((todo_lang[over], todo_lane[over]))
+            go = off & ~over
+            todo_lang, todo_lane, now, ended = todo_lang[go], todo_lane[go], now[go], ended[go]
+        # Only what follows a segment whose last state changed is looked at again.
+        lang, lane = (np.concatenate(x) for x in zip(*last_changed, strict=True)) if last_changed else (lang[:0], lane[:0])
+        after = np.full(lanes, -1)
+        after[before[follow]] = follow
+        lane = after[lane]
+        lang, lane = lang[lane >= 0], lane[lane >= 0]
+    finished[:, traced] = count[length[traced] - 1, :, np.arange(len(traced))].T
+    return np.stack([np.bincount(owner[order], x, len(sizes)).astype(np.int64) for x in finished]), leave[:, place[-1]]
 
 
-def learn_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int = 128, symbols_per_language: int = 24_000) -> dict[str, bytes]:
+def learn_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int = 128, symbols_per_language: int = 24_000, symbols_per_text: int = 6_000, most_languages: int = 64) -> dict[str, bytes]:
     """Reference text of each language from a bounded sample of the labelled rows of docs.
 
-    For each language, at most `docs_per_language` rows by the smallest hash of their id; of each text at
-    most a sixteenth of `symbols_per_language` bytes after normalisation, which is the bound of the whole.
+    For each of the `most_languages` commonest languages, at most `docs_per_language` whole texts of no more than
+    `symbols_per_text` bytes, those with the smallest hashes of their ids, as many as `symbols_per_language`
+    bytes hold after normalisation. Rows that repeat an id and text count once. So at most most_languages *
+    docs_per_language texts of bounded length reach the driver.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    fit = F.octet_length(text_col).between(1, symbols_per_text)
+    known = docs.where(F.col(lang_col).isNotNull() & fit).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    # Numbers come first, and texts are fetched for the chosen ones only.
     by_hash = Window.partitionBy("lang").orderBy("h", "id")
-    picked = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= docs_per_language)
-    ids = {r.id: (r.lang, r.nth) for r in picked.collect()}  # at most docs_per_language for each language
-    if not ids:
-        return {}
-    rows = known.where(F.col(id_col).isin(list(ids))).select(id_col, lang_col, text_col).collect()
+    chosen = known.select("lang", "h", "id").join(F.broadcast(common.select("lang")), "lang").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= docs_per_language)
+    chosen = F.broadcast(chosen.select("lang", "id").distinct())  # bounded as above
+    rows = known.where("id is not null").join(chosen, ["lang", "id"]).groupBy("lang", "h", "id").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[bytes]] = {}
-    for _, lang, text in sorted(rows, key=lambda r: (ids[r[0]], r[2])):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        texts.setdefault(lang, []).append(_letters(raw, np.array([0, len(raw)]))[0].tobytes()[: symbols_per_language // 16])
-    texts = {lang: b"\x00".join(parts)[:symbols_per_language] for lang, parts in sorted(texts.items())}
-    return {lang: text for lang, text in texts.items() if text.strip(b"\x00")}
+    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.id)):
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        letters = _letters(raw, np.array([0, len(raw)]))[0].tobytes()
+        if letters.strip(b"\x00") and sum(map(len, texts.get(r.lang, []))) + len(letters) <= symbols_per_language:
+            texts.setdefault(r.lang, []).append(letters)
+    return {lang: b"\x00".join(parts) for lang, parts in sorted(texts.items())}
 
 
 def identify_languages(docs: DataFrame, learned: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
@@ -156,7 +232,7 @@ def identify_languages(docs: DataFrame, learned: dict[str, bytes], id_col: str =
 
     Null texts and texts without a letter get `und` and 0, as do all when nothing was learned; an empty table
     gives no rows; rows that repeat an id are treated each; other columns are left alone. Texts of any length
-    are parsed whole, in segments. Nothing is shuffled.
+    are parsed whole. Nothing is shuffled.
     """
     kinds = [StructField(id_col, docs.schema[id_col].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     schema = StructType(kinds + [StructField("row", docs.schema)] * whole_rows)
@@ -165,7 +241,7 @@ def identify_languages(docs: DataFrame, learned: dict[str, bytes], id_col: str =
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in slices(batch, batch.schema.names[1]):
+            for first, last, data, offsets in slices(batch, batch.schema.names[1], (4 << 20) // max(4, len(names))):
                 part = batch.slice(first, last - first)
                 lettered = np.asarray(part.column(2).fill_null(False))
                 data, offsets = _letters(data, offsets)
@@ -188,8 +264,9 @@ def identify_languages(docs: DataFrame, learned: dict[str, bytes], id_col: str =
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole_rows: bool = False) -> DataFrame:
     """Learn from the rows of docs whose crc32(id as text) mod 4 is not 2, then predict all: (id, held_out,
-    lang_pred, score[, row]). See learn_languages and identify_languages."""
-    held_out = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    lang_pred, score[, row]). A null id is not held out, and not learned from. See learn_languages and
+    identify_languages."""
+    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
     learned = learn_languages(docs.where(~held_out), id_col, text_col, lang_col)
     found = identify_languages(docs, learned, id_col, text_col, whole_rows)
     return found.select(id_col, held_out.alias("held_out"), "lang_pred", "score", *["row"] * whole_rows)
