@@ -161,38 +161,39 @@ def fit_field(x: np.ndarray, size: np.ndarray, counts: np.ndarray, labels: np.nd
     return LineField(mean, scale, w, moves, float(a[0]), float(a[1]))
 
 
-def _lines_of(docs: DataFrame, text_col: str, most: int) -> DataFrame:
-    """(label, counts, sizes, features): up to `most` lines of each row, for fitting."""
+def _lines_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """(h, label, lines, sizes, features): all lines of each row, as bytes, for fitting."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in slices(batch, "text"):
                 x, size, counts = line_features(data, offsets)
                 edge = np.concatenate([[0], np.cumsum(counts)])
-                xs = [x[a : min(b, a + most)].ravel() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                ss = [size[a : min(b, a + most)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                xs = [x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                ss = [size[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(ss, pa.list_(pa.int64())), pa.array(xs, pa.list_(pa.float32()))], names=["h", "label", "sizes", "features"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(counts, pa.int64()), pa.array(ss, pa.binary()), pa.array(xs, pa.binary())], names=["h", "label", "lines", "sizes", "features"])
 
-    return docs.select(F.col(text_col).alias("text"), "h", "label").mapInArrow(lines, "h bigint, label int, sizes array<bigint>, features array<float>")
+    return docs.select(F.col(text_col).alias("text"), "h", "label").mapInArrow(lines, "h bigint, label int, lines bigint, sizes binary, features binary")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_docs: int = 3000, most_lines: int = 200) -> LineField | None:
-    """Fit on at most `most_docs` labelled rows (by smallest hash of the id) and `most_lines` lines of each.
+    """Fit on at most `most_docs` labelled rows: those with the smallest hashes of their ids, of the rows with
+    1 to `most_lines` lines.
 
-    Executors make the features; the driver gets this bounded sample. None if nothing is labelled.
+    Executors make the features of whole texts; the driver gets this bounded sample. None if nothing is labelled.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("id"))
-    picked = known.orderBy("h", "id").limit(most_docs)
+    picked = F.broadcast(known.orderBy("h", "id").limit(2 * most_docs))  # some will be too long, or have no text
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = _lines_of(texts.join(F.broadcast(picked), "id").select("t", "h", "label"), "t", most_lines).collect()
-    rows = sorted((r for r in rows if r.sizes), key=lambda r: (r.h, r.sizes, r.features))
+    found = _lines_of(texts.join(picked, "id").select("t", "h", "label"), "t").where(F.col("lines").between(1, most_lines))
+    rows = found.orderBy("h", "sizes", "features").limit(most_docs).collect()
     if not rows:
         return None
-    counts = np.array([len(r.sizes) for r in rows])
-    x = np.concatenate([np.reshape(r.features, (-1, len(FEATURES))) for r in rows]).astype(np.float64)
-    return fit_field(x, np.concatenate([r.sizes for r in rows]).astype(np.int64), counts, np.array([r.label for r in rows]))
+    counts = np.array([r.lines for r in rows])
+    x = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, len(FEATURES)).astype(np.float64)
+    return fit_field(x, np.frombuffer(b"".join(r.sizes for r in rows), np.int64), counts, np.array([r.label for r in rows]))
 
 
 def score_quality(docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,10 +220,10 @@ def score_quality(docs: DataFrame, field: LineField | None, id_col: str = "doc_i
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """(id, held_out, score, predicted): learn from labels whose crc32(id as text) mod 5 is not 0, score all.
 
-    Rows that repeat an id are scored each by their own text; of several labels of an id the largest counts;
+    A null id is not held out, and has no label. Rows that repeat an id are scored each by their own text; of several labels of an id the largest counts;
     an empty table gives no rows; other columns are left alone. See fit_quality and score_quality.
     """
-    held_out = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     field = fit_quality(docs, labels.where(~held_out), id_col, text_col, label_col)
     scored = score_quality(docs, field, id_col, text_col)
     return scored.select(id_col, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
