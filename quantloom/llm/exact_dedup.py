@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents
+from quantloom.llm.common import documents, stored
 
 
 def ascii_lower(text: Column) -> Column:
@@ -15,70 +15,56 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, hot_share: float, salts: int, whole_rows: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Rows in content order, with the window columns of their run; totals of the hot classes, if any."""
+def _sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, salts: int, whole_rows: bool) -> tuple[DataFrame, WindowSpec]:
+    """Rows (id, norm, h, salt[, row]) in content order, and the window of a run of equal texts and salts.
+
+    Splitters are samples of (first characters, hash, salt), so that the driver gets short keys whatever the
+    texts' length; within a range the sort goes on over the whole text.
+    """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
-    best = F.min if keep == "smallest" else F.max
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), *([F.struct("*").alias("row")] if whole_rows else []))
+    base = base.withColumns({"head": F.substring("norm", 1, 64), "h": F.xxhash64("norm"), "salt": F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(salts)).cast("int")})
+    return base.repartitionByRange("head", "h", "salt"), Window.partitionBy("head", "h", "salt", "norm")
 
-    least = max(1, int(docs.count() * hot_share))
-    sizes = base.groupBy(F.xxhash64("norm").alias("h")).agg(F.count("*").alias("n"))
-    hashes = [r.h for r in sizes.where(F.col("n") > least).select("h").collect()]  # at most 1 / hot_share values
-    is_hot = F.xxhash64("norm").isin(hashes) if hashes else F.lit(False)
-
-    salted = base.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(salts))).otherwise(F.lit(-1)))
-    # Splitters are samples of (first bytes, hash, salt), so that the driver gets short keys whatever the texts' length;
-    # within a range the sort goes on over the whole text.
-    salted = salted.withColumns({"head": F.substring("norm", 1, 32), "h": F.xxhash64("norm")})
-    run = Window.partitionBy("head", "h", "salt", "norm")
-    out = salted.repartitionByRange("head", "h", "salt")
-    if whole_rows:
-        order = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
-        out = out.select("id", "salt", F.sha2("norm", 256).alias("text_sha256"), F.row_number().over(run.orderBy(order, f"row.{text_col}")).alias("nth"), "row")
-    else:
-        out = out.select("id", "salt", F.sha2("norm", 256).alias("text_sha256"), best("id").over(run).alias("keep_id"), F.count("*").over(run).alias("group_size"))
-    if not hashes:
-        return out, None
-    totals = base.where(is_hot).groupBy("norm").agg(best("id").alias("all_keep"), F.count("*").alias("all_n"))
-    return out, totals.select(F.sha2("norm", 256).alias("sha"), "all_keep", "all_n")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hot_share: float = 0.001, salts: int = 64) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", salts: int = 64) -> DataFrame:
     """Classes of equal texts: (id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. `keep` says whether the
     smallest or the largest id of a class stays.
 
     Method: Spark samples splitters and range-partitions the normalised texts, sorts each range externally,
-    and the window over the sorted run compares the whole text of each row with its neighbour's. A class with
-    more than `hot_share` of all rows (there are at most 1 / hot_share of these, so their list is small
-    enough to broadcast) is cut by a salt in the sort key, so that no range holds it whole; its totals come
-    from an aggregation by its whole text with partial sums before the shuffle.
+    and the window over the sorted run compares the whole text of each row with its neighbour's. A salt of the
+    id is part of the sort key, so that a class, however large, lies in up to `salts` runs, and no range holds
+    it whole. The runs of a class, one small row for each, are put together by its digest.
 
     Edge cases: an empty table gives no rows; null and empty texts are one class; of rows that repeat an id,
-    each gets its own result row, and group_size counts rows; other columns of docs, whatever their names,
-    are left alone. A null id never stays if the class has another.
+    each gets its own result row, and group_size counts rows (those of one id lie in one run); other columns of
+    docs, whatever their names, are left alone. A null id never stays if the class has another.
     """
-    out, totals = _sorted_runs(docs, id_col, text_col, keep, hot_share, salts, False)
-    if totals is not None:
-        out = out.join(F.broadcast(totals), (F.col("salt") >= 0) & (F.col("text_sha256") == F.col("sha")), "left")
-        out = out.withColumns({"keep_id": F.coalesce("all_keep", "keep_id"), "group_size": F.coalesce("all_n", "group_size")})
+    best = F.min if keep == "smallest" else F.max
+    rows, run = _sorted(docs, id_col, text_col, keep, salts, False)
+    rows = stored(rows.select("id", "salt", F.sha2("norm", 256).alias("text_sha256"), best("id").over(run).alias("best"), F.count("*").over(run).alias("n")))
+    runs = rows.groupBy("text_sha256", "salt").agg(best("best").alias("best"), F.max("n").alias("n"))
+    whole = Window.partitionBy("text_sha256")  # at most `salts` rows
+    runs = runs.select("text_sha256", "salt", best("best").over(whole).alias("keep_id"), F.sum("n").over(whole).alias("group_size"))
+    out = rows.join(runs, ["text_sha256", "salt"])
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hot_share: float = 0.001, salts: int = 64) -> DataFrame:
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", salts: int = 64) -> DataFrame:
     """One whole row of docs for each class of equal texts, by the same sort as exact_dedup.
 
-    Of rows that repeat the id that stays, the one with the smallest text (as it is spelt) is returned.
+    The first row of each run goes on, and of these the first of each class. Of rows that repeat the id that
+    stays, the one with the smallest text (as it is spelt) is returned.
     """
-    out, totals = _sorted_runs(docs, id_col, text_col, keep, hot_share, salts, True)
-    out = out.where("nth = 1")
-    if totals is not None:
-        out = out.join(F.broadcast(totals), (F.col("salt") >= 0) & (F.col("text_sha256") == F.col("sha")), "left")
-        out = out.where((F.col("salt") < 0) | F.col("id").eqNullSafe(F.col("all_keep")))
-    return out.select("row.*")
+    rows, run = _sorted(docs, id_col, text_col, keep, salts, True)
+    order = [F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last(), F.col(f"row.`{text_col}`")]
+    firsts = rows.withColumn("nth", F.row_number().over(run.orderBy(*order))).where("nth = 1")
+    firsts = firsts.select("id", F.sha2("norm", 256).alias("sha"), "row")
+    return firsts.withColumn("nth", F.row_number().over(Window.partitionBy("sha").orderBy(*order))).where("nth = 1").select("row.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

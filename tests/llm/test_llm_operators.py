@@ -49,8 +49,8 @@ def lower_az(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
-@pytest.mark.parametrize("hot_share", [0.001, 10.0])
-def test_exact_dedup(odd, clashing, empty, hot_share):
+@pytest.mark.parametrize("salts", [1, 64])
+def test_exact_dedup(odd, clashing, empty, salts):
     rows = odd.select("doc_id", "text").collect()
     groups = collections.defaultdict(list)
     for r in rows:
@@ -61,9 +61,9 @@ def test_exact_dedup(odd, clashing, empty, hot_share):
         keep = max(ids) if ids else None
         want.append((r.doc_id, keep, len(groups[lower_az(r.text)]), r.doc_id == keep, hashlib.sha256(lower_az(r.text).encode()).hexdigest()))
     for docs in (odd, clashing):
-        assert rows_of(exact_dedup.exact_dedup(docs, keep="largest", hot_share=hot_share)) == sorted(want, key=repr)
+        assert rows_of(exact_dedup.exact_dedup(docs, keep="largest", salts=salts)) == sorted(want, key=repr)
     assert exact_dedup.exact_dedup(empty).count() == 0
-    kept = exact_dedup.distinct_texts(odd, hot_share=hot_share)
+    kept = exact_dedup.distinct_texts(odd, salts=salts)
     assert kept.columns == odd.columns
     assert sorted(lower_az(r.text) for r in kept.collect()) == sorted(groups)
     with pytest.raises(ValueError):
@@ -72,7 +72,7 @@ def test_exact_dedup(odd, clashing, empty, hot_share):
 
 def test_exact_dedup_splits_a_hot_class(spark):
     docs = spark.createDataFrame([(i, "Same Text" if i % 3 else f"own {i}") for i in range(3000)], "doc_id bigint, text string")
-    found = {r.doc_id: r for r in exact_dedup.exact_dedup(docs, hot_share=0.01).collect()}
+    found = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
     assert all(found[i].keep_id == 1 and found[i].group_size == 2000 for i in range(3000) if i % 3)
     assert sum(r.kept for r in found.values()) == 1001
 
@@ -249,7 +249,7 @@ def test_language_id(spark, odd, clashing, empty):
     assert {r.lang_pred for r in language_id.identify_languages(docs, {}).collect()} == {"und"}
 
 
-def test_cross_parsing_counts_longest_matches():
+def test_cross_parsing_counts_longest_matches(monkeypatch):
     def parse(text, reference):
         """One more than the places where the longest match so far ends; an unknown symbol starts none."""
         n, held = 1, b""
@@ -265,6 +265,23 @@ def test_cross_parsing_counts_longest_matches():
         data = np.frombuffer(text, np.uint8)
         got = language_id._phrases((reference, other), data, np.array([0, len(data)]))[:, 0]
         assert got.tolist() == [parse(text, reference), parse(text, other)]
+    rng = np.random.default_rng(17)  # texts of several segments, with phrases that go over their ends
+    long_reference = bytes(rng.integers(97, 101, 3000).tolist())
+    texts = [long_reference[5:2900], bytes(rng.integers(97, 101, 5000).tolist()), b"", b"ab" * 700, long_reference[100:1200] * 3, bytes(rng.integers(97, 103, 512).tolist()), b"q" * 1025]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    got = language_id._phrases((long_reference, other), data, offsets)
+    assert got.T.tolist() == [[parse(x, long_reference), parse(x, other)] if x else [0, 0] for x in texts]
+    monkeypatch.setattr(language_id, "_BLOCK", 1000)
+    for x in texts[:2] + texts[3:5]:
+        got = language_id._phrases((long_reference, other), np.frombuffer(x, np.uint8), np.array([0, len(x)]))
+        assert got.T.tolist() == [[parse(x, long_reference), parse(x, other)]]
+
+
+def test_language_id_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    found = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = found.selectExpr("sum(cast(lang = lang_pred as int))", "count(*)").first()
+    assert n > 100 and right / n > 0.98
 
 
 def test_secret_scan_equals_python(spark, odd, clashing, empty):
@@ -379,6 +396,15 @@ def test_quality_learns_lines(spark, odd, clashing, empty):
     assert quality.quality_classifier(empty, labels).count() == 0
 
 
+def test_quality_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    rows = quality.quality_classifier(docs, labels).join(labels, "doc_id").where("held_out and quality is not null").select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert len(rows) > 30 and auc > 0.95
+
+
 def test_field_marginals_equal_enumeration():
     import itertools
 
