@@ -329,6 +329,41 @@ def test_transport_stream_round_trip(odd, clashing, empty):
     assert transport_stream.media_columns(empty, digest=True).count() == 0
 
 
+def test_damaged_transport_streams_are_read():
+    rng = np.random.default_rng(4)
+    payload = transport_stream.padded(rng.bytes(40_000))
+    media = transport_stream.write_stream(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    twice = b"".join(p + p if i == 5 else p for i, p in enumerate(packets))
+    back = transport_stream.read_stream(twice)
+    assert back.payload == payload and back.duplicates == 1 and not back.continuity_errors
+    for _ in range(300):  # any bytes changed, packets lost, doubled or cut: counted, never an error
+        broken = bytearray(media[: len(media) - int(rng.integers(0, 400))])
+        for at in rng.integers(0, len(broken), rng.integers(1, 30)):
+            broken[at] = int(rng.integers(0, 256))
+        transport_stream.features(transport_stream.read_stream(bytes(broken)))
+    assert transport_stream.features(transport_stream.read_stream(b"")) and transport_stream.read_stream(b"G" * 187).packets == 0
+    long_field = bytearray(media)
+    long_field[188 * 2 + 4] = 200  # the first unit's adaptation field
+    assert transport_stream.read_stream(bytes(long_field)).continuity_errors == 1  # the first of its PID, so that no counter jumps
+
+
+def test_program_tables_over_several_packets():
+    body = b"".join((0xE000 | 0x101).to_bytes(2, "big") if i == 0 else b"" for i in range(1)) + b"\xf0\x00"
+    streams = b"".join(bytes([0x06]) + (0xE000 | 0x200 + i).to_bytes(2, "big") + b"\xf0\x00" for i in range(80))
+    section = transport_stream._section(0x02, 1, body + streams)
+    data = b"\x00" + section
+    assert len(data) > 2 * 184
+    out = [transport_stream._PAT]
+    for i in range(0, len(data), 184):
+        head = bytes([0x47]) + ((0x4000 if i == 0 else 0) | 0x100).to_bytes(2, "big") + bytes([0x10 | i // 184])
+        out.append(head + data[i : i + 184].ljust(184, b"\xff"))
+    found = transport_stream.read_stream(b"".join(out))
+    assert found.streams == {0x200 + i: 6 for i in range(80)} and not found.table_errors
+    lost = transport_stream.read_stream(b"".join(out[:2] + out[3:]))
+    assert not lost.streams and lost.continuity_errors == 1
+
+
 def test_segmentation_samples_without_replacement(odd, clashing, empty):
     encoded = segmentation.sample_segmentations(odd, samples=3)
     texts = {r.text or "" for r in odd.collect()}
