@@ -538,6 +538,18 @@ def test_license_scan(spark, odd, clashing, empty):
     assert license_scan.license_scan(empty, license_scan.document_directory()).count() == 0
 
 
+def test_license_scan_reads_wrapped_notices(spark):
+    import textwrap
+
+    from pyspark.sql import functions as F
+
+    name, text = license_scan.TEMPLATES[1]
+    rows = [(1, "\n".join(["code of ours", *textwrap.wrap(text, 60), "more code of ours"]), "a"), (2, "nothing here", "a/b/c"), (3, "\n".join(textwrap.wrap(license_scan.TEMPLATES[9][1], 40)), "a/b"), (4, "x", "a/bc")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, dir string")
+    found = {r.doc_id: (r.license, r.origin) for r in license_scan.license_scan(docs, F.col("dir")).collect()}
+    assert name == "MIT" and found == {1: ("MIT", "own"), 2: ("BSD-3-Clause", "inherited"), 3: ("BSD-3-Clause", "own"), 4: ("MIT", "inherited")}
+
+
 @pytest.mark.parametrize("name", ["op3_license_scan", "op4_secret_scan", "op8_exact_dedup"])
 def test_queries_equal_sql(spark, name):
     from quantloom.llm.queries import ORACLE_SQL, QUERIES
