@@ -156,9 +156,10 @@ def family_pool(items: DataFrame, rates: DataFrame, preferred: Column, k: int) -
     """The k rates of each family that share most of its terms: 4 for each shared word and 8 if preferred; none
     without a shared word."""
     terms = items.select("family", F.explode(F.split(F.lower("text"), r"\W+")).alias("word")).where(F.length("word") > 2).distinct()
-    words = rates.select("rate_id", F.explode(F.array_distinct(F.split(F.lower("name"), r"\W+"))).alias("word"))
+    words = rates.select("rate_id", F.explode(F.split(F.lower("name"), r"\W+")).alias("word")).distinct()
     hits = words.join(terms, "word").groupBy("family", "rate_id").agg(F.count("*").alias("hits"))
-    scored = hits.join(rates.select("rate_id", preferred.alias("preferred")), "rate_id").withColumn("score", F.col("hits") * 4 + F.when(F.col("preferred"), 8).otherwise(0))
+    liked = rates.groupBy("rate_id").agg(F.max(preferred).alias("preferred"))
+    scored = hits.join(liked, "rate_id").withColumn("score", F.col("hits") * 4 + F.when(F.col("preferred"), 8).otherwise(0))
     best = Window.partitionBy("family").orderBy(F.desc("score"), "rate_id")
     return scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("family", "nth", "rate_id", "score")
 

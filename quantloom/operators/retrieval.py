@@ -17,16 +17,30 @@ def _trigrams(text):
     return F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
 
 
-def bm25_search(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _gram_pattern(grams: list[str]) -> str:
+    """A pattern that finds each place where one of the trigrams begins, also where they overlap."""
+    plain = lambda s: "".join(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}" for c in s)
+    heads: dict[str, list[str]] = {}
+    for g in sorted(grams):
+        heads.setdefault(g[0], []).append(plain(g[1:]))
+    return "(?=(" + "|".join(f"{plain(h)}(?:{'|'.join(rest)})" for h, rest in heads.items()) + "))"
+
+
+def bm25_search(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = 1.2, b: float = 0.75, most_grams: int = 10_000) -> DataFrame:
     """(query, nth, id, score): the k best passages of each query by BM25 over character trigrams.
 
-    queries (query, terms) is small: its trigrams are broadcast and filter the postings before any shuffle.
-    Passage lengths and the number of passages cover the whole table.
+    queries (query, terms) is small: its distinct trigrams, `most_grams` at most, make one pattern that finds
+    them in the passages, so that no other trigram of a passage becomes a row and a passage costs in proportion
+    to its length. Passage lengths and the number of passages cover the whole table.
     """
     wanted = queries.select("query", F.explode(F.array_distinct(_trigrams(F.col("terms")))).alias("gram"))
+    grams = [r.gram for r in wanted.select("gram").distinct().limit(most_grams + 1).collect()]
+    if len(grams) > most_grams:
+        raise ValueError(f"the queries have more than {most_grams} trigrams: split them")
+    found = F.regexp_extract_all(F.lower(text_col), F.lit(_gram_pattern(grams)), 1) if grams else F.array().cast("array<string>")
     stats = passages.agg(F.count("*").alias("n"), F.avg(F.greatest(F.length(text_col) - 2, F.lit(0))).alias("mean")).first()
-    postings = passages.select(F.col(id_col).alias("id"), F.greatest(F.length(text_col) - 2, F.lit(0)).alias("len"), F.explode(_trigrams(F.col(text_col))).alias("gram"))
-    tf = postings.join(F.broadcast(wanted.select("gram").distinct()), "gram", "left_semi").groupBy("id", "len", "gram").agg(F.count("*").alias("tf"))
+    postings = passages.select(F.col(id_col).alias("id"), F.greatest(F.length(text_col) - 2, F.lit(0)).alias("len"), F.explode(found).alias("gram"))
+    tf = postings.groupBy("id", "len", "gram").agg(F.count("*").alias("tf"))
     df = tf.groupBy("gram").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(stats["mean"])))
@@ -36,15 +50,20 @@ def bm25_search(passages: DataFrame, queries: DataFrame, id_col: str, text_col:
     return scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("query", "nth", F.col("id").alias(id_col), "score")
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000, depth: int = 0) -> DataFrame:
     """(query, nth, vec_id, distance): the k nearest vectors of each query by Euclidean distance, exactly.
 
-    queries (query, q) are checked to be no more than `most_queries` and go to all tasks as one matrix; each
-    batch of vectors keeps its k best for each query, and a window joins these.
+    Up to `most_queries` of the queries (query, q) go to all tasks as one matrix; each batch of vectors keeps
+    its k best for each query, and a window joins these. More queries are cut in halves by hash, and each half
+    reads the vectors again: any number is answered, in memory that does not grow.
     """
     rows = queries.limit(most_queries + 1).collect()
     if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: split them")
+        if depth > 40:
+            raise ValueError(f"one query stands more than {most_queries} times")
+        half = F.pmod(F.xxhash64(F.lit(depth), "query"), F.lit(2))
+        one, two = (vector_topk(vectors, queries.where(half == i), k, most_queries, depth + 1) for i in (0, 1))
+        return one.unionByName(two)
     names, matrix = np.array([r["query"] for r in rows]), np.array([r["q"] for r in rows], float)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +135,9 @@ def message_lookup(messages: DataFrame, names: DataFrame, term: str, role: str,
 
 
 def passages_by_heading(chunks: DataFrame, id_col: str) -> DataFrame:
-    """(id, text): all chunks of each document in order, parted by blank lines. A document's chunks fit a row."""
-    return chunks.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_order", "chunk"))), lambda c: c["chunk"]), "\n\n").alias("text"))
+    """(id, heading, text): the chunks below each heading of each document in order, parted by blank lines; the
+    heading is null for what comes before any. A section's chunks fit a row."""
+    return chunks.groupBy(id_col, "heading").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_order", "chunk"))), lambda c: c["chunk"]), "\n\n").alias("text"))
 
 
 def norm_index(norms: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,46 +10,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chunk_text(text: str, most: int) -> list[str]:
-    """Sections start at headings; rules are dropped; paragraphs are packed up to `most` characters, longer
-    ones cut there. A text without any chunk is one."""
-    chunks: list[str] = []
-    sections: list[list[str]] = [[]]
-    for line in text.split("\n"):
-        if line.strip() and set(line.strip()) <= {"-"} and len(line.strip()) >= 3:
-            continue
-        if line.startswith("#"):
-            sections.append([])
-        sections[-1].append(line)
-    for section in sections:
-        held = ""
-        for paragraph in filter(None, (p.strip() for p in "\n".join(section).split("\n\n"))):
-            if held and len(held) + 2 + len(paragraph) > most:
-                chunks.append(held)
-                held = ""
-            held = f"{held}\n\n{paragraph}" if held else paragraph
-            while len(held) > most:
-                chunks.append(held[:most])
-                held = held[most:]
+_HEADING = re.compile(r"^#{1,6}\s+(.*?)\s*$", re.M)
+_RULE = re.compile(r"^[^\S\n]*[-_*]{3,}[^\S\n]*$\n?", re.M)
+
+
+def chunk_text(text: str, most: int) -> list[tuple[str | None, str]]:
+    """(heading, chunk): each section's paragraphs, packed up to `most` characters; a longer paragraph is cut
+    there and shares no chunk with others. Lines of -, _ or * alone are dropped. Blank texts have no chunk."""
+    parts = _HEADING.split(text)  # text before any heading, then heading and text in turn
+    out: list[tuple[str | None, str]] = []
+    for heading, body in zip([None, *parts[1::2]], parts[0::2], strict=True):
+        held: list[str] = []
+        for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", _RULE.sub("", body)))):
+            if held and sum(map(len, held)) + 2 * len(held) + len(paragraph) > most:
+                out.append((heading, "\n\n".join(held)))
+                held = []
+            if len(paragraph) <= most:
+                held.append(paragraph)
+            else:
+                cuts = (paragraph[i : i + most].strip() for i in range(0, len(paragraph), most))
+                out += [(heading, c) for c in cuts if c]
         if held:
-            chunks.append(held)
-    return chunks or [text]
+            out.append((heading, "\n\n".join(held)))
+    return out
 
 
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, most: int = 800) -> DataFrame:
-    """(id, chunk_order from 1, chunk) of each document; null texts have none."""
+    """(id, chunk_order from 1, heading, chunk) of each document; null and blank texts have none."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                rows = [(at, n, c) for at, t in enumerate(part.column(1).to_pylist()) if t is not None for n, c in enumerate(chunk_text(t, most), 1)]
+                rows = [(at, n, h, c) for at, t in enumerate(part.column(1).to_pylist()) if t is not None for n, (h, c) in enumerate(chunk_text(t, most), 1)]
                 if rows:
-                    at, n, c = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(n, pa.int32()), pa.array(c, pa.string())], names=[id_col, "chunk_order", "chunk"])
+                    at, n, h, c = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(n, pa.int32()), pa.array(h, pa.string()), pa.array(c, pa.string())], names=[id_col, "chunk_order", "heading", "chunk"])
 
-    return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, chunk_order int, chunk string")
+    return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, chunk_order int, heading string, chunk string")
 
 
 def quality_gate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -18,9 +18,17 @@ def h1(spark, sf_dir):
     return text_jobs.chunk_documents(_docs(spark, sf_dir), "doc_id", "text")
 
 
-@query("h1_chunk_totals", "SELECT doc_id, CAST(greatest(1, ceil(length(text) / 800.0)) AS BIGINT) AS chunks, length(text) AS chars FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '(^|\\n)(#|\\s*-{3,}\\s*(\\n|$))') AND text = trim(text, chr(10) || ' ') AND NOT contains(text, chr(10) || chr(10))")
+#: Texts of one paragraph without headings and rules, which SQL can cut.
+_PLAIN = r"text is not null and not {0}(text, '(^|\n)(#|[ \t]*[-_*]{{3,}}[ \t]*(\n|$))') and not {0}(text, '\n\s*\n')"
+
+
+@query("h1_chunk_totals", f"""
+WITH p AS (SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents WHERE {_PLAIN.format("regexp_matches")}),
+c AS (SELECT doc_id, trim(substr(t, 800 * i + 1, 800), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS chunk FROM (SELECT doc_id, t, unnest(range(CAST(ceil(length(t) / 800.0) AS BIGINT))) AS i FROM p))
+SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM c WHERE chunk <> '' GROUP BY doc_id
+""")
 def h1b(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(r"length(text) > 0 and not (text rlike '(^|\\n)(#|\\s*-{3,}\\s*(\\n|$))') and text = trim(both concat(chr(10), ' ') from text) and not contains(text, concat(chr(10), chr(10)))")
+    docs = _docs(spark, sf_dir).where(_PLAIN.format("regexp").replace("\\", "\\\\"))
     chunks = text_jobs.chunk_documents(docs, "doc_id", "text")
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
 
@@ -34,13 +42,15 @@ def h2(spark, sf_dir):
 
 
 @query("h3_find_price_documents", """
-WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM documents),
-m AS (SELECT *, last_value(CASE WHEN regexp_matches(t, '(?i)^(the|la|der)') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS h FROM l),
+WITH d AS (SELECT page_id AS doc_id, replace(html, '><', '>' || chr(10) || '<') AS text FROM pages),
+l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM d),
+m AS (SELECT *, last_value(CASE WHEN regexp_matches(t, '^<article') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS h FROM l),
 g AS (SELECT doc_id, count(*) FILTER (contains(t, '|')) AS tables, count(*) FILTER (contains(t, '|') AND regexp_matches(t, '[0-9]')) AS nt, count(*) FILTER (regexp_matches(t, '[0-9]') AND line - h <= 200) AS numeric_after FROM m GROUP BY doc_id)
 SELECT doc_id, tables, numeric_after FROM g WHERE numeric_after >= 5 OR (tables >= 3 AND nt > 0.25 * tables)
 """)
 def h3(spark, sf_dir):
-    return text_jobs.find_price_documents(_docs(spark, sf_dir), "doc_id", "text", "(?i)^(the|la|der)")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.replace("html", F.lit("><"), F.lit(">\n<")).alias("text"))
+    return text_jobs.find_price_documents(pages, "doc_id", "text", "^<article")
 
 
 @query("h4_numeric_blocks")
@@ -85,7 +95,7 @@ def h8(spark, sf_dir):
 @query("h9_novelty")
 def h9(spark, sf_dir):
     lines = text_jobs.memory_candidates(table(spark, sf_dir, "conversations"), "the|de", "[!$]").withColumnRenamed("line", "text")
-    memory = _docs(spark, sf_dir).select(F.substring("text", 1, 200).alias("text"), "doc_id")
+    memory = _docs(spark, sf_dir).select("text", "doc_id")
     return text_jobs.novel_candidates(lines, memory, "text", "doc_id")
 
 
@@ -206,4 +216,4 @@ def i9(spark, sf_dir):
 
 @query("i10_passages_by_heading")
 def i10(spark, sf_dir):
-    return retrieval.passages_by_heading(text_jobs.chunk_documents(_docs(spark, sf_dir), "doc_id", "text"), "doc_id").select("doc_id", F.length("text").alias("chars"))
+    return retrieval.passages_by_heading(text_jobs.chunk_documents(_docs(spark, sf_dir), "doc_id", "text"), "doc_id").select("doc_id", "heading", F.length("text").alias("chars"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quantloom.operators import text_jobs
 from quantloom.plans.registry import query
 from quantloom.sources.fixtures import table
 from quantloom.sources.lists import read_master, write_master
+from quantloom.sources.scratch import scratch_path
 from quantloom.streaming import jobs
 
 _NOW = "2024-02-01 00:00:00"
@@ -17,7 +16,7 @@ _NOW = "2024-02-01 00:00:00"
 
 @query("a4_master_roundtrip", "SELECT p_partkey AS row_no, p_name AS descr, CAST(p_size AS VARCHAR) AS qty FROM part")
 def a4(spark, sf_dir):
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/quantloom-scratch'}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     write_master(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.col("p_name").alias("descr"), F.col("p_size").cast("string").alias("qty")), path)
     return read_master(spark, path, "row_no bigint, descr string, qty string")
 
@@ -63,21 +62,25 @@ def n4(spark, sf_dir):
     return jobs.drained(jobs.deduplicated_stream(_event_stream(spark, sf_dir), ["user_id", "event_type"], "ts", "40 days").select("user_id", "event_type"))
 
 
-@query("n5_decay_scores", f"""
-WITH a AS (SELECT item_id, count(*) AS c, max(ts) AS last FROM access GROUP BY item_id), i AS (SELECT c_custkey AS item_id, 0.5::DOUBLE + c_custkey % 10 / 10.0::DOUBLE AS base FROM customer)
-SELECT i.item_id, base, coalesce(c, 0) AS count, round(least(greatest(base * exp(-0.05::DOUBLE * coalesce((epoch_us(TIMESTAMP '{_NOW}') - epoch_us(last)) / 86400000000.0::DOUBLE, 0)) * (1 + 0.3::DOUBLE * ln(1 + coalesce(c, 0))), 0), 10), 6) AS score FROM i LEFT JOIN a ON a.item_id = i.item_id
-""")
-def n5(spark, sf_dir):
+_SCORES = f"""
+WITH a AS (SELECT item_id, count(*) AS c, max(ts) AS last FROM access GROUP BY item_id), i AS (SELECT c_custkey AS item_id, 0.5::DOUBLE + c_custkey % 10 / 10.0::DOUBLE AS base FROM customer),
+s AS (SELECT i.item_id, base, coalesce(c, 0) AS count, round(least(greatest(base * exp(-0.05::DOUBLE * coalesce((epoch_us(TIMESTAMP '{_NOW}') - epoch_us(last)) / 86400000000.0::DOUBLE, 0)) * (1 + 0.3::DOUBLE * ln(1 + coalesce(c, 0))), 0), 10), 6) AS score FROM i LEFT JOIN a ON a.item_id = i.item_id)
+"""
+
+
+def _scores(spark, sf_dir):
     items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), (F.lit(0.5) + F.col("c_custkey") % 10 / 10.0).alias("base"))
     return jobs.decay_scores(items, table(spark, sf_dir, "access"), F.lit(_NOW).cast("timestamp"), 0.05, 0.3)
 
 
-@query("n6_decay_cleanup", """
-SELECT i.item_id, score FROM (SELECT c_custkey AS item_id, round(0.01 * (c_custkey % 9), 6) AS score FROM customer) i WHERE score < 0.05 ORDER BY score, item_id
-""".replace("round(0.01 * (c_custkey % 9), 6)", "round(0.01::DOUBLE * (c_custkey % 9), 6)"))
+@query("n5_decay_scores", f"{_SCORES} SELECT * FROM s")
+def n5(spark, sf_dir):
+    return _scores(spark, sf_dir)
+
+
+@query("n6_decay_cleanup", f"{_SCORES} SELECT item_id, score FROM s WHERE score < 0.8 ORDER BY score, item_id")
 def n6(spark, sf_dir):
-    scores = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.round(0.01 * (F.col("c_custkey") % 9), 6).alias("score"))
-    return jobs.decay_cleanup(scores)
+    return jobs.decay_cleanup(_scores(spark, sf_dir).select("item_id", "score"), 0.8)
 
 
 @query("n7_session_growth", """

@@ -116,8 +116,8 @@ def c7(spark, sf_dir):
 
 _WEIGHTS = {"keyword": 30.0, "chapter": 15.0, "unit": 30.0, "other_unit": -30.0}
 _SCORED = """
-i AS (SELECT p_partkey AS item, p_type AS u, p_brand AS ch, unnest(list_distinct(string_split(lower(p_name), ' '))) AS word FROM part WHERE p_partkey % 10 = 0),
-n AS (SELECT p_partkey AS norm, p_type AS unit, p_brand AS chapter, concat('N', p_partkey % 50) AS code, unnest(list_distinct(string_split(lower(p_name), ' '))) AS word FROM part WHERE p_partkey % 10 <> 0),
+i AS (SELECT p_partkey AS item, p_type AS u, p_brand AS ch, unnest(list_distinct(string_split(lower(p_name), ' '))) AS word FROM part WHERE p_partkey % 100 = 0),
+n AS (SELECT p_partkey AS norm, p_type AS unit, p_brand AS chapter, concat('N', p_partkey % 50) AS code, unnest(list_distinct(string_split(lower(p_name), ' '))) AS word FROM part WHERE p_partkey % 100 <> 0),
 s AS (SELECT item, norm, code, count(*) * 30.0 + CASE WHEN ch = chapter THEN 15 ELSE 0 END + CASE WHEN u = unit THEN 30 ELSE -30 END AS score FROM i JOIN n USING (word) WHERE length(word) > 2 GROUP BY item, norm, code, ch, chapter, u, unit),
 b AS (SELECT item, code, CAST(score AS DOUBLE) AS score, norm FROM (SELECT *, row_number() OVER (PARTITION BY item, code ORDER BY score DESC, norm) AS k FROM s) WHERE k = 1),
 m AS (SELECT item, code, score, norm, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, norm) AS INTEGER) AS nth FROM b)
@@ -126,8 +126,8 @@ m AS (SELECT item, code, score, norm, CAST(row_number() OVER (PARTITION BY item
 
 def _scored(spark, sf_dir, top=3):
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("unit"), F.col("p_brand").alias("chapter"), F.col("p_name").alias("text"))
-    items = part.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "item")
-    norms = part.where("p_partkey % 10 <> 0").withColumn("code", F.concat(F.lit("N"), F.col("p_partkey") % 50)).withColumnRenamed("p_partkey", "norm")
+    items = part.where("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "item")
+    norms = part.where("p_partkey % 100 <> 0").withColumn("code", F.concat(F.lit("N"), F.col("p_partkey") % 50)).withColumnRenamed("p_partkey", "norm")
     return reconcile.multi_factor_match(items, norms, _WEIGHTS, top)
 
 
@@ -151,20 +151,20 @@ def c9(spark, sf_dir):
 
 @query("c10_rerank_candidates")
 def c10(spark, sf_dir):
-    rates = table(spark, sf_dir, "rates").where("price > 100")
+    rates = table(spark, sf_dir, "rates")
     pool = reconcile.family_pool(_families(spark, sf_dir), rates, F.col("specialty") == "Brand#11", 40)
-    items = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("item_text"), F.col("p_type").alias("item_unit"), F.col("p_brand").alias("family"))
+    items = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("item_text"), F.col("p_type").alias("item_unit"), F.col("p_brand").alias("family"))
     pairs = items.join(pool, "family").join(rates.select("rate_id", "name", "unit", (F.col("specialty") == "Brand#11").alias("specialty_fit")), "rate_id")
     return reconcile.rerank_candidates(pairs.drop("score", "nth"), 5, 20.0)
 
 
 def _families(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_brand").alias("family"), F.col("p_name").alias("text"))
+    return table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_brand").alias("family"), F.col("p_name").alias("text"))
 
 
 @query("c11_family_pool", """
-WITH t AS (SELECT DISTINCT p_brand AS family, unnest(string_split(lower(p_name), ' ')) AS word FROM part WHERE p_partkey % 20 = 0),
-w AS (SELECT rate_id, specialty, unnest(list_distinct(string_split(lower(name), ' '))) AS word FROM rates),
+WITH t AS (SELECT DISTINCT p_brand AS family, unnest(string_split(lower(p_name), ' ')) AS word FROM part WHERE p_partkey % 100 = 0),
+w AS (SELECT DISTINCT rate_id, specialty, unnest(list_distinct(string_split(lower(name), ' '))) AS word FROM rates),
 s AS (SELECT family, rate_id, CAST(count(*) * 4 + max(CASE WHEN specialty = 'Brand#11' THEN 8 ELSE 0 END) AS BIGINT) AS score FROM w JOIN t USING (word) WHERE length(word) > 2 GROUP BY family, rate_id)
 SELECT family, nth, rate_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY family ORDER BY score DESC, rate_id) AS INTEGER) AS nth FROM s) WHERE nth <= 30
 """)

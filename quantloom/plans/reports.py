@@ -142,17 +142,17 @@ def d20(spark, sf_dir):
 
 
 def _grid(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_size <= 8")
-    counts = part.groupBy("p_brand", "p_type").pivot("p_size", list(range(1, 9))).count()
-    body = counts.select("p_brand", F.expr("cast(2 + ascii(p_type) as int)").alias("row"), F.array("p_type", *(F.coalesce(F.col(str(i)).cast("string"), F.lit("")) for i in range(1, 9))).alias("cells"))
+    part = table(spark, sf_dir, "part")
+    counts = part.groupBy("p_brand", "p_type").pivot("p_size", list(range(1, 51))).count()
+    body = counts.select("p_brand", F.expr("cast(2 + ascii(p_type) as int)").alias("row"), F.array("p_type", *(F.coalesce(F.col(str(i)).cast("string"), F.lit("")) for i in range(1, 51))).alias("cells"))
     brands = part.select("p_brand").distinct()
-    heads = brands.select("p_brand", F.lit(0).alias("row"), F.array(F.lit("name"), *(F.lit(str(10000 + i)) for i in range(1, 9))).alias("cells"))
-    attributes = brands.select("p_brand", F.lit(1).alias("row"), F.array(F.lit(""), *(F.lit(f"size {i}") for i in range(1, 9))).alias("cells"))
+    heads = brands.select("p_brand", F.lit(0).alias("row"), F.array(F.lit("name"), *(F.lit(str(10000 + i)) for i in range(1, 51))).alias("cells"))
+    attributes = brands.select("p_brand", F.lit(1).alias("row"), F.array(F.lit(""), *(F.lit(f"size {i}") for i in range(1, 51))).alias("cells"))
     return body.unionByName(heads).unionByName(attributes)
 
 
 @query("j1_grid_to_long", """
-SELECT p_brand, CAST(2 + ascii(p_type) AS INTEGER) AS row, CAST(10000 + p_size AS VARCHAR) AS code, concat('size ', p_size) AS attribute, p_type AS name, CAST(count(*) AS VARCHAR) AS value FROM part WHERE p_size <= 8 GROUP BY p_brand, p_type, p_size
+SELECT p_brand, CAST(2 + ascii(p_type) AS INTEGER) AS row, CAST(10000 + p_size AS VARCHAR) AS code, concat('size ', p_size) AS attribute, p_type AS name, CAST(count(*) AS VARCHAR) AS value FROM part GROUP BY p_brand, p_type, p_size
 """)
 def j1(spark, sf_dir):
     return reshape.grid_to_long(_grid(spark, sf_dir), "p_brand")
@@ -312,12 +312,13 @@ def m4(spark, sf_dir):
 
 
 @query("m5_same_content_pairs", """
-WITH s AS (SELECT page_id AS id, regexp_replace(regexp_replace(url, '^https?://(m\\.|blog\\.)?', ''), '[?#].*$', '') AS stem FROM pages),
+WITH s AS (SELECT page_id AS id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://(m\\.|blog\\.)?', ''), '[?#].*$', ''), '/[^/]*$', '') AS stem FROM pages),
 a AS (SELECT * FROM s WHERE id % 2 = 0), b AS (SELECT * FROM s WHERE id % 2 = 1)
 SELECT a.id AS id_a, b.id AS id_b FROM a JOIN b ON (contains(b.stem, a.stem) OR contains(a.stem, b.stem)) WHERE length(a.stem) >= 8 AND length(b.stem) >= 8
 """)
 def m5(spark, sf_dir):
     stem = F.regexp_replace(F.regexp_replace("url", r"^https?://(m\.|blog\.)?", ""), r"[?#].*$", "")
+    stem = F.regexp_replace(stem, r"/[^/]*$", "")
     s = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), stem.alias("stem"))
     return checks.same_content_pairs(s.where("id % 2 = 0"), s.where("id % 2 = 1"))
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/quantloom-scratch'}/{uuid.uuid4().hex}"
+from quantloom.sources.scratch import scratch_path
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -21,7 +18,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     from the last batch.
     """
     spark = stream.sparkSession
-    base = _scratch(spark)
+    base = scratch_path(spark)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

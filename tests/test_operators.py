@@ -64,9 +64,10 @@ def test_pool_keeps_the_latest_with_the_smallest_id(spark):
 
 
 def test_chunks():
-    text = "# A\n\n" + "x" * 500 + "\n\n" + "y" * 400 + "\n\n---\n\n" + "z" * 1700
+    text = "ahead\n# A\n\n" + "x" * 500 + "\n \n" + "y" * 200 + "\n\n***\n" + "z" * 1700 + "\n\ntail\n## B c \nmore\n___\nlines"
     chunks = text_jobs.chunk_text(text, 800)
-    assert [len(c) for c in chunks] == [505, 400, 800, 800, 100] and text_jobs.chunk_text("", 800) == [""]
+    assert [(h, len(c)) for h, c in chunks] == [(None, 5), ("A", 702), ("A", 800), ("A", 800), ("A", 100), ("A", 4), ("B c", 10)]
+    assert text_jobs.chunk_text(" \n", 800) == []
 
 
 def test_alignment_keeps_order(spark):

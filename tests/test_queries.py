@@ -25,11 +25,7 @@ def plain(value):
     return value if isinstance(value, (int, str, bool, type(None))) else str(value)
 
 
-#: rate_id repeats at this size, and the SQL of these counts such rows twice.
-LARGER_ONLY = {"c11_family_pool"}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - LARGER_ONLY))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
