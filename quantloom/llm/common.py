@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,8 +60,10 @@ def stored(df: DataFrame) -> DataFrame:
 def freed(table: DataFrame) -> DataFrame:
     """The stored table, after Spark was asked to delete the shuffle files of the steps that led to it: it does
     so when the driver's JVM finds that nothing refers to them, which else may take until the end of the job."""
-    gc.collect()
-    table.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the listeners of the last step let go of it a little later
+        gc.collect()
+        table.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return table
 
 
