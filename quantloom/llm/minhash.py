@@ -103,6 +103,22 @@ class _Links:
         """As retained."""
         return (n - self.partner(n) + self.common(n)).cast("int")
 
+    def common_of(self, n: Column, m: Column) -> Column:
+        """The fewest retained values that linked sets of n and m share.
+
+        They have overlap(n, m) values in common. Of the retained ones, n - overlap of one set are its own at
+        most, and m - overlap of the other; the smallest common values are retained by both.
+        """
+        return F.least(self.retained(n) - n, self.retained(m) - m) + self.overlap(n, m)
+
+    def overlap(self, n: Column, m: Column) -> Column:
+        return F.ceil(F.lit(self.percent) * (n + m) / (100 + self.percent))
+
+    def needed(self, n: Column) -> Column:
+        """The least of common_of over the sizes of sets that one of n can be linked with."""
+        m = self.partner(n)
+        return F.least(self.common(n), self.common(m) + m - self.partner(m))
+
     def postings(self, classes: DataFrame) -> DataFrame:
         """(id, n, shared, sum_df) of the sets that share enough retained values with others to have a link;
         shared has these values with the number of sketches that retain them, from the rarest on."""
@@ -110,18 +126,18 @@ class _Links:
         seen = stored(held.groupBy("v").agg(F.count("*").alias("seen")).where("seen > 1"))
         posted = salted_join(held, seen.withColumn("df", F.col("seen")), ["v"], F.col("id"), "inner")
         rows = posted.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"), F.sum("df").alias("sum_df"))
-        return rows.where(F.size("shared") >= self.common(self.partner(F.col("n"))))
+        return rows.where(F.size("shared") >= self.needed(F.col("n")))
 
     def lists(self, postings: DataFrame) -> DataFrame:
         """Inverted lists (v, id, n, rest, typical) of the values through which a pair must be met.
 
-        Two linked sets share at least common(n) of their retained values. In the order from the rarest value
-        to the commonest, the first that both have is thus among the first r - common(n) + 1 of either. Values
+        Two linked sets share at least needed(n) of their retained values. In the order from the rarest value
+        to the commonest, the first that both have is thus among the first r - needed(n) + 1 of either. Values
         of one sketch alone take part in the count only. rest counts the shared values from v
         on in that order, typical is the mean size of the lists.
         """
         s = F.size("shared").cast("bigint")
-        first = s - self.common(self.partner(F.col("n"))) + 1
+        first = s - self.needed(F.col("n")) + 1
         rows = postings.select("id", "n", s.alias("s"), (F.col("sum_df") / F.col("n")).alias("typical"), F.slice("shared", F.lit(1), first.cast("int")).alias("head"))
         rows = rows.select("id", "n", "s", "typical", F.posexplode("head.v").alias("nth", "v"))
         return rows.select("v", "id", "n", (F.col("s") - F.col("nth")).alias("rest"), "typical")
@@ -131,7 +147,7 @@ class _Links:
         the rarest on, they share no more retained values than either has from there on. A pair whose first
         common value is another one is proposed there, or nowhere. Sizes too far apart are no link."""
         p, n, m = self.percent, F.col(f"{a}.n"), F.col(f"{b}.n")
-        return (100 * F.least(n, m) >= p * F.greatest(n, m)) & (F.least(f"{a}.rest", f"{b}.rest") >= self.common(F.least(n, m)))
+        return (100 * F.least(n, m) >= p * F.greatest(n, m)) & (F.least(f"{a}.rest", f"{b}.rest") >= self.common_of(n, m))
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links.
@@ -144,7 +160,7 @@ class _Links:
         two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
         met = pairs.join(two, "b").join(one, "a")
         both = F.col("na") + F.col("nb")
-        most = both - 2 * F.ceil(F.lit(self.percent) * both / (100 + self.percent))
+        most = both - 2 * self.overlap(F.col("na"), F.col("nb"))
         ra, rb = self.retained(F.col("na")), self.retained(F.col("nb"))
         ka, kb = F.slice("sa", F.lit(1), ra), F.slice("sb", F.lit(1), rb)
         upto = F.least(F.element_at("sa", ra), F.element_at("sb", rb))
@@ -157,7 +173,7 @@ def _with_components(lists: DataFrame, components: DataFrame) -> DataFrame:
     return lists.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, least: int = 24, spare: int = 6, rounds: int = 3, work: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, least: int = 96, spare: int = 6, rounds: int = 3, work: int = 1000) -> DataFrame:
     """(id, n_shingles, component_id, kept, text_key): groups of documents that share most of their shingles.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set has its distinct runs of

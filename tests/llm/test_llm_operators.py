@@ -142,12 +142,17 @@ def test_sketches_of_linked_sets_share_enough(percent, least, spare):
         common = -(-percent * (n + m) // (100 + percent))
         if common > n:
             continue
-        values = rng.permutation(1 << 20)[: n + m - common]
+        values = rng.permutation(2048)[: n + m - common]
         if rng.random() < 0.5:  # the worst order: what only one set has comes first
             values = np.sort(values)[::-1]
         a, b = values[:n], np.concatenate([values[n - common : n], values[n:]])
         kept = [set(np.sort(x)[: minhash.retained(len(x), percent, least, spare)].tolist()) for x in (a, b)]
-        assert len(kept[0] & kept[1]) >= minhash.in_common(n, percent, least, spare)
+        shared, size = len(kept[0] & kept[1]), lambda x: minhash.retained(x, percent, least, spare)
+        assert shared >= minhash.in_common(n, percent, least, spare)
+        assert shared >= min(size(n) - n, size(m) - m) + common
+        for x in (n, m):  # as _Links.needed
+            y = -(-percent * x // 100)
+            assert shared >= min(minhash.in_common(x, percent, least, spare), minhash.in_common(y, percent, least, spare) + y - -(-percent * y // 100))
 
 
 def test_near_duplicates_of_repeated_rows(spark):
