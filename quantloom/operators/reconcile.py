@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.text import description_key
-from quantloom.functions.udfs import sequence_ratio
+from quantloom.functions.udfs import ratio_from, sequence_ratio
 
 
 def _block(code: Column) -> Column:
@@ -16,43 +16,61 @@ def _block(code: Column) -> Column:
     return F.array_join(F.slice(F.split(code, r"\."), 1, 2), ".")
 
 
-def match_candidates(base: DataFrame, other: DataFrame, threshold: float | None) -> DataFrame:
+def match_candidates(base: DataFrame, other: DataFrame, threshold: float | None, exact_similarity: float | None = None) -> DataFrame:
     """(other_row, base_row, stage, score): equal codes, then base codes below the other's code, then (with a
-    threshold) texts of one block that are similar enough.
+    threshold) texts that are similar enough.
 
-    The prefix stage is an equi-join on exploded ancestor codes. The text stage compares distinct texts of a
-    block and unit, so that repeated texts cost one comparison.
+    The prefix stage is an equi-join on exploded ancestor codes. With exact_similarity, an equal code whose
+    texts are less similar than that is a weak match: it scores 0.6 and comes after the prefix stage. The
+    text stage looks in the block (the first two parts of a code); if base has no row there, among the rows
+    of the group (the first part) without a second part; if there is none either, in the whole group. It
+    compares distinct texts, so that repeated texts cost one comparison; of equal scores the first base row counts.
     """
-    o = other.select(F.col("row_no").alias("other_row"), F.col("code").alias("other_code"), description_key(F.col("descr")).alias("other_text"), _block(F.col("code")).alias("block"), "unit")
-    b = base.select(F.col("row_no").alias("base_row"), F.col("code").alias("base_code"), description_key(F.col("descr")).alias("base_text"), _block(F.col("code")).alias("block"), "unit")
-    exact = o.join(b, F.col("other_code") == F.col("base_code")).select("other_row", "base_row", F.lit(1).alias("stage"), F.lit(1.0).alias("score"))
+    group = lambda code: F.substring_index(code, ".", 1)
+    o = other.select(F.col("row_no").alias("other_row"), F.col("code").alias("other_code"), description_key(F.col("descr")).alias("other_text"), _block(F.col("code")).alias("block"))
+    b = base.select(F.col("row_no").alias("base_row"), F.col("code").alias("base_code"), description_key(F.col("descr")).alias("base_text"), _block(F.col("code")).alias("block"))
+    exact = o.join(b.drop("block"), F.col("other_code") == F.col("base_code"))
+    if exact_similarity is None:
+        exact = exact.select("other_row", "base_row", F.lit(1).alias("stage"), F.lit(1.0).alias("score"))
+    else:
+        alike = F.coalesce(F.col("other_text") == F.col("base_text"), F.lit(False)) | (sequence_ratio("base_text", "other_text") >= exact_similarity)
+        exact = exact.withColumn("alike", alike).select("other_row", "base_row", F.when(F.col("alike"), 1).otherwise(2).alias("stage"), F.when(F.col("alike"), 1.0).otherwise(0.6).alias("score"))
     parts = F.split("base_code", r"\.")
     above = b.select("base_row", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), ".")))).alias("other_code"))
     prefix = o.join(above, "other_code").select("other_row", "base_row", F.lit(2).alias("stage"), F.lit(0.85).alias("score"))
     out = exact.unionByName(prefix)
     if threshold is None:
         return out
-    rest = o.join(out, "other_row", "left_anti")
-    pairs = rest.select("block", "unit", "other_text").distinct().join(b.select("block", "unit", "base_text").distinct(), ["block", "unit"])
+    rest = o.join(out, "other_row", "left_anti").where("block is not null")
+    # Where each block of the rest looks: pool is a block of base, or a group with "*" for all its blocks.
+    have = b.select("block").where("block is not null").distinct()
+    wanted = rest.select("block").distinct().withColumn("group", group("block"))
+    own = wanted.join(have.withColumn("own", F.lit(True)), "block", "left").join(have.select(F.col("block").alias("group"), F.lit(True).alias("bare")), "group", "left")
+    looks = own.select("block", F.when(F.col("own"), F.col("block")).when(F.col("bare"), F.col("group")).otherwise(F.concat("group", F.lit(".*"))).alias("pool"))
+    pools = b.withColumn("pool", F.explode(F.array("block", F.concat(group("block"), F.lit(".*"))))).join(looks.select("pool").distinct(), "pool", "left_semi")
+    pools = pools.groupBy("pool", "base_text").agg(F.min("base_row").alias("base_row"))
+    asked = rest.join(looks, "block").select("other_row", "pool", "other_text")
+    pairs = asked.select("pool", "other_text").distinct().join(pools, "pool")
     near = F.least(F.length("other_text"), F.length("base_text")) * 2 >= threshold * (F.length("other_text") + F.length("base_text"))
-    pairs = pairs.where(near).withColumn("score", F.when(F.col("other_text") == F.col("base_text"), 1.0).otherwise(sequence_ratio("base_text", "other_text"))).where(F.col("score") >= threshold)
-    first = Window.partitionBy("block", "unit", "other_text").orderBy(F.desc("score"), "base_text")
-    pairs = pairs.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    best = b.groupBy("block", "unit", "base_text").agg(F.min("base_row").alias("base_row"))
-    fuzzy = rest.join(pairs, ["block", "unit", "other_text"]).join(best, ["block", "unit", "base_text"])
-    return out.unionByName(fuzzy.select("other_row", "base_row", F.lit(3).alias("stage"), "score"))
+    score = F.when(F.col("other_text") == F.col("base_text"), 1.0).otherwise(ratio_from("base_text", "other_text", F.lit(float(threshold))))
+    # Few bytes but much work: a fixed number of partitions, which adaptive execution does not merge.
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.where(near).repartition(tasks, "pool", "other_text").withColumn("score", score)
+    best = pairs.groupBy("pool", "other_text").agg(F.max(F.struct("score", (-F.col("base_row")).alias("minus"))).alias("top")).where(F.col("top.score") >= threshold)
+    fuzzy = asked.join(best, ["pool", "other_text"])
+    return out.unionByName(fuzzy.select("other_row", (-F.col("top.minus")).alias("base_row"), F.lit(3).alias("stage"), F.col("top.score").alias("score")))
 
 
-def cascade_match(base: DataFrame, other: DataFrame, threshold: float | None = 0.75) -> DataFrame:
+def cascade_match(base: DataFrame, other: DataFrame, threshold: float | None = 0.75, exact_similarity: float | None = None) -> DataFrame:
     """For each row of other its best base row: the lowest stage, then the highest score, then base order."""
     best = Window.partitionBy("other_row").orderBy("stage", F.desc("score"), "base_row")
-    return match_candidates(base, other, threshold).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+    return match_candidates(base, other, threshold, exact_similarity).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 
 
-def cascade_match_one_to_one(base: DataFrame, other: DataFrame, threshold: float | None = 0.75) -> DataFrame:
+def cascade_match_one_to_one(base: DataFrame, other: DataFrame, threshold: float | None = 0.75, exact_similarity: float | None = 0.5) -> DataFrame:
     """As cascade_match, but a base row goes to the first row of other that wants it; later ones are unmatched
     (base_row null)."""
-    found = cascade_match(base, other, threshold)
+    found = cascade_match(base, other, threshold, exact_similarity)
     first = Window.partitionBy("base_row").orderBy("other_row")
     kept = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     return other.select(F.col("row_no").alias("other_row")).join(kept, "other_row", "left")
@@ -268,13 +286,13 @@ def candidate_divisions(groups: DataFrame, vocabulary: DataFrame, router: list[t
     return reduce(DataFrame.unionByName, forced, words.join(F.broadcast(named), "word").select("grp", "division")).distinct()
 
 
-def unified_list(base: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+def unified_list(base: DataFrame, sources: dict[str, DataFrame], threshold: float | None = 0.75, exact_similarity: float | None = 0.5) -> DataFrame:
     """Base rows in order with a quantity column for each source, then each source's unmatched rows at the end
     of their block: (block, kind, source_no, row_no, code, base_qty, <source>_qty ...)."""
     out = base.select(_block(F.col("code")).alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("source_no"), "row_no", "code", F.col("qty").alias("base_qty"))
     extra = []
     for i, (label, df) in enumerate(sources.items(), 1):
-        found = cascade_match_one_to_one(base, df, None)
+        found = cascade_match_one_to_one(base, df, threshold, exact_similarity)
         qty = df.select(F.col("row_no").alias("other_row"), "code", F.col("qty").alias(f"{label}_qty")).join(found, "other_row")
         out = out.join(qty.where("base_row is not null").select(F.col("base_row").alias("row_no"), f"{label}_qty"), "row_no", "left")
         extra.append(qty.where("base_row is null").select(_block(F.col("code")).alias("block"), F.lit(1).alias("kind"), F.lit(i).alias("source_no"), F.col("other_row").alias("row_no"), "code", f"{label}_qty"))

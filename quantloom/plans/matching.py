@@ -43,7 +43,13 @@ SELECT row_no AS other_row, base_row, stage, CAST(score AS DOUBLE) AS score FROM
 """)
 def c2(spark, sf_dir):
     a, b = _boq(spark, sf_dir, "a", "b")
-    return reconcile.cascade_match_one_to_one(a, b, None)
+    return reconcile.cascade_match_one_to_one(a, b, None, None)
+
+
+@query("c2_one_to_one_similar")
+def c2s(spark, sf_dir):
+    a, b = _boq(spark, sf_dir, "a", "b")
+    return reconcile.cascade_match_one_to_one(a, b)
 
 
 @query("c3_compare_many", """
@@ -291,7 +297,13 @@ UNION ALL SELECT {_BLOCK}, 1, 1, row_no, code, NULL, qty FROM boq_b WHERE row_no
 """)
 def c22(spark, sf_dir):
     a, b = _boq(spark, sf_dir, "a", "b")
-    return reconcile.unified_list(a, {"b": b})
+    return reconcile.unified_list(a, {"b": b}, None, None)
+
+
+@query("c22_unified_list_similar")
+def c22s(spark, sf_dir):
+    a, b, c = _boq(spark, sf_dir, "a", "b", "c")
+    return reconcile.unified_list(a, {"b": b, "c": c})
 
 
 @query("g1_three_way_sync", f"""
