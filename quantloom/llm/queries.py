@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import exact_dedup, language_id, license_scan, minhash, packing, quality, repeated_spans, secret_scan, segmentation, transport_stream
+from quantloom.llm import exact_dedup, language_id, lexical_search, license_scan, minhash, packing, prefix_trie, quality, repeated_spans, secret_scan, segmentation, toxicity, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_repeated_spans": repeated_spans.op9_repeated_spans,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_conversation_trie": prefix_trie.op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": license_scan.OP3_SQL,
     "op4_secret_scan": secret_scan.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
+    "op13_conversation_trie": prefix_trie.OP13_SQL,
 }
