@@ -198,27 +198,33 @@ def _ended(texts: tuple[bytes, ...], data: np.ndarray, offsets: np.ndarray, entr
     return np.stack([np.bincount(owner[order], x, len(sizes)).astype(np.int64) for x in finished]), leave[:, place[-1]]
 
 
-def learn_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int = 128, symbols_per_language: int = 24_000, symbols_per_text: int = 6_000, most_languages: int = 64) -> dict[str, bytes]:
+def learn_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int = 128, symbols_per_language: int = 24_000, symbols_per_text: int = 6_000, most_docs: int = 8192, most_symbols: int = 1_500_000) -> dict[str, bytes]:
     """Reference text of each language from a bounded sample of the labelled rows of docs.
 
-    For each of the `most_languages` commonest languages, at most `docs_per_language` whole texts of no more than
-    `symbols_per_text` bytes, those with the smallest hashes of their ids, as many as `symbols_per_language`
-    bytes hold after normalisation. Rows that repeat an id and text count once. So at most most_languages *
-    docs_per_language texts of bounded length reach the driver.
+    Every language with a labelled row that has a letter is learned, from at most `docs_per_language` rows, those
+    with the smallest hashes of their ids, and `symbols_per_language` bytes after normalisation. Of a text with more
+    than `symbols_per_text` characters, as many from a place that its id's hash chooses are learned from. Where there
+    are so many languages that these would pass `most_docs` rows or `most_symbols` bytes in all, each gets an equal
+    part, one row at least. Rows that repeat an id and text count once.
     """
-    fit = F.octet_length(text_col).between(1, symbols_per_text)
-    known = docs.where(F.col(lang_col).isNotNull() & fit).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    text = F.col(text_col)
+    known = docs.where(F.col(lang_col).isNotNull() & has_letter(text_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
+    languages = max(1, known.select("lang").distinct().count())
+    rows_each, symbols_each = min(docs_per_language, max(1, most_docs // languages)), min(symbols_per_language, max(256, most_symbols // languages))
     # Numbers come first, and texts are fetched for the chosen ones only.
     by_hash = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = known.select("lang", "h", "id").join(F.broadcast(common.select("lang")), "lang").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= docs_per_language)
-    chosen = F.broadcast(chosen.select("lang", "id").distinct())  # bounded as above
-    rows = known.where("id is not null").join(chosen, ["lang", "id"]).groupBy("lang", "h", "id").agg(F.min("text").alias("text")).collect()
+    chosen = known.select("lang", "h", "id").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= rows_each)
+    chosen = chosen.select("lang", "id").distinct()
+    chosen = F.broadcast(chosen) if languages <= most_docs else chosen  # at most most_docs rows, or one for each language
+    size = F.length("text")
+    piece = F.when(size > symbols_per_text, F.substring("text", (F.pmod("h", size - symbols_per_text + 1) + 1).cast("int"), F.lit(symbols_per_text))).otherwise(F.col("text"))
+    rows = known.where("id is not null").join(chosen, ["lang", "id"]).select("lang", "h", "id", piece.alias("text")).groupBy("lang", "h", "id").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.id)):
         raw = np.frombuffer(r.text.encode(), np.uint8)
-        letters = _letters(raw, np.array([0, len(raw)]))[0].tobytes()
-        if letters.strip(b"\x00") and sum(map(len, texts.get(r.lang, []))) + len(letters) <= symbols_per_language:
+        room = symbols_each - sum(map(len, texts.get(r.lang, [])))
+        letters = _letters(raw, np.array([0, len(raw)]))[0][: max(0, room)].tobytes()
+        if letters.strip(b"\x00"):
             texts.setdefault(r.lang, []).append(letters)
     return {lang: b"\x00".join(parts) for lang, parts in sorted(texts.items())}
 
