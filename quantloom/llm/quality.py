@@ -161,33 +161,36 @@ def fit_field(x: np.ndarray, size: np.ndarray, counts: np.ndarray, labels: np.nd
     return LineField(mean, scale, w, moves, float(a[0]), float(a[1]))
 
 
-def _lines_of(docs: DataFrame, text_col: str) -> DataFrame:
-    """(h, label, lines, sizes, features): all lines of each row, as bytes, for fitting."""
+def _lines_of(docs: DataFrame, text_col: str, most_lines: int) -> DataFrame:
+    """(h, label, lines, sizes, features): the lines of each row, as bytes, for fitting. Of a text with more than
+    `most_lines`, so many in a row, from a place that h chooses."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in slices(batch, "text"):
                 x, size, counts = line_features(data, offsets)
-                edge = np.concatenate([[0], np.cumsum(counts)])
-                xs = [x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                ss = [size[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 part = batch.slice(first, last - first)
+                begin = np.cumsum(counts) - counts
+                begin = begin + np.asarray(part.column(1)) % np.maximum(1, counts - most_lines + 1)
+                counts = np.minimum(counts, most_lines)
+                xs = [x[a:b].tobytes() for a, b in zip(begin, begin + counts, strict=True)]
+                ss = [size[a:b].tobytes() for a, b in zip(begin, begin + counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(counts, pa.int64()), pa.array(ss, pa.binary()), pa.array(xs, pa.binary())], names=["h", "label", "lines", "sizes", "features"])
 
     return docs.select(F.col(text_col).alias("text"), "h", "label").mapInArrow(lines, "h bigint, label int, lines bigint, sizes binary, features binary")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_docs: int = 3000, most_lines: int = 200) -> LineField | None:
-    """Fit on at most `most_docs` labelled rows: those with the smallest hashes of their ids, of the rows with
-    1 to `most_lines` lines.
+    """Fit on at most `most_docs` labelled rows with a line: those with the smallest hashes of their ids. Of a row with
+    more than `most_lines` lines, so many that follow one another are taken.
 
     Executors make the features of whole texts; the driver gets this bounded sample. None if nothing is labelled.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("id"))
-    picked = F.broadcast(known.orderBy("h", "id").limit(2 * most_docs))  # some will be too long, or have no text
+    picked = F.broadcast(known.orderBy("h", "id").limit(2 * most_docs))  # some will have no text
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    found = _lines_of(texts.join(picked, "id").select("t", "h", "label"), "t").where(F.col("lines").between(1, most_lines))
+    found = _lines_of(texts.join(picked, "id").select("t", "h", "label"), "t", most_lines).where("lines > 0")
     rows = found.orderBy("h", "sizes", "features").limit(most_docs).collect()
     if not rows:
         return None

@@ -198,3 +198,36 @@ def test_toxicity_on_held_out_rows(spark):
     count = collections.Counter((r.toxic, r.predicted) for r in found.collect())
     assert count[1, 1] > 0.9 * (count[1, 1] + count[1, 0])
     assert count[0, 1] < 0.005 * (count[0, 1] + count[0, 0])
+
+
+@pytest.mark.parametrize("digest", [True, False])
+@pytest.mark.parametrize("text", [None, ""])
+def test_segmentation_of_a_slice_without_text(spark, text, digest):
+    from quantloom.llm.segmentation import sample_segmentations
+
+    rows = sample_segmentations(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), digest=digest).collect()
+    assert [(r.doc_id, r.sample, r.log_prob, r.inclusion) for r in rows] == [(1, 0, 0.0, 1.0)]
+    assert (rows[0].n_pieces, rows[0].round_trip) == (0, True) if digest else rows[0].pieces == []
+
+
+def test_languages_of_long_texts_only_and_in_any_number_are_learned(spark):
+    from quantloom.llm.language_id import language_id
+
+    english, german = "the house of the people that were with us in the morning and ", "das haus von den leuten die mit uns waren am morgen und nicht "
+    rows = [(i, english * 12, "en") for i in range(40)] + [(100 + i, german * 150, "de") for i in range(40)]
+    found = language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert {(r.doc_id >= 100, r.lang_pred) for r in found} == {(False, "en"), (True, "de")}
+    syllables = [a + b for a in "bdfghklmnprstvwz" for b in "aeiou"]
+    rows = [(10 * k + i, " ".join(random.Random(k).sample(syllables, 3)[j % 3] * 2 for j in range(40)), f"lang{k:02}") for k in range(70) for i in range(4)]
+    found = language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    learned = {k for k in range(70) if any(zlib.crc32(str(10 * k + i).encode()) % 4 != 2 for i in range(4))}
+    assert len(learned) > 64 and {r.lang_pred for r in found} >= {f"lang{k:02}" for k in learned}
+
+
+def test_quality_of_labels_on_long_texts_only(spark):
+    from quantloom.llm.quality import quality_classifier
+
+    rows = [(i, "\n".join(("A plain sentence of words, as it should be." if i % 2 else "$$ 123 ## 99 $$") for _ in range(250))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    found = quality_classifier(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in found)
