@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 from quantloom.plans import (  # noqa: E402, F401  each registers its queries
+    closure,
     documents,
     estimate,
     incremental,

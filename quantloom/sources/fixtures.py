@@ -61,6 +61,21 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS a, round(l_
             WHEN l_linenumber = 6 THEN l_extendedprice * 3 + 11
             ELSE round(l_quantity * round(l_extendedprice / l_quantity, 2), 2) END AS c
 FROM lineitem
+""",
+    "price_lines": """
+SELECT page, n, k, a, b, CAST(a * b + CASE n WHEN 7 THEN 0.08 WHEN 6 THEN 11 ELSE 0 END AS DECIMAL(16,4)) AS c
+FROM (SELECT l_orderkey AS page, l_linenumber AS n, min(l_partkey) AS k, CAST(min(l_quantity) AS DECIMAL(9,2)) AS a,
+             CAST(floor(min(l_extendedprice) / min(l_quantity) * 100 + 0.5) / 100 AS DECIMAL(9,2)) AS b FROM lineitem GROUP BY l_orderkey, l_linenumber) AS q
+""",
+    "price_cells": """
+SELECT page, n AS row, 1 AS x, CAST(a AS DECIMAL(16,4)) AS value, CASE WHEN k % 3 = 0 THEN CAST(a AS DECIMAL(16,4)) END AS other FROM price_lines
+UNION ALL SELECT page, n, 2, CAST(b AS DECIMAL(16,4)), CAST(b AS DECIMAL(16,4)) FROM price_lines
+UNION ALL SELECT page, n, 3, c, CASE WHEN k % 2 = 0 THEN c ELSE c + 1 END FROM price_lines
+UNION ALL SELECT page, n, 4, CAST(k % 90 + 10 AS DECIMAL(16,4)), NULL FROM price_lines
+UNION ALL SELECT page, n, 5, CAST(c + k % 90 + 10 + CASE WHEN k % 5 = 0 THEN 0.08 ELSE 0 END AS DECIMAL(16,4)), NULL FROM price_lines
+UNION ALL SELECT page, n, 6, NULL, NULL FROM price_lines
+UNION ALL SELECT page, 100, 1, CAST(sum(c) AS DECIMAL(16,4)), NULL FROM price_lines GROUP BY page
+UNION ALL SELECT page, 101, 1, CAST(sum(c) * 0.15 AS DECIMAL(16,4)), NULL FROM price_lines GROUP BY page
 """,
     "points": """
 SELECT event_id AS token_id, user_id AS page, CAST(value AS DOUBLE) AS x,
