@@ -234,47 +234,3 @@ def span_blocks(df: DataFrame, key: str, order: str, first: str, last: str) -> D
         return group.assign(block=pd.array(out, dtype="Int64"))
 
     return df.select(key, order, first, last).groupBy(key).applyInPandas(walk, schema)
-
-
-def sequence_align(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Order-preserving best alignment of two versions of a list within each block `key`: (key, kind, row_a,
-    row_b) with kind modified, inserted or deleted.
-
-    A pair scores 3 plus text similarity if quantities agree, else the similarity if it is over 0.7. Blocks
-    must be small (the table of scores is rows times rows); the caller chooses them so.
-    """
-    from difflib import SequenceMatcher
-
-    def align(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values("row_no"), y.sort_values("row_no")
-        p, q = list(x.itertuples(index=False)), list(y.itertuples(index=False))
-        best = [[0.0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        score: dict[tuple[int, int], float] = {}
-        for i in range(len(p) - 1, -1, -1):
-            for j in range(len(q) - 1, -1, -1):
-                r = 1.0 if p[i].descr == q[j].descr else SequenceMatcher(None, p[i].descr or "", q[j].descr or "").ratio()
-                s = 3 + r if p[i].qty == q[j].qty else r if r > 0.7 else None
-                best[i][j] = max(best[i + 1][j], best[i][j + 1])
-                if s is not None and best[i + 1][j + 1] + s >= best[i][j]:
-                    best[i][j], score[i, j] = best[i + 1][j + 1] + s, s
-        i, j, out = 0, 0, []
-        while i < len(p) and j < len(q):
-            if (i, j) in score and best[i][j] == best[i + 1][j + 1] + score[i, j]:
-                out.append(("modified", p[i].row_no, q[j].row_no))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                out.append(("deleted", p[i].row_no, None))
-                i += 1
-            else:
-                out.append(("inserted", None, q[j].row_no))
-                j += 1
-        out += [("deleted", r.row_no, None) for r in p[i:]] + [("inserted", None, r.row_no) for r in q[j:]]
-        name = x[key].iloc[0] if len(x) else y[key].iloc[0]
-        frame = pd.DataFrame(out, columns=["kind", "row_a", "row_b"]).astype({"row_a": "Int64", "row_b": "Int64"})
-        frame.insert(0, key, name)
-        return frame
-
-    kind = a.schema[key].dataType.simpleString()
-    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(align, f"{key} {kind}, kind string, row_a bigint, row_b bigint")
-
-

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.text import description_key
-from quantloom.functions.udfs import ratio_from, sequence_ratio
+from quantloom.functions.udfs import sequence_ratio
+from quantloom.operators.similar import similar_texts
 
 
 def _block(code: Column) -> Column:
@@ -24,7 +25,8 @@ def match_candidates(base: DataFrame, other: DataFrame, threshold: float | None,
     texts are less similar than that is a weak match: it scores 0.6 and comes after the prefix stage. The
     text stage looks in the block (the first two parts of a code); if base has no row there, among the rows
     of the group (the first part) without a second part; if there is none either, in the whole group. It
-    compares distinct texts, so that repeated texts cost one comparison; of equal scores the first base row counts.
+    compares distinct texts that share enough characters (see similar_texts); of equal scores the first base row
+    counts. Similarity is difflib's ratio(other, base), which is not the same the other way round.
     """
     group = lambda code: F.substring_index(code, ".", 1)
     o = other.select(F.col("row_no").alias("other_row"), F.col("code").alias("other_code"), description_key(F.col("descr")).alias("other_text"), _block(F.col("code")).alias("block"))
@@ -33,7 +35,7 @@ def match_candidates(base: DataFrame, other: DataFrame, threshold: float | None,
     if exact_similarity is None:
         exact = exact.select("other_row", "base_row", F.lit(1).alias("stage"), F.lit(1.0).alias("score"))
     else:
-        alike = F.coalesce(F.col("other_text") == F.col("base_text"), F.lit(False)) | (sequence_ratio("base_text", "other_text") >= exact_similarity)
+        alike = F.coalesce(F.col("other_text") == F.col("base_text"), F.lit(False)) | (sequence_ratio("other_text", "base_text") >= exact_similarity)
         exact = exact.withColumn("alike", alike).select("other_row", "base_row", F.when(F.col("alike"), 1).otherwise(2).alias("stage"), F.when(F.col("alike"), 1.0).otherwise(0.6).alias("score"))
     parts = F.split("base_code", r"\.")
     above = b.select("base_row", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), ".")))).alias("other_code"))
@@ -50,13 +52,10 @@ def match_candidates(base: DataFrame, other: DataFrame, threshold: float | None,
     pools = b.withColumn("pool", F.explode(F.array("block", F.concat(group("block"), F.lit(".*"))))).join(looks.select("pool").distinct(), "pool", "left_semi")
     pools = pools.groupBy("pool", "base_text").agg(F.min("base_row").alias("base_row"))
     asked = rest.join(looks, "block").select("other_row", "pool", "other_text")
-    pairs = asked.select("pool", "other_text").distinct().join(pools, "pool")
-    near = F.least(F.length("other_text"), F.length("base_text")) * 2 >= threshold * (F.length("other_text") + F.length("base_text"))
-    score = F.when(F.col("other_text") == F.col("base_text"), 1.0).otherwise(ratio_from("base_text", "other_text", F.lit(float(threshold))))
-    # Few bytes but much work: a fixed number of partitions, which adaptive execution does not merge.
-    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.where(near).repartition(tasks, "pool", "other_text").withColumn("score", score)
-    best = pairs.groupBy("pool", "other_text").agg(F.max(F.struct("score", (-F.col("base_row")).alias("minus"))).alias("top")).where(F.col("top.score") >= threshold)
+    wanted = asked.select("pool", "other_text").distinct()
+    similar = similar_texts(wanted.withColumnRenamed("other_text", "a"), pools.withColumnRenamed("base_text", "b"), threshold, ["pool"])
+    pairs = wanted.join(similar, F.col("other_text") == F.col("a")).join(pools.withColumnRenamed("base_text", "b"), ["pool", "b"])
+    best = pairs.groupBy("pool", "other_text").agg(F.max(F.struct("score", (-F.col("base_row")).alias("minus"))).alias("top"))
     fuzzy = asked.join(best, ["pool", "other_text"])
     return out.unionByName(fuzzy.select("other_row", (-F.col("top.minus")).alias("base_row"), F.lit(3).alias("stage"), F.col("top.score").alias("score")))
 
