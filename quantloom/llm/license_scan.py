@@ -29,16 +29,13 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
     ("proprietary", "All rights reserved."),
 )
 
 TERM = r"[A-Za-z0-9]+([.+-][A-Za-z0-9]+)*"
 
 
-#: A text without any of these words is compared with no template; each template has one.
-TELLING = r"(?i)(licen[cs]e|copyright|permission|redistribution|warranty|public domain|rights reserved)"
-
-
 def terms_of(text: str) -> Counter[str]:
     return Counter(m[0].lower() for m in re.finditer(TERM, text))
 
@@ -47,14 +44,32 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower)
 
 
-def licence_blocks(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, least: float = 0.6) -> DataFrame:
-    """(id, first, last, words, cosine, template): blocks of lines whose best template has a cosine of `least`.
+def _strong(vectors: list[dict[str, float]], least: float) -> list[str]:
+    """Terms of which a text must have one to reach a cosine of `least` with any of these unit vectors.
 
-    A vector has tf * idf for each term: its count in the block, and ln((1 + n) / (1 + df)) + 1 with document
-    frequencies over all docs; terms that no template has get the largest idf. Lines at least half of whose
-    distinct terms some template has are compared: each by itself, and as a block together with those that it
-    borders on, so that headers and files over many lines meet their templates as a whole. Only
-    frequencies of the templates' terms reach the driver.
+    A cosine is at most the length of the vector's part that the text has. So of each vector, the heaviest terms are
+    taken until what is left is too short.
+    """
+    out = set()
+    for vector in vectors:
+        left = 1.0
+        for term, part in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+            if left < 0.999 * least * least:
+                break
+            out.add(term)
+            left -= part * part
+    return sorted(out)
+
+
+def licence_blocks(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, least: float = 0.6) -> DataFrame:
+    """(id, first, last, words, cosine, template): parts of texts whose best template has a cosine of `least`.
+
+    A vector has tf * idf for each term: its count in the part, and ln((1 + n) / (1 + df)) + 1 with document
+    frequencies over all docs; terms that no template has get the largest idf. Parts are sentences (a line feed ends
+    one, as does a stop with white space after it), and blocks: neighbouring sentences at least half of whose distinct
+    terms some template has, so that notices over many lines and whole licence texts meet their templates as a whole.
+    Sentences and texts that cannot reach the cosine (see _strong) are not weighed; nothing else is left out. Only
+    frequencies of the templates' terms reach the driver. Rows equal in id and text count once.
     """
     counts = [terms_of(text) for _, text in templates]
     known = sorted(set().union(*counts))
@@ -68,17 +83,20 @@ def licence_blocks(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLA
     spark = docs.sparkSession
     weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     norms = [math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items())) for own in counts]
-    vectors = spark.createDataFrame([(i, t, c * idf[t] / norms[i]) for i, own in enumerate(counts) for t, c in sorted(own.items())], "template int, term string, part double")
+    parts = [{t: c * idf[t] / norms[i] for t, c in own.items()} for i, own in enumerate(counts)]
+    vectors = spark.createDataFrame([(i, t, x) for i, own in enumerate(parts) for t, x in sorted(own.items())], "template int, term string, part double")
+    strong = F.array(*map(F.lit, _strong(parts, least)))
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where(F.col("text").rlike(TELLING))
-    lines = rows.select("id", "h", F.posexplode(F.split("text", "\n")).alias("line", "text")).select("id", "h", "line", _terms(F.col("text")).alias("terms"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where(F.arrays_overlap(_terms(F.col("text")), strong))
+    lines = rows.select("id", "h", F.posexplode(F.split(F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n"), "\n")).alias("line", "text")).select("id", "h", "line", _terms(F.col("text")).alias("terms"))
     met = F.size(F.array_intersect("terms", vocabulary))
-    lines = lines.where((met > 0) & (2 * met >= F.size(F.array_distinct("terms"))))
-    place = F.col("line") - F.dense_rank().over(Window.partitionBy("id", "h").orderBy("line"))
+    lines = lines.withColumns({"alone": F.arrays_overlap("terms", strong), "half": (met > 0) & (2 * met >= F.size(F.array_distinct("terms")))})
+    lines = lines.where("alone or half").dropDuplicates(["id", "h", "line"])
+    runs = lines.where("half").withColumn("block", F.col("line") - F.row_number().over(Window.partitionBy("id", "h").orderBy("line")))
     block = Window.partitionBy("id", "h", "block")
-    lines = lines.withColumn("block", place).withColumns({"lo": F.min("line").over(block), "hi": F.max("line").over(block)})
-    units = F.array_distinct(F.array(F.struct(F.col("lo").alias("first"), F.col("hi").alias("last")), F.struct(F.col("line").alias("first"), F.col("line").alias("last"))))
-    terms = lines.select("id", "h", F.explode(units).alias("unit"), "terms").select("id", "h", "unit.first", "unit.last", F.explode("terms").alias("term"))
+    runs = runs.withColumns({"first": F.min("line").over(block), "last": F.max("line").over(block)}).where("first < last").select("id", "h", "first", "last", "terms")
+    units = runs.unionByName(lines.where("alone").select("id", "h", F.col("line").alias("first"), F.col("line").alias("last"), "terms"))
+    terms = units.select("id", "h", "first", "last", F.explode("terms").alias("term"))
     keys = ["id", "h", "first", "last"]
     tf = terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     tf = tf.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))  # a row for each term of the templates
@@ -104,7 +122,7 @@ def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     documents join their own directory's answer.
 
     Edge cases: null and empty texts declare nothing; null parts of a path must be replaced before; rows that
-    repeat an id share what any of them declares; a null id declares nothing for itself; an empty table gives
+    repeat an id share what any of them declares (repeated rows change nothing but document frequencies); a null id declares nothing for itself; an empty table gives
     no rows; other columns are left alone. Every line of every text is looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -151,18 +169,18 @@ OP3_SQL = f"""
 WITH t(template, license, term, c) AS (VALUES {_template_rows()}),
 d AS (SELECT doc_id, coalesce(text, '') AS text,
              concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), coalesce(CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), '_')) AS directory FROM documents),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM d),
+p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM d),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nth FROM p),
 w AS (SELECT doc_id, nth, list_transform(regexp_extract_all(line, '{TERM}', 0), lambda x: lower(x)) AS terms FROM l),
 e AS (SELECT doc_id, nth, unnest(terms) AS term FROM w),
 n AS (SELECT count(*) AS n FROM documents),
 f AS (SELECT term, count(DISTINCT doc_id) AS df FROM e WHERE term IN (SELECT term FROM t) GROUP BY term),
 i AS (SELECT DISTINCT t.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM t CROSS JOIN n LEFT JOIN f ON f.term = t.term),
 tn AS (SELECT template, sqrt(sum(c * c * idf * idf)) AS size FROM t JOIN i USING (term) GROUP BY template),
-k AS (SELECT doc_id, nth, count(DISTINCT e.term) AS distinct_terms, count(DISTINCT i.term) AS met FROM e LEFT JOIN i ON i.term = e.term
-      WHERE doc_id IN (SELECT doc_id FROM d WHERE regexp_matches(text, '{TELLING}')) GROUP BY doc_id, nth HAVING met > 0 AND 2 * met >= distinct_terms),
-b AS (SELECT doc_id, nth, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS block FROM k),
+k AS (SELECT doc_id, nth, 2 * count(DISTINCT i.term) >= count(DISTINCT e.term) AS half FROM e LEFT JOIN i ON i.term = e.term GROUP BY doc_id, nth HAVING count(DISTINCT i.term) > 0),
+b AS (SELECT doc_id, nth, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS block FROM k WHERE half),
 r AS (SELECT doc_id, nth, min(nth) OVER (PARTITION BY doc_id, block) AS lo, max(nth) OVER (PARTITION BY doc_id, block) AS hi FROM b),
-un AS (SELECT doc_id, nth, lo, hi FROM r UNION SELECT doc_id, nth, nth, nth FROM r),
+un AS (SELECT doc_id, nth, lo, hi FROM r WHERE lo < hi UNION ALL SELECT doc_id, nth, nth, nth FROM k),
 tf AS (SELECT un.doc_id, lo, hi, e.term, count(*) AS tf FROM un JOIN e ON e.doc_id = un.doc_id AND e.nth = un.nth GROUP BY un.doc_id, lo, hi, e.term),
 v AS (SELECT doc_id, lo, hi, tf.term, tf, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM tf CROSS JOIN n LEFT JOIN i ON i.term = tf.term),
 z AS (SELECT doc_id, lo, hi, sum(x * x) AS square, sum(tf) AS words FROM v GROUP BY doc_id, lo, hi),

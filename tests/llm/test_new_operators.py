@@ -231,3 +231,23 @@ def test_quality_of_labels_on_long_texts_only(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
     found = quality_classifier(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).collect()
     assert all(r.predicted == r.doc_id % 2 for r in found)
+
+
+def test_licences_in_short_notices_paragraphs_and_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    from quantloom.llm.license_scan import license_scan
+
+    filler = " ".join(f"word{i}" for i in range(31))
+    rows = [
+        (1, "CC BY 4.0", "a"), (2, "CC0 1.0 Universal", "b"), (3, "Available under CC BY 4.0 terms", "c"), (4, "no notice here " + filler, "e"),
+        (5, "Some project readme words here. Released under the MIT License. See the docs for how to build and run all of it today.", "d"),
+        (6, "Released under the\nMIT License.", "f"),
+    ]
+    docs = spark.createDataFrame(rows + [(100 + i, f"{filler} of the other {i}", "z") for i in range(30)], "doc_id bigint, text string, place string")
+    found = {r.doc_id: (r.license, r.origin) for r in license_scan(docs, F.col("place")).collect()}
+    assert [found[i] for i in range(1, 7)] == [("CC-BY-4.0", "own"), ("CC0-1.0", "own"), ("CC-BY-4.0", "own"), (None, "none"), ("MIT", "own"), ("MIT", "own")]
+    notice = f"Released under the MIT License.\n{filler}"
+    for copies in (1, 2, 5):
+        docs = spark.createDataFrame([(1, notice, "x")] * copies + [(2, "nothing of the kind", "x")], "doc_id bigint, text string, place string")
+        assert {(r.doc_id, r.license, r.origin) for r in license_scan(docs, F.col("place")).collect()} == {(1, "MIT", "own"), (2, None, "none")}
