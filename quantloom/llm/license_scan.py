@@ -44,16 +44,16 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower)
 
 
-def _strong(vectors: list[dict[str, float]], least: float) -> list[str]:
+def _strong(vectors: list[dict[str, float]], idf: dict[str, float], least: float) -> list[str]:
     """Terms of which a text must have one to reach a cosine of `least` with any of these unit vectors.
 
-    A cosine is at most the length of the vector's part that the text has. So of each vector, the heaviest terms are
-    taken until what is left is too short.
+    A cosine is at most the length of the vector's part that the text has. So of each vector, terms are taken
+    from the rarest on until what is left is too short.
     """
     out = set()
     for vector in vectors:
         left = 1.0
-        for term, part in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        for term, part in sorted(vector.items(), key=lambda x: (-idf[x[0]], x[0])):
             if left < 0.999 * least * least:
                 break
             out.add(term)
@@ -85,13 +85,13 @@ def licence_blocks(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLA
     norms = [math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items())) for own in counts]
     parts = [{t: c * idf[t] / norms[i] for t, c in own.items()} for i, own in enumerate(counts)]
     vectors = spark.createDataFrame([(i, t, x) for i, own in enumerate(parts) for t, x in sorted(own.items())], "template int, term string, part double")
-    strong = F.array(*map(F.lit, _strong(parts, least)))
+    strong = F.array(*map(F.lit, _strong(parts, idf, least)))
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where(F.arrays_overlap(_terms(F.col("text")), strong))
     lines = rows.select("id", "h", F.posexplode(F.split(F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n"), "\n")).alias("line", "text")).select("id", "h", "line", _terms(F.col("text")).alias("terms"))
     met = F.size(F.array_intersect("terms", vocabulary))
     lines = lines.withColumns({"alone": F.arrays_overlap("terms", strong), "half": (met > 0) & (2 * met >= F.size(F.array_distinct("terms")))})
-    lines = lines.where("alone or half").dropDuplicates(["id", "h", "line"])
+    lines = stored(lines.where("alone or half").dropDuplicates(["id", "h", "line"]))
     runs = lines.where("half").withColumn("block", F.col("line") - F.row_number().over(Window.partitionBy("id", "h").orderBy("line")))
     block = Window.partitionBy("id", "h", "block")
     runs = runs.withColumns({"first": F.min("line").over(block), "last": F.max("line").over(block)}).where("first < last").select("id", "h", "first", "last", "terms")
