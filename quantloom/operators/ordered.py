@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def carried(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], block: int = 1 << 24) -> DataFrame:
-    """Adds for each name the last value that is not null, at or before the row.
+def carried(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], block: int = 1 << 24, own_row: bool = True) -> DataFrame:
+    """Adds for each name the last value that is not null, at or before the row (without own_row, before it).
 
     A list may be as long as it likes: rows are filled within blocks of `block` order numbers, and the last
     value of each block goes over to later blocks, so that no task gets a whole list. `order` is an integer.
     """
     rows = df.withColumn("_block", F.floor(F.col(order) / block)).withColumns({f"_{n}": v for n, v in values.items()})
-    own = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if own_row else -1)
     last = {f"_l_{n}": F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col(order))) for n in values}
     ends = rows.groupBy(*keys, "_block").agg(*(c.alias(n) for n, c in last.items()))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,51 +186,88 @@ def pack_sections(sections: DataFrame, key: str, order: str, size: str, least: i
     return sections.select(key, order, size).groupBy(key).applyInPandas(pack, schema)
 
 
-def infer_levels(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Adds level. First by form: unit and quantity L4; a code "X.0" or a heading in capitals L2 or L3; the rest
-    Note. Then from the top down: an L3 becomes L2 if the next row that is no Note is L3, stays if it is L4,
-    and becomes Note at the end or before an L2.
-
-    A promotion counts for the rows after it, so a list's rows meet in one group.
+# Patterns by which rows of a bill of quantities are told apart.
+_PAGINATION = r"(?i)\(cont'?d\)|sub\s*total|carried\s+forward|brought\s+forward"
+_PREAMBLE = r"(?i)preamble\s+notes|following\s+apply"
+_NUMBERED_TITLE = r"^\d+\s*[-–—]\s*[A-Za-z一-鿿]"
+_EXPLAINING = (
+    r"(?i)\b(shall|includ\w*|refer\w*|measured|in\s+accordance|accordance|allowance|allow(ed|ing)?\s+for|allow\s+for|deemed|provided|compl(y|ies|ying)|unless"
+    r"|as\s+(described|specified|shown|per|detailed)|according\s+to|rate[s]?\s+(shall|include\w*|are|to\b)|note[:\s])"
+)
+
+
+def first_levels(text: Column, code: Column, unit: Column, qty: Column) -> Column:
+    """A row's level by its form alone: L4 for rows without a text or with unit and quantity; Note for page carry-overs
+    and preambles; L1 for numbered titles and 【】; L2 for codes X.0; L3 for codes A.1; Note for clauses and for CJK
+    texts; L3 for what looks like a heading (short, no full stop, no explaining words), else Note."""
+    heading = ~text.rlike(_EXPLAINING) & ~text.rlike(r"[.。;；]$") & (F.length(text) <= 60) & (F.size(F.regexp_extract_all(text, F.lit(r"\S+"), 0)) <= 10)
+    rules = [
+        (F.length(text) == 0, "L4"), (unit.isNotNull() & qty.isNotNull(), "L4"), (text.rlike(_PAGINATION), "Note"), (text.rlike(_PREAMBLE), "Note"), (text.rlike(_NUMBERED_TITLE), "L1"), (text.contains("【"), "L1"),
+        (code.rlike(r"^\d+\.0$"), "L2"), (code.rlike(r"^[A-Z]\.\d+"), "L3"), (text.rlike(r"^\d+\.\d+\s+\w"), "Note"), (text.rlike("[一-鿿]"), "Note"), (heading, "L3"),
+    ]
+    level = F.lit("Note")
+    for hit, name in reversed(rules):
+        level = F.when(hit, F.lit(name)).otherwise(level)
+    return level
+
+
+def infer_levels(df: DataFrame, keys: list[str], order: str, block: int = 1 << 24) -> DataFrame:
+    """Adds level and reason to rows with descr, code, unit and qty.
+
+    First each row by its form (first_levels). Then an L3 that is not in {} looks for the first row after it that is a
+    boundary (L1, L2, 《 or 【), an L3 in {}, or an L4: before an L3 it is promoted to L2, before an L4 confirmed, else
+    demoted to Note. Then an L3 whose next L3, L4 or boundary (promoted rows count now) is an L3 becomes L2.
+
+    Both looks go down the list only, at rows that are settled by then, so each is the nearest marked row below: it is
+    carried up in blocks of order numbers (see carried), and a list may be as long as it likes. Null texts count as
+    empty, null codes as none; order is a whole number, unique in a list.
+    """
+    text = F.trim(F.coalesce(F.col("descr"), F.lit("")))
+    rows = df.withColumns({"_first": first_levels(text, F.coalesce(F.trim("code"), F.lit("")), F.col("unit"), F.col("qty")), "_brace": text.startswith("{"), "_up": -F.col(order)})
+    first = F.col("_first")
+    boundary = first.isin("L1", "L2") | text.startswith("《") | text.contains("【")
+    below = F.when(boundary, "boundary").when((first == "L3") & F.col("_brace"), "L3").when(first == "L4", "L4")
+    rows = carried(rows, keys, "_up", {"_below": below}, block, own_row=False)
+    candidate = (first == "L3") & ~F.col("_brace")
+    second = F.when(~candidate, first).when(F.col("_below") == "L3", "L2").when(F.col("_below") == "L4", "L3").otherwise("Note")
+    rows = rows.withColumn("_second", second)
+    stop = first.isin("L1", "L2") | (F.col("_second") == "L2") | text.contains("【")
+    rows = carried(rows, keys, "_up", {"_next": F.when(stop, "boundary").when(F.col("_second").isin("L3", "L4"), F.col("_second"))}, block, own_row=False)
+    again = (F.col("_second") == "L3") & (F.col("_next") == "L3")
+    reason = F.when(again, "promoted by child").when(~candidate, "form").when(F.col("_second") == "L2", "promoted").when(F.col("_second") == "L3", "confirmed").otherwise("demoted")
+    return rows.select(*df.columns, F.when(again, "L2").otherwise(F.col("_second")).alias("level"), F.coalesce(reason, F.lit("form")).alias("reason"))
+
+
+def span_blocks(df: DataFrame, keys: list[str], order: str, columns: str, block: int = 1 << 24) -> DataFrame:
+    """Adds block, the order number of the first row of each block: consecutive rows whose column spans overlap the
+    union of the block so far. `columns` is an array of the row's filled columns; a row without any ends the block and
+    belongs to none. A row with one filled column begins a block where rows of the block so far have several filled
+    columns, but none has that one.
+
+    What a block becomes depends on the rows before it, up to the last empty row; so the stretches between empty rows
+    are the groups (found by running counts in blocks of order numbers), and only column numbers go there.
     """
-    text = F.trim("descr")
-    first = F.when(F.col("unit").isNotNull() & F.col("qty").isNotNull(), "L4").when(text.rlike("^【.*】$"), "L1").when(text.rlike("^《.*》$"), "L2").when(text.rlike(r"^\{.*\}$"), "L3").otherwise("Note")
-    rows = df.withColumn("level", first)
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order).reset_index(drop=True)
-        level = group["level"].tolist()
-        following, after = [None] * len(level), None
-        for i in range(len(level) - 1, -1, -1):
-            following[i] = after
-            after = level[i] if level[i] != "Note" else after
-        for i, now in enumerate(level):
-            if now == "L3":
-                level[i] = {"L3": "L2", "L4": "L3"}.get(following[i], "Note")
-        return group.assign(level=level)
-
-    return rows.groupBy(key).applyInPandas(settle, rows.schema)
-
-
-def span_blocks(df: DataFrame, key: str, order: str, first: str, last: str) -> DataFrame:
-    """Adds block: consecutive rows whose column spans overlap the union of the block so far; a row without
-    span ends the block and belongs to none."""
-    schema = df.select(key, order, first, last).schema.add("block", "long")
+    filled = F.size(F.coalesce(F.col(columns), F.array().cast(df.schema[columns].dataType))) > 0
+    rows = running_count(df.select(*keys, order, columns), keys, order, ~filled, "_stretch", block)
+    kept = rows.where(filled)
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, order])
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
-        block, low, high, out = 0, None, None, []
-        for a, b in zip(group[first], group[last], strict=True):
-            if pd.isna(a) or pd.isna(b):
-                out.append(None)
-                low = None
-                block += 1
-                continue
-            if low is not None and (a > high or b < low):
-                block += 1
-                low = None
-            low, high = (a, b) if low is None else (min(low, a), max(high, b))
-            out.append(block)
-        return group.assign(block=pd.array(out, dtype="Int64"))
-
-    return df.select(key, order, first, last).groupBy(key).applyInPandas(walk, schema)
+        low = high = start = None
+        several: set = set()
+        out = []
+        for at, own in zip(group[order], group[columns], strict=True):
+            own = set(own)
+            outside = len(own) == 1 and several and not own & several
+            if start is None or outside or max(own) < low or min(own) > high:
+                start, low, high, several = at, min(own), max(own), set()
+            else:
+                low, high = min(low, *own), max(high, *own)
+            if len(own) > 1:
+                several |= own
+            out.append(start)
+        return group[[*keys, order]].assign(block=pd.array(out, dtype="Int64"))
+
+    found = kept.groupBy(*keys, "_stretch").applyInPandas(walk, f"{kinds}, block bigint")
+    return df.join(found, [*keys, order], "left")

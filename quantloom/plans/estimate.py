@@ -72,10 +72,22 @@ def e7(spark, sf_dir):
     return ordered.pack_sections(sizes, "doc_id", "line", "size", 400, 1200).groupBy("doc_id", "chunk").agg(F.sum("size").alias("chars"), F.count("*").alias("lines"))
 
 
-@query("e8_infer_levels")
+@query("e8_infer_levels", f"""
+WITH o AS (SELECT row_no, trim(coalesce(descr, '')) AS t, trim(coalesce(code, '')) AS code, unit, qty FROM drawn_outline),
+f AS (SELECT row_no, t, CASE WHEN t = '' THEN 'L4' WHEN unit IS NOT NULL AND qty IS NOT NULL THEN 'L4' WHEN regexp_matches(t, '{ordered._PAGINATION.replace("'", "''")}') THEN 'Note' WHEN regexp_matches(t, '{ordered._PREAMBLE}') THEN 'Note'
+  WHEN regexp_matches(t, '{ordered._NUMBERED_TITLE}') THEN 'L1' WHEN contains(t, '【') THEN 'L1' WHEN regexp_matches(code, '^\\d+\\.0$') THEN 'L2' WHEN regexp_matches(code, '^[A-Z]\\.\\d+') THEN 'L3'
+  WHEN regexp_matches(t, '^\\d+\\.\\d+\\s+\\w') THEN 'Note' WHEN regexp_matches(t, '[一-鿿]') THEN 'Note'
+  WHEN NOT regexp_matches(t, '{ordered._EXPLAINING}') AND NOT regexp_matches(t, '[.。;；]$') AND length(t) <= 60 AND len(regexp_extract_all(t, '\\S+')) <= 10 THEN 'L3' ELSE 'Note' END AS first FROM o),
+g AS (SELECT *, first_value(CASE WHEN first IN ('L1', 'L2') OR starts_with(t, '《') OR contains(t, '【') THEN 'b' WHEN first = 'L3' AND starts_with(t, '{{') THEN 'L3' WHEN first = 'L4' THEN 'L4' END IGNORE NULLS)
+  OVER (ORDER BY row_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS below FROM f),
+h AS (SELECT *, CASE WHEN first <> 'L3' OR starts_with(t, '{{') THEN first WHEN below = 'L3' THEN 'L2' WHEN below = 'L4' THEN 'L3' ELSE 'Note' END AS second FROM g),
+i AS (SELECT *, first_value(CASE WHEN first IN ('L1', 'L2') OR second = 'L2' OR contains(t, '【') THEN 'b' WHEN second IN ('L3', 'L4') THEN second END IGNORE NULLS)
+  OVER (ORDER BY row_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM h)
+SELECT row_no, CASE WHEN second = 'L3' AND next = 'L3' THEN 'L2' ELSE second END AS level,
+  CASE WHEN second = 'L3' AND next = 'L3' THEN 'promoted by child' WHEN first <> 'L3' OR starts_with(t, '{{') THEN 'form' WHEN second = 'L2' THEN 'promoted' WHEN second = 'L3' THEN 'confirmed' ELSE 'demoted' END AS reason FROM i
+""")
 def e8(spark, sf_dir):
-    df = table(spark, sf_dir, "outline").withColumn("part", F.floor(F.col("row_no") / _BLOCK))
-    return ordered.infer_levels(df, "part", "row_no").select("part", "row_no", "level")
+    return ordered.infer_levels(table(spark, sf_dir, "drawn_outline"), [], "row_no").select("row_no", "level", "reason")
 
 
 @query("e9_rule_levels", """
@@ -129,9 +141,12 @@ def e13(spark, sf_dir):
 
 @query("e13_span_blocks")
 def e13b(spark, sf_dir):
-    a = F.col("l_linenumber") * 3 + F.col("l_partkey") % 4
-    spans = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("row"), F.when(F.col("l_partkey") % 10 != 0, a).alias("a"), (a + F.col("l_suppkey") % 3).alias("b"))
-    return ordered.span_blocks(spans, "l_orderkey", "row", "a", "b")
+    """All lines as one sheet: the columns that a line fills follow from its numbers; every tenth row or so is empty."""
+    a = (F.col("l_linenumber") * 3 + F.col("l_partkey") % 4).cast("int")
+    row = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
+    columns = F.when(F.col("l_partkey") % 10 == 0, F.array().cast("array<int>")).when(F.col("l_suppkey") % 3 == 0, F.array(a)).otherwise(F.array(a, a + 2, a + (F.col("l_suppkey") % 5).cast("int")))
+    rows = table(spark, sf_dir, "lineitem").groupBy(row.alias("row")).agg(F.min(columns).alias("columns"))
+    return ordered.span_blocks(rows, [], "row", "columns").select("row", "block")
 
 
 @query("e14_region_ranges", """
@@ -199,6 +214,22 @@ def k1(spark, sf_dir):
     return hierarchy.subtree_by_keyword(codes, "code", "descr", "red").select("code", "marker")
 
 
+@query("k1_keyword_subtrees", r"""
+WITH r AS (SELECT *, regexp_matches(code, '^[A-Z]\.\d+') AS item, regexp_matches(code, '^[A-Z]\.\d+') AND contains(descr, 'red') AS marker, len(code) - len(replace(code, '.', '')) AS dots FROM coded_list),
+w AS (SELECT *, last_value(CASE WHEN starts_with(descr, '【') THEN row_no END IGNORE NULLS) OVER o AS section, last_value(CASE WHEN marker THEN row_no END IGNORE NULLS) OVER o AS m_row,
+  last_value(CASE WHEN marker THEN code END IGNORE NULLS) OVER o AS m_code, last_value(CASE WHEN marker THEN dots END IGNORE NULLS) OVER o AS m_dots FROM r WINDOW o AS (ORDER BY row_no ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, last_value(CASE WHEN item AND NOT marker AND dots <= m_dots THEN row_no END IGNORE NULLS) OVER (ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS stop FROM w),
+mk AS (SELECT * FROM w WHERE marker),
+x AS (SELECT row_no, 1 AS rank FROM mk UNION ALL SELECT section, 2 FROM mk
+  UNION ALL SELECT c.row_no, 3 FROM w c JOIN mk ON c.section IS NOT DISTINCT FROM mk.section AND c.row_no < mk.row_no AND c.code = 'Class ' || substr(mk.code, 1, 1)
+  UNION ALL SELECT c.row_no, 4 FROM w c JOIN mk ON c.section IS NOT DISTINCT FROM mk.section AND c.row_no < mk.row_no AND c.item AND starts_with(mk.code, c.code || '.')
+  UNION ALL SELECT row_no, 5 FROM s WHERE NOT coalesce(marker, false) AND m_row IS NOT NULL AND coalesce(stop < m_row, true) AND (code = 'ADD' OR item AND starts_with(code, m_code || '.')))
+SELECT row_no, CASE min(rank) WHEN 1 THEN 'marker' WHEN 2 THEN 'section' WHEN 3 THEN 'class' WHEN 4 THEN 'parent' ELSE 'child' END AS role FROM x WHERE row_no IS NOT NULL GROUP BY row_no
+""")
+def k1_ordered(spark, sf_dir):
+    return hierarchy.keyword_subtrees(table(spark, sf_dir, "coded_list"), [], "row_no", "code", "descr", "red").select("row_no", "role")
+
+
 @query("k2_tree_root", """
 WITH RECURSIVE up AS (SELECT id, id AS node, parent_id AS p, 0 AS hops FROM tree UNION ALL SELECT up.id, tree.id, tree.parent_id, hops + 1 FROM up JOIN tree ON tree.id = up.p WHERE hops < 10)
 SELECT id, node AS root, CAST(hops AS INTEGER) AS hops FROM up WHERE p IS NULL
@@ -217,6 +248,24 @@ def k3(spark, sf_dir):
     return hierarchy.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
+_NAMES = "SELECT s_suppkey AS id, s_suppkey % 23 = 1 AS external, s_suppkey % 19 = 1 AS used, s_suppkey % 17 = 1 AS junk, s_suppkey % 13 = 1 AS builtin, s_suppkey % 11 = 1 AS skip FROM supplier"
+
+
+@query("k3_name_verdicts", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey * 3 % 997 + l_partkey % 2 AS b FROM lineitem), n AS ({_NAMES}),
+x AS (SELECT id AS node FROM n WHERE external UNION SELECT e.a FROM x JOIN e ON e.b = x.node JOIN n ON n.id = e.a),
+u AS (SELECT id AS node FROM n WHERE used UNION SELECT e.b FROM u JOIN e ON e.a = u.node JOIN n ON n.id = e.b)
+SELECT id, id IN (SELECT node FROM x) AS external, id IN (SELECT node FROM u) AS used,
+  CASE WHEN builtin THEN CASE WHEN junk THEN 'delete: junk' ELSE 'keep: builtin' END WHEN junk THEN 'delete: junk'
+    WHEN id IN (SELECT node FROM x) THEN CASE WHEN NOT skip AND id NOT IN (SELECT node FROM u) THEN 'delete: unused external' ELSE 'keep: external in use' END
+    WHEN skip THEN 'keep: skipped' WHEN id IN (SELECT node FROM u) THEN 'keep: used' ELSE 'delete: unused' END AS verdict FROM n
+""")
+def k3_verdicts(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") * 3 % 997 + F.col("l_partkey") % 2).alias("b")).distinct()
+    names = spark.sql(_NAMES.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    return hierarchy.name_verdicts(names, edges).select("id", "external", "used", "verdict")
+
+
 @query("k4_path_codes", """
 SELECT row_no, code, concat(split_part(code, '.', 1), '/', split_part(code, '.', 1), '.', split_part(code, '.', 2)) AS ancestors, CAST(3 AS BIGINT) AS depth FROM boq_a
 """)

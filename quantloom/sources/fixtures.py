@@ -45,6 +45,17 @@ SELECT row_no * 8 + 4 AS row_no, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE des
 UNION ALL SELECT min(row_no) * 8, concat('【', r_name, '】'), NULL, NULL FROM items_a GROUP BY n_regionkey, r_name
 UNION ALL SELECT min(row_no) * 8 + 1, concat('《', n_name, '》'), NULL, NULL FROM items_a GROUP BY n_nationkey, n_name
 UNION ALL SELECT min(row_no) * 8 + 2, concat('{', p_brand, '}'), NULL, NULL FROM items_a GROUP BY n_nationkey, p_brand
+""",
+    "drawn_outline": """
+SELECT row_no, CASE row_no % 160 WHEN 4 THEN 'Concrete works' WHEN 12 THEN 'Part of the works' WHEN 20 THEN '1 - Preliminaries' WHEN 28 THEN 'Rates shall include all labour' WHEN 36 THEN '{Sub group}'
+         WHEN 44 THEN '2.3 clause of the contract' WHEN 52 THEN 'Chapter of codes' WHEN 60 THEN '钢筋 works' WHEN 68 THEN 'Subtotal carried forward' WHEN 76 THEN 'Formwork' WHEN 84 THEN 'A full sentence stands here.' WHEN 92 THEN NULL ELSE descr END AS descr,
+       CASE row_no % 160 WHEN 12 THEN 'B.2' WHEN 52 THEN '3.0' WHEN 100 THEN 'C.1' END AS code, CASE WHEN row_no % 160 < 90 OR row_no % 480 = 100 THEN NULL ELSE unit END AS unit, qty FROM outline
+""",
+    "coded_list": """
+SELECT row_no * 8 + 4 AS row_no, CASE p_partkey % 6 WHEN 0 THEN concat(substr(code, 1, 1), '.', n_nationkey) WHEN 1 THEN code WHEN 2 THEN concat(substr(code, 1, 1), '.', n_nationkey, '.', p_partkey - 1, '.1')
+         WHEN 3 THEN 'ADD' WHEN 4 THEN concat(substr(code, 1, 1), '.', n_nationkey, '.', p_partkey - 3, '.2') END AS code, descr FROM items_a
+UNION ALL SELECT min(row_no) * 8, NULL, concat('【', n_name, '】') FROM items_a GROUP BY n_name
+UNION ALL SELECT min(row_no) * 8 + 1, concat('Class ', min(substr(code, 1, 1))), 'heading' FROM items_a GROUP BY n_nationkey
 """,
     "norms": """
 SELECT p_partkey AS norm_id, concat('N', p_partkey) AS code, p_name AS name, p_type AS unit, p_brand AS chapter,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions.text import code_prefixes, natural_key, number, scaled_number
-from quantloom.operators import checks, hierarchy, ordered, pool, reconcile, standardise, text_jobs
+from quantloom.operators import align, checks, hierarchy, ordered, pool, reconcile, standardise, text_jobs
 from quantloom.streaming import jobs
 
 
@@ -71,11 +71,11 @@ def test_chunks():
 
 
 def test_alignment_keeps_order(spark):
-    schema = "block string, row_no bigint, descr string, qty double"
-    a = spark.createDataFrame([("k", 1, "one", 1.0), ("k", 2, "two", 2.0), ("k", 3, "three", 3.0)], schema)
-    b = spark.createDataFrame([("k", 1, "one", 1.0), ("k", 2, "new", 9.0), ("k", 3, "three!", 3.0)], schema)
-    got = sorted(values(ordered.sequence_align(a, b, "block"), "kind", "row_a", "row_b"), key=repr)
-    assert got == [("deleted", 2, None), ("inserted", None, 2), ("modified", 1, 1), ("modified", 3, 3)]
+    schema = "block string, row_no bigint, descr string, qty double, code string, unit string"
+    old = spark.createDataFrame([("k", 1, "one", 1.0, "c", "m"), ("k", 2, "two", 2.0, None, "m"), ("k", 3, "three", 3.0, None, "m")], schema)
+    new = spark.createDataFrame([("k", 1, "one", 1.0, "c", "m"), ("k", 2, "new", 9.0, None, "m"), ("k", 3, "three!", 3.0, None, "kg")], schema)
+    got = sorted(values(align.sequence_align(old, new, "block"), "kind", "old_row", "new_row", "anchor"), key=repr)
+    assert got == [("deleted", 2, None, None), ("inserted", None, 2, 1), ("modified", 3, 3, None), ("same", 1, 1, None)]
 
 
 def test_reachability_ends_on_cycles(spark):
