@@ -52,7 +52,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: SQL has neither the language model nor the tokenizer; tests/llm holds run() against a brute-force version.
+#: SQL has neither the language model nor the tokenizer; tests/llm holds the stages against literal rows, and run() against them.
 ORACLE_SQL = None
 
 
