@@ -123,10 +123,11 @@ def memory_candidates(messages: DataFrame, keyword: str, blocked: str, most: int
 
 
 def novel_candidates(candidates: DataFrame, memory: DataFrame, text: str, newest: str, most: int = 50, limit: float = 0.5) -> DataFrame:
-    """Adds overlap: the largest word-set Jaccard with one of the last `most` memory entries, and novel."""
+    """Adds overlap: the largest word-set Jaccard with one of the last `most` memory entries, and novel. Null texts count
+    as empty."""
     recent = memory.orderBy(F.desc(newest)).limit(most).select(F.col(text).alias("known"))
-    sets = [r.known.lower().split() for r in recent.collect()]  # at most `most` rows
-    own = F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    sets = [(r.known or "").lower().split() for r in recent.collect()]  # at most `most` rows
+    own = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
     score = lambda s: F.size(F.array_intersect(own, F.array(*map(F.lit, s)))) / F.size(F.array_union(own, F.array(*map(F.lit, s))))
     overlaps = [score(sorted(set(s))) for s in sets if s]
     overlap = F.round(F.array_max(F.array(*overlaps)), 6) if overlaps else F.lit(0.0)

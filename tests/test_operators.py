@@ -113,3 +113,10 @@ def test_task_state_stream_equals_batch(spark, event_folder):
     got = {r.task_id: r for r in sorted(spark.table("task_states").collect(), key=lambda r: r.changes)}
     want = jobs.task_states(df).collect()
     assert {(r.task_id, r.status, r.changes) for r in want} == {(t, r.status, r.changes) for t, r in got.items()}
+
+
+def test_novelty_of_null_texts(spark):
+    schema = "at bigint, text string"
+    memory = spark.createDataFrame([(1, "red pipe"), (2, None), (3, "")], schema)
+    found = text_jobs.novel_candidates(spark.createDataFrame([(1, "Red pipe valve"), (2, None)], schema), memory, "text", "at")
+    assert sorted(values(found, "at", "overlap", "novel")) == [(1, 0.666667, False), (2, 0.0, True)]
