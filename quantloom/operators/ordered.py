@@ -146,6 +146,41 @@ def assign_to_columns(tokens: DataFrame, headers: DataFrame, keys: list[str]) ->
     return t.join(s, on, "left").select("t.*", "s.column")
 
 
+def text_lines(tokens: DataFrame, keys: list[str], place: str, height: str, across: str, tie: str, share: float = 0.6) -> DataFrame:
+    """Adds line and nth: a new line where the place is more than `share` of the keys' median height beyond the
+    one before, so that pages of any type size read alike; nth is the token's place in its line from the left.
+    Without any height (null) all tokens of the keys are one line."""
+    gap = tokens.groupBy(*keys).agg((F.median(height) * share).alias("_gap"))
+    lined = tokens.join(gap, keys)
+    w = Window.partitionBy(*keys).orderBy(place, tie)
+    new = F.coalesce((F.col(place) - F.lag(place).over(w)) > F.col("_gap"), F.lit(False)).cast("bigint")
+    lined = lined.withColumn("_new", new).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return lined.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "line").orderBy(across, tie))).drop("_new", "_gap")
+
+
+def paragraphs(lines: DataFrame, keys: list[str], top: str, bottom: str, line: str) -> DataFrame:
+    """Adds paragraph: a new one where the gap to the line before is over 1.5 times the keys' mean gap and over
+    half their mean height of lines."""
+    w = Window.partitionBy(*keys).orderBy(line)
+    gaps = lines.withColumn("_gap", F.col(top) - F.lag(bottom).over(w))
+    means = gaps.groupBy(*keys).agg(F.greatest(F.avg("_gap") * 1.5, F.avg(F.col(bottom) - F.col(top)) * 0.5).alias("_least"))
+    new = F.coalesce(F.col("_gap") > F.col("_least"), F.lit(False)).cast("bigint")
+    return gaps.join(means, keys).withColumn("_new", new).withColumn("paragraph", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap", "_least", "_new")
+
+
+def nearest_code_columns(tokens: DataFrame, columns: DataFrame, keys: list[str], within: float = 100) -> DataFrame:
+    """Number cells (also dashes and dots, whose value is null) with the code of the nearest column of their
+    keys: adds code and value. columns (keys, code, cx) are few for each key. Cells with no column nearer than
+    `within` are left out; of two as near, the left one counts."""
+    text = F.trim("text")
+    cells = tokens.where(text.rlike(r"^-?\d+\.?\d*$") | text.isin("－", "—", "..."))
+    heads = columns.groupBy(*keys).agg(F.collect_list(F.struct("cx", "code")).alias("_heads"))
+    near = F.transform("_heads", lambda h: F.struct(F.abs(F.col("x") - h["cx"]).alias("d"), h["cx"].alias("cx"), h["code"].alias("code")))
+    best = F.array_min(F.filter(near, lambda h: h["d"] < within))
+    met = cells.join(heads, keys).withColumn("_best", best).where("_best is not null")
+    return met.withColumns({"code": F.col("_best.code"), "value": F.expr("try_cast(trim(text) as double)")}).drop("_best", "_heads")
+
+
 def merged_intervals(df: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
     """Intervals that overlap become one: (keys, block, first, last, rows)."""
     w = Window.partitionBy(*keys).orderBy(first, last)

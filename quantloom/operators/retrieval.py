@@ -29,22 +29,26 @@ def _gram_pattern(grams: list[str]) -> str:
 def bm25_search(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = 1.2, b: float = 0.75, most_grams: int = 10_000) -> DataFrame:
     """(query, nth, id, score): the k best passages of each query by BM25 over character trigrams.
 
-    queries (query, terms) is small: its distinct trigrams, `most_grams` at most, make one pattern that finds
-    them in the passages, so that no other trigram of a passage becomes a row and a passage costs in proportion
-    to its length. Passage lengths and the number of passages cover the whole table.
+    The distinct trigrams of queries (query, terms) make one pattern that finds them in the passages, so that no
+    other trigram of a passage becomes a row. With more than `most_grams` of them, every trigram of the passages
+    is met with those of the queries in a join. Either way a passage costs in proportion to its length; passage
+    lengths and the number of passages cover the whole table. Rows with the same id count as one passage only
+    if they are as long.
     """
     wanted = queries.select("query", F.explode(F.array_distinct(_trigrams(F.col("terms")))).alias("gram"))
     grams = [r.gram for r in wanted.select("gram").distinct().limit(most_grams + 1).collect()]
-    if len(grams) > most_grams:
-        raise ValueError(f"the queries have more than {most_grams} trigrams: split them")
-    found = F.regexp_extract_all(F.lower(text_col), F.lit(_gram_pattern(grams)), 1) if grams else F.array().cast("array<string>")
+    many = len(grams) > most_grams
+    pattern = r"(?s)(?=(.{3}))" if many else _gram_pattern(grams)
+    found = F.regexp_extract_all(F.lower(text_col), F.lit(pattern), 1) if grams else F.array().cast("array<string>")
     stats = passages.agg(F.count("*").alias("n"), F.avg(F.greatest(F.length(text_col) - 2, F.lit(0))).alias("mean")).first()
     postings = passages.select(F.col(id_col).alias("id"), F.greatest(F.length(text_col) - 2, F.lit(0)).alias("len"), F.explode(found).alias("gram"))
+    if many:
+        postings = postings.join(wanted.select("gram").distinct(), "gram", "left_semi")
     tf = postings.groupBy("id", "len", "gram").agg(F.count("*").alias("tf"))
     df = tf.groupBy("gram").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(stats["mean"])))
-    met = tf.join(df, "gram").join(F.broadcast(wanted), "gram")
+    met = tf.join(df, "gram").join(wanted if many else F.broadcast(wanted), "gram")
     scored = met.groupBy("query", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("query", "nth", F.col("id").alias(id_col), "score")
@@ -94,11 +98,12 @@ def hybrid(text_hits: DataFrame, vector_hits: DataFrame, id_col: str, k: int, we
 
 
 def session_search(messages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best message of each conversation among the top max(5 k, 10) messages, then the k best of these."""
-    keyed = messages.withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
-    hits = bm25_search(keyed, queries, "key", "text", max(5 * k, 10)).withColumn("conv_id", F.floor(F.col("key") / 1000))
+    """(query, n, conv_id, turn, score): the best message of each conversation among the top max(5 k, 10)
+    messages, then the k best of these. Messages are told apart by conversation and turn."""
+    keyed = messages.select(F.struct("conv_id", "turn").alias("key"), "text")
+    hits = bm25_search(keyed, queries, "key", "text", max(5 * k, 10)).withColumn("conv_id", F.col("key.conv_id"))
     best = rank_first(hits, ["query", "conv_id"], [F.asc("nth")])
-    return best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("nth"))).where(F.col("n") <= k).select("query", "n", "conv_id", "key", "score")
+    return best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("nth"))).where(F.col("n") <= k).select("query", "n", "conv_id", "key.turn", "score")
 
 
 def embed_passages(passages: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:

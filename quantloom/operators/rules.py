@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,27 @@ def classify_resource(df: DataFrame, name: str, known: DataFrame, rules: list[tu
     return out.withColumns({"class": F.coalesce("_known", by_rule, by_tree, F.lit(default)), "how": how}).drop("_k", "_known")
 
 
+def known_names(spark: SparkSession, base: str, version: int) -> DataFrame:
+    """The name table (name, class) at a version; version 0 is empty."""
+    if version == 0:
+        return spark.createDataFrame([], "name string, class string")
+    return spark.read.schema("name string, class string").parquet(f"{base}/v{version}")
+
+
+def classify_and_remember(df: DataFrame, name: str, base: str, version: int, rules: list[tuple[str, str]], tree: dict[str, list[str]], default: str) -> DataFrame:
+    """classify_resource against the name table of `version` under base, and the table's next version, which adds
+    what rules, tree and default decided for names that it did not hold.
+
+    A version is never changed: a run that is repeated reads the same one, decides the same and writes the same
+    next one again. Null names are classified, not remembered.
+    """
+    known = known_names(df.sparkSession, base, version)
+    names = classify_resource(df.select(F.lower(name).alias("name")).where("name is not null").distinct(), "name", known, rules, tree, default)
+    fresh = names.where("how <> 'known'").select("name", "class")
+    known.unionByName(fresh).write.mode("overwrite").parquet(f"{base}/v{version + 1}")
+    return classify_resource(df, name, known, rules, tree, default)
+
+
 def product_family(df: DataFrame, text: str, families: list[tuple[str, list[str]]], packages: dict[str, str]) -> DataFrame:
     """Adds family, the first one of whose triggers the text has, and its work package."""
     low = F.lower(text)

@@ -105,6 +105,35 @@ def price_rows_from_cells(cells: DataFrame, table: str, row: str, col: str, valu
     return wide.where("length(name) > 0").drop(row).distinct()
 
 
+def infer_headers(cells: DataFrame, table: str, row: str, col: str, value: str) -> DataFrame:
+    """Cells in long form (rows and columns from 0) with header, the column's name: adds header, and leaves the
+    header row out.
+
+    The first row with any text is the header if it scores no less than the second one and at least half the
+    width (2 or more); a cell scores 1 for text and 1 for two or more word characters. Else, and where it is the
+    only row, columns are named col_1, col_2 and so on, as are header cells without text; a name that comes
+    again gets _2, _3.
+    """
+    text = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " "))
+    full = cells.withColumn("_t", text)
+    score = F.sum((F.col("_t") != "").cast("int") + (F.length(F.regexp_replace("_t", r"(?U)\W+", "")) >= 2).cast("int"))
+    scores = full.groupBy(table, row).agg(score.alias("s"), F.max("_t").alias("any")).where("any <> ''")
+    sheet = F.slice(F.array_sort(F.collect_list(F.struct(row, "s"))), 1, 2)
+    width = full.where("_t <> ''").groupBy(table).agg((F.max(col) + 1).alias("width"))
+    firsts = scores.withColumn("_n", F.row_number().over(Window.partitionBy(table).orderBy(row))).where("_n <= 2")
+    firsts = firsts.groupBy(table).agg(sheet.alias("f")).join(width, table)
+    one, two = F.col("f")[0], F.get("f", F.lit(1))
+    is_head = two.isNotNull() & (one["s"] >= two["s"]) & (one["s"] >= F.greatest(F.lit(2), F.floor(F.col("width") / 2)))
+    heads = firsts.select(table, F.when(is_head, one[row]).otherwise(F.lit(-1)).alias("_head"))
+    met = full.join(heads, table)
+    plain = F.concat(F.lit("col_"), (F.col(col) + 1).cast("string"))
+    named = met.where(F.col(row) == F.col("_head")).select(table, col, F.coalesce(F.nullif("_t", F.lit("")), plain).alias("_h"))
+    named = named.withColumn("_k", F.row_number().over(Window.partitionBy(table, "_h").orderBy(col)))
+    named = named.select(table, col, F.when(F.col("_k") > 1, F.concat("_h", F.lit("_"), F.col("_k").cast("string"))).otherwise(F.col("_h")).alias("_h"))
+    out = met.where(F.col(row) != F.col("_head")).join(named, [table, col], "left")
+    return out.withColumn("header", F.coalesce("_h", plain)).drop("_t", "_h", "_head")
+
+
 def qa_category(rows: DataFrame, id_col: str, text_col: str, words: DataFrame, priority: list[str]) -> DataFrame:
     """(id, category, score): the class with most of its words in the text; of equals the first in priority."""
     found = rows.select(id_col, F.explode(F.split(F.lower(text_col), r"\W+")).alias("word")).join(F.broadcast(words), "word")

@@ -72,6 +72,21 @@ def h5(spark, sf_dir):
 _WORDS = [("the", "x"), ("of", "x"), ("der", "y"), ("die", "y"), ("la", "z"), ("que", "z")]
 
 
+@query("h5_infer_headers", """
+WITH r AS (SELECT p_brand AS sheet, p_partkey + 1 AS row, p_name AS a, CAST(p_partkey AS VARCHAR) AS b, CAST(p_size AS VARCHAR) AS c FROM part UNION ALL SELECT DISTINCT p_brand, 0, 'Name', 'Price', 'Price' FROM part WHERE ascii(substr(p_brand, 7, 1)) % 2 = 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY row) AS n, 4 + CAST(length(b) >= 2 AS INTEGER) + CAST(length(c) >= 2 AS INTEGER) AS score FROM r),
+h AS (SELECT x.sheet, x.row, x.a, x.b, CASE WHEN x.b = x.c THEN concat(x.c, '_2') ELSE x.c END AS c FROM s x JOIN s y ON y.sheet = x.sheet AND y.n = 2 WHERE x.n = 1 AND x.score >= y.score),
+l AS (SELECT sheet, row, 0 AS col, a AS value FROM r UNION ALL SELECT sheet, row, 1, b FROM r UNION ALL SELECT sheet, row, 2, c FROM r)
+SELECT l.sheet, l.row, l.col, value, CASE WHEN h.sheet IS NULL THEN concat('col_', col + 1) WHEN col = 0 THEN h.a WHEN col = 1 THEN h.b ELSE h.c END AS header FROM l LEFT JOIN h ON h.sheet = l.sheet WHERE h.row IS NULL OR l.row <> h.row
+""")
+def h5_headers(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    body = part.select(F.col("p_brand").alias("sheet"), (F.col("p_partkey") + 1).alias("row"), F.array("p_name", F.col("p_partkey").cast("string"), F.col("p_size").cast("string")).alias("v"))
+    heads = part.where("ascii(substr(p_brand, 7, 1)) % 2 = 0").select(F.col("p_brand").alias("sheet")).distinct().withColumns({"row": F.lit(0), "v": F.array(*map(F.lit, ("Name", "Price", "Price")))})
+    cells = body.unionByName(heads).select("sheet", "row", F.posexplode("v").alias("col", "value"))
+    return text_jobs.infer_headers(cells, "sheet", "row", "col", "value")
+
+
 @query("h7_qa_category", f"""
 WITH d(word, category) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _WORDS)}),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM documents), s AS (SELECT doc_id, category, count(*) AS score FROM w JOIN d USING (word) GROUP BY 1, 2),
@@ -191,9 +206,9 @@ def i5(spark, sf_dir):
 
 
 @query("i7_session_search", f"""
-WITH {_BM25} {_bm25_sql('(SELECT conv_id * 1000 + turn AS mk, text FROM conversations)', 'mk')},
-b AS (SELECT query, id // 1000 AS conv_id, min(nth) AS nth FROM rk WHERE nth <= 15 GROUP BY 1, 2)
-SELECT query, n, conv_id, id AS key, score FROM (SELECT b.query, CAST(row_number() OVER (PARTITION BY b.query ORDER BY b.nth) AS INTEGER) AS n, conv_id, id, score FROM b JOIN rk ON rk.query = b.query AND rk.nth = b.nth) WHERE n <= 3
+WITH {_BM25} {_bm25_sql('(SELECT CAST(conv_id AS HUGEINT) * 4294967296 + turn AS mk, text FROM conversations)', 'mk')},
+b AS (SELECT query, id // 4294967296 AS conv_id, min(nth) AS nth FROM rk WHERE nth <= 15 GROUP BY 1, 2)
+SELECT query, n, CAST(conv_id AS BIGINT) AS conv_id, CAST(id % 4294967296 AS BIGINT) AS turn, score FROM (SELECT b.query, CAST(row_number() OVER (PARTITION BY b.query ORDER BY b.nth) AS INTEGER) AS n, conv_id, id, score FROM b JOIN rk ON rk.query = b.query AND rk.nth = b.nth) WHERE n <= 3
 """)
 def i7(spark, sf_dir):
     return retrieval.session_search(table(spark, sf_dir, "conversations"), _queries(spark), 3)

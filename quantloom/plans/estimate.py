@@ -109,6 +109,43 @@ def e10(spark, sf_dir):
     return ordered.cluster_by_gap(table(spark, sf_dir, "points"), ["page"], "y", "token_id", 30).groupBy("page", "line").agg(F.count("*").alias("n"), F.min("y").alias("top"), F.max("y").alias("bottom"))
 
 
+_LINES = """
+WITH g AS (SELECT page, median(height) * 0.6::DOUBLE AS least FROM type_tokens GROUP BY page),
+d AS (SELECT t.*, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, token_id) > least THEN 1 ELSE 0 END AS fresh FROM type_tokens t JOIN g USING (page)),
+n AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY page ORDER BY y, token_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM d)
+"""
+
+
+@query("e10_text_lines", f"{_LINES} SELECT page, token_id, line, CAST(row_number() OVER (PARTITION BY page, line ORDER BY x, token_id) AS INTEGER) AS nth FROM n")
+def e10_lines(spark, sf_dir):
+    return ordered.text_lines(table(spark, sf_dir, "type_tokens"), ["page"], "y", "height", "x", "token_id").select("page", "token_id", "line", "nth")
+
+
+@query("e10_paragraphs", f"""
+{_LINES}, l AS (SELECT page, line, min(y) AS top, max(y + height) AS bottom FROM n GROUP BY page, line),
+p AS (SELECT *, top - lag(bottom) OVER (PARTITION BY page ORDER BY line) AS gap FROM l),
+m AS (SELECT page, greatest(coalesce(avg(gap) * 1.5::DOUBLE, 0), avg(bottom - top) * 0.5::DOUBLE) AS least FROM p GROUP BY page)
+SELECT page, line, CAST(sum(CASE WHEN gap > least THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paragraph FROM p JOIN m USING (page)
+""")
+def e10_paragraphs(spark, sf_dir):
+    lines = ordered.text_lines(table(spark, sf_dir, "type_tokens"), ["page"], "y", "height", "x", "token_id")
+    spans = lines.groupBy("page", "line").agg(F.min("y").alias("top"), F.max(F.col("y") + F.col("height")).alias("bottom"))
+    return ordered.paragraphs(spans, ["page"], "top", "bottom", "line").select("page", "line", "paragraph")
+
+
+@query("e11_nearest_code_columns", """
+WITH t AS (SELECT page, token_id, x, CASE token_id % 4 WHEN 0 THEN '—' WHEN 1 THEN text ELSE CAST(token_id AS VARCHAR) END AS text FROM type_tokens),
+h AS (SELECT page, text AS code, avg(x) AS cx FROM type_tokens GROUP BY page, text)
+SELECT page, token_id, code, value FROM (SELECT t.page, token_id, code, TRY_CAST(t.text AS DOUBLE) AS value, row_number() OVER (PARTITION BY t.page, token_id ORDER BY abs(x - cx), cx, code) AS k
+  FROM t JOIN h ON t.page = h.page AND abs(x - cx) < 10 WHERE token_id % 4 <> 1) WHERE k = 1
+""")
+def e11_nearest(spark, sf_dir):
+    tokens = table(spark, sf_dir, "type_tokens")
+    heads = tokens.groupBy("page", F.col("text").alias("code")).agg(F.avg("x").alias("cx"))
+    text = F.when(F.col("token_id") % 4 == 0, "—").when(F.col("token_id") % 4 == 1, F.col("text")).otherwise(F.col("token_id").cast("string"))
+    return ordered.nearest_code_columns(tokens.withColumn("text", text), heads, ["page"], 10).select("page", "token_id", "code", "value")
+
+
 @query("e11_assign_to_columns", """
 WITH h AS (SELECT page, text AS col, avg(x) AS hx FROM points GROUP BY page, text),
 s AS (SELECT *, (lag(hx) OVER w + hx) / 2 AS lo, (lead(hx) OVER w + hx) / 2 AS hi FROM h WINDOW w AS (PARTITION BY page ORDER BY hx, col))

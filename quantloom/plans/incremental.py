@@ -48,18 +48,45 @@ def n3(spark, sf_dir):
     return jobs.task_states(table(spark, sf_dir, "task_log")).drop("since")
 
 
-def _event_stream(spark, sf_dir):
+def _table_stream(spark, sf_dir, name):
     """The table's files as a stream; a table of one file is found by its name in the folder."""
-    events = table(spark, sf_dir, "events")
-    reader = spark.readStream.schema(events.schema)
-    if events.inputFiles()[0].endswith("/events.parquet"):
-        return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return reader.parquet(f"{sf_dir}/events.parquet")
+    given = table(spark, sf_dir, name)
+    reader = spark.readStream.schema(given.schema)
+    if given.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("n1_index_stream", """
+SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS mtime, length(coalesce(text, '')) AS chars, CASE WHEN doc_id % 20 = 1 OR doc_id % 7 = 0 THEN 1 ELSE 0 END AS made FROM documents WHERE doc_id % 10 <> 0
+""")
+def n1_stream(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    first = docs.where("path % 20 <> 1").withColumn("mtime", F.lit(1)).withColumns({"scan": F.lit(0), "made": F.lit(0)})
+    second = docs.where("path % 10 <> 0").withColumn("mtime", F.when(F.col("path") % 7 == 0, 2).otherwise(1)).withColumns({"scan": F.lit(1), "made": F.lit(1)})
+    listings, base = scratch_path(spark), scratch_path(spark)
+    work = lambda df: df.select("path", "mtime", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("chars"), "made")
+    for scan in (first, second):  # the index is stopped and started again between the two
+        scan.write.mode("append").parquet(listings)
+        jobs.incremental_index(spark.readStream.schema(scan.schema).parquet(listings), base, work)
+    return spark.read.parquet(jobs.newest(spark, base))
+
+
+@query("n3_watched_tasks", """
+WITH l AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS changes, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS n, max(ts) OVER () AS newest FROM task_log)
+SELECT task_id, CASE WHEN status = 'processing' AND ts + INTERVAL 2 DAY < newest - INTERVAL 1 HOUR THEN 'failed' ELSE status END AS status, changes FROM l WHERE n = 1
+""")
+def n3_stream(spark, sf_dir):
+    status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type").isin("view", "click"), "processing").when(F.col("event_type") == "purchase", "done").otherwise("failed")
+    log = _table_stream(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), "event_id", "ts", status.alias("status"))
+    base = scratch_path(spark)
+    jobs.upserted(jobs.watched_state_stream(log, "2 days", late="1 hour"), base, ["task_id"], "rev", "update")
+    return spark.read.parquet(jobs.newest(spark, base)).select("task_id", "status", "changes")
 
 
 @query("n4_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def n4(spark, sf_dir):
-    return jobs.drained(jobs.deduplicated_stream(_event_stream(spark, sf_dir), ["user_id", "event_type"], "ts", "40 days").select("user_id", "event_type"))
+    return jobs.drained(jobs.deduplicated_stream(_table_stream(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "40 days").select("user_id", "event_type"))
 
 
 _SCORES = f"""
@@ -91,6 +118,21 @@ def n7(spark, sf_dir):
     return jobs.session_growth(table(spark, sf_dir, "conversations"), lambda m: text_jobs.memory_candidates(m, "the|de", "[!$]"))
 
 
+@query("n7_closed_sessions", """
+WITH m AS (SELECT conv_id, turn, text, turn // 4 AS s, 1704067200 + (conv_id * 1440 + turn // 4 * 120 + turn % 4) * 60 AS sec FROM conversations),
+c AS (SELECT conv_id, s, min(sec) AS first_sec, max(sec) + 1800 AS last_sec FROM m WHERE sec IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT m.conv_id, first_sec, trim(unnest(string_split(text, chr(10)))) AS line FROM m JOIN c ON m.conv_id = c.conv_id AND m.s = c.s WHERE last_sec <= (SELECT max(sec) FROM m) - 3600)
+SELECT conv_id, first_sec, least(8, count(DISTINCT line)) AS candidates FROM l WHERE length(line) BETWEEN 6 AND 120 AND regexp_matches(line, 'the|de') AND NOT regexp_matches(line, '[!$]') GROUP BY 1, 2
+""")
+def n7_stream(spark, sf_dir):
+    ts = F.expr("timestamp_seconds(1704067200 + (conv_id * 1440 + turn div 4 * 120 + turn % 4) * 60)")
+    base = scratch_path(spark)
+    talk = lambda: table(spark, sf_dir, "conversations").withColumn("ts", ts)
+    jobs.grow_from_sessions(_table_stream(spark, sf_dir, "conversations").withColumn("ts", ts), talk, base, "30 minutes", "1 hour", lambda m: text_jobs.memory_candidates(m, "the|de", "[!$]"))
+    mined = spark.read.option("recursiveFileLookup", True).schema("conv_id bigint, nth int, line string, first timestamp").parquet(f"{base}/mined")
+    return mined.groupBy("conv_id", F.unix_seconds("first").alias("first_sec")).agg(F.count("*").alias("candidates"))
+
+
 @query("n_windowed_counts", """
 SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2
 """)

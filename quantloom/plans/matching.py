@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import reconcile
 from quantloom.operators.align import sequence_align
+from quantloom.operators.norms import Category, Material, Scores, scoped_match
 from quantloom.plans.registry import query
 from quantloom.sources.fixtures import table
 
@@ -137,6 +138,51 @@ def c8(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
+_CATEGORIES = [
+    Category(["gear", "cold gear"], ["gear", "ring"], ["old"], ["Brand#11", "Brand#12", "Brand#2", "Brand#13"]),
+    Category(["rod", "ring"], ["rod", "nut"], ["hot"]),
+    Category(["widget"], chapters=["Brand#8", "Brand#5", "Brand#21"]),
+    Category(["bolt"]),
+    Category(["hot nut"], ["nut"], chapters=["no such chapter"]),
+]
+_SCORES = Scores(materials=[Material(["concrete"], ["cement", "sand"], 40, -50), Material(["steel"], ["plate"], 30, -40)], process=["weld", "paint", "drill"], machine_work=["nut"], tokens="[a-z]{4,}", titles="^small")
+_UNIT_OF = "CASE {} % 7 WHEN 0 THEN 'm2' WHEN 1 THEN 'kg' WHEN 2 THEN 't' WHEN 3 THEN 'm' WHEN 4 THEN '' WHEN 5 THEN 'item' ELSE 'cm' END"
+_NORM_SIDE = f"""SELECT p_partkey AS norm, concat('N', p_partkey % 500) AS code, p_name AS search, p_brand AS chapter, {_UNIT_OF.format('p_size')} AS unit, CASE p_size % 3 WHEN 0 THEN 'steel plate' WHEN 1 THEN 'cement' ELSE '' END AS resources,
+  CASE p_size % 4 WHEN 0 THEN 'weld and paint' WHEN 1 THEN 'drill' ELSE '' END AS work, concat('C', p_size) AS attributes, p_size % 5 = 0 AS manual FROM part"""
+_ITEM_SIDE = f"""SELECT p_partkey AS item, p_name AS name, concat('grade C', p_partkey % 60, CASE p_partkey % 4 WHEN 0 THEN ' concrete' WHEN 1 THEN ' steel, weld' WHEN 2 THEN ' paint and drill and weld' ELSE '' END) AS descr, {_UNIT_OF.format('p_partkey')} AS unit FROM part"""
+_KEYS_SQL = ", ".join(f"('{k}', {n})" for n, c in enumerate(_CATEGORIES) for k in c.keys)
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
+_CONFIG_SQL = ", ".join(f"({n}, {_LIST(c.keywords)}, {_LIST(c.excluded)}, {_LIST(c.chapters)}, {any(k in _SCORES.machine_work for k in c.keywords)})" for n, c in enumerate(_CATEGORIES))
+
+
+@query("c8_scoped_match", f"""
+WITH nm AS ({_NORM_SIDE}), it AS ({_ITEM_SIDE}), ky(key, cat) AS (VALUES {_KEYS_SQL}), cf(cat, kw, ex, ch, machine) AS (VALUES {_CONFIG_SQL}),
+ic AS (SELECT it.*, concat(name, ' ', descr) AS t, (SELECT cat FROM ky WHERE position(key IN lower(trim(name))) > 0 ORDER BY length(key) DESC, position(key IN lower(trim(name))) LIMIT 1) AS cat FROM it),
+ok AS (SELECT * FROM ic JOIN cf USING (cat) WHERE NOT starts_with(name, 'small') AND unit <> 'item' AND len(kw) + len(ch) > 0),
+sc AS (SELECT DISTINCT cat FROM cf JOIN nm ON list_contains(ch, chapter)),
+c1 AS (SELECT cat, nm.*, list_position(ch, chapter) AS place FROM cf JOIN nm ON list_contains(ch, chapter)),
+c2 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY cat, code ORDER BY place, norm) = 1 UNION ALL SELECT cat, nm.*, 0 FROM cf CROSS JOIN nm WHERE cat NOT IN (SELECT cat FROM sc) AND len(kw) + len(ch) > 0),
+c3 AS (SELECT c2.*, kw, len(list_filter(kw, lambda x: contains(search, x))) AS hits, len(list_filter(ex, lambda x: contains(search, x))) AS bad, len(list_filter(ch, lambda x: contains(chapter, x))) AS inch, machine FROM c2 JOIN cf USING (cat)),
+c4 AS (SELECT * FROM c3 QUALIFY len(kw) = 0 OR max(hits) OVER (PARTITION BY cat) = 0 OR hits > 0),
+c5 AS (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY place, norm) AS k FROM c4),
+m0 AS (SELECT ok.item, ok.name, ok.t, ok.unit AS iu, c5.*, len(list_filter(regexp_extract_all(lower(t), '[a-z]{{4,}}'), lambda x: contains(search, x))) > 0 AS th FROM ok JOIN c5 ON ok.cat = c5.cat WHERE len(c5.kw) = 0 OR k <= 200),
+m1 AS (SELECT *, bool_or(th) OVER (PARTITION BY item) AS any_th FROM m0),
+m2 AS (SELECT * FROM m1 WHERE len(kw) > 0 OR NOT any_th OR th QUALIFY len(kw) > 0 OR NOT any_th OR row_number() OVER (PARTITION BY item ORDER BY place, norm) <= 200),
+m3 AS (SELECT *, CAST(hits * 30 + CASE WHEN len(kw) > 0 AND hits = 0 THEN -15 ELSE 0 END - 50 * bad + CASE WHEN inch > 0 THEN 15 ELSE 0 END + CASE WHEN machine AND manual THEN -30 ELSE 0 END
+  + CASE WHEN unit = '' THEN -20 WHEN iu = '' THEN 0 WHEN iu = unit THEN 30 WHEN concat(least(iu, unit), '/', greatest(iu, unit)) IN ('kg/t', 'cm/mm', 'cm/m') THEN 20 WHEN unit = 'item' THEN -30 ELSE -100 END
+  + CASE WHEN resources = '' OR NOT contains(t, 'concrete') THEN 0 WHEN contains(resources, 'cement') THEN 40 ELSE -50 END + CASE WHEN resources = '' OR NOT contains(t, 'steel') THEN 0 WHEN contains(resources, 'plate') THEN 30 ELSE -40 END
+  + least(20, 10 * (CAST(contains(t, 'weld') AND contains(work, 'weld') AS INTEGER) + CAST(contains(t, 'paint') AND contains(work, 'paint') AS INTEGER) + CAST(contains(t, 'drill') AND contains(work, 'drill') AS INTEGER)))
+  + least(10, 5 * len(list_filter(list_distinct(regexp_extract_all(t, '[CM]\d{{2,3}}')), lambda x: contains(attributes, x)))) AS BIGINT) AS score FROM m2),
+b AS (SELECT * FROM m3 QUALIFY row_number() OVER (PARTITION BY item, code ORDER BY score DESC, place, norm) = 1),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, place, norm) AS INTEGER) AS nth FROM b),
+v AS (SELECT item, CASE WHEN score < 30 THEN 'low score' WHEN unit = '' THEN 'no unit' ELSE 'matched' END AS verdict FROM r WHERE nth = 1)
+SELECT it.item, CASE WHEN it.item NOT IN (SELECT item FROM ok) THEN 'no norm' ELSE coalesce(v.verdict, 'low score') END AS verdict, nth, norm, code, score FROM it LEFT JOIN v ON v.item = it.item LEFT JOIN (SELECT * FROM r WHERE nth <= 5) r ON r.item = it.item
+""")
+def c8_scoped(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return scoped_match(spark.sql(_ITEM_SIDE.replace("FROM part", "FROM {part}"), part=part), spark.sql(_NORM_SIDE.replace("FROM part", "FROM {part}"), part=part), _CATEGORIES, _SCORES)
+
+
 @query("c9_fallback_match", f"""
 WITH {_SCORED}, p AS (SELECT item, code, score FROM m WHERE nth <= 3 AND norm % 2 = 0), q AS (SELECT item, code, score FROM m WHERE nth <= 3 AND norm % 2 = 1),
 w AS (SELECT item FROM p GROUP BY item HAVING max(score) < 70),

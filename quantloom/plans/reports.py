@@ -8,6 +8,7 @@ from quantloom.operators import checks, report, reshape, rules
 from quantloom.plans.registry import query
 from quantloom.sources.fixtures import table
 from quantloom.sources.lists import labelled, union_by_header
+from quantloom.sources.scratch import scratch_path, stored
 
 
 @query("a1_read_lists", "SELECT 'one' AS list_id, p_partkey AS code, p_name AS descr, CAST(p_size AS DOUBLE) AS qty FROM part UNION ALL SELECT 'two', l_partkey, l_returnflag, l_quantity FROM lineitem")
@@ -158,6 +159,33 @@ def j1(spark, sf_dir):
     return reshape.grid_to_long(_grid(spark, sf_dir), "p_brand")
 
 
+def _moved_grid(spark, sf_dir):
+    """Sheets whose name, unit and code columns stand in another order by brand."""
+    part = table(spark, sf_dir, "part")
+    counts = part.groupBy("p_brand", "p_type").pivot("p_size", list(range(1, 51))).count()
+    kind = F.expr("ascii(substr(p_brand, 7, 1)) % 3")
+
+    def laid(rows, row, name, unit, code, values):
+        order = F.when(kind == 0, F.array(name, unit, code)).when(kind == 1, F.array(code, name, unit)).otherwise(F.array(unit, code, name))
+        return rows.select("p_brand", row.cast("int").alias("row"), F.concat(F.array(F.lit("1")), order, F.array(*values)).alias("cells"))
+
+    lit, sizes, brands = F.lit, range(1, 51), part.select("p_brand").distinct()
+    out = laid(counts, F.expr("3 + ascii(p_type)"), F.col("p_type"), F.when(F.expr("ascii(p_type) % 2 = 0"), "kg").otherwise("m2"), F.expr("cast(10000000000 + ascii(p_type) as string)"), [F.coalesce(F.col(str(i)).cast("string"), lit("")) for i in sizes])
+    out = out.unionByName(laid(brands, lit(0), lit("item"), lit(""), lit(""), [lit(str(10000 + i)) for i in sizes]))
+    out = out.unionByName(laid(brands, lit(1), lit(""), lit(""), lit(""), [lit("sizes" if i < 30 else "") for i in sizes]))
+    return out.unionByName(laid(brands, lit(2), lit(""), lit(""), lit(""), [lit("small" if i <= 25 else "large") for i in sizes]))
+
+
+@query("j1_read_grid", """
+WITH n AS (SELECT p_brand, p_type, p_size, CAST(count(*) AS VARCHAR) AS v FROM part GROUP BY 1, 2, 3), s AS (SELECT CAST(unnest(range(1, 51)) AS BIGINT) AS i), k AS (SELECT DISTINCT p_brand, p_type FROM part)
+SELECT k.p_brand, CAST(3 + ascii(k.p_type) AS INTEGER) AS row, CAST(10000 + i AS VARCHAR) AS norm_code, CASE WHEN i <= 25 THEN 'sizes|small' ELSE 'sizes|large' END AS attributes, k.p_type AS name,
+  CASE WHEN ascii(k.p_type) % 2 = 0 THEN 'kg' ELSE 'm2' END AS unit, CAST(10000000000 + ascii(k.p_type) AS VARCHAR) AS code, coalesce(v, '') AS value
+FROM k CROSS JOIN s LEFT JOIN n ON n.p_brand = k.p_brand AND n.p_type = k.p_type AND n.p_size = i
+""")
+def j1_read(spark, sf_dir):
+    return reshape.read_grid(stored(_moved_grid(spark, sf_dir)), "p_brand").withColumn("attributes", F.array_join("attributes", "|"))
+
+
 @query("j2_fill_spans", """
 WITH c AS (SELECT CAST(p_partkey / 100 AS BIGINT) AS s, p_partkey FROM part)
 SELECT p_partkey // 100 AS sheet, p_partkey % 100 AS row, CAST(0 AS INTEGER) AS col, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE (SELECT p_name FROM part b WHERE b.p_partkey = part.p_partkey - part.p_partkey % 5) END AS value FROM part
@@ -253,6 +281,23 @@ def l5(spark, sf_dir):
     return rules.classify_resource(table(spark, sf_dir, "part"), "p_name", known, [("gear", "drive")], {"look": ["red", "new"], "fixing": ["bolt"]}, "general").select("p_partkey", "class")
 
 
+_DECIDED = """CASE WHEN regexp_matches(name, 'gear') THEN 'drive' WHEN 3 * CAST(name LIKE '%red%' AS INTEGER) + 3 * CAST(name LIKE '%new%' AS INTEGER) >= 4 * CAST(name LIKE '%bolt%' AS INTEGER) AND (name LIKE '%red%' OR name LIKE '%new%') THEN 'look'
+  WHEN name LIKE '%bolt%' THEN 'fixing' ELSE 'general' END"""
+
+
+@query("l5_known_names", f"""
+WITH a AS (SELECT p_partkey, lower(p_name) AS name, TRUE AS old FROM part UNION ALL SELECT p_partkey, lower(concat(p_type, ' ', p_name)), FALSE FROM part)
+SELECT p_partkey, name, {_DECIDED} AS class, CASE WHEN old THEN 'known' WHEN regexp_matches(name, 'gear') THEN 'rule' WHEN regexp_matches(name, 'red|new|bolt') THEN 'tree' ELSE 'default' END AS how FROM a
+""")
+def l5_known(spark, sf_dir):
+    part, base = table(spark, sf_dir, "part"), scratch_path(spark)
+    first = part.select("p_partkey", F.lower("p_name").alias("name"))
+    config = [("gear", "drive")], {"look": ["red", "new"], "fixing": ["bolt"]}, "general"
+    rules.classify_and_remember(first, "name", base, 0, *config)
+    both = first.unionByName(part.select("p_partkey", F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("name")))
+    return rules.classify_and_remember(both, "name", base, 1, *config)
+
+
 @query("l6_product_family", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'ring|gear') THEN 'mech' WHEN regexp_matches(p_name, 'bolt|nut') THEN 'fix' ELSE 'no_family' END AS family, CASE WHEN regexp_matches(p_name, 'ring|gear') THEN 'P1' ELSE 'other' END AS package FROM part")
 def l6(spark, sf_dir):
     return rules.product_family(table(spark, sf_dir, "part"), "p_name", [("mech", ["ring", "gear"]), ("fix", ["bolt", "nut"])], {"mech": "P1"}).select("p_partkey", "family", "package")

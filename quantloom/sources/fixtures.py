@@ -91,6 +91,10 @@ UNION ALL SELECT page, 101, 1, CAST(sum(c) * 0.15 AS DECIMAL(16,4)), NULL FROM p
     "points": """
 SELECT event_id AS token_id, user_id AS page, CAST(value AS DOUBLE) AS x,
        CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) AS y, event_type AS text FROM events
+""",
+    "type_tokens": """
+SELECT event_id AS token_id, user_id AS page, CAST(value AS DOUBLE) AS x, CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) AS y,
+       CAST(20 + user_id % 5 * 30 + event_id % 3 AS DOUBLE) AS height, event_type AS text FROM events
 """,
     "access": "SELECT user_id AS item_id, ts FROM events",
     "task_log": """
