@@ -97,3 +97,16 @@ def table_shape_checks(cells: DataFrame, page: str, row: str, col: str, value: s
     rows = cells.groupBy(page, F.col(row).alias("at")).agg(empty.alias("e"), F.count("*").alias("n")).where("e = n").select(page, F.lit("empty row").alias("check"), "at")
     cols = cells.groupBy(page, F.col(col).alias("at")).agg(empty.alias("e"), F.count("*").alias("n")).where("e > 0.8 * n").select(page, F.lit("sparse column").alias("check"), "at")
     return rows.unionByName(cols)
+
+
+def data_row_checks(cells: DataFrame, page: str, row: str, col: str, value: str, fixed: list[int], sequence: int) -> DataFrame:
+    """(page, check, at) for the data rows of tables: rows whose `fixed` columns are all empty, rows without a number
+    in the `sequence` column, and other columns more than 80 % empty. A cell that is missing counts as empty where
+    its row has none of the fixed columns, or not the sequence column."""
+    text = F.trim(F.coalesce(F.col(value), F.lit("")))
+    is_fixed = F.col(col).isin(*fixed)
+    rows = cells.groupBy(page, F.col(row).alias("at")).agg(F.count_if(is_fixed & (text != "")).alias("full"), F.count_if((F.col(col) == sequence) & text.rlike(r"^\d")).alias("numbers"))
+    found = F.filter(F.array(F.when(F.col("full") == 0, "empty row"), F.when(F.col("numbers") == 0, "no number")), lambda c: c.isNotNull())
+    by_row = rows.select(page, F.explode(found).alias("check"), F.col("at").cast("bigint").alias("at"))
+    cols = cells.where(~is_fixed).groupBy(page, F.col(col).alias("at")).agg(F.count_if(text == "").alias("e"), F.count("*").alias("n")).where("e > 0.8 * n")
+    return by_row.unionByName(cols.select(page, F.lit("sparse column").alias("check"), F.col("at").cast("bigint").alias("at")))

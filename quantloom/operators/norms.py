@@ -75,6 +75,23 @@ def named_category(name: Column, categories: Sequence[Category]) -> Column:
     return numbers[best["key"]]
 
 
+def no_norm_reason(name: Column, unit: Column, category: Column, categories: Sequence[Category], scores: Scores) -> Column:
+    """Why an item gets no norm, whatever the norms are: title, conceptual unit, no category or empty category (one
+    without chapters and keywords); null for an item that may get one."""
+    empty = [n for n, c in enumerate(categories) if not c.chapters and not c.keywords]
+    return F.when(name.rlike(scores.titles), "title").when(F.lower(unit).isin(*scores.conceptual), "conceptual unit").when(category.isNull(), "no category").when(category.isin(*empty), "empty category")
+
+
+def unit_fit(unit: Column, norm_unit: Column, scores: Scores) -> Column:
+    """How an item's unit and a norm's go together: none (the norm has none), unknown (the item has none), same,
+    compatible, other kind (a conceptual unit and another) or other."""
+    pair = F.lit(False)
+    for a, b in scores.compatible:
+        pair |= ((unit == a) & (norm_unit == b)) | ((unit == b) & (norm_unit == a))
+    kind = F.lower(unit).isin(*scores.conceptual) != F.lower(norm_unit).isin(*scores.conceptual)
+    return F.when(norm_unit == "", "none").when(unit == "", "unknown").when(unit == norm_unit, "same").when(pair, "compatible").when(kind, "other kind").otherwise("other")
+
+
 def _candidates(norms: DataFrame, categories: Sequence[Category], scores: Scores) -> DataFrame:
     """Norms of each category with what they score whatever the item is."""
     spark = norms.sparkSession
@@ -119,11 +136,10 @@ def scoped_match(items: DataFrame, norms: DataFrame, categories: Sequence[Catego
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     items = items.select("item", *(text(c).alias(c) for c in ("name", "descr", "unit")))
     norms = norms.select("norm", "code", *(text(c).alias(c) for c in ("search", "chapter", "unit", "resources", "work", "attributes")), F.coalesce("manual", F.lit(False)).alias("manual"))
-    empty = [n for n, c in enumerate(categories) if not c.chapters and not c.keywords]
     form = ["name", "descr", "unit"]
     forms = items.select(*form).distinct().withColumn("cat", named_category(F.col("name"), categories))
-    out = F.col("name").rlike(scores.titles) | F.lower("unit").isin(*scores.conceptual) | F.col("cat").isNull() | F.col("cat").isin(*empty)
-    forms = forms.where(~out)
+    reason = no_norm_reason(F.col("name"), F.col("unit"), F.col("cat"), categories, scores)
+    forms = forms.where(reason.isNull())
 
     whole = F.concat_ws(" ", "name", "descr")
     own = {f"needs{i}": _has_any(F.lower(whole), m.signs) for i, m in enumerate(scores.materials)}
@@ -144,12 +160,9 @@ def scoped_match(items: DataFrame, norms: DataFrame, categories: Sequence[Catego
         hit = hit.where(F.col("_n") <= most if most else F.lit(True)).drop("_n")
         met = met.unionByName(hit.drop("_hit")).unionByName(loose.join(hit.select(*form).distinct(), form, "left_anti").drop("_hit"))
 
-    iu, nu = F.col("unit"), F.col("norm_unit")
-    pair = F.lit(False)
-    for a, b in scores.compatible:
-        pair |= ((iu == a) & (nu == b)) | ((iu == b) & (nu == a))
-    kind = F.lower(iu).isin(*scores.conceptual) != F.lower(nu).isin(*scores.conceptual)
-    units = F.when(nu == "", scores.no_unit).when(iu == "", 0).when(iu == nu, scores.same_unit).when(pair, scores.compatible_unit).when(kind, scores.other_kind_of_unit).otherwise(scores.other_unit)
+    fit = unit_fit(F.col("unit"), F.col("norm_unit"), scores)
+    points = {"none": scores.no_unit, "same": scores.same_unit, "compatible": scores.compatible_unit, "other kind": scores.other_kind_of_unit, "other": scores.other_unit, "unknown": 0}
+    units = F.create_map(*(F.lit(x) for pair in points.items() for x in pair))[fit]
     score = F.col("base") + units
     for i, m in enumerate(scores.materials):
         score += F.when((F.col("resources") != "") & F.col(f"needs{i}"), F.when(F.col(f"has{i}"), m.hit).otherwise(m.miss)).otherwise(0)
@@ -164,3 +177,18 @@ def scoped_match(items: DataFrame, norms: DataFrame, categories: Sequence[Catego
     judged = forms.select(*form).join(first, form, "left").withColumn("first", F.coalesce("first", F.lit("low score")))
     found = items.join(judged, form, "left").join(best, form, "left")
     return found.select("item", F.coalesce("first", F.lit("no norm")).alias("verdict"), "nth", "norm", "code", "score")
+
+
+def no_norm_reasons(items: DataFrame, categories: Sequence[Category], scores: Scores, n: int = 20) -> DataFrame:
+    """(reason, items): the n commonest reasons for which items get no norm."""
+    name, unit = (F.coalesce(F.col(c), F.lit("")) for c in ("name", "unit"))
+    reason = no_norm_reason(name, unit, named_category(name, categories), categories, scores)
+    return items.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("items")).orderBy(F.desc("items"), "reason").limit(n)
+
+
+def unit_problems(matches: DataFrame, items: DataFrame, norms: DataFrame, scores: Scores) -> DataFrame:
+    """(item, unit, norm, norm_unit, fit): items of low score whose best norm has another unit, or none."""
+    best = matches.where("verdict = 'low score' and nth = 1").select("item", "norm")
+    met = best.join(items.select("item", F.coalesce("unit", F.lit("")).alias("unit")), "item").join(norms.select("norm", F.coalesce("unit", F.lit("")).alias("norm_unit")), "norm")
+    out = met.withColumn("fit", unit_fit(F.col("unit"), F.col("norm_unit"), scores))
+    return out.where(F.col("fit").isin("none", "other kind", "other")).select("item", "unit", "norm", "norm_unit", "fit")

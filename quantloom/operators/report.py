@@ -66,6 +66,23 @@ def session_stats(messages: DataFrame, error: str) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count("*").alias("turns"), role("user").alias("user_turns"), role("assistant").alias("assistant_turns"), F.count_if(F.col("text").rlike(error)).alias("errors"), F.sum(F.length("text")).alias("chars"))
 
 
+def session_findings(messages: DataFrame, tool: str, error: str, tools: int = 5, pitfalls: int = 3) -> DataFrame:
+    """(conv_id, tools, pitfalls, smooth): the commonest tools, by the first group of the pattern `tool` (as name:n,
+    of equals the one used first), the first distinct answers with an error marker, cut to 200 characters, and
+    whether there are answers and none of them has one. Null texts count as empty."""
+    text = F.coalesce("text", F.lit(""))
+    used = messages.select("conv_id", "turn", F.posexplode(F.regexp_extract_all(text, F.lit(tool), 1)).alias("at", "name")).groupBy("conv_id", "name").agg(F.count("*").alias("n"), F.min(F.struct("turn", "at")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "first"))
+    used = used.withColumn("nth", nth).where(F.col("nth") <= tools).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name", "n"))), lambda t: F.concat(t["name"], F.lit(":"), t["n"].cast("string"))).alias("tools"))
+    bad = messages.where((F.col("role") == "assistant") & text.rlike(error)).select("conv_id", "turn", F.trim(F.substring(text, 1, 200)).alias("said"))
+    bad = bad.groupBy("conv_id", "said").agg(F.min("turn").alias("turn"))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "said"))
+    bad = bad.withColumn("nth", nth).where(F.col("nth") <= pitfalls).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "said"))), lambda t: t["said"]).alias("pitfalls"))
+    out = messages.groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("answers")).join(used, "conv_id", "left").join(bad, "conv_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select("conv_id", F.coalesce("tools", none).alias("tools"), F.coalesce("pitfalls", none).alias("pitfalls"), ((F.col("answers") > 0) & F.col("pitfalls").isNull()).alias("smooth"))
+
+
 def nested_tree(items: DataFrame, chapter: str, section: str, item: str) -> DataFrame:
     """One row for each chapter with its sections and their distinct items, all in order. An item list holds
     the items of one section."""
@@ -88,3 +105,15 @@ def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
 def quote_dashboard(quotes: DataFrame, section: Column) -> DataFrame:
     """Quotes, priced ones and origins of each section."""
     return quotes.withColumn("section", section).groupBy("section").agg(F.count("*").alias("quotes"), F.count_if(F.col("price") > 0).alias("priced"), F.count_distinct("origin").alias("origins"))
+
+
+def quote_totals(quotes: DataFrame, sections: list[tuple[str, Column]], rest: str) -> DataFrame:
+    """(level, pos, section, origin, quotes, priced, unpriced): quotes of each origin in each section (level 0), of
+    each section (1) and of all (3). A quote belongs to the first section whose condition holds, else to `rest`;
+    pos is the section's place in that order, null in the total."""
+    number = F.when(F.lit(False), F.lit(0))
+    for n, (_, when) in enumerate(sections):
+        number = number.when(when, F.lit(n))
+    names = [*(name for name, _ in sections), rest]
+    out = quotes.withColumn("pos", number.otherwise(len(sections))).rollup("pos", "origin").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("quotes"), F.count_if(F.col("price") > 0).alias("priced"))
+    return out.select("level", "pos", F.get(F.array(*map(F.lit, names)), F.col("pos")).alias("section"), "origin", "quotes", "priced", (F.col("quotes") - F.col("priced")).alias("unpriced"))

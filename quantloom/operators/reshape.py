@@ -75,9 +75,11 @@ def read_grid(grid: DataFrame, page: str, first_data: DataFrame | None = None, u
     return long.select(page, "row", "k.norm_code", "k.attributes", "name", "unit", "code", F.coalesce(F.get("cells", F.col("k.col")), F.lit("")).alias("value"))
 
 
-def fill_spans(cells: DataFrame, spans: DataFrame) -> DataFrame:
+def fill_spans(cells: DataFrame, spans: DataFrame, leftmost: bool = False) -> DataFrame:
     """Cells (sheet, row, col, value) with the top left value of each merged span (sheet, r1, c1, r2, c2) in
-    the span's empty cells."""
+    the span's empty cells; `leftmost` fills those of its first column only."""
+    if leftmost:
+        spans = spans.withColumn("c2", F.col("c1"))
     inside = spans.select("sheet", "r1", "c1", "c2", F.explode(F.sequence("r1", "r2")).alias("row"))
     inside = inside.select("sheet", "r1", "c1", "row", F.explode(F.sequence("c1", "c2")).alias("col"))
     top = cells.select("sheet", F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("value").alias("_top"))

@@ -121,6 +121,21 @@ def convert_unit_price(df: DataFrame, price: str, have: str, want: str, text: st
     return df.withColumns({"price_conv": value, "rule": rule.otherwise("unresolved")})
 
 
+def explain_ratio(df: DataFrame, original: str, converted: str) -> DataFrame:
+    """Adds ratio and ratio_rule, for prices of equal units: converted over original as a multiple (layers), a
+    divisor, a currency (about 5, or 32 to 35), large (over 20) or factor. Both are null where the prices agree
+    within 0.01 or one is missing or zero."""
+    a, b = F.col(original), F.col(converted)
+    ratio = F.when((a != 0) & (b != 0) & (F.abs(b - a) > 0.01), b / a)
+    part = F.rint(1 / ratio)
+    rule = (
+        F.when(ratio.isNull(), F.lit(None)).when((F.abs(ratio - F.rint(ratio)) < 0.02) & (ratio > 1.01), "multiple")
+        .when((ratio < 0.99) & (part != 0) & (F.abs(ratio - 1 / F.nullif(part, F.lit(0.0))) < 0.02), "divisor")
+        .when((ratio > 4.5) & (ratio < 5.5), "cny").when((ratio > 32) & (ratio < 35), "usd").when(ratio > 20, "large").otherwise("factor")
+    )
+    return df.withColumns({"ratio": ratio, "ratio_rule": rule})
+
+
 def post_edit(df: DataFrame, source: str, target: str, fixes: list[tuple[str, str, str]], glossary: dict[str, str]) -> DataFrame:
     """Adds edited: where the source has a word, its wrong translations are replaced; then glossary words,
     the longest first; then blanks and doubled stops are cleaned, and repeated word pairs are written once."""

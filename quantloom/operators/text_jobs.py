@@ -76,16 +76,22 @@ def find_price_documents(docs: DataFrame, id_col: str, text_col: str, heading: s
     return out.where("numeric_after >= 5 or (tables >= 3 and numeric_tables > 0.25 * tables)").select(id_col, "tables", "numeric_after")
 
 
-def numeric_blocks(docs: DataFrame, id_col: str, text_col: str, anchor: str, back: int = 5, ahead: int = 80, step: int = 30, least: int = 8) -> DataFrame:
-    """(id, first, last, numeric): blocks around anchors, and where a document has fewer than two of these,
-    windows of 60 lines every `step` with `least` numeric lines or more."""
+def numeric_blocks(docs: DataFrame, id_col: str, text_col: str, anchor: str, back: int = 5, ahead: int = 80, step: int = 30, least: int = 8, marked: str | None = None, few: int = 4, chars: int = 150) -> DataFrame:
+    """(id, first, last, numeric): blocks of more than `chars` characters around the first ten anchors, and where a
+    document has fewer than two of these, windows of 60 lines every `step` with `least` numeric lines or more, or
+    with `few` of them and a line that `marked` (headings, units) fits."""
     lines = document_lines(docs, id_col, text_col)
     anchors = lines.where(F.col("text").rlike(anchor)).withColumn("n", F.row_number().over(Window.partitionBy(id_col).orderBy("line"))).where("n <= 10")
     around = anchors.select(id_col, F.greatest(F.col("line") - back, F.lit(0)).alias("first"), (F.col("line") + ahead).alias("last"))
-    few = docs.select(id_col).join(around.groupBy(id_col).count().where("count >= 2"), id_col, "left_anti")
-    numeric = lines.where(F.col("text").rlike(r"\d")).join(few, id_col, "left_semi")
+    inside = around.join(lines, id_col).where("line between first and last")  # a line is in ten blocks at most
+    sized = inside.groupBy(id_col, "first", "last").agg((F.sum(F.length("text")) + F.count("*") - 1).alias("chars"))
+    around = around.join(sized.where(F.col("chars") > chars), [id_col, "first", "last"], "left_semi")
+    several = around.groupBy(id_col).agg(F.count("*").alias("n")).where("n >= 2")
+    fits = F.col("text").rlike(marked) if marked else F.lit(False)
+    told = lines.withColumns({"numeric": F.col("text").rlike(r"\d").cast("bigint"), "fits": fits}).where("numeric = 1 or fits").join(several, id_col, "left_anti")
     start = F.explode(F.array_distinct(F.array(F.floor(F.col("line") / step) * step, F.greatest(F.floor(F.col("line") / step) * step - step, F.lit(0)))))
-    sliding = numeric.select(id_col, start.alias("first")).groupBy(id_col, "first").agg(F.count("*").alias("numeric")).where(F.col("numeric") >= least)
+    sliding = told.select(id_col, "line", "numeric", "fits", start.alias("first")).where(F.col("line") < F.col("first") + 60).groupBy(id_col, "first").agg(F.sum("numeric").alias("numeric"), F.max("fits").alias("fits"))
+    sliding = sliding.where((F.col("numeric") >= least) | (F.col("fits") & (F.col("numeric") >= few)))
     counted = around.withColumn("numeric", F.lit(None).cast("bigint"))
     return counted.unionByName(sliding.select(id_col, F.col("first").cast("int").alias("first"), (F.col("first") + 59).cast("int").alias("last"), "numeric"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import reconcile
 from quantloom.operators.align import sequence_align
-from quantloom.operators.norms import Category, Material, Scores, scoped_match
+from quantloom.operators.norms import Category, Material, Scores, no_norm_reasons, scoped_match, unit_problems
 from quantloom.plans.registry import query
 from quantloom.sources.fixtures import table
 
@@ -155,7 +155,7 @@ _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
 _CONFIG_SQL = ", ".join(f"({n}, {_LIST(c.keywords)}, {_LIST(c.excluded)}, {_LIST(c.chapters)}, {any(k in _SCORES.machine_work for k in c.keywords)})" for n, c in enumerate(_CATEGORIES))
 
 
-@query("c8_scoped_match", f"""
+_SCOPED = f"""
 WITH nm AS ({_NORM_SIDE}), it AS ({_ITEM_SIDE}), ky(key, cat) AS (VALUES {_KEYS_SQL}), cf(cat, kw, ex, ch, machine) AS (VALUES {_CONFIG_SQL}),
 ic AS (SELECT it.*, concat(name, ' ', descr) AS t, (SELECT cat FROM ky WHERE position(key IN lower(trim(name))) > 0 ORDER BY length(key) DESC, position(key IN lower(trim(name))) LIMIT 1) AS cat FROM it),
 ok AS (SELECT * FROM ic JOIN cf USING (cat) WHERE NOT starts_with(name, 'small') AND unit <> 'item' AND len(kw) + len(ch) > 0),
@@ -176,11 +176,36 @@ m3 AS (SELECT *, CAST(hits * 30 + CASE WHEN len(kw) > 0 AND hits = 0 THEN -15 EL
 b AS (SELECT * FROM m3 QUALIFY row_number() OVER (PARTITION BY item, code ORDER BY score DESC, place, norm) = 1),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, place, norm) AS INTEGER) AS nth FROM b),
 v AS (SELECT item, CASE WHEN score < 30 THEN 'low score' WHEN unit = '' THEN 'no unit' ELSE 'matched' END AS verdict FROM r WHERE nth = 1)
-SELECT it.item, CASE WHEN it.item NOT IN (SELECT item FROM ok) THEN 'no norm' ELSE coalesce(v.verdict, 'low score') END AS verdict, nth, norm, code, score FROM it LEFT JOIN v ON v.item = it.item LEFT JOIN (SELECT * FROM r WHERE nth <= 5) r ON r.item = it.item
+"""
+
+
+def _sides(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return [spark.sql(side.replace("FROM part", "FROM {part}"), part=part) for side in (_ITEM_SIDE, _NORM_SIDE)]
+
+
+@query("c8_scoped_match", f"""
+{_SCOPED} SELECT it.item, CASE WHEN it.item NOT IN (SELECT item FROM ok) THEN 'no norm' ELSE coalesce(v.verdict, 'low score') END AS verdict, nth, norm, code, score FROM it LEFT JOIN v ON v.item = it.item LEFT JOIN (SELECT * FROM r WHERE nth <= 5) r ON r.item = it.item
 """)
 def c8_scoped(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    return scoped_match(spark.sql(_ITEM_SIDE.replace("FROM part", "FROM {part}"), part=part), spark.sql(_NORM_SIDE.replace("FROM part", "FROM {part}"), part=part), _CATEGORIES, _SCORES)
+    return scoped_match(*_sides(spark, sf_dir), _CATEGORIES, _SCORES)
+
+
+@query("d9_no_norm_reasons", f"""
+{_SCOPED}, rs AS (SELECT CASE WHEN starts_with(name, 'small') THEN 'title' WHEN unit = 'item' THEN 'conceptual unit' WHEN cat IS NULL THEN 'no category' ELSE 'empty category' END AS reason FROM ic WHERE item NOT IN (SELECT item FROM ok))
+SELECT reason, count(*) AS items FROM rs GROUP BY reason
+""")
+def d9_reasons(spark, sf_dir):
+    return no_norm_reasons(_sides(spark, sf_dir)[0], _CATEGORIES, _SCORES)
+
+
+@query("d9_unit_problems", f"""
+{_SCOPED.replace('<= 200', '<= 2')} SELECT item, iu AS unit, norm, unit AS norm_unit, CASE WHEN unit = '' THEN 'none' WHEN unit = 'item' THEN 'other kind' ELSE 'other' END AS fit FROM r
+WHERE nth = 1 AND score < 30 AND (unit = '' OR (iu <> '' AND iu <> unit AND concat(least(iu, unit), '/', greatest(iu, unit)) NOT IN ('kg/t', 'cm/mm', 'cm/m')))
+""")
+def d9_units(spark, sf_dir):
+    items, pool = _sides(spark, sf_dir)
+    return unit_problems(scoped_match(items, pool, _CATEGORIES, _SCORES, most=2), items, pool, _SCORES)
 
 
 @query("c9_fallback_match", f"""

@@ -208,6 +208,20 @@ def b13(spark, sf_dir):
     return standardise.convert_unit_price(part, "p_retailprice", "a", "b", "txt").select("p_partkey", "rule", F.round("price_conv", 4).alias("price_conv"))
 
 
+_FACTORS = [1.0, 3.0, 0.25, 4.7, 33.4, 25.55, 1.37, 0.0, 0.7]
+
+
+@query("b13_explain_ratio", f"""
+WITH p AS (SELECT p_partkey, p_retailprice AS a, p_retailprice * {_FACTORS}[p_partkey % {len(_FACTORS)} + 1]::DOUBLE AS b FROM part), r AS (SELECT *, CASE WHEN a <> 0 AND b <> 0 AND abs(b - a) > 0.01 THEN b / a END AS r FROM p)
+SELECT p_partkey, round(r, 6) AS ratio, CASE WHEN r IS NULL THEN NULL WHEN abs(r - round_even(r, 0)) < 0.02 AND r > 1.01 THEN 'multiple' WHEN r < 0.99 AND round_even(1 / r, 0) <> 0 AND abs(r - 1 / round_even(1 / r, 0)) < 0.02 THEN 'divisor'
+  WHEN r > 4.5 AND r < 5.5 THEN 'cny' WHEN r > 32 AND r < 35 THEN 'usd' WHEN r > 20 THEN 'large' ELSE 'factor' END AS ratio_rule FROM r
+""")
+def b13_ratio(spark, sf_dir):
+    factor = F.get(F.array(*map(F.lit, _FACTORS)), F.col("p_partkey") % len(_FACTORS))
+    part = table(spark, sf_dir, "part").withColumn("b", F.col("p_retailprice") * factor)
+    return standardise.explain_ratio(part, "p_retailprice", "b").select("p_partkey", F.round("ratio", 6).alias("ratio"), "ratio_rule")
+
+
 @query("b15_translation_post_edit")
 def b15(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("draft", F.regexp_replace("text", r"\.", ".."))

@@ -110,6 +110,20 @@ def d15(spark, sf_dir):
     return report.session_stats(table(spark, sf_dir, "conversations"), "(?i)error|fail|of the")
 
 
+@query("d15_session_findings", """
+WITH u AS (SELECT conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '(error|fail|the|de|of|un) ', 1)) AS name, generate_subscripts(regexp_extract_all(coalesce(text, ''), '(error|fail|the|de|of|un) ', 1), 1) AS place FROM conversations),
+t AS (SELECT conv_id, name, count(*) AS n, min({'t': turn, 'a': place}) AS first FROM u GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS nth FROM t),
+b AS (SELECT conv_id, trim(substr(text, 1, 200)) AS said, min(turn) AS turn FROM conversations WHERE role = 'assistant' AND regexp_matches(text, 'error|ab|the th') GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, said) AS nth FROM b)
+SELECT c.conv_id, coalesce((SELECT string_agg(concat(name, ':', n), '|' ORDER BY nth) FROM k WHERE k.conv_id = c.conv_id AND nth <= 5), '') AS tools,
+  coalesce((SELECT string_agg(said, '|' ORDER BY nth) FROM p WHERE p.conv_id = c.conv_id AND nth <= 3), '') AS pitfalls, count(*) FILTER (role = 'assistant') > 0 AND c.conv_id NOT IN (SELECT conv_id FROM b) AS smooth FROM conversations c GROUP BY c.conv_id
+""")
+def d15_findings(spark, sf_dir):
+    found = report.session_findings(table(spark, sf_dir, "conversations"), "(error|fail|the|de|of|un) ", "error|ab|the th")
+    return found.withColumns({c: F.array_join(c, "|") for c in ("tools", "pitfalls")})
+
+
 @query("d16_nested_tree", """
 SELECT n_regionkey, string_agg(concat(n_name, ':', names), ';' ORDER BY n_name) AS tree FROM (
   SELECT n_regionkey, n_name, string_agg(s_name, ',' ORDER BY s_name) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_name) GROUP BY n_regionkey
@@ -142,6 +156,15 @@ def d20(spark, sf_dir):
     return report.quote_dashboard(quotes, section)
 
 
+@query("d20_quote_totals", """
+WITH q AS (SELECT CASE WHEN name LIKE '%red%' THEN 0 WHEN name LIKE '%gear%' THEN 1 ELSE 2 END AS pos, specialty AS origin, price FROM rates)
+SELECT CAST(grouping_id(pos, origin) AS INTEGER) AS level, pos, CASE pos WHEN 0 THEN 'red' WHEN 1 THEN 'gear' WHEN 2 THEN 'rest' END AS section, origin, count(*) AS quotes, count(*) FILTER (price > 500) AS priced, count(*) - count(*) FILTER (price > 500) AS unpriced FROM q GROUP BY ROLLUP (pos, origin)
+""")
+def d20_totals(spark, sf_dir):
+    quotes = table(spark, sf_dir, "rates").select("name", F.when(F.col("price") > 500, F.col("price")).alias("price"), F.col("specialty").alias("origin"))
+    return report.quote_totals(quotes, [("red", F.col("name").contains("red")), ("gear", F.col("name").contains("gear"))], "rest")
+
+
 def _grid(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     counts = part.groupBy("p_brand", "p_type").pivot("p_size", list(range(1, 51))).count()
@@ -395,6 +418,19 @@ def m8(spark, sf_dir):
     return checks.recall_check(rates, rates.where("length(rate_id) % 7 <> 0"), "rate_id", "supplier")
 
 
+@query("m9_data_row_checks", """
+WITH d AS (SELECT p_brand, p_partkey AS row, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS c0, CASE WHEN p_partkey % 6 = 0 THEN ' ' ELSE p_name END AS c1,
+  CASE WHEN p_size > 45 THEN NULL ELSE 'x' END AS c2, CASE WHEN p_size * 2 > 100 - ascii(substr(p_brand, 7, 1)) % 5 * 10 THEN 'x' ELSE '' END AS c3 FROM part)
+SELECT p_brand, 'empty row' AS check, row AS at FROM d WHERE trim(c0) = '' AND trim(c1) = '' UNION ALL SELECT p_brand, 'no number', row FROM d WHERE NOT regexp_matches(c0, '^\s*\d')
+UNION ALL SELECT p_brand, 'sparse column', 2 FROM d GROUP BY p_brand HAVING count(*) FILTER (coalesce(c2, '') = '') > 0.8 * count(*) UNION ALL SELECT p_brand, 'sparse column', 3 FROM d GROUP BY p_brand HAVING count(*) FILTER (c3 = '') > 0.8 * count(*)
+""")
+def m9_rows(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    line = F.array(F.when(k % 3 == 0, "").otherwise(k.cast("string")), F.when(k % 6 == 0, " ").otherwise(F.col("p_name")), F.when(size <= 45, "x"), F.when(size * 2 > 100 - F.expr("ascii(substr(p_brand, 7, 1))") % 5 * 10, "x").otherwise(""))
+    cells = table(spark, sf_dir, "part").select("p_brand", k.alias("row"), F.posexplode(line).alias("col", "value"))
+    return checks.data_row_checks(cells, "p_brand", "row", "col", "value", [0, 1], 0)
+
+
 @query("m9_table_shape_checks")
 def m9(spark, sf_dir):
     cells = _grid(spark, sf_dir).where("row > 1").select("p_brand", "row", F.posexplode("cells").alias("col", "value"))

@@ -194,3 +194,43 @@ def test_norms_outside_the_named_chapters_serve_where_those_are_empty(spark):
         (3, "no unit", 1, 3, 55), (4, "no norm", None, None, None), (5, "no norm", None, None, None),
         (6, "matched", 1, 1, 30), (6, "matched", 2, 2, 30), (7, "matched", 1, 1, 45), (7, "matched", 2, 2, 45),
     ], key=repr)
+
+
+def test_numeric_blocks_are_those_of_a_loop(spark):
+    import re
+
+    rng = random.Random(11)
+    pick = lambda: rng.choices(["12 m2 of it", "plain words", "Price list", "Section", "", "7"], [3, 8, 0.4, 0.3, 1, 2])[0]
+    docs = {d: "\n".join(pick() for _ in range(rng.choice([1, 20, 70, 200]))) for d in range(40)} | {40: "", 41: "\n".join(["Price list"] * 14 + ["word " * 9] * 30)}
+    want = []
+    for d, text in docs.items():
+        lines = text.split("\n")
+        blocks = [(max(i - 5, 0), i + 80) for i, t in enumerate(lines) if "Price" in t][:10]
+        blocks = [b for b in blocks if len("\n".join(lines[b[0] : b[1] + 1])) > 150]
+        want += [(d, *b, None) for b in blocks]
+        if len(blocks) < 2:
+            for first in range(0, len(lines), 30):
+                window = lines[first : first + 60]
+                n = sum(bool(re.search(r"\d", t)) for t in window)
+                if n >= 8 or (n >= 4 and "Section" in window):
+                    want.append((d, first, first + 59, n))
+    df = spark.createDataFrame([*docs.items(), (99, None)], "id bigint, text string")
+    assert rows(text_jobs.numeric_blocks(df, "id", "text", "Price", marked="^Section$"), "id", "first", "last", "numeric") == sorted(want, key=repr)
+
+
+def test_steps_are_those_of_a_loop(spark):
+    import re
+
+    talk = [(c, t, text) for c in range(6) for t, text in enumerate(random.Random(c).choices(["- mix it\n- pour it\n2) wait", "First mix. Then pour! Nothing else.", "no steps here", "Finally, " + "x" * 130 + ". Then stop.", "* mix it", "1. one\n2. two\n3. three\n4. four\n5. five\n6. six"], k=4))]
+    want = []
+    for c in range(6):
+        seen = []
+        for text in (x for cc, _, x in talk if cc == c):
+            for piece in re.split(r"\n|(?<=[.!?])\s+", text):
+                step = re.sub(r"^\s*(?:[-*]|\d+[.)])\s+", "", piece).strip()
+                told = re.match(r"\s*(?:[-*]|\d+[.)])\s+", piece) or re.search(r"\b(?:first|then|next|after|finally)\b", piece.lower())
+                if told and 1 <= len(step) <= 120 and step not in seen:
+                    seen.append(step)
+        want += [(c, n + 1, s) for n, s in enumerate(seen[:8])]
+    df = spark.createDataFrame(talk, "conv_id bigint, turn int, text string")
+    assert rows(text_jobs.procedural_steps(df), "conv_id", "nth", "step") == sorted(want, key=repr)
