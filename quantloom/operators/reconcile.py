@@ -169,32 +169,6 @@ def fallback_match(primary: DataFrame, secondary: DataFrame, threshold: float, n
     return one.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n)
 
 
-def family_pool(items: DataFrame, rates: DataFrame, preferred: Column, k: int) -> DataFrame:
-    """The k rates of each family that share most of its terms: 4 for each shared word and 8 if preferred; none
-    without a shared word."""
-    terms = items.select("family", F.explode(F.split(F.lower("text"), r"\W+")).alias("word")).where(F.length("word") > 2).distinct()
-    words = rates.select("rate_id", F.explode(F.split(F.lower("name"), r"\W+")).alias("word")).distinct()
-    hits = words.join(terms, "word").groupBy("family", "rate_id").agg(F.count("*").alias("hits"))
-    liked = rates.groupBy("rate_id").agg(F.max(preferred).alias("preferred"))
-    scored = hits.join(liked, "rate_id").withColumn("score", F.col("hits") * 4 + F.when(F.col("preferred"), 8).otherwise(0))
-    best = Window.partitionBy("family").orderBy(F.desc("score"), "rate_id")
-    return scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("family", "nth", "rate_id", "score")
-
-
-def rerank_candidates(pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """Candidate pairs (item, item_text, item_unit, rate_id, name, unit, specialty_fit) scored: 0.4 of the
-    token-set ratio, 5 for each shared word, 20 for an equal unit and 6 for one of the same head, 10 for the
-    specialty; the best k of at least `least`."""
-    from quantloom.functions.udfs import token_set_ratio
-
-    shared = F.size(F.array_intersect(F.split(F.lower("item_text"), r"\W+"), F.split(F.lower("name"), r"\W+")))
-    unit = F.when(F.col("unit") == F.col("item_unit"), 20.0).when(F.substring("unit", 1, 2) == F.substring("item_unit", 1, 2), 6.0).otherwise(0.0)
-    texts = pairs.select("item_text", "name").distinct().withColumn("ratio", token_set_ratio(F.lower("item_text"), F.lower("name")))
-    scored = pairs.join(texts, ["item_text", "name"]).withColumn("score", 0.4 * F.col("ratio") + 5 * shared + unit + F.when(F.col("specialty_fit"), 10).otherwise(0))
-    best = Window.partitionBy("item").orderBy(F.desc("score"), "rate_id")
-    return scored.where(F.col("score") >= least).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("item", "nth", "rate_id", "score")
-
-
 def code_join_writeback(unique: DataFrame, master: DataFrame) -> DataFrame:
     """Master rows with the norm of the same cleaned description and unit; repeated keys of unique count by
     their smallest norm."""

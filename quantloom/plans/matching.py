@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import reconcile
 from quantloom.operators.align import sequence_align
+from quantloom.operators.families import AFFINITY, MATERIALS, UNIT_ALIASES, UNIT_KINDS, Factors, Lexicon, family_pool, rerank_candidates
 from quantloom.operators.norms import Category, Material, Scores, no_norm_reasons, scoped_match, unit_problems
 from quantloom.plans.registry import query
 from quantloom.sources.fixtures import table
+from quantloom.sources.scratch import stored
 
 _BLOCK = "concat(split_part(code, '.', 1), '.', split_part(code, '.', 2))"
 _STAGES = """
@@ -155,7 +157,7 @@ _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
 _CONFIG_SQL = ", ".join(f"({n}, {_LIST(c.keywords)}, {_LIST(c.excluded)}, {_LIST(c.chapters)}, {any(k in _SCORES.machine_work for k in c.keywords)})" for n, c in enumerate(_CATEGORIES))
 
 
-_SCOPED = f"""
+_SCOPED = rf"""
 WITH nm AS ({_NORM_SIDE}), it AS ({_ITEM_SIDE}), ky(key, cat) AS (VALUES {_KEYS_SQL}), cf(cat, kw, ex, ch, machine) AS (VALUES {_CONFIG_SQL}),
 ic AS (SELECT it.*, concat(name, ' ', descr) AS t, (SELECT cat FROM ky WHERE position(key IN lower(trim(name))) > 0 ORDER BY length(key) DESC, position(key IN lower(trim(name))) LIMIT 1) AS cat FROM it),
 ok AS (SELECT * FROM ic JOIN cf USING (cat) WHERE NOT starts_with(name, 'small') AND unit <> 'item' AND len(kw) + len(ch) > 0),
@@ -221,27 +223,77 @@ def c9(spark, sf_dir):
     return reconcile.fallback_match(one, two, 70, 2)
 
 
+_LEXICON = Lexicon({"gear": "齿轮", "cold ring": "冷环", "bolt": "螺栓"}, {"齿轮": ["gear", "toothed wheel"], "螺栓": ["bolt", "screw bolt"], "混凝土": ["concrete", "lean mix"], "环": ["ring"]})
+_OFFER_ITEMS = """
+SELECT p_partkey AS item, p_brand AS family, concat(p_name, CASE p_partkey % 6 WHEN 0 THEN concat(' C', 20 + p_size % 30, ' concrete') WHEN 1 THEN ' Formwork 20 mm' WHEN 2 THEN ' crushed rock' WHEN 3 THEN ' 28 MPa lean concrete' WHEN 4 THEN ' screw' ELSE '' END) AS text,
+  CASE p_size % 5 WHEN 0 THEN 'sqm' WHEN 1 THEN 'Kgs' WHEN 2 THEN 'm ³' WHEN 3 THEN 'pcs.' END AS unit, CASE p_size % 3 WHEN 0 THEN '土建工程' WHEN 1 THEN '安装工程' ELSE 'other' END AS discipline FROM part
+"""
+_OFFER_RATES = """
+SELECT rate_id, concat(name, CASE CAST(floor(price) AS BIGINT) % 7 WHEN 0 THEN ' 齿轮' WHEN 1 THEN ' C30 concrete' WHEN 2 THEN ' formwork 20mm' WHEN 3 THEN ' gravel 300 ksc' WHEN 4 THEN ' Compacted rock C25' WHEN 5 THEN ' Screws' ELSE '' END) AS name,
+  CASE CAST(floor(price) AS BIGINT) % 4 WHEN 0 THEN 'm2' WHEN 1 THEN 'ton' WHEN 2 THEN 'no' ELSE 'm3' END AS unit, CASE CAST(floor(price) AS BIGINT) % 3 WHEN 0 THEN '土建' WHEN 1 THEN '专业分包' ELSE '机电' END AS specialty, specialty = 'Brand#11' AS preferred FROM rates
+"""
+_OFFER_TERMS = rf"""
+gl(k, v) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _LEXICON.glossary.items())}), sy(key, said) AS (VALUES {", ".join(f"('{k}', '{s}')" for k, said in _LEXICON.synonyms.items() for s in said)}),
+it AS ({_OFFER_ITEMS}), rt AS ({_OFFER_RATES}), tx AS (SELECT DISTINCT text FROM it), nm AS (SELECT DISTINCT name FROM rt),
+en AS (SELECT DISTINCT text, word FROM (SELECT text, unnest(regexp_extract_all(lower(text), '\w{{3,}}')) AS word FROM tx) WHERE NOT regexp_matches(word, '^\d+$')),
+cn AS (SELECT text, v AS word FROM tx JOIN gl ON contains(lower(text), k) UNION SELECT text, concat('C', unnest(regexp_extract_all(lower(text), 'c(\d+)\s*concrete', 1))) FROM tx
+  UNION SELECT text, concat(unnest(regexp_extract_all(lower(text), '(\d+)\s*mm', 1)), 'mm') FROM tx UNION SELECT text, key FROM en JOIN sy ON list_contains(string_split(said, ' '), word)),
+bk AS (SELECT DISTINCT text, said AS word FROM cn JOIN sy ON key = word OR (length(word) >= 2 AND (contains(key, word) OR contains(word, key)))),
+te AS (SELECT text, word, FALSE AS local FROM en UNION SELECT text, word, FALSE FROM bk UNION SELECT text, word, TRUE FROM cn),
+ft AS (SELECT DISTINCT family, word, local FROM it JOIN te USING (text)),
+hn AS (SELECT word, local, name FROM (SELECT DISTINCT word, local FROM ft) JOIN nm ON contains(CASE WHEN local THEN name ELSE lower(name) END, word)),
+fs AS (SELECT family, name, CAST(sum(CASE WHEN local THEN 6 ELSE 4 END) AS DOUBLE) AS s FROM ft JOIN hn USING (word, local) GROUP BY family, name)
+"""
+_POOL = """
+po AS (SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY s + CASE WHEN preferred THEN 8 ELSE 0 END DESC, rate_id) AS INTEGER) AS nth, rate_id, s + CASE WHEN preferred THEN 8 ELSE 0 END AS score FROM fs JOIN rt USING (name) QUALIFY nth <= 40)
+"""
+
+
+def _offers(spark, sf_dir):
+    items = spark.sql(_OFFER_ITEMS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return items, spark.sql(_OFFER_RATES.replace("FROM rates", "FROM {rates}"), rates=table(spark, sf_dir, "rates"))
+
+
+@query("c11_family_pool", f"WITH {_OFFER_TERMS}, {_POOL} SELECT * FROM po")
+def c11(spark, sf_dir):
+    return family_pool(*_offers(spark, sf_dir), _LEXICON)
+
+
+def _reranked(spark, sf_dir, factors):
+    items, rates = _offers(spark, sf_dir)
+    pool = stored(family_pool(items, rates, _LEXICON))
+    return rerank_candidates(items, pool, rates, _LEXICON, factors)
+
+
 @query("c10_rerank_candidates")
 def c10(spark, sf_dir):
-    rates = table(spark, sf_dir, "rates")
-    pool = reconcile.family_pool(_families(spark, sf_dir), rates, F.col("specialty") == "Brand#11", 40)
-    items = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("item_text"), F.col("p_type").alias("item_unit"), F.col("p_brand").alias("family"))
-    pairs = items.join(pool, "family").join(rates.select("rate_id", "name", "unit", (F.col("specialty") == "Brand#11").alias("specialty_fit")), "rate_id")
-    return reconcile.rerank_candidates(pairs.drop("score", "nth"), 5, 20.0)
+    return _reranked(spark, sf_dir, None)
+
 
+def _plain_unit(unit: str) -> str:
+    bare = f"translate(regexp_replace(lower(trim({unit})), '[ .]', '', 'g'), '²³', '23')"
+    return f"coalesce(CASE {bare} {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in UNIT_ALIASES.items())} ELSE {bare} END, '')"
 
-def _families(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_brand").alias("family"), F.col("p_name").alias("text"))
 
+_GRADES = r"""nullif(regexp_extract(lower({0}), '(\d+)\s*mpa', 1), '')::DOUBLE, nullif(regexp_extract(lower({0}), '(\d+)\s*ksc', 1), '')::DOUBLE / 10, nullif(regexp_extract(lower({0}), '\bc(\d{{2}})\b', 1), '')::DOUBLE"""
+_MATERIAL_SQL = " + ".join(f"CASE WHEN regexp_matches(lower(text), '{a}') AND regexp_matches(lower(name), '{b}') THEN {p} ELSE 0 END" for a, b, p in MATERIALS)
+_AFFINITY_SQL = ", ".join(f"('{d}', '{s}', {v})" for d, to in AFFINITY.items() for s, v in to.items())
+_KINDS_SQL = ", ".join(f"('{u}', {n})" for n, kind in enumerate(UNIT_KINDS) for u in kind)
 
-@query("c11_family_pool", """
-WITH t AS (SELECT DISTINCT p_brand AS family, unnest(string_split(lower(p_name), ' ')) AS word FROM part WHERE p_partkey % 100 = 0),
-w AS (SELECT DISTINCT rate_id, specialty, unnest(list_distinct(string_split(lower(name), ' '))) AS word FROM rates),
-s AS (SELECT family, rate_id, CAST(count(*) * 4 + max(CASE WHEN specialty = 'Brand#11' THEN 8 ELSE 0 END) AS BIGINT) AS score FROM w JOIN t USING (word) WHERE length(word) > 2 GROUP BY family, rate_id)
-SELECT family, nth, rate_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY family ORDER BY score DESC, rate_id) AS INTEGER) AS nth FROM s) WHERE nth <= 30
+
+@query("c10_rerank_without_fuzzy", f"""
+WITH {_OFFER_TERMS}, {_POOL}, af(discipline, specialty, v) AS (VALUES {_AFFINITY_SQL}), ki(u, kind) AS (VALUES {_KINDS_SQL}),
+mt AS (SELECT item, text, discipline, {_plain_unit('it.unit')} AS iu, rt.*, {_plain_unit('rt.unit')} AS ru FROM it JOIN po USING (family) JOIN rt USING (rate_id)),
+pr AS (SELECT DISTINCT text, name FROM mt),
+hi AS (SELECT text, name, count(*) FILTER (NOT local AND contains(lower(name), word)) * 5 + count(*) FILTER (local AND contains(name, word)) * 7 AS h FROM pr JOIN te USING (text) GROUP BY text, name),
+gr AS (SELECT text, name, h + {_MATERIAL_SQL} AS h, coalesce({_GRADES.format('text')}) AS ga, coalesce({_GRADES.format('name')}) AS gb FROM hi),
+gp AS (SELECT text, name, h + CASE WHEN ga IS NULL THEN 0 WHEN gb IS NULL THEN -3 WHEN ga = gb THEN 15 WHEN abs(ga - gb) <= 4 THEN 10 WHEN abs(ga - gb) <= 8 THEN 3 WHEN abs(ga - gb) <= 15 THEN -5 ELSE -15 END AS h FROM gr),
+sc AS (SELECT item, rate_id, round(CAST(h AS DOUBLE) + 20 * CASE WHEN iu = '' OR ru = '' THEN 0.3::DOUBLE WHEN iu = ru THEN 1 WHEN (SELECT kind FROM ki WHERE u = iu) = (SELECT kind FROM ki WHERE u = ru) THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END
+  + 10 * coalesce(af.v, 0.2)::DOUBLE + CASE WHEN preferred THEN 4 ELSE 0 END, 6) AS score FROM mt JOIN gp USING (text, name) LEFT JOIN af USING (discipline, specialty))
+SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, rate_id) AS INTEGER) AS nth, rate_id, score FROM sc WHERE score >= 12 QUALIFY nth <= 8
 """)
-def c11(spark, sf_dir):
-    return reconcile.family_pool(_families(spark, sf_dir), table(spark, sf_dir, "rates"), F.col("specialty") == "Brand#11", 30)
+def c10_without_fuzzy(spark, sf_dir):
+    return _reranked(spark, sf_dir, Factors(fuzzy=0))
 
 
 @query("c12_code_join_writeback", f"""
