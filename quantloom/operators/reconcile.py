@@ -119,28 +119,6 @@ def occurrence_join(target: DataFrame, source: DataFrame, threshold: float = 1.0
     return t.join(s, ["code", "nth"], "full").withColumn("issue", issue).where("issue is not null")
 
 
-def concept_match(items: DataFrame, norms: DataFrame, concepts: DataFrame, generic: list[str], least: float = 0.3) -> DataFrame:
-    """The best norm of each item with the same unit: Jaccard of their concepts (half if they share generic ones
-    only) less 0.12 for each concept of the norm that the item lacks; at least `least`; ties by norm id.
-
-    concepts (word, concept) is a small dictionary. Scores are computed between distinct concept sets.
-    """
-    def tagged(df: DataFrame, key: str) -> DataFrame:
-        words = df.select(key, "unit", F.explode(F.split(F.lower("text"), r"\W+")).alias("word"))
-        return words.join(F.broadcast(concepts), "word").groupBy(key, "unit").agg(F.array_sort(F.collect_set("concept")).alias("c"))
-
-    i, n = tagged(items, "item"), tagged(norms, "norm")
-    pairs = i.select("unit", F.col("c").alias("ic")).distinct().join(n.groupBy("unit", F.col("c").alias("nc")).agg(F.min("norm").alias("norm")), "unit")
-    both = F.array_intersect("ic", "nc")
-    jaccard = F.size(both) / F.size(F.array_union("ic", "nc"))
-    special = F.size(F.array_except(both, F.array(*map(F.lit, generic)))) > 0
-    score = F.when(special, jaccard).otherwise(jaccard / 2) - F.size(F.array_except("nc", "ic")) * 0.12
-    pairs = pairs.withColumn("score", F.round(score, 6)).where((F.size(both) > 0) & (F.col("score") >= least))
-    best = Window.partitionBy("unit", "ic").orderBy(F.desc("score"), "norm")
-    pairs = pairs.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("unit", F.col("ic").alias("c"), "norm", "score")
-    return i.join(pairs, ["unit", "c"]).select("item", "norm", "score")
-
-
 def multi_factor_match(items: DataFrame, norms: DataFrame, weights: dict[str, float], top: int = 3, least: float = 30) -> DataFrame:
     """The best norms of each item: shared words count `keyword` each (none: `no_keyword`), an equal chapter
     `chapter`, an equal unit `unit`, another one `other_unit`; best of each code, then the first `top`.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import reconcile
 from quantloom.operators.align import sequence_align
+from quantloom.operators.concepts import concept_match
 from quantloom.operators.families import AFFINITY, MATERIALS, UNIT_ALIASES, UNIT_KINDS, Factors, Lexicon, family_pool, rerank_candidates
 from quantloom.operators.norms import Category, Material, Scores, no_norm_reasons, scoped_match, unit_problems
 from quantloom.plans.registry import query
@@ -101,21 +102,38 @@ def c6(spark, sf_dir):
     return sequence_align(a, b, "block")
 
 
-_WORDS = [("red", "colour"), ("blue", "colour"), ("hot", "heat"), ("cold", "heat"), ("gear", "machine"), ("rod", "shape"), ("ring", "shape"), ("bolt", "fixing"), ("nut", "fixing"), ("new", "state"), ("old", "state"), ("widget", "machine")]
+_WORDS = [("red", "colour"), ("blue", "colour"), ("hot", "heat"), ("cold", "heat"), ("gear", "machine"), ("rod", "shape"), ("ring", "shape"), ("bolt", "fixing"), ("nut", "fixing"), ("new", "state"), ("old", "state"), ("widget", "machine"), ("螺栓", "fixing"), ("齿轮", "machine"), ("hot ring", "forged"), ("锻件", "forged"), ("anodized", "coat")]
+_BRIDGE = {"kg": ["t", "kg"], "set": ["no"]}
+_CONCEPT_ITEMS = """
+SELECT p_partkey AS item, concat(substr('ABC', CAST(p_size % 3 + 1 AS INTEGER), 1), '.', p_size % 4, '.', p_partkey % 5) AS code, CASE p_partkey % 5 WHEN 0 THEN concat('A.1.2 ', p_name, 's hot') WHEN 1 THEN concat(upper(p_name), ', ', lower(p_type)) ELSE p_name END AS text,
+  CASE p_partkey % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 'set' WHEN 2 THEN 'm2' ELSE '' END AS unit, CASE p_size % 5 WHEN 0 THEN 'cold works' WHEN 1 THEN 'gear' WHEN 2 THEN p_type END AS section FROM part
+"""
+_CONCEPT_NORMS = """
+SELECT p_partkey AS norm, concat(substr('abc', CAST(p_partkey % 3 + 1 AS INTEGER), 1), '0', p_partkey % 4, '-', p_size % 5) AS code, CASE p_partkey % 6 WHEN 0 THEN concat('M12螺栓(', p_name, ')') WHEN 1 THEN concat('齿轮，锻件 ', p_name) ELSE p_name END AS text,
+  CASE p_size % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 't' WHEN 2 THEN 'no' ELSE 'm2' END AS unit FROM part
+"""
 
 
-@query("c7_concept_match", f"""
-WITH d(word, concept) AS (VALUES {", ".join(f"('{w}', '{c}')" for w, c in _WORDS)}),
-i AS (SELECT p_partkey AS item, p_type AS unit, list_sort(list_distinct(list(concept))) AS ic FROM (SELECT p_partkey, p_type, unnest(string_split(lower(p_name), ' ')) AS word FROM part WHERE p_partkey % 2 = 0) JOIN d USING (word) GROUP BY 1, 2),
-n AS (SELECT p_partkey AS norm, p_type AS unit, list_sort(list_distinct(list(concept))) AS nc FROM (SELECT p_partkey, p_type, unnest(string_split(lower(p_name), ' ')) AS word FROM part WHERE p_partkey % 2 = 1) JOIN d USING (word) GROUP BY 1, 2),
-p AS (SELECT item, norm, ic, nc, len(list_intersect(ic, nc)) AS b FROM i JOIN n USING (unit)),
-s AS (SELECT item, norm, b, round((b / (len(ic) + len(nc) - b)) * CASE WHEN len(list_filter(list_intersect(ic, nc), lambda x: x <> 'colour')) > 0 THEN 1 ELSE 0.5 END - (len(nc) - b) * 0.12::DOUBLE, 6) AS score FROM p)
-SELECT item, norm, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, norm) AS k FROM s WHERE b > 0 AND score >= 0.3) WHERE k = 1
+@query("c7_concept_match", rf"""
+WITH it AS ({_CONCEPT_ITEMS}), nm AS ({_CONCEPT_NORMS}), d(term, concept) AS (VALUES {", ".join(f"('{w}', '{c}')" for w, c in _WORDS)}), br(a, b) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, to in _BRIDGE.items() for b in to)}),
+tx AS (SELECT text, regexp_replace(lower(text), '[^\w\s/]', ' ', 'g') AS bare, regexp_replace(lower(regexp_replace(text, '\b[A-I]\.\d+(\.\d+)*\b', '', 'g')), '[^\w\s/]', ' ', 'g') AS own FROM (SELECT text FROM it UNION SELECT section FROM it) WHERE text IS NOT NULL),
+wd AS (SELECT DISTINCT text, unnest(string_split_regex(own, '\s+')) AS word FROM tx),
+co AS (SELECT text, concept FROM wd JOIN d ON word = term WHERE length(word) > 1 UNION SELECT text, concept FROM wd JOIN d ON length(term) > 5 AND NOT contains(term, ' ') AND length(word) > 4 AND contains(word, term)
+  UNION SELECT text, concept FROM tx JOIN d ON length(term) > 5 AND contains(term, ' ') AND (contains(bare, term) OR list_has_all(string_split_regex(bare, '\s+'), string_split(term, ' ')))),
+cl AS (SELECT text, list(concept) AS c FROM co GROUP BY text),
+ic AS (SELECT item, code, unit, coalesce(o.c, []) AS own, coalesce(s.c, []) AS sc FROM it LEFT JOIN cl o ON o.text = it.text LEFT JOIN cl s ON s.text = it.section WHERE unit <> '' AND it.text <> ''),
+iu AS (SELECT DISTINCT item, code, unit, list_distinct(list_concat(own, sc)) AS ic, sc, u FROM (SELECT *, unit AS u FROM ic UNION ALL SELECT ic.*, b FROM ic JOIN br ON a = unit)),
+ns AS (SELECT *, regexp_replace(lower(text), '[（）()\s,，.。、/·:：;；\-+]+', ' ', 'g') AS t FROM nm), nb AS (SELECT *, replace(t, ' ', '') AS s FROM ns),
+nc AS (SELECT norm, code, unit, list_distinct(list(concept)) AS nc FROM nb JOIN d ON list_contains(string_split(t, ' '), term) OR (length(term) IN (2, 3) AND contains(s, term)) GROUP BY norm, code, unit),
+pr AS (SELECT item, norm, iu.unit = nc.unit AS same, ic, sc, nc, list_intersect(ic, nc) AS bt, iu.code AS a, nc.code AS b, regexp_extract_all(iu.code, '\d+')::BIGINT[] AS x, regexp_extract_all(nc.code, '\d+')::BIGINT[] AS y FROM iu JOIN nc ON u = nc.unit AND list_has_any(ic, nc)),
+sc AS (SELECT item, norm, round(CAST(len(bt) AS DOUBLE) / (len(ic) + len(nc) - len(bt)) * CASE WHEN bt = ['colour'] THEN 0.5 ELSE 1 END - 0.12::DOUBLE * (len(ic) + len(nc) - 2 * len(bt)) - CASE WHEN len(sc) > 0 AND NOT list_has_any(sc, nc) THEN 0.15::DOUBLE ELSE 0 END
+  + CASE WHEN same THEN 0.05::DOUBLE ELSE 0 END + 0.03::DOUBLE * CASE WHEN upper(a[1]) <> upper(b[1]) THEN 0 WHEN x[1] <> y[1] THEN 1 WHEN x[2] <> y[2] THEN 2 ELSE 3 END, 6) AS score FROM pr)
+SELECT item, norm, score FROM sc WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, norm) = 1
 """)
 def c7(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("unit"), F.col("p_name").alias("text"))
-    concepts = spark.createDataFrame(_WORDS, "word string, concept string")
-    return reconcile.concept_match(part.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "item"), part.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "norm"), concepts, ["colour"])
+    part = table(spark, sf_dir, "part")
+    items, norms = (spark.sql(side.replace("FROM part", "FROM {part}"), part=part) for side in (_CONCEPT_ITEMS, _CONCEPT_NORMS))
+    return concept_match(items, norms, spark.createDataFrame(_WORDS, "term string, concept string"), ["colour"], _BRIDGE)
 
 
 _WEIGHTS = {"keyword": 30.0, "chapter": 15.0, "unit": 30.0, "other_unit": -30.0}
