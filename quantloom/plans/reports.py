@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.operators import checks, report, reshape, rules
+from quantloom.operators.taxonomy import Routing, Target, Taxonomy, candidates, classify, route
 from quantloom.plans.registry import query
 from quantloom.sources.fixtures import table
 from quantloom.sources.lists import labelled, union_by_header
@@ -287,6 +288,91 @@ def l3(spark, sf_dir):
     return rules.classify_taxonomy(table(spark, sf_dir, "part"), "p_name", [("section", [("^red", "colour")]), ("words", [("gear", "drive"), ("bolt", "fixing")])]).select("p_partkey", "discipline", "source")
 
 
+_FREE, _PRE = Target("A.07", "drives", "A.07.1", "gears"), "PRELIM"
+_TAXONOMY = Taxonomy(
+    sections={**{f"Brand#{n}": "A" for n in range(1, 10)}, **{f"Brand#{n}": "B" for n in range(10, 16)}, **{f"Brand#{n}": "D" for n in range(16, 20)}, "Brand#20": _PRE, "Brand#21": "F"},
+    information="please share|note:",
+    sums=r"allow a provision for the \"(.+)\"\.?\s*$",
+    sum_targets={"GEAR": Target("B.01", "sums", discipline="B"), "RING": Target("A.22", "rings", discipline="A")},
+    patterns=[(r"hot\s+gear", Target("B.05", "hot gears", discipline="B")), (r"^cold widget$", Target("A.25", "cold", discipline="A"))],
+    subsections={"ECONOMY": Target("A.01", "economy"), "PROMO\nof the year": Target("A.29", "promo")},
+    keywords={"A": [("gear", _FREE), ("bolt", Target("A.20", "bolts")), ("rod|nut", Target("A.12", "rods"))], "B": [("ring", Target("B.02", "rings"))], "D": [("widget", Target("D.01", "widgets"))]},
+    other_keywords="A",
+    lent={"D": ("A", ["A.20"], False), "B": ("A", ["A.12"], True)},
+    split={"A": (20, 29, "Decoration", "Civil")},
+)
+_TAXONOMY_ROWS = """
+SELECT p_partkey, p_brand AS section, CASE p_partkey % 4 WHEN 0 THEN concat(p_type, ' ', chr(10), 'second line') WHEN 1 THEN p_type END AS subsection,
+  CASE p_partkey % 11 WHEN 0 THEN 'Please share the taxes' WHEN 1 THEN 'Allow a provision for the "gear".' WHEN 2 THEN 'allow a provision for the "none"' WHEN 3 THEN NULL WHEN 4 THEN upper(p_name) ELSE p_name END AS descr FROM part
+"""
+
+
+@query("l3_taxonomy", rf"""
+WITH r AS ({_TAXONOMY_ROWS}), n AS (SELECT *, coalesce(descr, '') AS t, split_part(coalesce(subsection, ''), chr(10), 1) AS head, CAST(substr(section, 7) AS INTEGER) AS b FROM r),
+d AS (SELECT *, CASE WHEN b BETWEEN 1 AND 9 THEN 'A' WHEN b BETWEEN 10 AND 15 THEN 'B' WHEN b BETWEEN 16 AND 19 THEN 'D' WHEN b = 20 THEN 'PRELIM' WHEN b = 21 THEN 'F' END AS di FROM n),
+k AS (SELECT *, CASE WHEN di = 'PRELIM' THEN 'PRELIM||rule|' WHEN di IS NULL THEN '||unresolved|' WHEN regexp_matches(t, '(?i)^(please share|note:)') THEN 'INFO||rule|' WHEN upper(regexp_extract(t, '(?i)^allow a provision for the "(.+)"\.?\s*$', 1)) = 'GEAR' THEN 'B.01|sums|provisional_sum|B'
+  WHEN regexp_matches(t, '(?i)hot\s+gear') THEN 'B.05|hot gears|pattern|B' WHEN lower(t) = 'cold widget' THEN 'A.25|cold|pattern|A' WHEN trim(head) = 'ECONOMY' THEN 'A.01|economy|subsection|' WHEN trim(head) = 'PROMO' THEN 'A.29|promo|subsection|'
+  WHEN di IN ('A', 'F') AND t ILIKE '%gear%' THEN 'A.07|drives|keyword|' WHEN di IN ('A', 'F') AND t ILIKE '%bolt%' THEN 'A.20|bolts|keyword|' WHEN di IN ('A', 'F') AND regexp_matches(lower(t), 'rod|nut') THEN 'A.12|rods|keyword|' WHEN di = 'B' AND t ILIKE '%ring%' THEN 'B.02|rings|keyword|' WHEN di = 'D' AND t ILIKE '%widget%' THEN 'D.01|widgets|keyword|'
+  WHEN di = 'D' AND t ILIKE '%gear%' THEN 'A.07|drives|keyword of A|' WHEN di IN ('B', 'D') AND regexp_matches(lower(t), 'rod|nut') THEN 'A.12|rods|keyword of A|' ELSE '||unresolved|' END AS w FROM d),
+o AS (SELECT p_partkey, coalesce(nullif(split_part(w, '|', 4), ''), di) AS discipline, split_part(w, '|', 1) AS division, split_part(w, '|', 2) AS name, split_part(w, '|', 3) AS source FROM k)
+SELECT p_partkey, discipline, division, name, CASE WHEN division = 'A.07' THEN 'A.07.1' ELSE '' END AS sub, source, division AS sort_key,
+  CASE WHEN discipline = 'A' AND regexp_matches(division, '^[A-Z]\.\d') THEN CASE WHEN split_part(division, '.', 2)::INTEGER BETWEEN 20 AND 29 THEN 'Decoration' ELSE 'Civil' END ELSE discipline END AS "group" FROM o
+""")
+def l3_taxonomy(spark, sf_dir):
+    rows = spark.sql(_TAXONOMY_ROWS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return classify(rows, _TAXONOMY).select("p_partkey", "discipline", "division", "name", "sub", "source", "sort_key", "group")
+
+
+_DIVISIONS = [("A", "A.01", "齿轮 works"), ("A", "A.02", "Ring 环 works"), ("B", "B.01", "螺栓"), ("B", "B.02", "其他"), ("C", "C.01", "小 Widgets"), ("D", "D.01", "齿轮 D")]
+_SUBS = [("A", "A.02", "A.02.1", "红环"), ("A", "A.01", "A.01.1", "spur"), ("B", "B.02", "B.02.1", "螺栓 and nuts"), ("B", "B.02", "B.02.2", "misc")]
+_GLOSSARY = {"A": [("gear/toothed wheel", ["齿轮"]), ("red ring", ["红环", "环"])], "B": [("bolt", ["螺栓"]), ("nut", ["螺母"])], "C": [("widget", ["WIDGETS"])], "D": [("gear", ["齿轮"])]}
+_ROUTER = [("brand#1[0-2]", [("B", None)]), ("brand#2$", [("A", "A.01"), ("A", "nope")]), ("brand#3", [("C", "C.01"), ("D", None)])]
+_VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
+_CANDIDATE_SQL = rf"""
+dv(book, code, name) AS (VALUES {_VALUES(_DIVISIONS)}), sb(book, code, sub, name) AS (VALUES {_VALUES(_SUBS)}), ro(rx, book, sole) AS (VALUES {_VALUES((rx, *to) for rx, all_to in _ROUTER for to in all_to)}),
+gl(entry, book, phrase, local) AS (VALUES {_VALUES((f"{b}{n}", b, p, w) for b, listed in _GLOSSARY.items() for n, (p, words) in enumerate(listed) for w in words)}),
+he AS (SELECT DISTINCT grp, entry FROM g JOIN gl ON contains(text, local) OR len(list_filter(string_split_regex(phrase, '[/\s]+'), lambda x: len(x) >= 4 AND regexp_matches(lower(text), concat('\b', x, '\b')))) > 0),
+wd AS (SELECT grp, book, lower(local) AS word FROM he JOIN gl USING (entry)), nm AS (SELECT book, code, name FROM dv UNION ALL SELECT book, code, name FROM sb),
+al AS (SELECT grp, dv.book, dv.code FROM g JOIN ro ON regexp_matches(path, rx) JOIN dv ON dv.book = ro.book AND (sole IS NULL OR sole = dv.code) UNION SELECT grp, wd.book, code FROM wd JOIN nm ON nm.book = wd.book AND contains(lower(name), word))
+"""
+
+
+def _vocabulary(spark):
+    return spark.createDataFrame(_DIVISIONS, "book string, code string, name string"), spark.createDataFrame(_SUBS, "book string, code string, sub string, name string")
+
+
+@query("c21_divisions_with_subs", f"""
+WITH g AS (SELECT DISTINCT p_brand AS grp, lower(p_brand) AS path, p_name AS text FROM part), {_CANDIDATE_SQL}
+SELECT grp, book, code, name, coalesce((SELECT string_agg(concat(sub, ':', sb.name), '|' ORDER BY sub) FROM sb WHERE sb.book = al.book AND sb.code = al.code), '') AS subs FROM al JOIN dv USING (book, code)
+""")
+def c21_with_subs(spark, sf_dir):
+    groups = table(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.col("p_brand").alias("path"), F.col("p_name").alias("text"))
+    found = candidates(groups, *_vocabulary(spark), _GLOSSARY, _ROUTER)
+    return found.withColumn("subs", F.array_join(F.transform("subs", lambda s: F.concat(s["code"], F.lit(":"), s["name"])), "|"))
+
+
+_ROUTING = Routing(headers=["(?-i)^[A-Z ]+$", "^page "], skip=["^(subtotal|total)\\b", "^note:"], preliminaries=["brand#7", "general"], sums="allow a provision for the (\\w+)", sum_targets=["gear"], patterns=["fire\\s?stop"])
+_ROUTE_ROWS = """
+SELECT p_partkey AS row_no, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_brand END AS dept1, CASE p_size % 10 WHEN 0 THEN '' ELSE p_type END AS dept2, CASE p_size % 13 WHEN 0 THEN 'Firestopping' WHEN 1 THEN '' END AS dept3,
+  CASE p_partkey % 17 WHEN 0 THEN 'Subtotal of it' WHEN 1 THEN '' WHEN 2 THEN 'Allow a provision for the gear' WHEN 3 THEN 'allow a provision for the rest' WHEN 4 THEN NULL WHEN 5 THEN 'Note: bolts' WHEN 6 THEN 'fire stop' ELSE p_name END AS descr FROM part
+"""
+
+
+@query("l2_route_list", rf"""
+WITH r AS ({_ROUTE_ROWS.replace("ELSE p_name", "WHEN 7 THEN concat(' ', upper(p_name), ' ') ELSE p_name")}),
+n AS (SELECT *, coalesce(descr, '') AS t, lower(concat_ws(' ', nullif(dept1, ''), nullif(dept2, ''))) AS path, coalesce(dept1, '') AS a, coalesce(dept2, '') AS b FROM r),
+f AS (SELECT *, t = '' OR regexp_matches(trim(t), '(?i)^page ') OR regexp_matches(trim(t), '^[A-Z ]+$') AS title, contains(path, 'brand#7') OR contains(path, 'general') AS early FROM n),
+s AS (SELECT * FROM f WHERE NOT title AND NOT early QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY row_no) <= 15),
+g AS (SELECT concat(a, '|', b) AS grp, min(path) AS path, string_agg(descr, ' ' ORDER BY row_no) AS text FROM s GROUP BY 1), {_CANDIDATE_SQL},
+c AS (SELECT grp, count(*) AS k FROM al WHERE book IN ('A', 'B', 'C') GROUP BY grp)
+SELECT row_no, CASE WHEN title OR regexp_matches(t, '(?i)^((subtotal|total)\b|note:)') THEN 'SKIP' WHEN early THEN 'PRELIM' WHEN t ILIKE 'allow a provision for the gear%' THEN 'SUM' WHEN t ILIKE 'allow a provision for the %' THEN 'PRELIM'
+  WHEN regexp_matches(concat_ws(' ', t, dept1, dept2, dept3), '(?i)fire\s?stop') THEN 'PATTERN' WHEN k IS NULL THEN 'ZERO' WHEN k = 1 THEN 'UNIQUE' WHEN k <= 3 THEN 'LOW' ELSE 'HIGH' END AS route FROM f LEFT JOIN c ON grp = concat(a, '|', b)
+""")
+def l2_list(spark, sf_dir):
+    rows = spark.sql(_ROUTE_ROWS.replace("ELSE p_name", "WHEN 7 THEN concat(' ', upper(p_name), ' ') ELSE p_name").replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return route(rows, _ROUTING, *_vocabulary(spark), _GLOSSARY, _ROUTER).select("row_no", "route")
+
+
 @query("l4_classify_price_rows", """
 SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'labour' WHEN p_brand = 'Brand#12' AND p_retailprice >= 950 THEN 'labour' ELSE 'material' END AS class FROM part
 """)
