@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.text import number
+from quantloom.operators.families import holders
 
 
 def rates_source(raw: DataFrame, where: Column) -> DataFrame:
@@ -108,11 +109,23 @@ def majority_unit(rows: DataFrame, name: str, unit: str) -> DataFrame:
 
 def price_lookup(prices: DataFrame, names: DataFrame, limit: int = 20) -> DataFrame:
     """Best price records for each wanted name: key equal 300, key prefix 200, name contains 120, key contains
-    80; then the shorter name, then the newer record, then the id. names is small and broadcast."""
-    from pyspark.sql import Window
+    80; then the shorter name, then the newer record, then the id.
 
-    wanted = names.select(F.col("name").alias("wanted"), F.lower("name").alias("low"), F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", "").alias("key"))
-    score = F.when(F.col("lookup_key") == F.col("key"), 300).when(F.col("lookup_key").startswith(F.col("key")), 200).when(F.lower("name").contains(F.col("low")), 120).when(F.col("lookup_key").contains(F.col("key")), 80)
-    met = prices.join(F.broadcast(wanted), F.col("lookup_key").contains(F.col("key")) | F.lower("name").contains(F.col("low"))).withColumn("score", score)
+    Names and keys are met through an index of their tokens (families.holders), as distinct texts; of the prices of
+    one text, the `limit` newest are looked at. Null names are not found, nor do names without a letter or digit
+    match any key.
+    """
+    wanted = names.select(F.col("name").alias("wanted"), F.lower("name").alias("low"), F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", "").alias("key")).where("wanted is not null").distinct()
+    texts = prices.select("name", "lookup_key").where("name is not null").distinct()
+    by_key = holders(wanted.select(F.col("key").alias("word")), texts.select(F.col("lookup_key").alias("text")).where("text is not null"), F.col("text")).toDF("key", "lookup_key")
+    by_name = holders(wanted.select(F.col("low").alias("word")), texts.select(F.col("name").alias("text")), F.lower("text")).toDF("low", "name")
+    met = by_key.join(wanted, "key").join(texts, "lookup_key").select("wanted", "low", "key", "name", "lookup_key")
+    met = met.union(by_name.join(wanted, "low").join(texts, "name").select("wanted", "low", "key", "name", "lookup_key")).distinct()
+    keyed = (F.col("key") != "") & F.col("lookup_key").isNotNull()
+    score = F.when(keyed & (F.col("lookup_key") == F.col("key")), 300).when(keyed & F.col("lookup_key").startswith(F.col("key")), 200).when(F.lower("name").contains(F.col("low")), 120).otherwise(80)
+    met = met.select("wanted", F.col("name").alias("_n"), F.col("lookup_key").alias("_k"), score.alias("score"))
+    newest = Window.partitionBy("name", "lookup_key").orderBy(F.desc("date"), "rate_id")
+    heads = prices.select("rate_id", "name", "lookup_key", "date").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= limit)
     best = Window.partitionBy("wanted").orderBy(F.desc("score"), F.length("name"), F.desc("date"), "rate_id")
-    return met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= limit).select("wanted", "nth", "rate_id", "name", "score")
+    out = met.join(heads, (F.col("_n") == F.col("name")) & F.col("_k").eqNullSafe(F.col("lookup_key"))).withColumn("nth", F.row_number().over(best))
+    return out.where(F.col("nth") <= limit).select("wanted", "nth", "rate_id", "name", "score")

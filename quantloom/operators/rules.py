@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.operators.similar import similar_texts
+
 
 def first_match(df: DataFrame, text: str, rules: DataFrame, key: str, default: str) -> DataFrame:
     """Adds label: that of the rule (priority, word, label) with the lowest priority whose word the text has.
@@ -96,23 +98,41 @@ def classify_messages(df: DataFrame, subject: str, body: str, rules: list[tuple[
     return df.withColumn("class", out.otherwise("other"))
 
 
-def validate_vocab(df: DataFrame, col: str, vocabulary: DataFrame, universal: list[str], least: float = 0.5) -> DataFrame:
-    """Adds fixed and how: exact, universal, prefix (known after a leading code is taken off), suggested (the
-    nearest value by sequence similarity, of equals the first) or invalid. Only distinct failing values are
-    compared with the vocabulary, which is small."""
-    from quantloom.functions.udfs import sequence_ratio
-
-    known = vocabulary.select("value").distinct()
-    values = df.select(col).distinct().withColumn("bare", F.trim(F.regexp_replace(col, r"^[A-Z]?[\d.]+\s+", "")))
-    v1, v2 = known.select(F.col("value").alias("v1")), known.select(F.col("value").alias("v2"))
-    values = values.join(F.broadcast(v1), F.col(col) == F.col("v1"), "left").join(F.broadcast(v2), F.col("bare") == F.col("v2"), "left")
-    failing = values.where(F.col("v1").isNull() & F.col("v2").isNull() & ~F.coalesce(F.col(col).isin(universal), F.lit(False)) & F.col(col).isNotNull()).select(col)
-    near = failing.crossJoin(F.broadcast(known)).withColumn("r", sequence_ratio(F.col(col), F.col("value"))).where(F.col("r") >= least)  # vocabulary: a few hundred values
-    near = near.groupBy(col).agg(F.max_by("value", F.struct("r", F.col("value"))).alias("v3"))
-    values = values.join(near, col, "left")
-    how = F.when(F.col("v1").isNotNull(), "exact").when(F.col(col).isin(universal), "universal").when(F.col("v2").isNotNull(), "prefix").when(F.col("v3").isNotNull(), "suggested").otherwise("invalid")
-    values = values.select(F.col(col).alias("_v"), F.coalesce("v1", F.when(F.col(col).isin(universal), F.col(col)), "v2", "v3").alias("fixed"), how.alias("how"))
-    return df.join(values, F.col(col).eqNullSafe(F.col("_v")), "left").drop("_v")
+def validate_vocab(df: DataFrame, col: str, vocabulary: DataFrame, universal: list[str], least: float = 0.5, under: str | None = None) -> DataFrame:
+    """Adds fixed and how: exact, universal, prefix (known after a leading code is taken off), suggested (the value
+    with the highest ratio of at least `least`, in lower case; of equals the first by place) or invalid.
+
+    vocabulary (value, optionally place: its order, else that of the values). With `under`, a column of both sides,
+    only the vocabulary of the row's own parent counts, and suggestions rest on the value without its code. Empty
+    and null values are invalid, as are those with a null parent but for universal ones. Only distinct failing
+    values meet the vocabulary, by an index of rare characters.
+    """
+    keys = [under] if under else []
+    place = F.col("place") if "place" in vocabulary.columns else F.col("value")
+    known = vocabulary.groupBy(*keys, "value").agg(F.min(place).alias("place"))
+    values = df.select(*keys, F.col(col).alias("v")).distinct().where("v <> ''").withColumn("bare", F.trim(F.regexp_replace("v", r"^[A-Z]?[\d.]+\s+", "")))
+    values = values.join(known.select(*keys, F.col("value").alias("v"), F.lit(1).alias("as_is")), [*keys, "v"], "left")
+    values = values.join(known.select(*keys, F.col("value").alias("bare"), F.lit(1).alias("as_bare")), [*keys, "bare"], "left")
+    always = F.col("v").isin(universal)
+    failing = values.where(F.col("as_is").isNull() & F.col("as_bare").isNull() & ~always).select(*keys, "v", F.lower(F.when(F.col("bare") != "", F.col("bare")).otherwise(F.col("v")) if under else F.col("v")).alias("a"))
+    pool = known.where("value <> ''").withColumn("b", F.lower("value"))
+    near = failing.join(similar_texts(failing, pool, least, keys), "a").join(pool, [*keys, "b"])
+    near = near.groupBy(*keys, "v").agg(F.min_by("value", F.struct((-F.col("score")).alias("s"), "place", "value")).alias("near"))
+    values = values.join(near, [*keys, "v"], "left")
+    how = F.when(F.col("as_is").isNotNull(), "exact").when(always, "universal").when(F.col("as_bare").isNotNull(), "prefix").when(F.col("near").isNotNull(), "suggested")
+    fixed = F.when(F.col("as_is").isNotNull() | always, F.col("v")).when(F.col("as_bare").isNotNull(), F.col("bare")).otherwise(F.col("near"))
+    values = values.select(*(F.col(k).alias("_under") for k in keys), F.col("v").alias("_v"), fixed.alias("fixed"), how.alias("how"))
+    same = F.col(col) == F.col("_v")
+    out = df.join(values, same & F.col(under).eqNullSafe(F.col("_under")) if under else same, "left")
+    return out.withColumn("how", F.coalesce("how", F.lit("invalid"))).drop("_v", "_under")
+
+
+def validate_levels(df: DataFrame, category: str, sub: str, categories: DataFrame, subs: DataFrame, universal: list[str], least: float = 0.5) -> DataFrame:
+    """validate_vocab for two levels: adds category_fixed and category_how against categories (value), then sub_fixed
+    and sub_how against the subs (category, value) of the corrected category."""
+    out = validate_vocab(df, category, categories, universal, least).withColumnsRenamed({"fixed": "category_fixed", "how": "category_how"})
+    below = subs.withColumnRenamed("category", "category_fixed")
+    return validate_vocab(out, sub, below, universal, least, under="category_fixed").withColumnsRenamed({"fixed": "sub_fixed", "how": "sub_how"})
 
 
 def dispatch(items: DataFrame, text: str, workers: list[tuple[str, list[str]]]) -> DataFrame:

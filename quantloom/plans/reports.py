@@ -423,6 +423,17 @@ def l8(spark, sf_dir):
     return rules.validate_vocab(part, "v", part.select(F.col("p_type").alias("value")), ["General"]).select("p_partkey", "fixed", "how")
 
 
+@query("l8_validate_levels")
+def l8_levels(spark, sf_dir):
+    """Brands and types of parts as two levels, some of them misspelt, coded or of another brand."""
+    k = F.col("p_partkey") % 7
+    part = table(spark, sf_dir, "part")
+    rows = part.withColumns({"c": F.when(k == 0, F.concat(F.lit("A.1 "), "p_brand")).when(k == 1, F.concat(F.lower("p_brand"), F.lit("x"))).otherwise(F.col("p_brand")), "s": F.when(k == 2, F.concat(F.lit("01 "), "p_type")).when(k == 3, F.reverse("p_type")).when(k == 4, "General").when(k == 5, F.lower("p_type")).otherwise(F.col("p_type"))})
+    known = part.where("p_size > 5")
+    fixed = rules.validate_levels(rows, "c", "s", known.select(F.col("p_brand").alias("value")), known.select(F.col("p_brand").alias("category"), F.col("p_type").alias("value")), ["General"])
+    return fixed.select("p_partkey", "category_fixed", "category_how", "sub_fixed", "sub_how")
+
+
 @query("m1_quality_checks", """
 SELECT name, round(metric, 6) AS metric, threshold, metric <= threshold AS passed FROM (
   SELECT 'short name' AS name, avg(CAST(length(p_name) < 8 AS DOUBLE)) AS metric, 0.25::DOUBLE AS threshold FROM part UNION ALL SELECT 'no price', avg(CAST(p_retailprice IS NULL AS DOUBLE)), 0.0 FROM part UNION ALL SELECT 'large', avg(CAST(p_size > 25 AS DOUBLE)), 0.2 FROM part)
