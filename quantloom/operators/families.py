@@ -133,15 +133,14 @@ def family_pool(items: DataFrame, rates: DataFrame, lexicon: Lexicon, k: int = 4
 def plain_unit(unit: Column) -> Column:
     """A unit in lower case without blanks and points, by its usual name; null is empty."""
     bare = F.translate(F.regexp_replace(F.lower(F.trim(unit)), "[ .]", ""), "²³", "23")
-    named = reduce(lambda acc, a: acc.when(bare == a[0], F.lit(a[1])), UNIT_ALIASES.items(), F.when(F.lit(False), F.lit("")))
-    return F.coalesce(named, bare, F.lit(""))
+    aliases = F.create_map(*(F.lit(v) for pair in UNIT_ALIASES.items() for v in pair))
+    return F.coalesce(F.try_element_at(aliases, bare), bare, F.lit(""))
 
 
 def unit_tier(a: Column, b: Column) -> Column:
-    """1 for equal units, 0.9 for two of one kind, 0.4 for others, 0.3 where one is missing."""
-    a, b = plain_unit(a), plain_unit(b)
-    kin = reduce(lambda acc, kind: acc | (a.isin(kind) & b.isin(kind)), UNIT_KINDS, F.lit(False))
-    return F.when((a == "") | (b == ""), 0.3).when(a == b, 1.0).when(kin, 0.9).otherwise(0.4)
+    """For plain units: 1 for equal ones, 0.9 for two of one kind, 0.4 for others, 0.3 where one is missing."""
+    kind = F.create_map(*(F.lit(v) for n, kind in enumerate(UNIT_KINDS) for u in kind for v in (u, n)))
+    return F.when((a == "") | (b == ""), 0.3).when(a == b, 1.0).when(F.try_element_at(kind, a) == F.try_element_at(kind, b), 0.9).otherwise(0.4)
 
 
 def _strength(text: Column, patterns: Sequence[tuple[str, int]]) -> Column:
@@ -169,8 +168,8 @@ def rerank_candidates(items: DataFrame, pool: DataFrame, rates: DataFrame, lexic
     counts as empty.
     """
     f = factors or Factors()
-    items = items.select("item", "family", F.coalesce("text", F.lit("")).alias("text"), F.col("unit").alias("_unit"), "discipline")
-    offers = pool.select("family", "rate_id").join(rates.select("rate_id", F.coalesce("name", F.lit("")).alias("name"), "unit", "specialty", "preferred"), "rate_id")
+    items = items.select("item", "family", F.coalesce("text", F.lit("")).alias("text"), plain_unit(F.col("unit")).alias("_unit"), "discipline")
+    offers = pool.select("family", "rate_id").join(rates.select("rate_id", F.coalesce("name", F.lit("")).alias("name"), plain_unit(F.col("unit")).alias("unit"), "specialty", "preferred"), "rate_id")
     terms = query_terms(items, lexicon).groupBy("text").agg(*(F.collect_set(F.when(F.col("local") == flag, F.col("word"))).alias(c) for c, flag in (("en", False), ("cn", True))))
     pairs = items.select("family", "text").distinct().join(offers.select("family", "name").distinct(), "family").select("text", "name").distinct().join(terms, "text", "left")
     held = lambda words, name: F.coalesce(F.size(F.filter(words, lambda w: F.contains(name, w))), F.lit(0))
@@ -180,7 +179,8 @@ def rerank_candidates(items: DataFrame, pool: DataFrame, rates: DataFrame, lexic
     if f.fuzzy:
         points = points + f.fuzzy * token_set_ratio("text", "name")
     pairs = pairs.select("text", "name", points.alias("points"))
-    close = reduce(lambda acc, r: acc.when((F.col("discipline") == r[0]) & (F.col("specialty") == r[1]), r[2]), ((d, s, v) for d, to in f.affinity.items() for s, v in to.items()), F.when(F.lit(False), 0.0)).otherwise(0.2)
+    table = [F.lit(v) for d, to in f.affinity.items() for s, share in to.items() for v in (f"{d}\n{s}", float(share))]
+    close = F.coalesce(F.try_element_at(F.create_map(*table), F.concat("discipline", F.lit("\n"), "specialty")), F.lit(0.2)) if table else F.lit(0.2)
     met = items.join(offers, "family").join(pairs, ["text", "name"])
     score = F.col("points") + f.unit * unit_tier(F.col("_unit"), F.col("unit")) + f.specialty * close + F.when(F.col("preferred"), f.preferred).otherwise(0.0)
     best = Window.partitionBy("item").orderBy(F.desc("score"), "rate_id")
