@@ -141,7 +141,7 @@ SELECT page, token_id, code, value FROM (SELECT t.page, token_id, code, TRY_CAST
 """)
 def e11_nearest(spark, sf_dir):
     tokens = table(spark, sf_dir, "type_tokens")
-    heads = tokens.groupBy("page", F.col("text").alias("code")).agg(F.avg("x").alias("cx"))
+    heads = tokens.groupBy("page", F.col("text").alias("code")).agg(ordered.exact_mean("x").alias("cx"))
     text = F.when(F.col("token_id") % 4 == 0, "—").when(F.col("token_id") % 4 == 1, F.col("text")).otherwise(F.col("token_id").cast("string"))
     return ordered.nearest_code_columns(tokens.withColumn("text", text), heads, ["page"], 10).select("page", "token_id", "code", "value")
 
@@ -153,7 +153,7 @@ SELECT points.page, s.col AS column, count(*) AS n FROM points LEFT JOIN s ON po
 """)
 def e11(spark, sf_dir):
     points = table(spark, sf_dir, "points")
-    heads = points.groupBy("page", F.col("text").alias("column")).agg(F.avg("x").alias("hx"))
+    heads = points.groupBy("page", F.col("text").alias("column")).agg(ordered.exact_mean("x").alias("hx"))
     return ordered.assign_to_columns(points, heads, ["page"]).groupBy("page", "column").agg(F.count("*").alias("n"))
 
 

@@ -120,3 +120,23 @@ def test_novelty_of_null_texts(spark):
     memory = spark.createDataFrame([(1, "red pipe"), (2, None), (3, "")], schema)
     found = text_jobs.novel_candidates(spark.createDataFrame([(1, "Red pipe valve"), (2, None)], schema), memory, "text", "at")
     assert sorted(values(found, "at", "overlap", "novel")) == [(1, 0.666667, False), (2, 0.0, True)]
+
+
+def test_columns_do_not_depend_on_the_order_of_tokens(spark, tmp_path):
+    from quantloom.plans.registry import QUERIES
+
+    rows = [(1, "a", 0.1), (2, "a", 0.2), (3, "a", 0.3), (4, "b", 0.4)]
+    found = []
+    for name, part in (("up", rows), ("down", rows[::-1])):
+        df = spark.createDataFrame(part, "event_id bigint, event_type string, value double").coalesce(1)
+        df.selectExpr("event_id", "timestamp'2024-01-01 00:00:00' ts", "7L user_id", "event_type", "value", "'' props").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        found.append(values(QUERIES["e11_assign_to_columns"](spark, f"{tmp_path}/{name}").orderBy("column"), "column", "n"))
+    assert found[0] == found[1]
+    odd = spark.createDataFrame([(1, float("nan")), (1, 2.0), (2, 1e30), (3, None), (3, 4.0), (4, None)], "k int, x double")
+    assert str([r["m"] for r in odd.groupBy("k").agg(ordered.exact_mean("x").alias("m")).orderBy("k").collect()]) == "[nan, 1e+30, 4.0, None]"
+
+
+def test_tied_intervals_stay_in_one_block(spark):
+    spans = spark.createDataFrame([(1, 6, 7)] + [(1, 16, 18)] * 3 + [(1, 22, 24)] * 2, "k int, a bigint, b bigint")
+    found = ordered.merged_intervals(spans, ["k"], "a", "b").orderBy("block")
+    assert values(found, "block", "a", "b", "rows") == [(0, 6, 7, 1), (1, 16, 18, 3), (2, 22, 24, 2)]
