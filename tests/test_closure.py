@@ -69,3 +69,34 @@ def test_closures_of_nothing(spark):
     frame = spark.createDataFrame([(1, 1, 1, None, None)], SCHEMA)
     assert closures(frame).collect() == [] == closures(frame.limit(0)).collect()
     assert [g.grade for g in cell_grades(frame, closures(frame)).collect()] == [None]
+
+
+def test_long_and_short_pages_are_alike(spark):
+    r = random.Random(9)
+    cells = []
+    for page in range(8):
+        for row in range(page + 1):
+            a, b = D(r.randint(1, 60)), D(r.randint(100, 900000)) / 100
+            c = (a * b).quantize(D("0.01"))
+            values = [a, b, c, D(r.randint(-3, 9)), c + r.choice([0, D("0.03"), 2])]
+            cells += [(page, row, x, v, None) for x, v in enumerate(values)]
+    cells += [(8, 0, x, D(v), None) for x, v in enumerate(("0.01", "0.01", "0.03", "0.02", "400000000.5", "100000000.25", "498000000.1"))]
+    cells += [(None, 1, x, D(v), None) for x, v in enumerate((1, 2, 3))] + [(8, None, x, D(v), None) for x, v in enumerate((5, 7, 12))]
+    frame = spark.createDataFrame(cells, SCHEMA)
+    as_set = lambda found: [(f.page, f.row, f.kind, tuple(f.terms), f.total, f.delta) for f in found.collect()]
+    got = [as_set(closures(frame, most)) for most in (128, 20, 0)]
+    assert len(got[0]) == len(set(got[0])) and set(got[0]) == set(got[1]) == set(got[2]) and len({len(g) for g in got}) == 1
+    plain = [c for c in cells if c[0] is not None and c[1] is not None]
+    assert set(as_set(closures(spark.createDataFrame(plain, SCHEMA)))) == by_force(plain)
+
+
+def test_near_sums_of_large_totals_are_met_in_few_steps(spark):
+    from pyspark.sql import functions as F
+
+    from quantloom.operators.closure import _met
+
+    runs = spark.createDataFrame([(1, 1, 5e8)], "page int, row int, sum double")
+    numbers = spark.range(1000).selectExpr("1 as page", "1 as row", "4.9e8 + id * 2e4 as found")
+    met = _met(runs, F.col("sum"), F.col("sum") * 0.0051, numbers, ["page", "row"], relative=True)
+    assert met.where("abs(found - sum) <= sum * 0.005").count() == numbers.where("abs(found - 5e8) <= 2.5e6").count()
+    assert met.count() < 1001
