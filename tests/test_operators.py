@@ -148,3 +148,23 @@ def test_same_content_pairs_equal_all_pairs_and_repeat_with_their_ids(spark):
     found = checks.same_content_pairs(*(spark.createDataFrame(rows, "id bigint, stem string") for rows in (a, b)))
     want = [(i, j) for i, s in a for j, t in b if s and len(s) >= 8 and len(t) >= 8 and (s in t or t in s)]
     assert sorted(values(found, "id_a", "id_b")) == sorted(want)
+
+
+def test_multi_factor_match_equals_all_pairs_without_meeting_them(spark):
+    texts, units, chapters = ["cold bolt", "hot bolt nut", "hot nut", "rod", None], ["a", "b", None], ["x", "y", None]
+    items = [(n, texts[n % 5], units[n % 3], chapters[n // 2 % 3]) for n in range(30)]
+    norms = [(n, f"N{n % 4}", texts[n % 5], units[n // 3 % 3], chapters[n % 3]) for n in range(100, 160)]
+    weights = {"keyword": 30.0, "chapter": 15.0, "unit": 30.0, "other_unit": -30.0}
+    want = []
+    for item, text, unit, chapter in items:
+        best = {}
+        for norm, code, other, u, c in norms:
+            words = len(set((text or "").split()) & set((other or "").split()))
+            if words:
+                score = words * 30.0 + (15 if chapter and c == chapter else 0) + (30 if unit and u == unit else -30)
+                best[code] = max(best.get(code, (-1e9, 0)), (score, -norm))
+        want += [(item, code, s, -m, k + 1) for k, (code, (s, m)) in enumerate(sorted(best.items(), key=lambda b: (-b[1][0], -b[1][1]))[:3])]
+    found = reconcile.multi_factor_match(spark.createDataFrame(items, "item int, text string, unit string, chapter string"), spark.createDataFrame(norms, "norm int, code string, text string, unit string, chapter string"), weights)
+    assert sorted(values(found, "item", "code", "score", "norm", "nth")) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [item#" not in plan  # no table of items by norms
