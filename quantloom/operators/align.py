@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.text import description_key
-from quantloom.functions.udfs import sequence_ratio
-from quantloom.operators.similar import similar_texts
+from quantloom.operators.similar import similar_pairs, text_ratios
 from quantloom.sources.scratch import stored
 
 
@@ -83,7 +82,7 @@ def sequence_align(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     1. Anchors: pairs of rows whose (code, quantity) occurs once in the block on either side; of these, the longest run
        that ascends on both sides, from the row numbers alone.
     2. Between neighbouring anchors, pairs with a score are found in joins: equal quantities, equal codes, and texts
-       that are similar enough (similar_texts).
+       that are similar enough (similar_pairs).
     3. From these scored pairs, each stretch takes the ascending ones with the largest sum (best_chain). So a stretch
        costs its scored pairs, and not its rows times its rows; a row that moved over an anchor counts as deleted and
        inserted.
@@ -113,11 +112,9 @@ def sequence_align(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     by_qty = x.join(y, on & (F.col("new_qty") == F.col("old_qty"))).select(*merged).select(*shape, F.lit(3.0).alias("plus"))
     apart = ~F.coalesce(F.col("new_qty") == F.col("old_qty"), F.lit(False))
     by_code = x.join(y, on & (F.col("new_code") == F.col("old_code"))).select(*merged).where(apart).select(*shape, F.lit(2.0).alias("plus"))
-    coded = by_qty.unionByName(by_code)
-    ratios = coded.select("a", "b").distinct()
-    ratios = ratios.withColumn("r", F.when(F.col("a") == F.col("b"), 1.0).otherwise(sequence_ratio("a", "b")))
-    coded = coded.join(ratios, ["a", "b"]).select("key", "gap", "new", "old", (F.col("plus") + F.col("r")).alias("score"))
-    similar = similar_texts(x.select("key", "gap", "a"), y.select("key", "gap", "b"), 0.7, ["key", "gap"]).where("score > 0.7")
+    coded = stored(by_qty.unionByName(by_code))
+    coded = coded.join(stored(text_ratios(coded, "a", "b")), ["a", "b"]).select("key", "gap", "new", "old", (F.col("plus") + F.col("r")).alias("score"))
+    similar = similar_pairs(x.select("key", "gap", "a"), y.select("key", "gap", "b"), 0.7, ["key", "gap"]).where("score > 0.7")
     other = ~F.coalesce(F.col("new_code") == F.col("old_code"), F.lit(False))
     by_text = x.join(similar, "a").join(y, ["key", "gap", "b"]).where(apart & other).select("key", "gap", "new", "old", "score")
     scored = stored(coded.unionByName(by_text))
@@ -125,7 +122,8 @@ def sequence_align(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     pairs = stored(chains.select("key", "new", "old").unionByName(anchors.select("key", "new", "old")))
 
     o, n = sides["old"].select("key", "old", F.col("text").alias("b"), F.col("unit").alias("old_unit"), F.col("qty").alias("old_qty"), F.col("code").alias("old_code")), sides["new"].select("key", "new", F.col("text").alias("a"), F.col("unit").alias("new_unit"), F.col("qty").alias("new_qty"), F.col("code").alias("new_code"))
-    met = n.join(pairs, ["key", "new"], "left").join(o, ["key", "old"], "left")
+    met = stored(n.join(pairs, ["key", "new"], "left").join(o, ["key", "old"], "left"))
+    met = met.join(stored(text_ratios(met, "a", "b")), ["a", "b"], "left")
     order = Window.partitionBy("key").orderBy("new")
     before = F.last("old", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     later = F.last("old", ignorenulls=True).over(Window.partitionBy("key").orderBy(F.desc("new")).rowsBetween(Window.unboundedPreceding, -1))
@@ -133,8 +131,7 @@ def sequence_align(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     paired = F.col("old").isNotNull()
     change_qty = F.coalesce(F.col("new_qty") != F.col("old_qty"), F.lit(False))
     change_unit = ~F.lower(F.trim("new_unit")).eqNullSafe(F.lower(F.trim("old_unit")))
-    r = F.when(F.col("a") == F.col("b"), 1.0).otherwise(sequence_ratio("a", "b"))
-    score = F.when(F.col("new_qty") == F.col("old_qty"), 3.0).when(F.col("new_code") == F.col("old_code"), 2.0).otherwise(0.0) + r
+    score = F.when(F.col("new_qty") == F.col("old_qty"), 3.0).when(F.col("new_code") == F.col("old_code"), 2.0).otherwise(0.0) + F.col("r")
     out = met.select(
         "key", F.when(~paired, "inserted").when(change_qty | change_unit, "modified").otherwise("same").alias("kind"), F.col("old").alias("old_row"), F.col("new").alias("new_row"),
         F.when(~paired, F.coalesce("before", "later")).alias("anchor"), F.when(paired, F.round(score, 6)).alias("score"), F.when(paired, change_qty).alias("change_qty"), F.when(paired, change_unit).alias("change_unit"),
