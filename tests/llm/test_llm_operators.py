@@ -566,3 +566,30 @@ def test_queries_equal_sql(spark, name):
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.select(*columns)) == sorted((tuple(r) for r in result.fetchall()), key=repr)
+
+
+def test_segmentation_with_more_lengths_of_pieces_than_bits(monkeypatch):
+    import sentencepiece
+
+    class Model:
+        """Bytes, and runs of 1 to 80 letters a."""
+
+        def __init__(self, model_file):
+            self.pieces = [f"<0x{b:02X}>" for b in range(256)] + ["a" * n for n in range(1, 81)]
+
+        get_piece_size = lambda self: len(self.pieces)
+        id_to_piece = lambda self, i: self.pieces[i]
+        is_byte = lambda self, i: i < 256
+        is_control = is_unknown = lambda self, i: False
+        get_score = lambda self, i: float(-i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    pieces = segmentation.load_pieces("a model of runs")
+    texts = [b"a" * 79, b"", b"aa", b"b" + b"a" * 70]
+    offsets = np.cumsum([0, *map(len, texts)])
+    for samples in (1, 40):
+        lattices = segmentation.Lattices(pieces, 0.5)
+        text, rank, _, _, at, ids = segmentation.sample_texts(np.frombuffer(b"".join(texts), np.uint8), offsets, np.arange(4, dtype=np.uint64), lattices, samples)
+        found = [(t, tuple(ids[a:b].tolist())) for t, a, b in zip(text.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        assert len(set(found)) == len(found) and [sum(t == n for t, _ in found) for n in range(4)] == [samples, 1, min(samples, 2), samples]
+        assert all(segmentation.decode_ids(own, pieces).encode() == texts[t] for t, own in found)
