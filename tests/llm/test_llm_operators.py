@@ -133,6 +133,42 @@ def test_near_duplicates_across_the_sketch_size(spark):
     assert rows_of(found.drop("text_key")) == sorted(components_by_force(rows, 3, 85), key=repr)
 
 
+def test_near_duplicates_of_a_family_need_few_pairs(spark, monkeypatch):
+    """Copies of one text, each just too far from the others: pairs grow with the copies, not with their square."""
+    rng, rows, tested = np.random.default_rng(11), [], []
+    base = [f"w{v}" for v in rng.integers(0, 1 << 40, 400)]
+    for i in range(80):
+        own = list(base)
+        for at in rng.choice(400, 6, replace=False):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    rows.append((80, rows[7][1].rsplit(" ", 20)[0]))
+    linked = minhash._Links.linked
+    monkeypatch.setattr(minhash._Links, "linked", lambda self, pairs, sets: tested.append(pairs.count()) or linked(self, pairs, sets))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=3, percent=85)
+    assert rows_of(found.drop("text_key")) == sorted(components_by_force(rows, 3, 85), key=repr)
+    assert sum(tested) < 1000
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_have_parts_in_common(percent):
+    rng = np.random.default_rng(17)
+    first, apart = minhash.levels(percent)
+    for _ in range(1000):
+        n = int(rng.integers(1, 400))
+        m = int(rng.integers(n, 100 * n // percent + 1))
+        common = -(-percent * (n + m) // (100 + percent))
+        if common > n:
+            continue
+        values = rng.integers(0, 1 << 63, n + m - common)
+        a, b = np.sort(values[:n]), np.sort(values[n - common :])
+        level = int(np.searchsorted(first, n, "right")) - 1
+        d = int(apart[level])
+        parts = d + -(-3 * d // 10) + 1
+        assert n + m - 2 * common <= d
+        assert np.sum(minhash.part_keys(a, level, parts) == minhash.part_keys(b, level, parts)) >= parts - (n + m - 2 * common)
+
+
 @pytest.mark.parametrize(("percent", "least", "spare"), [(85, 24, 6), (80, 1, 1), (85, 1, 0)])
 def test_sketches_of_linked_sets_share_enough(percent, least, spare):
     rng = np.random.default_rng(13)
