@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.udfs import token_set_ratio
+from quantloom.sources.scratch import stored
 
 # Aliases of units, units of one kind, what a discipline has to do with a specialty, materials that
 # exclude each other and materials that are the same (pattern for the item, pattern for the rate, points).
@@ -164,12 +165,13 @@ def rerank_candidates(items: DataFrame, pool: DataFrame, rates: DataFrame, lexic
     score), ties by rate_id.
 
     items (item, family, text, unit, discipline), pool (family, rate_id), rates (rate_id, name, unit, specialty,
-    preferred). What rests on texts is computed between distinct texts and names of a family. A null text or name
-    counts as empty.
+    preferred). What rests on texts is computed between distinct texts and names of a family; items of a family that
+    read alike (text, unit, discipline) are ranked once. A null text or name counts as empty.
     """
     f = factors or Factors()
     items = items.select("item", "family", F.coalesce("text", F.lit("")).alias("text"), plain_unit(F.col("unit")).alias("_unit"), "discipline")
     offers = pool.select("family", "rate_id").join(rates.select("rate_id", F.coalesce("name", F.lit("")).alias("name"), plain_unit(F.col("unit")).alias("unit"), "specialty", "preferred"), "rate_id")
+    offers = stored(offers)  # a pool for each family, of which two joins read: the rates are read once
     terms = query_terms(items, lexicon).groupBy("text").agg(*(F.collect_set(F.when(F.col("local") == flag, F.col("word"))).alias(c) for c, flag in (("en", False), ("cn", True))))
     pairs = items.select("family", "text").distinct().join(offers.select("family", "name").distinct(), "family").select("text", "name").distinct().join(terms, "text", "left")
     held = lambda words, name: F.coalesce(F.size(F.filter(words, lambda w: F.contains(name, w))), F.lit(0))
@@ -181,8 +183,11 @@ def rerank_candidates(items: DataFrame, pool: DataFrame, rates: DataFrame, lexic
     pairs = pairs.select("text", "name", points.alias("points"))
     table = [F.lit(v) for d, to in f.affinity.items() for s, share in to.items() for v in (f"{d}\n{s}", float(share))]
     close = F.coalesce(F.try_element_at(F.create_map(*table), F.concat("discipline", F.lit("\n"), "specialty")), F.lit(0.2)) if table else F.lit(0.2)
-    met = items.join(offers, "family").join(pairs, ["text", "name"])
+    form = ["family", "text", "_unit", "discipline"]
+    met = items.select(*form).distinct().join(offers, "family").join(pairs, ["text", "name"])
     score = F.col("points") + f.unit * unit_tier(F.col("_unit"), F.col("unit")) + f.specialty * close + F.when(F.col("preferred"), f.preferred).otherwise(0.0)
-    best = Window.partitionBy("item").orderBy(F.desc("score"), "rate_id")
+    best = Window.partitionBy(*form).orderBy(F.desc("score"), "rate_id")
     met = met.withColumn("score", F.round(score, 6)).where(F.col("score") >= least).withColumn("nth", F.row_number().over(best))
-    return met.where(F.col("nth") <= k).select("item", "nth", "rate_id", "score")
+    ranked = met.where(F.col("nth") <= k).groupBy(*form).agg(F.collect_list(F.struct("nth", "rate_id", "score")).alias("ranked"))
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"r.{c}")) if c == "discipline" else F.col(f"i.{c}") == F.col(f"r.{c}") for c in form]
+    return items.alias("i").join(ranked.alias("r"), same).select("i.item", F.inline("r.ranked"))

@@ -115,6 +115,19 @@ def test_candidates_are_ranked_by_all_factors(spark):
         assert rows(got) == sorted(want, key=repr) and want
 
 
+def test_items_that_read_alike_are_ranked_once(spark):
+    items = spark.createDataFrame([(i, "f", "gear bolt", "kg", None if i % 2 else "other") for i in range(40)], "item bigint, family string, text string, unit string, discipline string")
+    rates = spark.createDataFrame([(f"r{i}", f"gear {i}", "kg", "x", False) for i in range(10)], "rate_id string, name string, unit string, specialty string, preferred boolean")
+    pool = rates.selectExpr("'f' AS family", "rate_id")
+    got = rerank_candidates(items, pool, rates, LEXICON, Factors(), 3, 12)
+    found = {}
+    for item, *rest in rows(got):
+        found.setdefault(item, []).append(tuple(rest))
+    assert len(found) == 40 and len({tuple(r) for r in found.values()}) == 1 and len(found[0]) == 3
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(family" in plan and "windowspecdefinition(item" not in plan
+
+
 def longest_common(a, b):
     best = [0] * (len(b) + 1)
     for x in a:
