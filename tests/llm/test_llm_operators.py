@@ -629,3 +629,17 @@ def test_segmentation_with_more_lengths_of_pieces_than_bits(monkeypatch):
         found = [(t, tuple(ids[a:b].tolist())) for t, a, b in zip(text.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
         assert len(set(found)) == len(found) and [sum(t == n for t, _ in found) for n in range(4)] == [samples, 1, min(samples, 2), samples]
         assert all(segmentation.decode_ids(own, pieces).encode() == texts[t] for t, own in found)
+
+
+def test_segmentation_keeps_the_segments_met_most_often(monkeypatch):
+    """A full lattice keeps common segments, whose ways are not worked out again; samples stay as they are."""
+    pieces = segmentation.load_pieces(segmentation.vocabulary())
+    batches = [" ".join(["often met"] + [f"once{n}x{i}é" for i in range(40)]).encode() for n in range(12)]
+    drawn = lambda lattices, n: [x.tolist() for x in segmentation.sample_texts(np.frombuffer(batches[n], np.uint8), np.array([0, len(batches[n])]), np.array([n], np.uint64), lattices, 3)]
+    want = [drawn(segmentation.Lattices(pieces, 0.5), n) for n in range(12)]
+    built, init = [], segmentation._Lattice.__init__
+    monkeypatch.setattr(segmentation._Lattice, "__init__", lambda self, data, *rest: (built.append(bytes(data)), init(self, data, *rest))[1])
+    few = segmentation.Lattices(pieces, 0.5, 1000)
+    assert [drawn(few, n) for n in range(12)] == want
+    assert sum(b" often" in data or b" met" in data for data in built) == 1
+    assert len(few.letters) < 3000
