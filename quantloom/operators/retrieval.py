@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,19 +54,42 @@ def bm25_search(passages: DataFrame, queries: DataFrame, id_col: str, text_col:
     return scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("query", "nth", F.col("id").alias(id_col), "score")
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000, depth: int = 0) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
     """(query, nth, vec_id, distance): the k nearest vectors of each query by Euclidean distance, exactly.
 
     Up to `most_queries` of the queries (query, q) go to all tasks as one matrix; each batch of vectors keeps
     its k best for each query, and a window joins these. More queries are cut in halves by hash, and each half
     reads the vectors again: any number is answered, in memory that does not grow.
     """
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+
+    return _nearest(vectors.select("vec_id", "embedding"), read, queries, k, most_queries)
+
+
+def passage_topk(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, dim: int = 64, most_queries: int = 10_000) -> DataFrame:
+    """As vector_topk of embed_passages, with vec_id the passage's id: texts are embedded and searched by the same
+    Python workers, which hold one batch of texts and its vectors."""
+    spread = []
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        if not spread:
+            spread.append(_spread(dim))
+        keep, x = _embedded(batch.column(1), spread[0])
+        return np.asarray(batch.column(0))[keep], x
+
+    return _nearest(passages.select(id_col, text_col), read, queries, k, most_queries)
+
+
+def _nearest(source: DataFrame, read: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], queries: DataFrame, k: int, most_queries: int, depth: int = 0) -> DataFrame:
+    """vector_topk over batches of source, of which `read` makes ids and vectors."""
     rows = queries.limit(most_queries + 1).collect()
     if len(rows) > most_queries:
         if depth > 40:
             raise ValueError(f"one query stands more than {most_queries} times")
         half = F.pmod(F.xxhash64(F.lit(depth), "query"), F.lit(2))
-        one, two = (vector_topk(vectors, queries.where(half == i), k, most_queries, depth + 1) for i in (0, 1))
+        one, two = (_nearest(source, read, queries.where(half == i), k, most_queries, depth + 1) for i in (0, 1))
         return one.unionByName(two)
     names, matrix = np.array([r["query"] for r in rows]), np.array([r["q"] for r in rows], float)
 
@@ -74,15 +97,17 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, most_queries: in
         for batch in batches:
             if not batch.num_rows or not len(names):
                 continue
-            ids = np.asarray(batch.column(0))
-            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1).astype(float)
+            ids, x = read(batch)
+            if not len(ids):
+                continue
+            x = x.astype(float)
             for first in range(0, len(names), 256):
                 q = matrix[first : first + 256]
                 d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0))
                 order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 6)), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[first : first + 256], order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.round(np.take_along_axis(d, order, 1), 6).ravel())], names=["query", "vec_id", "distance"])
 
-    near = vectors.select("vec_id", "embedding").mapInArrow(search, "query bigint, vec_id bigint, distance double")
+    near = source.mapInArrow(search, "query bigint, vec_id bigint, distance double")
     best = Window.partitionBy("query").orderBy("distance", "vec_id")
     return near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("query", "nth", "vec_id", "distance")
 
@@ -106,25 +131,34 @@ def session_search(messages: DataFrame, queries: DataFrame, k: int) -> DataFrame
     return best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("nth"))).where(F.col("n") <= k).select("query", "n", "conv_id", "key.turn", "score")
 
 
+def _spread(dim: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((4096, dim))
+
+
+def _embedded(texts: pa.Array, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the texts of three bytes or more, and their vectors."""
+    keep, x = [], np.empty((len(texts), spread.shape[1]), np.float32)
+    for at, text in enumerate(texts):
+        data = np.frombuffer((text.as_py() or "").lower().encode(), np.uint8).astype(np.int64)
+        if len(data) < 3:
+            continue
+        grams = (data[:-2] * 65536 + data[1:-1] * 256 + data[2:]) * 2654435761 % 4294967296 >> 20
+        v = np.bincount(grams, minlength=4096) @ spread
+        x[len(keep)] = v / max(np.linalg.norm(v), 1e-9)
+        keep.append(at)
+    return np.array(keep, np.int64), x[: len(keep)]
+
+
 def embed_passages(passages: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """(id, embedding): hashed character trigrams, normalised; empty texts are skipped. It stands in where no
     model is installed, and has the same shape of job: batches, with the state made once for each worker."""
     kind = passages.schema[id_col].dataType.simpleString()
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = np.random.default_rng(7).standard_normal((4096, dim))
+        spread = _spread(dim)
         for batch in batches:
-            out, keep = [], []
-            for at, text in enumerate(batch.column(1)):
-                data = np.frombuffer((text.as_py() or "").lower().encode(), np.uint8).astype(np.int64)
-                if len(data) < 3:
-                    continue
-                grams = (data[:-2] * 65536 + data[1:-1] * 256 + data[2:]) * 2654435761 % 4294967296 >> 20
-                v = np.bincount(grams, minlength=4096) @ spread
-                out.append((v / max(np.linalg.norm(v), 1e-9)).astype(np.float32))
-                keep.append(at)
-            values = pa.array(np.concatenate(out) if out else np.zeros(0, np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(np.arange(0, len(out) * dim + 1, dim, dtype=np.int32), values)], names=[id_col, "embedding"])
+            keep, x = _embedded(batch.column(1), spread)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.ListArray.from_arrays(np.arange(0, x.size + 1, dim, dtype=np.int32), pa.array(x.ravel()))], names=[id_col, "embedding"])
 
     return passages.select(id_col, text_col).mapInArrow(embed, f"`{id_col}` {kind}, embedding array<float>")
 

@@ -199,9 +199,8 @@ def i4(spark, sf_dir):
 @query("i5_hybrid_search")
 def i5(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    vectors = retrieval.embed_passages(docs, "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
     asked = retrieval.embed_passages(_queries(spark), "query", "terms").withColumnRenamed("embedding", "q")
-    near = retrieval.vector_topk(vectors, asked, 20).withColumnRenamed("vec_id", "doc_id")
+    near = retrieval.passage_topk(docs, asked, "doc_id", "text", 20).withColumnRenamed("vec_id", "doc_id")
     return retrieval.hybrid(retrieval.bm25_search(docs, _queries(spark), "doc_id", "text", 20), near, "doc_id", 10)
 
 

@@ -234,3 +234,17 @@ def test_steps_are_those_of_a_loop(spark):
         want += [(c, n + 1, s) for n, s in enumerate(seen[:8])]
     df = spark.createDataFrame(talk, "conv_id bigint, turn int, text string")
     assert rows(text_jobs.procedural_steps(df), "conv_id", "nth", "step") == sorted(want, key=repr)
+
+
+def test_passages_are_embedded_and_searched_in_one_step(spark):
+    rng = random.Random(8)
+    texts = [None, "", "ab"] + ["".join(rng.choice("abc é") for _ in range(rng.randrange(3, 60))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    asked = retrieval.embed_passages(docs.where("id % 20 = 3"), "id", "text").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
+    got = retrieval.passage_topk(docs, asked, "id", "text", 4)
+    vectors = retrieval.embed_passages(docs, "id", "text").withColumnRenamed("id", "vec_id")
+    names = ("query", "nth", "vec_id", "distance")
+    assert rows(got, *names) == rows(retrieval.vector_topk(vectors, asked, 4), *names)
+    assert rows(got, *names) == rows(retrieval.passage_topk(docs, asked, "id", "text", 4, most_queries=2), *names)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert retrieval.passage_topk(docs.where("id < 3"), asked, "id", "text", 4).count() == 0
