@@ -106,6 +106,8 @@ def _nearest(source: DataFrame, read: Callable[[pa.RecordBatch], tuple[np.ndarra
                 d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0))
                 order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 6)), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[first : first + 256], order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.round(np.take_along_axis(d, order, 1), 6).ravel())], names=["query", "vec_id", "distance"])
+            del batch, ids, x  # before the next batch comes, not after
+            pa.default_memory_pool().release_unused()
 
     near = source.mapInArrow(search, "query bigint, vec_id bigint, distance double")
     best = Window.partitionBy("query").orderBy("distance", "vec_id")
