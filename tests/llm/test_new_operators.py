@@ -251,3 +251,41 @@ def test_licences_in_short_notices_paragraphs_and_repeated_rows(spark):
     for copies in (1, 2, 5):
         docs = spark.createDataFrame([(1, notice, "x")] * copies + [(2, "nothing of the kind", "x")], "doc_id bigint, text string, place string")
         assert {(r.doc_id, r.license, r.origin) for r in license_scan(docs, F.col("place")).collect()} == {(1, "MIT", "own"), (2, None, "none")}
+
+
+def test_segmentation_uses_every_piece(spark, monkeypatch):
+    """Pieces of several blanks, or over a blank or a line feed, take part: all ways to build a short text come."""
+    import sentencepiece
+
+    from quantloom.llm import segmentation
+
+    model = sentencepiece.SentencePieceProcessor(model_file=segmentation.vocabulary())
+    normal = {model.id_to_piece(i).replace("▁", " "): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+
+    def ways(text, pieces):
+        return [[]] if not text else [[pieces[text[:n]], *rest] for n in range(1, len(text) + 1) if text[:n] in pieces for rest in ways(text[n:], pieces)]
+
+    texts = ["  a", "x   ", "a    b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {}
+    for r in segmentation.decode_pieces(segmentation.sample_segmentations(docs, samples=60)).collect():
+        assert r.text == texts[r.doc_id]
+        found.setdefault(r.doc_id, []).append(tuple(r.pieces))
+    for n, text in enumerate(texts):
+        want = {tuple(w) for w in ways(" " + text, normal)}
+        assert 1 < len(want) <= 60 and len(found[n]) == len(want) and set(found[n]) == want
+
+    class Model:
+        pieces = [f"<0x{b:02X}>" for b in range(256)] + ["a", "b", "▁", "\n", "a▁b", "b\na", "▁a▁"]
+        get_piece_size = lambda self: len(self.pieces)
+        id_to_piece = lambda self, i: self.pieces[i]
+        is_byte = lambda self, i: i < 256
+        is_control = is_unknown = lambda self, i: False
+        get_score = lambda self, i: float(-i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", lambda model_file: Model())
+    pieces = segmentation.load_pieces("a model over blanks")
+    text = b"a b\na\nb"
+    _, _, _, _, at, ids = segmentation.sample_texts(np.frombuffer(text + text, np.uint8), np.array([0, 7, 14]), np.arange(2, dtype=np.uint64), segmentation.Lattices(pieces, 0.5), 50)
+    want = {tuple(w) for w in ways(" " + text.decode(), {p.replace("▁", " "): i for i, p in enumerate(Model.pieces) if i >= 256})}
+    assert len(want) == 5 and sorted(tuple(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)) == sorted([*want, *want])
