@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # All amounts are whole ten-thousandths, below 10^16. Two cents; percentages; pages and triples of
 # numbers that are worked on at a time.
@@ -188,58 +189,69 @@ def money(v: np.ndarray, known: np.ndarray | None = None) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(16, 4), len(v), [valid, pa.py_buffer(both)])
 
 
-def chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.StructArray, np.ndarray, np.ndarray, Proofs | None]]:
-    """(pages, cells, page of each cell, cells with a number, their proofs) of a batch (page, cells), cells being lists of
-    (row, x, v, ...) in their order, v whole ten-thousandths or null."""
-    sizes = np.asarray(batch.column(1).value_lengths())
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    cells = batch.column(1).flatten()
-    row, v = cells.field(0), cells.field(2)
-    rows = np.asarray(row.dictionary_encode().indices.fill_null(-1)).astype(np.int64)
-    known, value = np.asarray(v.is_valid()), np.asarray(v.fill_null(0))
-    page = np.repeat(np.arange(len(sizes)), sizes)
-    fresh = np.ones(len(page), bool)
-    fresh[1:] = (page[1:] != page[:-1]) | (rows[1:] != rows[:-1])
-    starts = np.flatnonzero(fresh)
-    weight = np.bincount(page[starts], np.diff(np.append(starts, len(page))).astype(float) ** 3, len(sizes)) + sizes.astype(float) ** 2
-    weight = np.concatenate([[0], np.cumsum(weight)])
-    first = 0
-    while first < len(sizes):
-        last = min(first + _PAGES, max(first + 1, int(np.searchsorted(weight, weight[first] + _TRIPLES, "right")) - 1), len(sizes))
-        a, b = edges[first], edges[last]
-        at = np.flatnonzero(known[a:b])
-        line = np.where(rows[a:b] < 0, -1, np.cumsum(fresh[a:b]) - 1)[at]
-        own = page[a:b] - first
-        yield batch.column(0).slice(first, last - first), cells.slice(a, b - a), own, at, Proofs(value[a:b][at], own[at], line) if len(at) else None
-        first = last
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut anew, so that none ends within a page."""
+    held = None
+    for batch in batches:
+        if held is not None and held.num_rows:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        page = np.asarray(batch.column(0).dictionary_encode().indices)
+        last = int(np.searchsorted(page, page[-1]))  # pages are numbered as they come
+        if last:
+            yield batch.slice(0, last)
+        held = batch.slice(last)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, Proofs | None]]:
+    """(cells, page and line of each, cells with a number, their proofs) of some pages at a time. Cells are (page, row, x, v,
+    ...), those of a page next to each other, v whole ten-thousandths or null; they come out ordered by row and x."""
+    for batch in _whole_pages(batches):
+        page = np.asarray(batch.column(0).dictionary_encode().indices).astype(np.int64)
+        keys = pa.table({"page": page, "row": batch.column(1), "x": batch.column(2), "v": batch.column(3)})
+        batch = batch.take(pc.sort_indices(keys, [(n, "ascending") for n in keys.column_names], null_placement="at_start"))
+        rows = np.asarray(batch.column(1).dictionary_encode().indices.fill_null(-1))
+        known, value = np.asarray(batch.column(3).is_valid()), np.asarray(batch.column(3).fill_null(0))
+        fresh = np.ones(len(page), bool)
+        fresh[1:] = (page[1:] != page[:-1]) | (rows[1:] != rows[:-1])
+        starts, edges = np.flatnonzero(fresh), np.concatenate([[0], np.cumsum(np.bincount(page))])
+        pages = len(edges) - 1
+        weight = np.bincount(page[starts], np.diff(np.append(starts, len(page))).astype(float) ** 3, pages) + np.diff(edges).astype(float) ** 2
+        weight = np.concatenate([[0], np.cumsum(weight)])
+        first = 0
+        while first < pages:
+            last = min(first + _PAGES, max(first + 1, int(np.searchsorted(weight, weight[first] + _TRIPLES, "right")) - 1), pages)
+            a, b = int(edges[first]), int(edges[last])
+            at = np.flatnonzero(known[a:b])
+            line = np.cumsum(fresh[a:b]) - 1
+            own = page[a:b] - first
+            yield batch.slice(a, b - a), own, line, at, Proofs(value[a:b][at], own[at], np.where(rows[a:b] < 0, -1, line)[at]) if len(at) else None
+            first = last
 
 
 def findings(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """(page, row, kind, terms, total, delta) of pages as chunks takes them."""
-    for batch in batches:
-        for pages, cells, own, at, proofs in chunks(batch):
-            if proofs is None:
-                continue
-            kind, page, line, first, size, total, delta = (np.concatenate(x) for x in zip(*proofs.found, strict=True))
-            pool = np.concatenate(proofs.pools)
-            fresh = np.ones(len(own), bool)
-            row = np.asarray(cells.field(0).dictionary_encode().indices.fill_null(-1))
-            fresh[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
-            head = np.append(np.flatnonzero(fresh), 0)  # of each line; none of line -1
-            places = pa.array(head[line], mask=line < 0)
-            terms = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), money(pool[_ranges(first, size)]))
-            yield pa.RecordBatch.from_arrays([pages.take(pa.array(page)), cells.field(0).take(places), pa.array(KINDS).take(pa.array(kind)), terms, money(total), money(delta, kind == 2)], names=names)
+    """(page, row, kind, terms, total, delta) of cells as chunks takes them."""
+    for cells, own, lines, _, proofs in chunks(batches):
+        if proofs is None:
+            continue
+        kind, page, line, first, size, total, delta = (np.concatenate(x) for x in zip(*proofs.found, strict=True))
+        pool = np.concatenate(proofs.pools)
+        rows = pa.array(np.searchsorted(lines, line), mask=line < 0)
+        terms = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), money(pool[_ranges(first, size)]))
+        pages = cells.column(0).take(pa.array(np.searchsorted(own, page)))
+        yield pa.RecordBatch.from_arrays([pages, cells.column(1).take(rows), pa.array(KINDS).take(pa.array(kind)), terms, money(total), money(delta, kind == 2)], names=names)
 
 
 def grades(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Cells (page, row, x, v, dual, ...) of such pages: the columns after dual, and grade."""
+    """Cells (page, row, x, v, dual, ...) as chunks takes them: page, the columns after dual, and grade."""
     words = pa.array(["none", "dual", "arith"])
-    for batch in batches:
-        for pages, cells, own, at, proofs in chunks(batch):
-            grade = np.asarray(cells.field(3).fill_null(False)).astype(np.int64)
-            known = np.zeros(len(own), bool)
-            known[at] = True
-            if proofs is not None:
-                grade[at[proofs.proven]] = 2
-            rest = [cells.field(n) for n in range(4, cells.type.num_fields)]
-            yield pa.RecordBatch.from_arrays([pages.take(pa.array(own)), *rest, words.take(pa.array(grade, mask=~known))], names=names)
+    for cells, own, _, at, proofs in chunks(batches):
+        grade = np.asarray(cells.column(4).fill_null(False)).astype(np.int64)
+        known = np.zeros(len(own), bool)
+        known[at] = True
+        if proofs is not None:
+            grade[at[proofs.proven]] = 2
+        yield pa.RecordBatch.from_arrays([cells.column(0), *cells.columns[5:], words.take(pa.array(grade, mask=~known))], names=names)
